@@ -33,12 +33,59 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_VOCABULARY))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import op3
+
+    return op3(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import op4
+
+    return op4(table(spark, sf_dir, "pages"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import op5
+
+    return op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import op6
+
+    return op6(table(spark, sf_dir, "pages"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import op7
+
+    return op7(table(spark, sf_dir, "documents"))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .personal_data import op8
+
+    return op8(table(spark, sf_dir, "documents"))
+
+
+def op9_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cross_entropy import op9
+
+    return op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import op10
+
+    return op10(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_sentencepiece": op1_sentencepiece,
-        "op2_token_counts": op2_token_counts,
-    }
+    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality, op4_warc, op5_decontamination, op6_url_filter, op7_simhash, op8_personal_data, op9_cross_entropy, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracles
+
+    return oracles.SQL
