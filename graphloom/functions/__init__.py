@@ -1 +1 @@
-""""""
+"""Comparisons of results."""
