@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
+from ..operators.components import components
 from ..plans.lineage import cut
 from .batches import map_text
-from .components import components
 
 #: A-Z to a-z and all ASCII white space to the space, on UTF-8 bytes.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
