@@ -72,7 +72,8 @@ def test_parallel_edges_and_self_loops(spark):
     g = graph(spark, range(3), plain([(0, 0), (0, 1), (0, 1), (1, 2)]))
     assert as_dict(access.out_degree(g)) == {0: 4, 1: 3, 2: 1}
     assert as_dict(cohesion.lcc(g)) == {0: 0.0, 1: 0.0, 2: 0.0}
-    assert cohesion.kcore_size(g, 3).first()["vertices"] == 2
+    assert cohesion.kcore_size(g, 2).first()["vertices"] == 2
+    assert cohesion.kcore_size(g, 3).first()["vertices"] == 0
     d = Graph(g.vertices, g.edges, True)
     assert as_dict(access.out_degree(d)) == {0: 3, 1: 1, 2: 0}
     assert as_dict(access.in_degree(d)) == {0: 1, 1: 2, 2: 1}
