@@ -130,8 +130,8 @@ c{i} as materialized (select src as id, count(*) filter (where c >= r) as c from
 def kclique(k: int) -> str:
     out = f"with {BASE}, c2 as (select a as v1, b as v2 from pairs)"
     for j in range(3, k + 1):
-        meets = " ".join(f"join pairs p{i} on p{i}.a = c.v{i} and p{i}.b = p.b" for i in range(1, j - 1))
-        out += f", c{j} as materialized (select c.*, p.b as v{j} from c{j - 1} c join pairs p on p.a = c.v{j - 1} {meets})"
+        meets = " and ".join(f"(c.v{i}, p.b) in (select (a, b) from pairs)" for i in range(1, j - 1))
+        out += f", c{j} as materialized (select c.*, p.b as v{j} from c{j - 1} c join pairs p on p.a = c.v{j - 1} where {meets})"
     return f"{out} select {k}::int as k, count(*) as cliques from c{k}"
 
 
