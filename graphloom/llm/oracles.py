@@ -1,3 +1,67 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
 
-SQL: dict[str, str] = {}
+The others need a tokenizer, a language model, XXH64 or iterated scoring; the
+tests hold them against brute force.
+"""
+
+from __future__ import annotations
+
+import string
+
+from .url_filter import LISTED_WORDS, RULES
+
+UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
+
+#: Base32 of a SHA-1: its 40 hexadecimal digits as four numbers of 40 bits, each of eight signs.
+OP4 = """with p as (select page_id, coalesce(html, '') as html from pages),
+h as (select page_id, html, strlen(html)::bigint as n, sha1(html) as x from p),
+b as (select *, list_transform([1, 11, 21, 31], lambda i: ('0x' || x[i:i + 9])::bigint) as parts from h),
+d as (select *, array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([35, 30, 25, 20, 15, 10, 5, 0],
+  lambda s: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> s) & 31) + 1]), '')), '') as digest from b),
+m as (select *, max(page_id) over (partition by html) as latest from d)
+select page_id, n as payload_bytes, digest as payload_digest,
+  case when page_id = latest then 'response' else 'revisit' end as record_type,
+  case when page_id = latest then null else latest end as refers_to from m"""
+
+OP5 = rf"""with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+i as (select item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+iw as materialized (select distinct item_id, least(len(w), 10) as n, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') as k
+  from i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(p) where len(w) > 0),
+sizes as materialized (select distinct n from iw),
+dw as (select doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') as k from d, sizes, unnest(range(1, len(w) - n + 2)) t(p) where len(w) >= n),
+m as materialized (select dw.doc_id, dw.p, dw.n, iw.item_id from dw join iw on iw.n = dw.n and iw.k = dw.k),
+hit as (select doc_id, count(distinct x) as n_hit from m, unnest(range(p, p + n)) t(x) group by doc_id),
+who as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from m group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from d left join hit on hit.doc_id = d.doc_id left join who on who.doc_id = d.doc_id"""
+
+
+def op6() -> str:
+    fits = lambda host, path: f"((host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}'))"
+    rules = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    case = lambda of: "case " + " ".join(f"when {fits(h, p)} then '{of(v, h, p)}'" for v, h, p in rules) + " end"
+    words = ", ".join(f"'{w}'" for w in LISTED_WORDS)
+    return f"""with r as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+u as (select page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{UPPER}', '{LOWER}') as host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from r),
+j as (select *, {case(lambda v, h, p: h + p)} as rule, {case(lambda v, h, p: v)} as said,
+  len(list_filter(string_split(host, '.')[:-2], lambda x: list_has_any(string_split(x, '-'), [{words}]))) > 0 as listed from u)
+select page_id, host, path, rule, coalesce(said, case when listed then 'block' else 'allow' end) as verdict, listed from j"""
+
+
+OP10 = r"""with l as (select doc_id, i as place, string_split(text, chr(10))[i] as line from documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i)),
+w as (select *, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as w from l),
+s as (select *, len(w) as n, ceil((len(w) - 2) / 4.0)::bigint as step from w where len(w) > 0),
+b as (select *, list_transform(range(4), lambda j: array_to_string(w[3 + j * step:2 + (j + 1) * step], ' ')) as blocks from s),
+k as materialized (
+  select doc_id, place, n, n || ' ' || array_to_string(w, ' ') as key from s where n < 8
+  union all
+  select doc_id, place, n, n || ' ' || w[1] || ' ' || w[2] || ' ' || j || chr(10) || array_to_string(list_transform(list_filter(range(4), lambda x: x <> j), lambda x: blocks[x + 1]), chr(10)) from b, unnest(range(4)) t(j) where n >= 8),
+known as materialized (select key, min(doc_id) as first from k group by key having min(doc_id) < max(doc_id) and count(*) >= case when min(n) < 8 then 5 else 2 end),
+gone as materialized (select distinct k.doc_id, k.place from k join known on known.key = k.key and k.doc_id > known.first),
+kept as (select l.doc_id, count(g.place) as n_dropped, count(*) as n_lines, coalesce(string_agg(l.line, chr(10) order by l.place) filter (where g.place is null), '') as text
+  from l left join gone g on g.doc_id = l.doc_id and g.place = l.place group by l.doc_id)
+select d.doc_id, coalesce(k.n_lines, 0)::bigint as n_lines, coalesce(k.n_dropped, 0)::bigint as n_dropped, case when d.text is not null then k.text end as text
+from documents d left join kept k on k.doc_id = d.doc_id"""
+
+SQL: dict[str, str] = {"op4_warc": OP4, "op5_decontamination": OP5, "op6_url_filter": op6(), "op10_line_dedup": OP10}
