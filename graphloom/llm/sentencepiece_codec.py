@@ -125,7 +125,9 @@ class Codec:
         self.runs = MergeTable(lambda a, b: -runs[a + b][1] if a + b in runs else None, list)
         self.ids = {p: i for p, (i, _) in plain.items()}
         self.whole = self.unigram or any(SPACE in p[1:] and p.strip(SPACE) for p in plain)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.joined = {p[i : i + 2] for p in plain for i in range(len(p) - 1)}
+        self.memo: dict[str, tuple[int, ...]] = {}  # of words
+        self.parts: dict[str, tuple[int, ...]] = {}
 
     def _emit(self, pieces: Iterable[str]) -> list[int]:
         out: list[int] = []
@@ -136,11 +138,31 @@ class Codec:
                 out += [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
         return out
 
+    def _part(self, part: str) -> tuple[int, ...]:
+        """Ids of characters that no piece joins to those around them."""
+        if (ids := self.parts.get(part)) is None:
+            ids = tuple(self._emit(self.viterbi.stream(part)))
+            if len(part) <= 64:
+                if len(self.parts) >= self.MEMO:
+                    self.parts.clear()
+                self.parts[part] = ids
+        return ids
+
     def _word(self, word: str) -> tuple[int, ...]:
-        """Ids of one space and the characters after it."""
+        """Ids of one space and the characters after it.
+
+        Where no piece holds two neighbouring characters, all paths meet between
+        them, so the parts are settled one by one.
+        """
         if len(self.memo) >= self.MEMO:
             self.memo.clear()
-        ids = tuple(self._emit(self.viterbi.stream(SPACE + word)))
+        word_, start, joined = SPACE + word, 0, self.joined
+        found: list[int] = []
+        for i in range(1, len(word_)):
+            if word_[i - 1 : i + 1] not in joined:
+                found += self._part(word_[start:i])
+                start = i
+        ids = (*found, *self._part(word_[start:]))
         if len(word) <= 64:
             self.memo[word] = ids
         return ids
