@@ -123,7 +123,7 @@ def byte_alphabet() -> dict[str, int]:
 class ByteCounter:
     """Token counts of every prefix, for a byte-level vocabulary in a .json file."""
 
-    MEMO = 700_000
+    MEMO = 500_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -141,7 +141,8 @@ class ByteCounter:
         self.table = MergeTable(lambda a, b: ranks.get((a, b)), lambda token: [token[i : i + 1] for i in range(len(token))])
         self.pieces = regex.compile(BYTE_LEVEL_SPLIT).findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        self.memo: dict[str, int] = {}
+        self.memo: dict[str, int] = {}  # of stretches between spaces
+        self.known: dict[str, int] = {}  # of pieces
 
     def programme(self, word: bytes) -> tuple[list[int], list[bytes]]:
         """Counts and last tokens of all prefixes of one piece, from the empty one on."""
@@ -165,7 +166,11 @@ class ByteCounter:
         else:
             n = 0
             for piece in self.pieces(space + chunk):
-                n += self.programme(piece.encode("utf-8", "surrogatepass"))[0][-1]
+                if piece not in self.known:
+                    if len(self.known) >= self.MEMO:
+                        self.known.clear()
+                    self.known[piece] = self.programme(piece.encode("utf-8", "surrogatepass"))[0][-1]
+                n += self.known[piece]
         if space:
             if len(self.memo) >= self.MEMO:
                 self.memo.clear()

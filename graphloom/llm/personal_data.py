@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..plans.lineage import cut, cut_table
+from ..plans.lineage import cut_table
 from .batches import map_text
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -132,20 +132,21 @@ def reliable(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDE
     """(pattern, kind, conf) of the patterns to trust; ``found`` has kind, surface and patterns of each mention.
 
     Every round is one join of the graph with the instances' scores and one with
-    the patterns' reliabilities, both keyed tables that are written in between.
+    the patterns' reliabilities, both keyed tables.  The rounds are few and fixed,
+    so tables are persisted and no lineage is cut.
     """
-    graph = cut(found.select("surface", F.explode("patterns").alias("pattern")).distinct())
-    seeds = cut(found.where("kind is not null").groupBy("surface", "kind").agg(F.lit(1.0).alias("score")))
-    size = cut(graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
+    graph = found.select("surface", F.explode("patterns").alias("pattern")).distinct().persist()
+    seeds = found.where("kind is not null").groupBy("surface", "kind").agg(F.lit(1.0).alias("score"))
+    size = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).persist()
     scores, kept = seeds, None
     for step in range(rounds):
         held = graph.join(scores, "surface").groupBy("pattern", "kind").agg(F.sum("score").alias("support"))
         conf = F.col("support") / F.col("n")
-        kept = cut(held.join(size, "pattern").select("pattern", "kind", "support", conf.alias("conf")).where((F.col("conf") >= confidence) & (F.col("support") >= support)))
+        kept = held.join(size, "pattern").select("pattern", "kind", "support", conf.alias("conf")).where((F.col("conf") >= confidence) & (F.col("support") >= support)).persist()
         if step + 1 < rounds:
             none = F.exp(F.sum(F.log(1 - F.least("conf", F.lit(0.999)))))
             more = graph.join(kept, "pattern").groupBy("surface", "kind").agg((1 - none).alias("score"))
-            scores = cut(seeds.unionAll(more).groupBy("surface", "kind").agg(F.max("score").alias("score")))
+            scores = seeds.unionAll(more).groupBy("surface", "kind").agg(F.max("score").alias("score"))
     return kept.select("pattern", "kind", "conf")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..graph import Graph
-from ..plans.lineage import cut
+from ..plans.lineage import cut, cut_observed
 
 
 def _degrees(pairs: DataFrame) -> DataFrame:
@@ -98,12 +98,13 @@ def kcore(g: Graph, k: int) -> DataFrame:
     if k <= 0:
         degree = _degrees(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
         return g.vertices.select("id").join(degree, F.col("id") == F.col("v"), "left").select("id", F.coalesce("deg", F.lit(0)).alias("core_degree"))
-    n = edges.count()
+    n = None
     while True:
         degree = _degrees(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).where(F.col("deg") >= k)
         stay = degree.select("v")
-        left = cut(edges.join(stay.withColumnRenamed("v", "src"), "src", "left_semi").join(stay.withColumnRenamed("v", "dst"), "dst", "left_semi").select("src", "dst"))
-        m = left.count()
+        kept = edges.join(stay.withColumnRenamed("v", "src"), "src", "left_semi").join(stay.withColumnRenamed("v", "dst"), "dst", "left_semi")
+        left, met = cut_observed(kept.select("src", "dst"), n=F.count(F.lit(1)))
+        m = met["n"]
         if m == n:
             return degree.select(F.col("v").alias("id"), F.col("deg").alias("core_degree"))
         edges, n = left, m
@@ -126,9 +127,10 @@ def coreness(g: Graph, rounds: int = 1000) -> DataFrame:
     for _ in range(rounds):
         heard = adjacency.join(state, F.col("dst") == F.col("id")).select("src", "c").withColumn("r", F.row_number().over(ranked))
         h = heard.groupBy("src").agg(F.sum((F.col("c") >= F.col("r")).cast("long")).alias("h"))
-        merged = cut(state.join(h, F.col("id") == F.col("src")).select("id", F.least("c", "h").alias("c"), (F.col("h") < F.col("c")).alias("fell")))
+        lower = state.join(h, F.col("id") == F.col("src")).select("id", F.least("c", "h").alias("c"), (F.col("h") < F.col("c")).alias("fell"))
+        merged, met = cut_observed(lower, n=F.count(F.when(F.col("fell"), 1)))
         state = merged.select("id", "c")
-        if merged.where("fell").isEmpty():
+        if not met["n"]:
             break
     else:
         raise RuntimeError(f"the core numbers are not settled after {rounds} rounds")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.lineage import cut
+from ..plans.lineage import cut_observed
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -35,8 +35,10 @@ def _small(links: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+def _cut(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links as a written table, and how many they are with a sum of their hashes, to tell two rounds apart."""
+    out, met = cut_observed(links, n=F.count(F.lit(1)), x=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    return out, (met["n"], met["x"])
 
 
 def components(links: DataFrame, rounds: int = 64) -> DataFrame:
@@ -44,14 +46,13 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
 
     Self-links are left out, so a vertex without any other link gives no row.
     """
-    now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, state = _cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
-        state = _state(now)
         if state == before or state[0] == 0:
             break
         before = state
-        now = cut(_small(cut(_large(now))))
+        now, state = _cut(_small(_large(now)))
     else:
         raise RuntimeError(f"the components are not settled after {rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.lineage import cut
+from ..plans.lineage import cut_observed
 
 SINKS = ("ldbc", "drop", "push")
 
@@ -29,17 +29,19 @@ def pagerank(g: Graph, damping: float = 0.85, rounds: int = 10, sinks: str = "ld
     out = g.adjacency.select("src", "dst")
     degree = out.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     state = g.vertices.select("id").join(degree, F.col("id") == F.col("src"), "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg"))
-    n = state.count()
+    on_sinks = {"sinks": F.count(F.when(F.col("deg") == 0, 1)), "held": F.sum(F.when(F.col("deg") == 0, F.col("rank"))), "n": F.count(F.lit(1))}
+    state, met = cut_observed(state.withColumn("rank", F.lit(1.0)), **on_sinks)
+    n = met["n"]
     if not n:
         return g.vertices.select("id", F.lit(0.0).alias("rank"))
     start, base = (1.0 / n, (1 - damping) / n) if normalized else (1.0, 1 - damping)
-    state = cut(state.withColumn("rank", F.lit(start)))
+    state = state.withColumn("rank", F.lit(start))
     edges = out.repartition("src").persist()
-    n_sinks = state.where("deg = 0").count() if normalized else 0
+    n_sinks = met["sinks"] if normalized else 0
     held = n_sinks * start  # mass on the sinks
     for step in range(rounds):
-        if n_sinks and sinks == "ldbc":
-            held = state.where("deg = 0").agg(F.sum("rank")).first()[0]
+        if n_sinks and sinks == "ldbc" and step:
+            held = met["held"]
         own = base + damping * held / n
         held = own * n_sinks
         given = F.col("rank") / F.col("deg") if divide == "always" or step == 0 else F.col("rank")
@@ -48,6 +50,6 @@ def pagerank(g: Graph, damping: float = 0.85, rounds: int = 10, sinks: str = "ld
         received = F.lit(damping) * F.coalesce("got", F.lit(0.0))
         if normalized and sinks == "drop":
             received = F.when(F.col("deg") > 0, received).otherwise(0.0)
-        state = cut(state.join(into, F.col("id") == F.col("dst"), "left").select("id", "deg", (F.lit(own) + received).alias("rank")))
+        state, met = cut_observed(state.join(into, F.col("id") == F.col("dst"), "left").select("id", "deg", (F.lit(own) + received).alias("rank")), **on_sinks)
     edges.unpersist()
     return state.select("id", "rank")

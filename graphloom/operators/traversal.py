@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.lineage import cut
+from ..plans.lineage import cut, cut_observed
 
 UNREACHED = 9223372036854775807
 #: Levels that are unioned before they are written as one table.
@@ -17,16 +17,17 @@ LEVELS = 8
 
 def _levels(g: Graph, source, adjacency: DataFrame):
     """Yields (depth, frontier): the ids first met at each depth, each a written table."""
-    frontier = cut(g.vertices.where(F.col("id") == F.lit(source)).select("id").distinct())
+    rows = F.count(F.lit(1))
+    frontier, met = cut_observed(g.vertices.where(F.col("id") == F.lit(source)).select("id").distinct(), n=rows)
     seen, depth = [frontier], 0
-    while not frontier.isEmpty():
+    while met["n"]:
         yield depth, frontier
         known = reduce(DataFrame.unionAll, seen)
         if len(seen) >= LEVELS:
             known = cut(known)
             seen = [known]
         reached = frontier.join(adjacency, frontier["id"] == adjacency["src"]).select(F.col("dst").alias("id")).distinct()
-        frontier = cut(reached.join(known, "id", "left_anti"))
+        frontier, met = cut_observed(reached.join(known, "id", "left_anti"), n=rows)
         seen.append(frontier)
         depth += 1
 
@@ -48,13 +49,15 @@ def sssp(g: Graph, source, weight: str = "weight") -> DataFrame:
     whose distance has just fallen.
     """
     adjacency = g.prepared(weight)
-    state = cut(g.vertices.where(F.col("id") == F.lit(source)).select("id", F.lit(0.0).alias("dist")).distinct())
-    active = state
-    while not active.isEmpty():
+    fallen = F.count(F.when(F.col("fell"), 1))
+    merged, met = cut_observed(g.vertices.where(F.col("id") == F.lit(source)).select("id", F.lit(0.0).alias("dist"), F.lit(True).alias("fell")).distinct(), n=fallen)
+    state = merged.select("id", "dist")
+    while met["n"]:
+        active = merged.where("fell").select("id", "dist")
         offers = active.join(adjacency, active["id"] == adjacency["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col(weight)).alias("offer"))
-        merged = cut(state.join(offers, "id", "full").select("id", F.least("dist", "offer").alias("dist"), (F.col("dist").isNull() | (F.col("offer") < F.col("dist"))).alias("fell")))
+        fell = F.col("dist").isNull() | F.coalesce(F.col("offer") < F.col("dist"), F.lit(False))
+        merged, met = cut_observed(state.join(offers, "id", "full").select("id", F.least("dist", "offer").alias("dist"), fell.alias("fell")), n=fallen)
         state = merged.select("id", "dist")
-        active = merged.where("fell").select("id", "dist")
     adjacency.unpersist()
     return g.vertices.select("id").join(state, "id", "left").select("id", F.coalesce("dist", F.lit(float("inf"))).alias("dist"))
 

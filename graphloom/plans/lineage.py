@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``cut``, and aggregates over its rows that the same job gathers."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(name) for name, c in metrics.items()]))
+    return out, seen.get
+
+
 def cut_table(df: DataFrame, name: str) -> DataFrame:
     """Like ``cut``, but as compressed Parquet, for tables that are wide or large."""
     spark = df.sparkSession

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph, swapped
-from .lineage import cut
+from .lineage import cut_observed
 
 
 @dataclass
@@ -46,17 +46,18 @@ class VertexProgram:
     def run(self, g: Graph) -> DataFrame:
         """(id, value) after the last round."""
         active = F.lit(True) if self.active is None else self.active
-        state = cut(g.vertices.withColumn("value", self.init).select("id", "value", active.alias("sends")))
+        senders_left = F.count(F.when(F.col("sends"), 1))
+        state, met = cut_observed(g.vertices.withColumn("value", self.init).select("id", "value", active.alias("sends")), n=senders_left)
         edges = self._edges(g)
         for step in range(self.rounds):
             senders = state if self.always else state.where("sends")
-            if not self.always and senders.isEmpty():
+            if not self.always and not met["n"]:
                 break
             sent = senders.join(edges, senders["id"] == edges["src"]).select(F.col("dst").alias("to"), self.message.alias("message"))
             heard = sent.groupBy("to").agg(self.combine(F.col("message")).alias("heard"))
             changed = ~F.col("next").eqNullSafe(F.col("value")) if self.changed is None else self.changed
             joined = state.join(heard, F.col("id") == F.col("to"), "left").withColumn("next", self.update)
-            state = cut(joined.select("id", F.col("next").alias("value"), changed.alias("sends")))
+            state, met = cut_observed(joined.select("id", F.col("next").alias("value"), changed.alias("sends")), n=senders_left)
             if self.mutate is not None and (new := self.mutate(g, state, step)) is not None:
                 edges.unpersist()
                 g = new
