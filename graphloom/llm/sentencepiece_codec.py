@@ -27,71 +27,107 @@ from .batches import map_text
 
 
 class Viterbi:
-    """The search over one run of characters without a space inside."""
+    """The search over one run of characters without a space inside.
+
+    One pass of an automaton over the text gives the arcs, for each node those that
+    end there, the longest first.
+    """
 
     def __init__(self, pieces: dict[str, tuple[int, float]], unigram: bool):
+        import ahocorasick
+
         self.pieces, self.unigram = pieces, unigram
         self.longest = max((len(p) for p in pieces), default=1)
         ranks = {p: -score for p, (_, score) in pieces.items()}
         self.table = MergeTable(lambda a, b: ranks.get(a + b), list)
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - 10.0  # the library's penalty for a character that no piece covers
+        self.arcs = ahocorasick.Automaton()
+        for p, (_, score) in pieces.items():
+            self.arcs.add_word(p, (p, len(p), score if unigram else {"": True}))  # {piece before: whether the two stay apart}
+        self.arcs.make_automaton()
+
+    def stream(self, text: str | Iterable[str]) -> Iterator[str]:
+        """Pieces, or single characters that no piece covers, in order.
 
-    def stream(self, chars: Iterable[str]) -> Iterator[str]:
-        """Pieces, or single characters that no piece covers, in order; a window of the text is held."""
-        pieces, longest, unigram = self.pieces, self.longest, self.unigram
-        apart, made = self.table.apart, self.table.made
+        ``text`` is whole or comes in parts; of either, back pointers are held for a window.
+        """
+        far, search = 2 * self.longest, self._best if self.unigram else self._merged
+        if isinstance(text, str):
+            text = [text] if len(text) <= far else [text[i : i + self.longest] for i in range(0, len(text), self.longest)]
         base, window = 0, ""  # window: the text from the last boundary on
-        back: list[int] = [0]  # of the node after window[:i], where its arc starts
-        best: list[float] = [0.0]
-        for c in chars:
-            window += c
-            end = len(window)
-            found, score = -1, 0.0
-            for start in range(max(0, end - longest), end):
-                piece = window[start:end]
-                if (known := pieces.get(piece)) is None:
-                    if end - start > 1:
-                        continue
-                    value = best[start] + self.unknown
-                elif unigram:
-                    value = best[start] + known[1]
-                elif made(piece) and (not start or apart(window[back[start] : start], piece)):
-                    found = start
-                    break
-                else:
-                    continue
-                if found < 0 or (unigram and value > score):
-                    found, score = start, value
-            back.append(found)
+        last, best = [""], [0.0]  # by node of the window: the piece that ends there, and its sum
+        arcs = None
+        for part in text:
+            if not part:
+                continue
+            if arcs is None:
+                arcs = self.arcs.iter(part) if len(self.arcs) else iter(())
+            elif len(self.arcs):
+                arcs.set(part)
+            window += part
+            last += [""] * len(part)
+            search(arcs, base, last, best)
+            if len(window) >= far:
+                keep = self._meeting(last, len(window))
+                if not self.unigram:
+                    keep -= len(last[keep]) or 1  # one piece stays, as its successor asks for it
+                if keep > 0:
+                    yield from self._path(window, last, keep)
+                    base, window, last = base + keep, window[keep:], last[keep:]
+                    best = [v - best[keep] for v in best[keep:]]
+        yield from self._path(window, last, len(window))
+
+    def _merged(self, arcs: Iterator, base: int, last: list[str], best: list[float]) -> None:
+        """Byte pairs: of the arcs to a node, the one that stays apart from the piece before it."""
+        allowed = self._allowed
+        for at, (piece, size, after) in arcs:
+            end = at + 1 - base
+            if not last[end]:
+                before = last[end - size]
+                if after[before] if before in after else allowed(before, piece, after):
+                    last[end] = piece
+
+    def _allowed(self, before: str, piece: str, after: dict[str, bool]) -> bool:
+        made = self.table.made
+        if not made(piece):
+            after.clear()
+            after[""] = False
+        after[before] = after[""] and self.table.apart(before, piece)
+        return after[before]
+
+    def _best(self, arcs: Iterator, base: int, last: list[str], best: list[float]) -> None:
+        """Unigrams: of the arcs to a node, the one with the best sum; ties go to the longer piece."""
+        arc = next(arcs, None)
+        for end in range(len(best), len(last)):
+            found, score, covered = "", float("-inf"), False
+            while arc is not None and arc[0] + 1 - base == end:
+                piece, size, value = arc[1]
+                value += best[end - size]
+                if value > score:
+                    found, score = piece, value
+                covered |= size == 1
+                arc = next(arcs, None)
+            if not covered and best[end - 1] + self.unknown > score:
+                found, score = "", best[end - 1] + self.unknown
+            last[end] = found
             best.append(score)
-            if end >= 2 * longest:
-                cut = self._meeting(back, end)
-                if cut > 0:
-                    # one piece stays, as its successor asks for it
-                    keep = back[cut] if not unigram else cut
-                    if keep > 0:
-                        yield from self._path(window, back, keep)
-                        base += keep
-                        window = window[keep:]
-                        back = [max(0, b - keep) for b in back[keep:]]
-                        best = [v - best[keep] for v in best[keep:]] if unigram else [0.0] * len(back)
-        yield from self._path(window, back, len(window))
-
-    def _meeting(self, back: list[int], end: int) -> int:
+
+    def _meeting(self, last: list[str], end: int) -> int:
         """The last boundary on the paths of all nodes that a further piece can start from."""
         heads = set(range(max(0, end - self.longest + 1), end + 1))
         while len(heads) > 1:
             top = max(heads)
             heads.remove(top)
-            heads.add(back[top])
+            heads.add(top - (len(last[top]) or 1))
         return heads.pop()
 
     @staticmethod
-    def _path(window: str, back: list[int], end: int) -> list[str]:
+    def _path(window: str, last: list[str], end: int) -> list[str]:
         out = []
         while end > 0:
-            out.append(window[back[end] : end])
-            end = back[end]
+            piece = last[end] or window[end - 1]
+            out.append(piece)
+            end -= len(piece)
         return out[::-1]
 
 
