@@ -24,14 +24,15 @@ def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
-def map_text(df: DataFrame, column: str, new: list[StructField], run: Callable[[list], list[list]]) -> DataFrame:
+def map_text(df: DataFrame, column: str, new: list[StructField], run: Callable[[list], list[list]], keep: bool = True) -> DataFrame:
     """``df`` with the columns that ``run`` gives for the values of ``column``.
 
     ``run`` maps a list of values to one list for each new field.  Columns of the
-    same names are replaced; the others pass through as Arrow arrays.
+    same names are replaced; the others pass through as Arrow arrays, ``column``
+    only with ``keep``.
     """
     names = {f.name for f in new}
-    kept = [f for f in df.schema.fields if f.name not in names]
+    kept = [f for f in df.schema.fields if f.name not in names and (keep or f.name != column)]
     schema = StructType([*kept, *new])
     types = [to_arrow_type(f.dataType) for f in new]
 

@@ -95,22 +95,23 @@ class MergeTable:
         return self._ends(token) is not None
 
     def apart(self, a, b) -> bool:
-        """Both tokens must be ``made``."""
+        """``parted``, remembered."""
         found = self.known.get((a, b))
         if found is None:
-            found, rank = True, self.rank
-            for x, born, until in self._ends(a)[0]:
-                for y, born2, until2 in self._ends(b)[1]:
-                    if (r := rank(x, y)) is not None and born < r < until and born2 < r <= until2:
-                        found = False
-                        break
-                if not found:
-                    break
             if len(self.known) >= self.LIMIT:
                 self.known.clear()
-            self.known[(a, b)] = found
+            found = self.known[(a, b)] = self.parted(a, b)
         return found
 
+    def parted(self, a, b) -> bool:
+        """Both tokens must be ``made``."""
+        rank = self.rank
+        for x, born, until in self._ends(a)[0]:
+            for y, born2, until2 in self._ends(b)[1]:
+                if (r := rank(x, y)) is not None and born < r < until and born2 < r <= until2:
+                    return False
+        return True
+
 
 def byte_alphabet() -> dict[str, int]:
     """Character to byte, as byte-level vocabularies print their tokens."""

@@ -92,7 +92,7 @@ class Viterbi:
         if not made(piece):
             after.clear()
             after[""] = False
-        after[before] = after[""] and self.table.apart(before, piece)
+        after[before] = after[""] and self.table.parted(before, piece)
         return after[before]
 
     def _best(self, arcs: Iterator, base: int, last: list[str], best: list[float]) -> None:
@@ -134,7 +134,8 @@ class Viterbi:
 class Codec:
     """Text to ids and back for one .model file."""
 
-    MEMO = 500_000
+    #: Words, and parts of words, that a generation of the memo holds; there are two.
+    MEMO = 200_000
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -163,7 +164,9 @@ class Codec:
         self.whole = self.unigram or any(SPACE in p[1:] and p.strip(SPACE) for p in plain)
         self.joined = {p[i : i + 2] for p in plain for i in range(len(p) - 1)}
         self.memo: dict[str, tuple[int, ...]] = {}  # of words
+        self.old: dict[str, tuple[int, ...]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
+        self.old_parts: dict[str, tuple[int, ...]] = {}
 
     def _emit(self, pieces: Iterable[str]) -> list[int]:
         out: list[int] = []
@@ -177,10 +180,11 @@ class Codec:
     def _part(self, part: str) -> tuple[int, ...]:
         """Ids of characters that no piece joins to those around them."""
         if (ids := self.parts.get(part)) is None:
-            ids = tuple(self._emit(self.viterbi.stream(part)))
+            if (ids := self.old_parts.get(part)) is None:
+                ids = tuple(self._emit(self.viterbi.stream(part)))
             if len(part) <= 64:
                 if len(self.parts) >= self.MEMO:
-                    self.parts.clear()
+                    self.parts, self.old_parts = {}, self.parts
                 self.parts[part] = ids
         return ids
 
@@ -191,7 +195,11 @@ class Codec:
         them, so the parts are settled one by one.
         """
         if len(self.memo) >= self.MEMO:
-            self.memo.clear()
+            self.old = self.memo.copy()
+            self.memo.clear()  # its callers hold it
+        if (ids := self.old.get(word)) is not None:
+            self.memo[word] = ids
+            return ids
         word_, start, joined = SPACE + word, 0, self.joined
         found: list[int] = []
         for i in range(1, len(word_)):
