@@ -1,102 +1,191 @@
 """Cross-entropy difference between a target and a background bigram model.
 
 Both models have one vocabulary, order and smoothing; the target is counted on
-the documents with a label, the background on all others.  The vocabulary is the
-most frequent words of all documents and, for the rest, classes by a hash of the
-word, VOCABULARY symbols together, so a bigram table has at most VOCABULARY
-squared entries: that bounds what is collected and broadcast, at any corpus size.
-Words and bigrams are counted over all documents; each task sums its own first.
+the documents with a label, the background on all others.  The vocabulary is
+every word of all documents and the tables hold every bigram of them, so what is
+gathered grows with the corpus.  Words are keyed by XXH64 and bigrams by a mix of
+two such hashes, as Spark tables; nothing of them is collected but the hot ones.
+
+A word or bigram is hot if it makes up one HOT-th of all tokens, so there are HOT
+of them at most.  Hot ones meet their counts by a broadcast of that bound, all
+others by a join, where none has many rows.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
+from ..plans.lineage import cut_table
 from .batches import map_text, pieces
 from .simhash import LOWER
 
-#: Symbols: the start of a text, the classes of rare words, and the frequent words.
-VOCABULARY, CLASSES = 2048, 63
 DISCOUNT, PRIOR = 0.75, 0.5
-#: Words that a task holds before it passes their counts on.
-HELD = 400_000
+#: Hot words and hot bigrams at most.
+HOT_WORDS, HOT_GRAMS = 1 << 18, 1 << 20
+#: Words whose hashes a task holds, and tokens that it sums before it passes them on.
+HELD, SUMMED = 300_000, 1_500_000
 #: Ids of target documents that are broadcast; more are joined by a shuffle.
 TARGETS_SENT = 2_000_000
+#: Symbols of a dense table of counts, as ``cost`` takes it.
+VOCABULARY = 2048
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> dict[bytes, int]:
-    """Symbols of the most frequent words over all documents; ties go to the smaller word."""
+class Hashes(dict):
+    """XXH64 of words, remembered up to HELD words."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
-        for whole in batches:
-            for batch in pieces(whole, text):
-                for t in batch.column(0).to_pylist():
-                    held.update(words_of(t))
-                if len(held) > HELD:
-                    yield out()
-                    held.clear()
-        yield out()
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= HELD:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word)
+        return out
 
-    sums = docs.select(text).mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    top = sums.orderBy(F.desc("c"), "word").limit(VOCABULARY - 1 - CLASSES).collect()
-    return {bytes(r["word"]): i for i, r in enumerate(top, 1 + CLASSES)}
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The start, which is 0, and the hashes of the words."""
+        out = np.zeros(len(words) + 1, np.uint64)
+        out[1:] = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return out
 
 
-def pairs(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """Packed bigrams of a text, the first after the start."""
-    n = len(words)
-    symbols = np.zeros(n + 1, np.int64)
-    symbols[1:] = [known[w] if w in known else 1 + zlib.crc32(w) % CLASSES for w in words]
-    return symbols[:-1] * VOCABULARY + symbols[1:]
+def mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The hash of bigrams, as ``_mixed`` makes it."""
+    return ((first << np.uint64(1)) | (first >> np.uint64(63))) ^ second
 
 
-def bigrams(docs: DataFrame, known, text: str, target: str) -> DataFrame:
-    """(gram, t, b): counts in target documents and in all others."""
+def _mixed(first: str, second: str) -> Column:
+    return F.shiftleft(first, 1).bitwiseOR(F.shiftrightunsigned(first, 63)).bitwiseXOR(F.col(second))
+
+
+def bigrams(docs: DataFrame, text: str, target: str) -> DataFrame:
+    """(v, w, t, b): every bigram, by the hashes of its words, and its counts in target documents and in all others."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, VOCABULARY * VOCABULARY), np.int64)
+        hashes = Hashes()
+        held: list[tuple] = []
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            v, w, t = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(g := mixed(v, w))
+            g, t = g[order], t[order]
+            starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            ts, ns = np.add.reduceat(t, starts, dtype=np.int64), np.diff(starts, append=len(g))
+            v, w = v[order[starts]].view(np.int64), w[order[starts]].view(np.int64)
+            for i in range(0, len(v), 200_000):
+                p = slice(i, i + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x[p]) for x in (v, w, ts, ns - ts)], names=["v", "w", "t", "b"])
+
         for whole in batches:
             for batch in pieces(whole, "text"):
-                found: list[list] = [[], []]
                 for t, is_target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if words := words_of(t):
-                        found[not is_target].append(pairs(words, known.value))
-                for k in (0, 1):
-                    if found[k]:
-                        np.add.at(sums[k], np.concatenate(found[k]), 1)
-        at = np.flatnonzero(sums[0] + sums[1])
-        for i in range(0, len(at), 500_000):
-            part = at[i : i + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[0][part]), pa.array(sums[1][part])], names=["gram", "t", "b"])
+                        h = hashes.of(words)
+                        held.append((h[:-1], h[1:], np.full(len(words), is_target)))
+                        size += len(words)
+                    if size >= SUMMED:
+                        yield from out()
+                        size = 0
+        if held:
+            yield from out()
 
     own = docs.select(F.col(text).alias("text"), F.col(target).alias("target"))
-    return own.mapInArrow(count, "gram int, t long, b long").groupBy("gram").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    return own.mapInArrow(count, "v long, w long, t long, b long").groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
 def cost(counts: np.ndarray) -> np.ndarray:
-    """Bits of each bigram under an interpolated model of its counts (VOCABULARY x VOCABULARY)."""
+    """Bits of each bigram under an interpolated model of a dense table of counts; ``costs`` is the same by joins."""
     single = counts.sum(axis=0)
-    p1 = (single + PRIOR) / (single.sum() + PRIOR * VOCABULARY)
+    p1 = (single + PRIOR) / (single.sum() + PRIOR * len(counts))
     total = counts.sum(axis=1)
     freed = np.where(total > 0, DISCOUNT * (counts > 0).sum(axis=1) / np.maximum(total, 1), 1.0)
     p = np.maximum(counts - DISCOUNT, 0) / np.maximum(total, 1)[:, None] + freed[:, None] * p1[None, :]
     return (-np.log2(p)).astype(np.float32).ravel()
 
 
+class Tables:
+    """Counts of all bigrams, of words as the first of them, and of words as the second."""
+
+    def __init__(self, counted: DataFrame):
+        n = lambda c: F.sum((F.col(c) > 0).cast("long"))
+        self.counts = cut_table(counted, "bigrams")
+        self.first = cut_table(self.counts.groupBy("v").agg(F.sum("t").alias("tt"), F.sum("b").alias("tb"), n("t").alias("nt"), n("b").alias("nb")), "first")
+        self.second = cut_table(self.counts.groupBy("w").agg(F.sum("t").alias("wt"), F.sum("b").alias("wb")), "second")
+        row = self.second.agg(F.count(F.lit(1)).alias("n"), F.sum("wt").alias("t"), F.sum("wb").alias("b")).first()
+        self.symbols, self.t, self.b = row["n"] + 1, row["t"] or 0, row["b"] or 0  # and the start
+
+    def is_hot(self, n: Column, most: int) -> Column:
+        return n * F.lit(most) >= F.lit(self.t + self.b)
+
+    def costs(self, counts: DataFrame) -> DataFrame:
+        """(gram, t, b): bits of each bigram of ``counts`` under both models.
+
+        A row that lacks one hot word joins the table of the other words by that
+        word, or by its own other word, which isn't hot then; so no key is hot.
+        """
+        hot_v, hot_w = self.is_hot(F.col("tt") + F.col("tb"), HOT_WORDS), self.is_hot(F.col("wt") + F.col("wb"), HOT_WORDS)
+        met = counts.join(F.broadcast(self.first.where(hot_v)), "v", "left").join(F.broadcast(self.second.where(hot_w)), "w", "left")
+        done = met.where("tt is not null and wt is not null")
+        rest = met.where("tt is null or wt is null").withColumns({"k1": F.when(F.col("tt").isNull(), F.col("v")).otherwise(F.col("w")), "k2": F.when(F.col("wt").isNull(), F.col("w")).otherwise(F.col("v"))})
+        for key, table, hot, word in (("k1", self.first, hot_v, "v"), ("k2", self.second, hot_w, "w")):
+            names = [c for c in table.columns if c != word]
+            cold = table.where(~hot).select(F.col(word).alias(key), *[F.col(c).alias(f"{c}_") for c in names])
+            rest = rest.join(cold, key, "left").withColumns({c: F.coalesce(c, f"{c}_") for c in names}).drop(*[f"{c}_" for c in names])
+        every = done.unionByName(rest.select(done.columns))
+        bits = []
+        for k, n in (("t", self.t), ("b", self.b)):
+            p1 = (F.col(f"w{k}") + PRIOR) / (n + PRIOR * self.symbols)
+            total = F.greatest(F.col(f"t{k}"), F.lit(1))
+            freed = F.when(F.col(f"t{k}") > 0, DISCOUNT * F.col(f"n{k}") / total).otherwise(1.0)
+            bits.append((-F.log2(F.greatest(F.col(k) - DISCOUNT, F.lit(0.0)) / total + freed * p1)).cast("float").alias(k))
+        return every.select(_mixed("v", "w").alias("gram"), *bits)
+
+    def split(self) -> tuple[DataFrame, DataFrame]:
+        """The costs of hot bigrams and of all others."""
+        hot = self.is_hot(F.col("t") + F.col("b"), HOT_GRAMS)
+        return self.costs(self.counts.where(hot)), self.costs(self.counts.where(~hot))
+
+
+def _found(grams: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each gram stands in the sorted ``known``, and whether it does."""
+    at = np.searchsorted(known, grams)
+    at[at == len(known)] = 0
+    return at, known[at] == grams if len(known) else np.zeros(len(grams), bool)
+
+
+def _cold(docs: DataFrame, hot, text: str) -> DataFrame:
+    """(key, gram, n): of each text the bigrams that aren't hot."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, known = Hashes(), hot.value[0]
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                keys, grams, ns = [], [], []
+                for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if words := words_of(t):
+                        h = hashes.of(words)
+                        found, n = np.unique(mixed(h[:-1], h[1:]), return_counts=True)
+                        rest = ~_found(found, known)[1]
+                        grams.append(found[rest])
+                        ns.append(n[rest])
+                        keys.append(np.full(len(grams[-1]), key, np.int64))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(ns).astype(np.int64))], names=["key", "gram", "n"])
+
+    return docs.select("__key", F.col(text).alias("text")).mapInArrow(work, "key long, gram long, n long")
+
+
 def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` and n_words, ce_target, ce_background and ce_diff, in bits a word; a low difference is like the target.
 
@@ -106,36 +195,38 @@ def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str =
     Rows are neither dropped nor merged; columns of the new names are replaced.
     """
     sc = docs.sparkSession.sparkContext
-    known = sc.broadcast(vocabulary(docs, text))
     ids = targets.select(F.col("doc_id").alias("__target")).where("__target is not null").distinct()
     ids = F.broadcast(ids) if ids.count() <= TARGETS_SENT else ids
     marked = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(ids, F.col("__id") == F.col("__target"), "left")
-    table = bigrams(marked.withColumn("target", F.col("__target").isNotNull()), known, "text", "target").toArrow()
-    at = table.column("gram").to_numpy()
-    costs = []
-    for name in ("t", "b"):
-        counts = np.zeros(VOCABULARY * VOCABULARY)
-        counts[at] = table.column(name).to_numpy()
-        costs.append(cost(counts.reshape(VOCABULARY, VOCABULARY)))
+    hot, others = Tables(bigrams(marked.withColumn("target", F.col("__target").isNotNull()), "text", "target")).split()
+    table = hot.toArrow()
+    grams = table.column("gram").to_numpy().view(np.uint64)
+    order = np.argsort(grams)
+    shared = sc.broadcast((grams[order], *(table.column(k).to_numpy()[order].astype(np.float64) for k in ("t", "b"))))
     del table
-    shared = sc.broadcast(costs)
 
     def run(texts: list) -> list[list]:
-        n, target, background = [], [], []
+        known, *bits = shared.value
+        hashes = Hashes()
+        n, cold, target, background = [], [], [], []
         for t in texts:
-            words = words_of(t)
-            n.append(len(words))
-            if words:
-                found = pairs(words, known.value)
-                target.append(float(shared.value[0][found].mean(dtype=np.float64)))
-                background.append(float(shared.value[1][found].mean(dtype=np.float64)))
-            else:
-                target.append(None)
-                background.append(None)
-        return [n, target, background]
-
-    new = [StructField("n_words", LongType(), False), StructField("ce_target", DoubleType()), StructField("ce_background", DoubleType())]
-    return map_text(docs, text, new, run).withColumn("ce_diff", F.col("ce_target") - F.col("ce_background"))
+            h = hashes.of(words_of(t))
+            at, found = _found(mixed(h[:-1], h[1:]), known)
+            at = at[found]
+            n.append(len(h) - 1)
+            cold.append(len(h) - 1 - len(at))
+            target.append(float(bits[0][at].sum()))
+            background.append(float(bits[1][at].sum()))
+        return [n, cold, target, background]
+
+    # Rows of one id and text share a key; the mean of their other bigrams' bits is that of each.
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(doc_id), F.col(text)))
+    mean = lambda k: (F.sum(F.col("n") * F.col(k)) / F.sum("n")).alias(f"__{k}")
+    means = _cold(keyed, shared, text).join(others, "gram").groupBy("key").agg(mean("t"), mean("b"))
+    new = [StructField("n_words", LongType(), False), StructField("__cold", LongType(), False), StructField("ce_target", DoubleType()), StructField("ce_background", DoubleType())]
+    both = map_text(keyed, text, new, run).join(means, F.col("__key") == F.col("key"), "left")
+    ce = {c: F.when(F.col("n_words") > 0, (F.col(c) + F.col("__cold") * F.coalesce(f"__{k}", F.lit(0.0))) / F.col("n_words")) for c, k in (("ce_target", "t"), ("ce_background", "b"))}
+    return both.withColumns(ce).drop("__key", "key", "__cold", "__t", "__b").withColumn("ce_diff", F.col("ce_target") - F.col("ce_background"))
 
 
 def op9(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -124,3 +124,29 @@ def test_bigram_cost():
     single = (np.array([3, 2, 1]) + C.PRIOR) / (6 + C.PRIOR * C.VOCABULARY)
     assert p[5, 6] == pytest.approx((2 - C.DISCOUNT) / 3 + C.DISCOUNT * 2 / 3 * single[1], rel=1e-4)
     assert p[9, 5] == pytest.approx(single[0], rel=1e-4)
+
+
+def test_cross_entropy_of_rare_words(spark, monkeypatch):
+    """Every word counts, hot or not: the joins give the costs of a dense table over the whole vocabulary."""
+    r = random.Random(6)
+    common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(4000)]
+    texts = [" ".join(r.choice(common if r.random() < 0.5 else rare) for _ in range(60)) for _ in range(120)]
+    texts += [" ".join(["c0 c1"] * 30 + rare[:20]), " ".join(["c0 c1"] * 30 + rare[20:40])]  # differ in rare words only
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (None, texts[0])], "doc_id long, text string")
+    targets = [*range(60), len(texts) - 2]
+    symbols = {w: i for i, w in enumerate(sorted({w for t in texts for w in t.split()}), 1)}
+    pairs = [[(a, b) for a, b in zip([0, *s], s, strict=False)] for s in ([symbols[w] for w in t.split()] for t in texts)]
+    counts = np.zeros((2, len(symbols) + 1, len(symbols) + 1))
+    for i, found in enumerate([*pairs, pairs[0], pairs[0]]):
+        for a, b in found:
+            counts[0 if i in targets else 1, a, b] += 1
+    costs = [C.cost(c).reshape(len(c), len(c)) for c in counts]
+    want = [[float(np.mean([c[p] for p in found])) for c in costs] for found in pairs]
+    for words, grams in ((1 << 18, 1 << 20), (20, 40), (1, 1)):  # all hot, some, none
+        monkeypatch.setattr(C, "HOT_WORDS", words)
+        monkeypatch.setattr(C, "HOT_GRAMS", grams)
+        out = C.score(docs, spark.createDataFrame([(i,) for i in targets], "doc_id long")).collect()
+        assert len(out) == len(texts) + 2
+        for x in out:
+            assert [x["ce_target"], x["ce_background"]] == pytest.approx(want[x["doc_id"] or 0], rel=1e-5)
+    assert want[-2][0] - want[-2][1] < want[-1][0] - want[-1][1]
