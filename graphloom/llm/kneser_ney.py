@@ -2,10 +2,11 @@
 
 A symbol has five bits: letters, the space, the line end, digits, two kinds of
 punctuation, and bytes over 7F fold into 32 classes.  A gram of four symbols is
-packed into 20 bits, so each language slot has at most 2**20 grams and the whole
-model at most ``SLOTS`` times that: this bounds what is collected and broadcast,
-whatever the size of the corpus (256 MB at the very most; natural text uses a
-few per cent of it).
+packed into 20 bits, so each language has at most 2**20 grams.  Every language
+has a model of its own.  Those of the ``SENT`` languages with the most text are
+collected and broadcast (256 MB at the very most; natural text uses a few per
+cent of it); the models of all others stay Spark tables that the grams of their
+documents join.
 
 The model is stored as sorted arrays of packed grams with their values, one pair
 for the probabilities and one for the back-off weights of each order.
@@ -24,7 +25,11 @@ from pyspark.sql.window import Window
 from ..plans.lineage import cut
 from .batches import pieces
 
-ORDER, BITS, SLOTS = 4, 5, 32
+ORDER, BITS = 4, 5
+#: Languages whose models are broadcast.
+SENT = 32
+#: Languages whose counts a task holds, at 8 MB each.
+HELD = 16
 SYMBOLS = 1 << BITS
 SPACE_SYMBOL, LINE, DIGIT, STOP, OTHER = 27, 28, 29, 30, 31
 
@@ -47,8 +52,8 @@ TABLE = _symbols()
 
 
 def slot(lang: str) -> F.Column:
-    """The model of a language; a null is a language of its own."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(lang), F.lit(""))), F.lit(SLOTS)).cast("int")
+    """The name of a language's model; a null is a language of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit(""))
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,21 +78,28 @@ def count(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(slot, gram, c) over all whole texts; each task sums its own grams first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held: dict[str, np.ndarray] = {}
+
+        def out(held: dict) -> Iterator[pa.RecordBatch]:
+            for s, found in held.items():
+                at = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays([pa.array([s] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(found[at].astype(np.int64))], names=["slot", "gram", "c"])
+
         for whole in batches:
             for batch in pieces(whole, "text"):
-                slots = np.asarray(batch.column(0))
+                slots = np.array(batch.column(0).to_pylist(), object)
                 texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
                 for s in np.unique(slots).tolist():
                     packed, _ = grams([texts[i] for i in np.flatnonzero(slots == s).tolist()])
+                    if s not in held and len(held) == HELD:
+                        yield from out(held)
+                        held.clear()
                     found = np.bincount(packed, minlength=SYMBOLS**ORDER)
                     held[s] = held[s] + found if s in held else found
-        for s, found in held.items():
-            at = np.flatnonzero(found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s, np.int32)), pa.array(at.astype(np.int64)), pa.array(found[at].astype(np.int64))], names=["slot", "gram", "c"])
+        yield from out(held)
 
     own = docs.select(slot(lang).alias("slot"), F.col(text).alias("text"))
-    return own.mapInArrow(work, "slot int, gram long, c long").groupBy("slot", "gram").agg(F.sum("c").alias("c"))
+    return own.mapInArrow(work, "slot string, gram long, c long").groupBy("slot", "gram").agg(F.sum("c").alias("c"))
 
 
 def smooth(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -109,7 +121,7 @@ def smooth(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
         fit = lambda i, y=y: F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))).otherwise(F.lit(0.5))
         discounts = by.select("slot", *[fit(i).alias(f"d{i}") for i in (1, 2, 3)])
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.least("d3", F.col("c")))
-        known = level.join(F.broadcast(discounts), "slot").select("slot", "gram", "c", d.alias("d"), F.shiftright("gram", BITS).alias("history"))  # a row for each of SLOTS at most
+        known = level.join(discounts, "slot").select("slot", "gram", "c", d.alias("d"), F.shiftright("gram", BITS).alias("history"))
         over = Window.partitionBy("slot", "history")
         known = known.withColumn("total", F.sum("c").over(over)).withColumn("freed", F.sum("d").over(over) / F.col("total"))
         weights.append(known.select("slot", F.col("history").alias("gram"), F.col("freed").alias("v")).distinct())
@@ -124,13 +136,14 @@ def smooth(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
 
 
 class Model:
-    """Sorted gram arrays of all slots and orders."""
+    """Sorted gram arrays of all orders, of the slots ``names``."""
 
-    def __init__(self, parts: dict):
+    def __init__(self, parts: dict, names: list[str]):
         self.parts = parts  # (slot, order, kind): grams ascending, values
-        self.tables: dict[int, np.ndarray] = {}
+        self.names = names
+        self.tables: dict[str, np.ndarray] = {}
 
-    def bits(self, s: int) -> np.ndarray:
+    def bits(self, s: str) -> np.ndarray:
         """The cost in bits of every gram of a slot; made once in a worker, from the lowest order up."""
         if s not in self.tables:
             p = np.array([1.0 / SYMBOLS])  # below the first order every symbol is alike
@@ -144,7 +157,7 @@ class Model:
             self.tables[s] = (-np.log2(p)).astype(np.float32)
         return self.tables[s]
 
-    def cost(self, texts: list[bytes], s: int) -> np.ndarray:
+    def cost(self, texts: list[bytes], s: str) -> np.ndarray:
         """Mean bits a byte of each text; 0 for an empty one."""
         packed, ends = grams(texts)
         lengths = np.diff(ends, prepend=0)
@@ -155,21 +168,51 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """The model of all documents: counting and smoothing on Spark, at most SLOTS * 2**20 rows an order collected."""
-    probabilities, weights = smooth(cut(count(docs, text, lang)))
+def trained(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[Model, DataFrame | None, int]:
+    """The models of the SENT languages with the most text, those of all others as (slot, gram, bits), and the number of languages.
+
+    The table has the highest order only: every gram of the documents is in it.
+    Counting and smoothing is done on Spark, at most SENT * 2**20 rows an order are collected.
+    """
+    counts = cut(count(docs, text, lang))
+    probabilities, weights = smooth(counts)
+    sizes = counts.groupBy("slot").agg(F.sum("c").alias("c"))
+    names = [r["slot"] for r in sizes.orderBy(F.desc("c"), "slot").limit(SENT).collect()]
+    languages = sizes.count()
+    rest = probabilities[-1].where(~F.col("slot").isin(names)).select("slot", "gram", (-F.log2("v")).alias("bits")) if languages > len(names) else None
     every = None
     for kind, frames in (("p", probabilities), ("w", weights)):
         for k, frame in enumerate(frames, 1):
-            rows = frame.select(F.lit(kind).alias("kind"), F.lit(k).alias("k"), "slot", "gram", F.col("v").cast("float").alias("v"))
+            at = F.array_position(F.array(*map(F.lit, names)).cast("array<string>"), F.col("slot")).cast("int")
+            rows = frame.where(F.col("slot").isin(names)).select(F.lit(kind).alias("kind"), F.lit(k).alias("k"), at.alias("at"), "gram", F.col("v").cast("float").alias("v"))
             every = rows if every is None else every.unionAll(rows)
     table = every.toArrow()
-    kinds, orders, slots, keys, values = (table.column(c).to_numpy() for c in ("kind", "k", "slot", "gram", "v"))
+    kinds, orders, slots, keys, values = (table.column(c).to_numpy() for c in ("kind", "k", "at", "gram", "v"))
     parts = {}
     for kind in ("p", "w"):
         for k in range(1, ORDER + 1):
             for s in np.unique(slots).tolist():
                 at = np.flatnonzero((kinds == kind) & (orders == k) & (slots == s))
                 at = at[np.argsort(keys[at])]
-                parts[(s, k, kind)] = (keys[at].astype(np.int32), values[at])
-    return Model(parts)
+                parts[(names[s - 1], k, kind)] = (keys[at].astype(np.int32), values[at])
+    return Model(parts, names), rest, languages
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+    """The models of the SENT languages with the most text."""
+    return trained(docs, text, lang)[0]
+
+
+def joined_bits(docs: DataFrame, rest: DataFrame, names: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+    """(slot, key, bits): mean bits a byte of the texts in languages whose models aren't broadcast, by a hash of the text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                for s, key, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    found, n = np.unique(grams([t.encode("utf-8", "surrogatepass")])[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([s] * len(n), pa.string()), pa.array(np.full(len(n), key, np.int64)), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["slot", "key", "gram", "n"])
+
+    own = docs.select(slot(lang).alias("slot"), F.xxhash64(text).alias("key"), F.col(text).alias("text")).where(~F.col("slot").isin(names) & (F.col("text") != ""))
+    counted = own.mapInArrow(work, "slot string, key long, gram long, n long")
+    return counted.join(rest, ["slot", "gram"]).groupBy("slot", "key").agg((F.sum(F.col("n") * F.col("bits")) / F.sum("n")).alias("bits"))

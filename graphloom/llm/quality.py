@@ -9,13 +9,15 @@ from pyspark.sql.types import DoubleType, LongType, StructField
 
 from ..plans.lineage import cut_table
 from .batches import map_text
-from .kneser_ney import slot, train
+from .kneser_ney import joined_bits, slot, trained
 
 WHITE = b" \t\n\x0b\x0c\r"
 SIGNS = b"#*$%&|<>"
 WINDOW = 8
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-NEW = {*BASE, "bits", "base_failed", "band_low", "band_high", "kept", "__slot"}
+NEW = {*BASE, "bits", "base_failed", "band_low", "band_high", "kept", "__slot", "__key"}
+#: Languages whose bands are broadcast; more are joined by a shuffle.
+BANDS_SENT = 100_000
 #: Of the base verdict: words at least, and repeated words at most, in per cent.
 LEAST, SHARE = 20, 30
 #: Of the bands: quartile ranges on either side of the median, and the least quartile range in bits.
@@ -62,31 +64,44 @@ def repeated(words: list[bytes]) -> int:
     return int((np.cumsum(covered) > 0).sum())
 
 
-def score(docs: DataFrame, model, keep: list, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The columns ``keep`` of ``docs``, and the base columns, base_failed, bits and __slot; ``model`` is a broadcast Model."""
+def score(docs: DataFrame, model, rest: DataFrame | None, keep: list, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The columns ``keep`` of ``docs``, and the base columns, base_failed, bits and __slot.
+
+    ``model`` is a broadcast Model, ``rest`` the table of the languages that aren't in it.
+    """
     fields = [*(StructField(c, LongType(), False) for c in BASE), StructField("bits", DoubleType(), False)]
 
     def run(rows: list) -> list[list]:
         texts = [r["t"] for r in rows]
-        slots = np.array([r["s"] for r in rows])
+        slots = np.array([r["s"] for r in rows], object)
+        known = set(model.value.names)
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         bits = np.zeros(len(rows))
-        for s in np.unique(slots).tolist():
+        for s in known.intersection(slots.tolist()):
             at = np.flatnonzero(slots == s)
             bits[at] = model.value.cost([raw[i] for i in at.tolist()], s)
         return [*map(list, zip(*map(base, texts), strict=True)), bits.tolist()]
 
-    given = docs.select(*keep, slot(lang).alias("__slot"), F.struct(F.col(text).alias("t"), slot(lang).alias("s")).alias("__in"))
+    key = [] if rest is None else [F.xxhash64(text).alias("__key")]
+    given = docs.select(*keep, slot(lang).alias("__slot"), *key, F.struct(F.col(text).alias("t"), slot(lang).alias("s")).alias("__in"))
     failed = (F.col("n_words") < LEAST) | (100 * F.col("n_repeat_words") > SHARE * F.col("n_words"))
-    return map_text(given, "__in", fields, run, keep=False).withColumn("base_failed", failed)
-
-
-def judge(scored: DataFrame, of: DataFrame, reach: float, spread: float) -> DataFrame:
+    out = map_text(given, "__in", fields, run, keep=False).withColumn("base_failed", failed)
+    if rest is None:
+        return out
+    names = model.value.names
+    found = joined_bits(docs, rest, names, text, lang).select(F.col("slot").alias("__s"), F.col("key").alias("__k"), F.col("bits").alias("__bits"))
+    own = F.col("__slot").isin(names)
+    seldom = out.where(~own).join(found, (F.col("__slot") == F.col("__s")) & (F.col("__key") == F.col("__k")), "left")
+    seldom = seldom.withColumn("bits", F.coalesce("__bits", "bits")).drop("__s", "__k", "__bits")
+    return out.where(own).unionByName(seldom).drop("__key")
+
+
+def judge(scored: DataFrame, of: DataFrame, languages: int, reach: float, spread: float) -> DataFrame:
     """``scored`` and the verdict by the bands of the documents ``of``."""
     q = F.percentile_approx(F.when(~F.col("base_failed"), F.col("bits")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10000))
     bands = of.groupBy("__slot").agg(q.alias("__q"))
     half = reach * F.greatest(F.lit(spread), F.col("__q")[2] - F.col("__q")[0]) * (1 + 10 / F.sqrt(F.greatest("word_chars", F.lit(1))))
-    judged = scored.join(F.broadcast(bands), "__slot")  # a row for each of the language slots at most
+    judged = scored.join(F.broadcast(bands) if languages <= BANDS_SENT else bands, "__slot")
     judged = judged.withColumn("band_low", F.col("__q")[1] - half).withColumn("band_high", F.col("__q")[1] + half)
     inside = F.coalesce(F.col("bits").between(F.col("band_low"), F.col("band_high")), F.lit(True))
     return judged.withColumn("kept", ~F.col("base_failed") & inside).drop("__slot", "__q")
@@ -101,10 +116,11 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", reach: floa
     null or empty text has no words and fails; a null language is one of its own.
     Rows are neither dropped nor merged; columns of the new names are replaced.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, text, lang))
+    own, rest, languages = trained(docs, text, lang)
+    model = docs.sparkSession.sparkContext.broadcast(own)
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in NEW and c != text]
-    scored = cut_table(score(docs, model, keep, text, lang), "quality")
-    return judge(scored, scored, reach, spread)
+    scored = cut_table(score(docs, model, rest, keep, text, lang), "quality")
+    return judge(scored, scored, languages, reach, spread)
 
 
 def op3(docs: DataFrame) -> DataFrame:
@@ -118,6 +134,7 @@ def passing(docs: DataFrame, text: str = "text", lang: str = "lang", reach: floa
     Texts are scored once for the bands and once more for the verdict, so that no
     copy of them is written.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, text, lang))
+    own, rest, languages = trained(docs, text, lang)
+    model = docs.sparkSession.sparkContext.broadcast(own)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    return judge(score(docs, model, [row], text, lang), score(docs, model, [], text, lang), reach, spread).where("kept").select("__row.*")
+    return judge(score(docs, model, rest, [row], text, lang), score(docs, model, rest, [], text, lang), languages, reach, spread).where("kept").select("__row.*")

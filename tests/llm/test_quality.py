@@ -150,3 +150,28 @@ def test_cross_entropy_of_rare_words(spark, monkeypatch):
         for x in out:
             assert [x["ce_target"], x["ce_background"]] == pytest.approx(want[x["doc_id"] or 0], rel=1e-5)
     assert want[-2][0] - want[-2][1] < want[-1][0] - want[-1][1]
+
+
+def test_each_language_has_its_own_model(spark, monkeypatch):
+    """Languages that one of 32 hashes would hold together, and more than are broadcast, are judged each by its own texts."""
+    r = random.Random(8)
+    langs = [None, "", "de", "pl", "en", "da", *(f"x{i}" for i in range(34))]
+    own = {x: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5)] for x in langs}
+    rows = [(x, " ".join(r.choice(own[x]) for _ in range(25 + len(x or ""))), k) for x in langs for k in range(3)] + [("x9", "", 9), ("x9", None, 9)]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t, _) in enumerate(rows)], "doc_id long, text string, lang string")
+    want = {}
+    for x in ("de", "x7", None):
+        one = [(i, t) for i, (y, t, _) in enumerate(rows) if y == x]
+        alone = brute([t.encode() for _, t in one])
+        for i, t in one:
+            s = [int(K.TABLE[b]) for b in b"\n\n\n" + t.encode()]
+            want[i] = float(np.mean([-np.log2(alone(tuple(s[j - 3 : j + 1]))) for j in range(3, len(s))]))
+    for sent in (32, 2, 100):
+        monkeypatch.setattr(K, "SENT", sent)
+        out = {x["doc_id"]: x for x in Q.op3(docs).collect()}
+        assert len(out) == len(rows)
+        for i, bits in want.items():
+            assert out[i]["bits"] == pytest.approx(bits, rel=1e-4)
+        bands = {rows[i][0]: x["band_low"] + x["band_high"] for i, x in out.items()}
+        assert len({round(v, 6) for v in bands.values()}) > 30
+        assert Q.passing(docs).count() == sum(x["kept"] for x in out.values())
