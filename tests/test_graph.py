@@ -259,3 +259,12 @@ def test_comparisons(spark):
     assert compare.isomorphic(a, b) and not compare.exact(a, b) and compare.exact(a, a)
     assert compare.within(a, near) and not compare.within(a, b) and not compare.within(a, a.where("id < 3"))
     assert not compare.isomorphic(a, a.withColumn("value", F.lit(1.0)))
+
+
+def test_sampling_queries_answer_every_vertex(spark):
+    from graphloom import projections, queries
+
+    d = "/root/testdata/sf0.001"
+    every = {x["id"] for x in projections.vertices(spark, d).collect()}
+    for name in ("sample_random_dense", "sample_edge_weight_dense"):
+        assert {x["root"] for x in queries.QUERIES[name](spark, d).select("root").distinct().collect()} == every
