@@ -1,15 +1,14 @@
 """Modified Kneser-Ney models over characters, counted and smoothed as Spark tables.
 
-A symbol has five bits: letters, the space, the line end, digits, two kinds of
-punctuation, and bytes over 7F fold into 32 classes.  A gram of four symbols is
-packed into 20 bits, so each language has at most 2**20 grams.  Every language
-has a model of its own.  Those of the ``SENT`` languages with the most text are
-collected and broadcast (256 MB at the very most; natural text uses a few per
-cent of it); the models of all others stay Spark tables that the grams of their
-documents join.
-
-The model is stored as sorted arrays of packed grams with their values, one pair
-for the probabilities and one for the back-off weights of each order.
+A symbol is a UTF-16 unit as it stands in the text, so a gram of four symbols is
+packed into one long and nothing is folded.  Every language has a model of its
+own, and every gram of the corpus is in it.
+
+The costs of the hot grams are collected and broadcast as arrays sorted by a hash
+of the gram, which are searched.  A gram is hot if it makes up one HOT-th of all
+grams of the corpus, so there are HOT of them at most, of all languages together,
+with 12 bytes each.  All other grams of a text join the table, where none has
+many rows.
 """
 
 from __future__ import annotations
@@ -23,32 +22,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.lineage import cut
-from .batches import pieces
+from .batches import in_arrow, pieces
 
-ORDER, BITS = 4, 5
-#: Languages whose models are broadcast.
-SENT = 32
-#: Languages whose counts a task holds, at 8 MB each.
-HELD = 16
+ORDER, BITS = 4, 16
 SYMBOLS = 1 << BITS
-SPACE_SYMBOL, LINE, DIGIT, STOP, OTHER = 27, 28, 29, 30, 31
-
-
-def _symbols() -> np.ndarray:
-    out = np.full(256, OTHER, np.uint8)
-    for b in range(26):
-        out[65 + b] = out[97 + b] = b + 1
-    out[48:58] = DIGIT
-    out[[9, 11, 12, 13, 32]] = SPACE_SYMBOL
-    out[10] = LINE
-    for c in b".,;:!?'\"()-":
-        out[c] = STOP
-    out[128:192] = np.arange(64) % 26 + 1  # second and later bytes of a letter
-    out[192:] = 0
-    return out
-
-
-TABLE = _symbols()
+#: Hot grams at most.
+HOT = 1 << 21
+#: Units of text that are packed at a time, and distinct grams that a task holds before it passes them on.
+RUN, HELD = 1 << 20, 1_500_000
+START = np.full(ORDER - 1, 10, np.uint16)  # a text starts after line ends
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a hash that the index of a hash array is over.
+INDEX = 20
 
 
 def slot(lang: str) -> F.Column:
@@ -56,163 +41,200 @@ def slot(lang: str) -> F.Column:
     return F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit(""))
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed grams of all texts in a row, and where each text ends; each text starts after a line end."""
-    pad = b"\n" * (ORDER - 1)
-    ends = np.cumsum([len(t) for t in texts])
-    symbols = TABLE[np.frombuffer(pad + pad.join(texts), np.uint8)]
-    packed = np.zeros(len(symbols) - ORDER + 1, np.uint32)
-    for k in range(ORDER):
-        packed <<= np.uint32(BITS)
-        packed |= symbols[k : len(symbols) - ORDER + 1 + k]
-    if len(texts) > 1:  # grams that end in the padding belong to no text
-        starts = np.concatenate(([0], ends[:-1])) + np.arange(len(texts)) * (ORDER - 1)
-        mask = np.ones(len(packed), bool)
-        for k in range(ORDER - 1):
-            mask[starts[1:] - 1 - k] = False
-        packed = packed[mask]
-    return packed, ends
+def units(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-16-le", "surrogatepass"), np.uint16)
+
+
+def runs(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Stretches of the texts, RUN units together: whose they are, how long, and their packed grams in a row.
+
+    A text of more than RUN units comes as several stretches.
+    """
+    owners: list[int] = []
+    parts: list[np.ndarray] = []
+    lengths: list[int] = []
+    held = 0
+
+    def packed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = np.concatenate(parts).astype(np.uint64)
+        n = len(flat) - ORDER + 1
+        out = np.zeros(n, np.uint64)
+        for k in range(ORDER):
+            out <<= np.uint64(BITS)
+            out |= flat[k : n + k]
+        sizes = np.array(lengths)
+        if len(sizes) > 1:  # grams that end in what comes before a stretch belong to none
+            ends = np.cumsum(sizes + ORDER - 1)[:-1]
+            own = np.ones(n, bool)
+            for k in range(1, ORDER):
+                own[ends - k] = False
+            out = out[own]
+        return np.array(owners), sizes, out
+
+    for i, text in enumerate(texts):
+        u = units(text)
+        for at in range(0, len(u), RUN):
+            own = u[at : at + RUN]
+            parts += [u[at - ORDER + 1 : at] if at else START, own]
+            owners.append(i)
+            lengths.append(len(own))
+            held += len(own)
+            if held >= RUN:
+                yield packed()
+                owners, parts, lengths, held = [], [], [], 0
+    if owners:
+        yield packed()
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all parts, ascending, and the sums of their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[starts], np.add.reduceat(counts, starts)
 
 
 def count(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(slot, gram, c) over all whole texts; each task sums its own grams first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, list] = {}
+        size = 0
 
-        def out(held: dict) -> Iterator[pa.RecordBatch]:
-            for s, found in held.items():
-                at = np.flatnonzero(found)
-                yield pa.RecordBatch.from_arrays([pa.array([s] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(found[at].astype(np.int64))], names=["slot", "gram", "c"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for s, parts in held.items():
+                keys, counts = summed(parts)
+                for i in range(0, len(keys), 200_000):
+                    k, c = keys[i : i + 200_000], counts[i : i + 200_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([s] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(c)], names=["slot", "gram", "c"])
+            held.clear()
 
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, 1):
                 slots = np.array(batch.column(0).to_pylist(), object)
-                texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-                for s in np.unique(slots).tolist():
-                    packed, _ = grams([texts[i] for i in np.flatnonzero(slots == s).tolist()])
-                    if s not in held and len(held) == HELD:
-                        yield from out(held)
-                        held.clear()
-                    found = np.bincount(packed, minlength=SYMBOLS**ORDER)
-                    held[s] = held[s] + found if s in held else found
-        yield from out(held)
+                texts = batch.column(1).to_pylist()
+                for s in set(slots.tolist()):
+                    for _, _, packed in runs([texts[i] for i in np.flatnonzero(slots == s).tolist()]):
+                        keys, counts = np.unique(packed, return_counts=True)
+                        held.setdefault(s, []).append((keys, counts.astype(np.int64)))
+                        size += len(keys)
+                if size > HELD:
+                    for s, parts in held.items():
+                        held[s] = [summed(parts)]
+                    size = sum(len(parts[0][0]) for parts in held.values())
+                    if size > HELD // 2:
+                        yield from out()
+                        size = 0
+        yield from out()
 
     own = docs.select(slot(lang).alias("slot"), F.col(text).alias("text"))
-    return own.mapInArrow(work, "slot string, gram long, c long").groupBy("slot", "gram").agg(F.sum("c").alias("c"))
+    return in_arrow(own, work, "slot string, gram long, c long").groupBy("slot", "gram").agg(F.sum("c").alias("c"))
 
 
-def smooth(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Probabilities (slot, gram, v) and back-off weights (slot, gram, v) of each order, from 1 up.
+def smooth(counts: DataFrame) -> DataFrame:
+    """(slot, gram, c, p): the probability of the last symbol of each counted gram after the others.
 
     The highest order has the counts, each lower one the number of different
     symbols before a gram.  Discounts come from the counts of counts of the slot.
-    Levels are persisted, since each is read by the next and by the result.
+    Each level is written once and read by the next; every gram of the documents is
+    in the highest one, so no back-off weight is asked for.
     """
     levels = [counts]
     for k in range(ORDER - 1, 0, -1):
-        levels.append(levels[-1].groupBy("slot", F.col("gram").bitwiseAND(F.lit(SYMBOLS**k - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("c")).persist())
+        mask = F.lit((1 << BITS * k) - 1)
+        levels.append(cut(levels[-1].groupBy("slot", F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.count(F.lit(1)).alias("c"))))
     levels.reverse()
-    probabilities, weights = [], []
+    below: DataFrame | None = None
     for k, level in enumerate(levels, 1):
-        n = [F.sum((F.col("c") == i).cast("double")) for i in range(1, 5)]
-        by = level.groupBy("slot").agg(*[x.alias(f"n{i}") for i, x in enumerate(n, 1)])
+        n = [F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in range(1, 5)]
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         fit = lambda i, y=y: F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))).otherwise(F.lit(0.5))
-        discounts = by.select("slot", *[fit(i).alias(f"d{i}") for i in (1, 2, 3)])
+        discounts = level.groupBy("slot").agg(*n).select(F.col("slot").alias("of"), *[fit(i).alias(f"d{i}") for i in (1, 2, 3)])
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.least("d3", F.col("c")))
-        known = level.join(discounts, "slot").select("slot", "gram", "c", d.alias("d"), F.shiftright("gram", BITS).alias("history"))
-        over = Window.partitionBy("slot", "history")
+        known = level.join(discounts, F.col("slot") == F.col("of")).select("slot", "gram", "c", d.alias("d"), F.shiftrightunsigned("gram", BITS).alias("history"))
+        over = Window.partitionBy("slot", "history")  # SYMBOLS rows at most
         known = known.withColumn("total", F.sum("c").over(over)).withColumn("freed", F.sum("d").over(over) / F.col("total"))
-        weights.append(known.select("slot", F.col("history").alias("gram"), F.col("freed").alias("v")).distinct())
         own = (F.col("c") - F.col("d")) / F.col("total")
-        if k == 1:
-            probabilities.append(known.select("slot", "gram", (own + F.col("freed") / SYMBOLS).alias("v")).persist())
+        if below is None:
+            p = known.select("slot", "gram", "c", (own + F.col("freed") / SYMBOLS).alias("p"))
         else:
-            lower = probabilities[-1].select("slot", F.col("gram").alias("lower"), F.col("v").alias("below"))
-            joined = known.withColumn("lower", F.col("gram").bitwiseAND(F.lit(SYMBOLS ** (k - 1) - 1))).join(lower, ["slot", "lower"])
-            probabilities.append(joined.select("slot", "gram", (own + F.col("freed") * F.col("below")).alias("v")).persist())
-    return probabilities, weights
+            lower = below.select(F.col("slot").alias("of"), F.col("gram").alias("lower"), F.col("p").alias("under"))
+            suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))
+            p = known.join(lower, (F.col("slot") == F.col("of")) & (suffix == F.col("lower"))).select("slot", "gram", "c", (own + F.col("freed") * F.col("under")).alias("p"))
+        below = cut(p)
+    return below
+
+
+class HashArray:
+    """Values by 64-bit keys: hashes in order, an index over their first bits, and the values."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        hashes = keys * SPREAD
+        order = np.argsort(hashes)
+        self.hashes, self.values = hashes[order], values[order].astype(np.float32)
+        self.starts: np.ndarray | None = None
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each key, 0 for none, and whether there is one."""
+        n = len(self.hashes)
+        if n == 0:
+            return np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        if self.starts is None:  # made once in a worker
+            self.starts = np.searchsorted(self.hashes, np.arange(1 << INDEX, dtype=np.uint64) << np.uint64(64 - INDEX)).astype(np.int32)
+        hashes = keys * SPREAD
+        at = self.starts[hashes >> np.uint64(64 - INDEX)]
+        np.minimum(at, n - 1, out=at)
+        seen = self.hashes[at]
+        left = np.flatnonzero(seen < hashes)
+        while len(left):
+            at[left] += 1
+            left = left[at[left] < n]
+            seen[left] = self.hashes[at[left]]
+            left = left[seen[left] < hashes[left]]
+        np.minimum(at, n - 1, out=at)
+        found = self.hashes[at] == hashes
+        return np.where(found, self.values[at], np.float32(0)), found
 
 
 class Model:
-    """Sorted gram arrays of all orders, of the slots ``names``."""
-
-    def __init__(self, parts: dict, names: list[str]):
-        self.parts = parts  # (slot, order, kind): grams ascending, values
-        self.names = names
-        self.tables: dict[str, np.ndarray] = {}
-
-    def bits(self, s: str) -> np.ndarray:
-        """The cost in bits of every gram of a slot; made once in a worker, from the lowest order up."""
-        if s not in self.tables:
-            p = np.array([1.0 / SYMBOLS])  # below the first order every symbol is alike
-            for k in range(1, ORDER + 1):
-                freed = np.ones(SYMBOLS ** (k - 1))
-                grams, values = self.parts.get((s, k, "w"), ((), ()))
-                freed[np.asarray(grams, np.int64)] = values
-                p = np.repeat(freed, SYMBOLS) * np.resize(p, SYMBOLS**k)
-                grams, values = self.parts.get((s, k, "p"), ((), ()))
-                p[np.asarray(grams, np.int64)] = values
-            self.tables[s] = (-np.log2(p)).astype(np.float32)
-        return self.tables[s]
-
-    def cost(self, texts: list[bytes], s: str) -> np.ndarray:
-        """Mean bits a byte of each text; 0 for an empty one."""
-        packed, ends = grams(texts)
-        lengths = np.diff(ends, prepend=0)
-        some = lengths > 0
-        out = np.zeros(len(texts))
-        if some.any():
-            out[some] = np.add.reduceat(self.bits(s)[packed], (ends - lengths)[some], dtype=np.float64) / lengths[some]
-        return out
-
-
-def trained(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[Model, DataFrame | None, int]:
-    """The models of the SENT languages with the most text, those of all others as (slot, gram, bits), and the number of languages.
-
-    The table has the highest order only: every gram of the documents is in it.
-    Counting and smoothing is done on Spark, at most SENT * 2**20 rows an order are collected.
-    """
+    """The costs in bits of the hot grams, a hash array for each slot."""
+
+    def __init__(self, arrays: dict[str, HashArray]):
+        self.arrays = arrays
+
+    def cost(self, texts: list[str | None], s: str) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of each text the summed bits of its hot grams, and its other grams, with repeats."""
+        array = self.arrays.get(s) or HashArray(np.zeros(0, np.uint64), np.zeros(0))
+        bits = np.zeros(len(texts))
+        cold: list[list[np.ndarray]] = [[] for _ in texts]
+        for owners, lengths, packed in runs(texts):
+            value, found = array.find(packed)
+            starts = np.cumsum(lengths) - lengths
+            np.add.at(bits, owners, np.add.reduceat(value, starts, dtype=np.float64))
+            missed = np.flatnonzero(~found)
+            whose = np.searchsorted(starts, missed, side="right") - 1
+            edges = np.searchsorted(whose, np.arange(len(owners) + 1))
+            for k, i in enumerate(owners.tolist()):
+                if edges[k] < edges[k + 1]:
+                    cold[i].append(packed[missed[edges[k] : edges[k + 1]]])
+        none = np.zeros(0, np.uint64)
+        return bits, [np.concatenate(c) if c else none for c in cold]
+
+
+def trained(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[Model, DataFrame]:
+    """The model of the hot grams, and (slot, gram, bits) of all others."""
     counts = cut(count(docs, text, lang))
-    probabilities, weights = smooth(counts)
-    sizes = counts.groupBy("slot").agg(F.sum("c").alias("c"))
-    names = [r["slot"] for r in sizes.orderBy(F.desc("c"), "slot").limit(SENT).collect()]
-    languages = sizes.count()
-    rest = probabilities[-1].where(~F.col("slot").isin(names)).select("slot", "gram", (-F.log2("v")).alias("bits")) if languages > len(names) else None
-    every = None
-    for kind, frames in (("p", probabilities), ("w", weights)):
-        for k, frame in enumerate(frames, 1):
-            at = F.array_position(F.array(*map(F.lit, names)).cast("array<string>"), F.col("slot")).cast("int")
-            rows = frame.where(F.col("slot").isin(names)).select(F.lit(kind).alias("kind"), F.lit(k).alias("k"), at.alias("at"), "gram", F.col("v").cast("float").alias("v"))
-            every = rows if every is None else every.unionAll(rows)
-    table = every.toArrow()
-    kinds, orders, slots, keys, values = (table.column(c).to_numpy() for c in ("kind", "k", "at", "gram", "v"))
-    parts = {}
-    for kind in ("p", "w"):
-        for k in range(1, ORDER + 1):
-            for s in np.unique(slots).tolist():
-                at = np.flatnonzero((kinds == kind) & (orders == k) & (slots == s))
-                at = at[np.argsort(keys[at])]
-                parts[(names[s - 1], k, kind)] = (keys[at].astype(np.int32), values[at])
-    return Model(parts, names), rest, languages
-
-
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """The models of the SENT languages with the most text."""
-    return trained(docs, text, lang)[0]
-
-
-def joined_bits(docs: DataFrame, rest: DataFrame, names: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
-    """(slot, key, bits): mean bits a byte of the texts in languages whose models aren't broadcast, by a hash of the text."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole, "text"):
-                for s, key, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    found, n = np.unique(grams([t.encode("utf-8", "surrogatepass")])[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([s] * len(n), pa.string()), pa.array(np.full(len(n), key, np.int64)), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["slot", "key", "gram", "n"])
-
-    own = docs.select(slot(lang).alias("slot"), F.xxhash64(text).alias("key"), F.col(text).alias("text")).where(~F.col("slot").isin(names) & (F.col("text") != ""))
-    counted = own.mapInArrow(work, "slot string, key long, gram long, n long")
-    return counted.join(rest, ["slot", "gram"]).groupBy("slot", "key").agg((F.sum(F.col("n") * F.col("bits")) / F.sum("n")).alias("bits"))
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    costs = smooth(counts).select("slot", "gram", "c", (-F.log2("p")).alias("bits"))
+    hot = F.col("c") * F.lit(HOT) >= F.lit(total)
+    table = costs.where(hot).select("slot", "gram", F.col("bits").cast("float").alias("bits")).toArrow()
+    slots = table.column("slot").combine_chunks().dictionary_encode()
+    if isinstance(slots, pa.ChunkedArray):
+        slots = slots.combine_chunks()
+    codes = slots.indices.to_numpy()
+    grams, bits = table.column("gram").to_numpy().view(np.uint64), table.column("bits").to_numpy()
+    order = np.argsort(codes, kind="stable")
+    edges = np.searchsorted(codes[order], np.arange(len(slots.dictionary) + 1))
+    arrays = {s: HashArray(grams[order[a:b]], bits[order[a:b]]) for s, a, b in zip(slots.dictionary.to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)}
+    return Model(arrays), costs.where(~hot).select("slot", "gram", "bits")

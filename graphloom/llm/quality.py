@@ -5,17 +5,17 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField
 
 from ..plans.lineage import cut_table
-from .batches import map_text
-from .kneser_ney import joined_bits, slot, trained
+from .batches import map_text, without
+from .kneser_ney import slot, trained, units
 
 WHITE = b" \t\n\x0b\x0c\r"
 SIGNS = b"#*$%&|<>"
 WINDOW = 8
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-NEW = {*BASE, "bits", "base_failed", "band_low", "band_high", "kept", "__slot", "__key"}
+NEW = [*BASE, "bits", "base_failed", "band_low", "band_high", "kept"]
 #: Languages whose bands are broadcast; more are joined by a shuffle.
 BANDS_SENT = 100_000
 #: Of the base verdict: words at least, and repeated words at most, in per cent.
@@ -64,63 +64,90 @@ def repeated(words: list[bytes]) -> int:
     return int((np.cumsum(covered) > 0).sum())
 
 
-def score(docs: DataFrame, model, rest: DataFrame | None, keep: list, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The columns ``keep`` of ``docs``, and the base columns, base_failed, bits and __slot.
+SCORES = [
+    *(StructField(c, LongType(), False) for c in BASE),
+    StructField("__n", LongType(), False),
+    StructField("__hot", DoubleType(), False),
+    StructField("__cold", ArrayType(LongType(), False), False),
+]
 
-    ``model`` is a broadcast Model, ``rest`` the table of the languages that aren't in it.
+
+def score(rows: DataFrame, text: str, lang: str, keep: bool) -> tuple[DataFrame, DataFrame]:
+    """``rows`` as a written table, and the scores of its rows by ``__row``: base columns, base_failed, __slot and bits.
+
+    Each text goes through Python once more after the model is counted.  What it
+    finds by the broadcast model is summed there; its other grams are kept in the
+    table and meet their costs in a join.  ``keep`` keeps the text.
     """
-    fields = [*(StructField(c, LongType(), False) for c in BASE), StructField("bits", DoubleType(), False)]
-
-    def run(rows: list) -> list[list]:
-        texts = [r["t"] for r in rows]
-        slots = np.array([r["s"] for r in rows], object)
-        known = set(model.value.names)
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        bits = np.zeros(len(rows))
-        for s in known.intersection(slots.tolist()):
-            at = np.flatnonzero(slots == s)
-            bits[at] = model.value.cost([raw[i] for i in at.tolist()], s)
-        return [*map(list, zip(*map(base, texts), strict=True)), bits.tolist()]
-
-    key = [] if rest is None else [F.xxhash64(text).alias("__key")]
-    given = docs.select(*keep, slot(lang).alias("__slot"), *key, F.struct(F.col(text).alias("t"), slot(lang).alias("s")).alias("__in"))
+    model, rest = trained(rows, text, lang)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    given = rows.withColumns({"__row": F.monotonically_increasing_id(), "__slot": slot(lang)})
+    given = given.withColumn("__in", F.struct(F.col(text).alias("t"), F.col("__slot").alias("s"))).drop(text)
+
+    def run(values: list) -> list[list]:
+        texts = [v["t"] for v in values]
+        slots = np.array([v["s"] for v in values], object)
+        bits, cold = np.zeros(len(texts)), [None] * len(texts)
+        for s in set(slots.tolist()):
+            at = np.flatnonzero(slots == s).tolist()
+            own, others = shared.value.cost([texts[i] for i in at], s)
+            for i, b, c in zip(at, own.tolist(), others, strict=True):
+                bits[i], cold[i] = b, c.view(np.int64)
+        n = [len(units(t)) for t in texts]
+        return [*map(list, zip(*map(base, texts), strict=True)), n, bits.tolist(), cold]
+
+    scored = map_text(given, "__in", SCORES, run, keep=keep)
+    if keep:
+        scored = scored.withColumn(text, F.col("__in.t")).drop("__in")
+    table = cut_table(scored, "scored")
+    grams = table.select("__row", "__slot", F.explode("__cold").alias("__gram")).groupBy("__row", "__slot", "__gram").agg(F.count(F.lit(1)).alias("__times"))
+    met = grams.join(rest, (F.col("__slot") == F.col("slot")) & (F.col("__gram") == F.col("gram")))
+    sums = met.groupBy(F.col("__row").alias("__of")).agg(F.sum(F.col("__times") * F.col("bits")).alias("__more"))
     failed = (F.col("n_words") < LEAST) | (100 * F.col("n_repeat_words") > SHARE * F.col("n_words"))
-    out = map_text(given, "__in", fields, run, keep=False).withColumn("base_failed", failed)
-    if rest is None:
-        return out
-    names = model.value.names
-    found = joined_bits(docs, rest, names, text, lang).select(F.col("slot").alias("__s"), F.col("key").alias("__k"), F.col("bits").alias("__bits"))
-    own = F.col("__slot").isin(names)
-    seldom = out.where(~own).join(found, (F.col("__slot") == F.col("__s")) & (F.col("__key") == F.col("__k")), "left")
-    seldom = seldom.withColumn("bits", F.coalesce("__bits", "bits")).drop("__s", "__k", "__bits")
-    return out.where(own).unionByName(seldom).drop("__key")
-
-
-def judge(scored: DataFrame, of: DataFrame, languages: int, reach: float, spread: float) -> DataFrame:
-    """``scored`` and the verdict by the bands of the documents ``of``."""
+    bits = F.when(F.col("__n") > 0, (F.col("__hot") + F.coalesce("__more", F.lit(0.0))) / F.col("__n")).otherwise(0.0)
+    narrow = table.select("__row", "__slot", "__n", "__hot", *BASE).join(sums, F.col("__row") == F.col("__of"), "left")
+    return table.drop("__slot", "__n", "__hot", "__cold", *BASE), narrow.select("__row", "__slot", *BASE, failed.alias("base_failed"), bits.alias("bits"))
+
+
+def judge(scores: DataFrame, reach: float, spread: float) -> DataFrame:
+    """``scores`` with band_low, band_high and kept in place of __slot, by the bands of their languages.
+
+    A language whose documents all fail the base rules has null bands, and so has
+    none that is kept.
+    """
+    own = cut_table(scores, "scores")
     q = F.percentile_approx(F.when(~F.col("base_failed"), F.col("bits")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10000))
-    bands = of.groupBy("__slot").agg(q.alias("__q"))
+    bands = own.groupBy(F.col("__slot").alias("__of")).agg(q.alias("__q"))
+    bands = F.broadcast(bands) if own.select("__slot").distinct().count() <= BANDS_SENT else bands
     half = reach * F.greatest(F.lit(spread), F.col("__q")[2] - F.col("__q")[0]) * (1 + 10 / F.sqrt(F.greatest("word_chars", F.lit(1))))
-    judged = scored.join(F.broadcast(bands) if languages <= BANDS_SENT else bands, "__slot")
+    judged = own.join(bands, F.col("__slot") == F.col("__of"))
     judged = judged.withColumn("band_low", F.col("__q")[1] - half).withColumn("band_high", F.col("__q")[1] + half)
     inside = F.coalesce(F.col("bits").between(F.col("band_low"), F.col("band_high")), F.lit(True))
-    return judged.withColumn("kept", ~F.col("base_failed") & inside).drop("__slot", "__q")
+    return judged.withColumn("kept", ~F.col("base_failed") & inside).drop("__slot", "__of", "__q")
+
+
+def _named(docs: DataFrame, text: str, lang: str) -> tuple[DataFrame, str, str]:
+    """``docs`` with columns named by their place, so that no name clashes, and the new names of two of them."""
+    lower = [c.lower() for c in docs.columns]
+    return docs.toDF(*[f"c{i}" for i in range(len(lower))]), f"c{lower.index(text.lower())}", f"c{lower.index(lang.lower())}"
 
 
 def quality(docs: DataFrame, text: str = "text", lang: str = "lang", reach: float = REACH, spread: float = SPREAD) -> DataFrame:
-    """``docs`` without its text, and the base columns, base_failed, bits (mean cost of a byte), band_low, band_high and kept.
+    """``docs`` without its text, and the base columns, base_failed, bits (mean cost of a character), band_low, band_high and kept.
 
     The model is trained on all documents.  A language's band is its median cost
     plus and minus ``reach`` times its quartile range, which counts as ``spread``
     bits at least and is widened for short texts, whose mean cost varies more.  A
     null or empty text has no words and fails; a null language is one of its own.
-    Rows are neither dropped nor merged; columns of the new names are replaced.
+    Rows are neither dropped nor merged, repeated ones count as often as they come;
+    an empty table gives none.  Columns of the new names, whatever their case, are
+    replaced.
     """
-    own, rest, languages = trained(docs, text, lang)
-    model = docs.sparkSession.sparkContext.broadcast(own)
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in NEW and c != text]
-    scored = cut_table(score(docs, model, rest, keep, text, lang), "quality")
-    return judge(scored, scored, languages, reach, spread)
+    kept = [i for i, c in enumerate(docs.columns) if c in without([c], [*NEW, text])]
+    named, t, g = _named(docs, text, lang)
+    table, scores = score(named, t, g, keep=False)
+    out = table.join(judge(scores, reach, spread), "__row").select(*[f"c{i}" for i in kept], *NEW)
+    return out.toDF(*[docs.columns[i] for i in kept], *NEW)
 
 
 def op3(docs: DataFrame) -> DataFrame:
@@ -129,12 +156,8 @@ def op3(docs: DataFrame) -> DataFrame:
 
 
 def passing(docs: DataFrame, text: str = "text", lang: str = "lang", reach: float = REACH, spread: float = SPREAD) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all of their columns.
-
-    Texts are scored once for the bands and once more for the verdict, so that no
-    copy of them is written.
-    """
-    own, rest, languages = trained(docs, text, lang)
-    model = docs.sparkSession.sparkContext.broadcast(own)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    return judge(score(docs, model, rest, [row], text, lang), score(docs, model, rest, [], text, lang), languages, reach, spread).where("kept").select("__row.*")
+    """The rows of ``docs`` that ``quality`` keeps, with all of their columns and in repeats as they come."""
+    named, t, g = _named(docs, text, lang)
+    table, scores = score(named, t, g, keep=True)
+    kept = judge(scores, reach, spread).where("kept").select("__row")
+    return table.join(kept, "__row", "left_semi").select(*named.columns).toDF(*docs.columns)

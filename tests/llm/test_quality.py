@@ -34,52 +34,89 @@ def test_base():
         assert Q.base(t) == plain(t)
 
 
+def symbols(t):
+    return [int(x) for x in K.units("\n\n\n" + t)]
+
+
 def brute(texts):
     """Modified Kneser-Ney of order 4 in plain Python: probability of a gram of symbols."""
     counts = [Counter(), Counter(), Counter(), Counter()]
     for t in texts:
-        s = [int(K.TABLE[b]) for b in b"\n\n\n" + t]
+        s = symbols(t)
         for i in range(3, len(s)):
             counts[3][tuple(s[i - 3 : i + 1])] += 1
     for k in (2, 1, 0):
         for g in counts[k + 1]:
             counts[k][g[1:]] += 1
-    discounts = []
+    discounts, nexts = [], []
     for c in counts:
         n = [sum(v == i for v in c.values()) for i in range(1, 5)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0
         discounts.append([max(0.05, i - (i + 1) * y * n[i] / n[i - 1]) if n[0] and n[i - 1] else 0.5 for i in (1, 2, 3)])
+        nexts.append({})
+        for g, v in c.items():
+            nexts[-1].setdefault(g[:-1], []).append(v)
 
     def p(gram, k):
         c, d = counts[k], discounts[k]
         lower = p(gram[1:], k - 1) if k else 1 / K.SYMBOLS
-        nexts = [v for g, v in c.items() if g[:-1] == gram[:-1]]
-        if not nexts:
-            return lower
+        after = nexts[k][gram[:-1]]
         cut = lambda v: min(d[min(v, 3) - 1], v)
-        own = c.get(gram, 0)
-        return ((own - cut(own) if own else 0) + sum(map(cut, nexts)) * lower) / sum(nexts)
+        return (c[gram] - cut(c[gram]) + sum(map(cut, after)) * lower) / sum(after)
 
     return lambda gram: p(gram, 3)
 
 
+def packed(gram):
+    out = 0
+    for x in gram:
+        out = out << 16 | x
+    return out
+
+
+def costs(texts):
+    """Mean bits a character of each text under the model of all of them."""
+    p = brute([t or "" for t in texts])
+    found = []
+    for t in texts:
+        s = symbols(t or "")
+        found.append(float(np.mean([-np.log2(p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))])) if len(s) > 3 else 0.0)
+    return found
+
+
 def test_model(spark):
-    texts = ["the cat sat.", "the hat!", "a cat, a bat 12", "", "theé"]
-    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
-    model = K.train(docs)
-    slot = docs.select(K.slot("lang")).first()[0]
-    p = brute([t.encode() for t in texts])
-    bits = model.bits(slot)
-    r = random.Random(1)
-    some = [tuple(r.randrange(K.SYMBOLS) for _ in range(4)) for _ in range(60)] + [tuple(int(K.TABLE[b]) for b in b"the ")]
-    for g in some:
-        packed = 0
-        for x in g:
-            packed = packed << K.BITS | x
-        assert bits[packed] == pytest.approx(-np.log2(p(g)), rel=1e-4)
-    assert float(np.exp2(-bits.astype(float)).reshape(-1, K.SYMBOLS).sum(axis=1).max()) == pytest.approx(1, rel=1e-4)
-    a, b = model.cost([b"the cat", b""], slot)
-    assert b == 0 and a == pytest.approx(model.cost([b"x", b"the cat", b"y"], slot)[1])
+    texts = ["the cat sat.", "the hat!", "a cat, a bat 12", "", "theé \U0001f600 猫"]
+    docs = spark.createDataFrame([(t, "en") for t in [*texts, None]], "text string, lang string")
+    counts = K.count(docs)
+    p = brute(texts)
+    grams = {packed(g) : g for t in texts for s in [symbols(t)] for g in zip(s, s[1:], s[2:], s[3:], strict=False)}
+    table = {r["gram"] % (1 << 64): r["p"] for r in K.smooth(counts).collect()}
+    assert set(table) == set(grams)
+    for key, g in grams.items():
+        assert table[key] == pytest.approx(p(g), rel=1e-9)
+
+
+def test_stretches(monkeypatch):
+    """Grams of texts of any length, in runs shorter than a text."""
+    texts = ["abcdefghijklmnop", "", None, "x", "yz" * 9]
+    want = Counter((i, packed(g)) for i, t in enumerate(texts) for s in [symbols(t or "")] for g in zip(s, s[1:], s[2:], s[3:], strict=False))
+    for run in (5, 7, 16, 1 << 20):
+        monkeypatch.setattr(K, "RUN", run)
+        found = Counter()
+        for owners, lengths, grams in K.runs(texts):
+            assert lengths.sum() == len(grams)
+            found.update(zip(np.repeat(owners, lengths).tolist(), grams.tolist(), strict=True))
+        assert found == want
+
+
+def test_hash_array():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 5, 3000):
+        keys = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        array = K.HashArray(keys, np.arange(n) + 1.0)
+        others = r.integers(0, 1 << 63, 500, dtype=np.uint64)
+        value, found = array.find(np.concatenate([keys, others]))
+        assert found[:n].all() and not found[n:].any() and value[:n].tolist() == (np.arange(n) + 1.0).tolist()
 
 
 def test_verdicts(spark):
@@ -162,16 +199,40 @@ def test_each_language_has_its_own_model(spark, monkeypatch):
     want = {}
     for x in ("de", "x7", None):
         one = [(i, t) for i, (y, t, _) in enumerate(rows) if y == x]
-        alone = brute([t.encode() for _, t in one])
-        for i, t in one:
-            s = [int(K.TABLE[b]) for b in b"\n\n\n" + t.encode()]
-            want[i] = float(np.mean([-np.log2(alone(tuple(s[j - 3 : j + 1]))) for j in range(3, len(s))]))
-    for sent in (32, 2, 100):
-        monkeypatch.setattr(K, "SENT", sent)
+        want |= zip([i for i, _ in one], costs([t for _, t in one]), strict=True)
+    for hot in (300, 1):
+        monkeypatch.setattr(K, "HOT", hot)
         out = {x["doc_id"]: x for x in Q.op3(docs).collect()}
         assert len(out) == len(rows)
         for i, bits in want.items():
             assert out[i]["bits"] == pytest.approx(bits, rel=1e-4)
         bands = {rows[i][0]: x["band_low"] + x["band_high"] for i, x in out.items()}
         assert len({round(v, 6) for v in bands.values()}) > 30
-        assert Q.passing(docs).count() == sum(x["kept"] for x in out.values())
+
+
+def test_bands_against_brute_force(spark):
+    """The verdict of every document, with ties, repeated rows, nulls and columns of clashing names."""
+    r = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "house", "river"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(15, 60))) for _ in range(40)]
+    texts += texts[:5] + [texts[0]] * 3 + [None, "", " ".join("zq#" * 4 for _ in range(25)), " ".join("".join(r.choice("qxzjkv") for _ in range(7)) for _ in range(40)), "long " * 3 + "".join(f" w{i}" for i in range(200_000))]
+    rows = [(i, t, "en", -1, "mine", 5.0) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, texts[7], "en", -1, "mine", 5.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, KEPT long, `a.b` string, Bits double")
+    bits = costs([x[1] for x in rows])
+    plain_base = [plain(x[1]) for x in rows]
+    failed = [b[0] < 20 or 100 * b[4] > 30 * b[0] for b in plain_base]
+    ranked = sorted(b for b, f in zip(bits, failed, strict=True) if not f)
+    low, mid, high = (ranked[max(0, int(np.ceil(len(ranked) * q)) - 1)] for q in (0.25, 0.5, 0.75))
+    want = Counter()
+    for x, b, f, base in zip(rows, bits, failed, plain_base, strict=True):
+        half = Q.REACH * max(Q.SPREAD, high - low) * (1 + 10 / max(base[1], 1) ** 0.5)
+        want[(x[0], not f and mid - half <= b <= mid + half)] += 1
+    out = Q.quality(docs)
+    assert [c for c in out.columns if c.lower() in ("kept", "bits")] == ["bits", "kept"] and "a.b" in out.columns
+    assert Counter((x["doc_id"], x["kept"]) for x in out.collect()) == want
+    assert {k for (_, k) in want} == {True, False}
+    passed = Q.passing(docs)
+    assert passed.columns == docs.columns
+    assert Counter(x["doc_id"] for x in passed.collect()) == Counter({i: n for (i, k), n in want.items() if k})
+    assert Q.passing(docs.limit(0)).count() == 0
