@@ -56,9 +56,21 @@ def cut_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     return out, seen.get
 
 
+#: Spark's setting that drops a query's shuffle files when the query ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_table(df: DataFrame, name: str) -> DataFrame:
-    """Like ``cut``, but as compressed Parquet, for tables that are wide or large."""
+    """Like ``cut``, but as compressed Parquet, for tables that are wide or large.
+
+    The shuffle files of the write are dropped at its end: the table replaces them.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
