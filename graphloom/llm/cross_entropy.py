@@ -2,13 +2,24 @@
 
 Both models have one vocabulary, order and smoothing; the target is counted on
 the documents with a label, the background on all others.  The vocabulary is
-every word of all documents and the tables hold every bigram of them, so what is
-gathered grows with the corpus.  Words are keyed by XXH64 and bigrams by a mix of
-two such hashes, as Spark tables; nothing of them is collected but the hot ones.
-
-A word or bigram is hot if it makes up one HOT-th of all tokens, so there are HOT
-of them at most.  Hot ones meet their counts by a broadcast of that bound, all
-others by a join, where none has many rows.
+every word of all documents, and every bigram of them counts, so what is gathered
+grows with the corpus.  Words are keyed by XXH64 and bigrams by a mix of two such
+hashes, as Spark tables.
+
+The smoothing is a hierarchical Dirichlet one: a word's probability is
+``p(w) = (c(w) + PRIOR) / (N + PRIOR V)``, and after ``v`` it is
+``(c(v, w) + MASS p(w)) / (c(v) + MASS)``; what is left is the end of a text, which
+isn't scored.  A document never scores itself: its own words and bigrams are taken
+out of the counts of the model that it belongs to.  So what occurs in one document
+only is unknown there and nowhere else asked for, and single counts need not be
+kept.
+
+The logarithm falls into a part for each word, as it stands and as it precedes
+another, and one for each bigram that is known from elsewhere.  Hot words and
+bigrams, those that make up one HOT-th of all tokens and hence HOT at most, meet
+their counts by a broadcast; the others by one join, where no key has many rows.  A
+bitmap of all keys of that join, of FILTER_BITS at most, keeps most keys that it
+would not find out of the shuffle.
 """
 
 from __future__ import annotations
@@ -17,23 +28,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField
 
 from ..plans.lineage import cut_table
-from .batches import map_text, pieces
+from .batches import in_arrow, pieces, without
+from .bitmaps import bitmap
+from .hash_array import HashArray
 from .simhash import LOWER
 
-DISCOUNT, PRIOR = 0.75, 0.5
-#: Hot words and hot bigrams at most.
-HOT_WORDS, HOT_GRAMS = 1 << 18, 1 << 20
+PRIOR, MASS = 0.5, 8.0
+#: Hot words and hot bigrams at most, of 16 and 24 bytes.
+HOT_WORDS, HOT_GRAMS = 1 << 20, 1 << 21
 #: Words whose hashes a task holds, and tokens that it sums before it passes them on.
-HELD, SUMMED = 300_000, 1_500_000
+HELD, SUMMED = 300_000, 2_000_000
 #: Ids of target documents that are broadcast; more are joined by a shuffle.
 TARGETS_SENT = 2_000_000
-#: Symbols of a dense table of counts, as ``cost`` takes it.
-VOCABULARY = 2048
+#: Bits of the filter for each key of the join, and at most.
+FILTER_BITS_A_KEY, FILTER_BITS = 8, 1 << 28
+WORD, GRAM, DOC = 0, 1, 2
+NEW = ["n_words", "ce_target", "ce_background", "ce_diff"]
+#: Taken from a word's hash for the filter, so that it differs from a bigram's.
+APART = 0x5DEECE66D1CE4E5B
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -52,184 +68,239 @@ class Hashes(dict):
         return out
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        """The start, which is 0, and the hashes of the words."""
-        out = np.zeros(len(words) + 1, np.uint64)
-        out[1:] = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        return out
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """The hash of bigrams, as ``_mixed`` makes it."""
+def after(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The hash of bigrams; the start of a text is a first word of hash 0."""
     return ((first << np.uint64(1)) | (first >> np.uint64(63))) ^ second
 
 
-def _mixed(first: str, second: str) -> Column:
-    return F.shiftleft(first, 1).bitwiseOR(F.shiftrightunsigned(first, 63)).bitwiseXOR(F.col(second))
-
-
-def bigrams(docs: DataFrame, text: str, target: str) -> DataFrame:
-    """(v, w, t, b): every bigram, by the hashes of its words, and its counts in target documents and in all others."""
+class Tokens:
+    """The words of some texts in a row, by their hashes."""
+
+    def __init__(self, texts: list[str | None], hashes: Hashes):
+        found = [words_of(t) for t in texts]
+        self.sizes = np.array([len(w) for w in found])
+        self.ends = np.cumsum(self.sizes)
+        self.words = np.concatenate([hashes.of(w) for w in found]) if self.sizes.sum() else np.zeros(0, np.uint64)
+        self.docs = np.repeat(np.arange(len(texts)), self.sizes)
+        before = np.concatenate((np.zeros(1, np.uint64), self.words[:-1]))[: len(self.words)]
+        before[(self.ends - self.sizes)[self.sizes > 0]] = 0
+        self.grams = after(before, self.words)
+
+    def grouped(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first place of each distinct key of each text, how often it comes there, and which of these each place is."""
+        if not len(keys):
+            return (np.zeros(0, np.int64),) * 3
+        order = np.argsort(keys)
+        order = order[np.argsort(self.docs[order].astype(np.uint16), kind="stable")]
+        k, d = keys[order], self.docs[order]
+        starts = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (d[1:] != d[:-1]))))
+        times = np.diff(starts, append=len(k))
+        which = np.empty(len(k), np.int64)
+        which[order] = np.repeat(np.arange(len(starts)), times)
+        return order[starts], times, which
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(kind, id, w, t, b): words and bigrams, whose second word is ``w``, and their counts in target documents and in all others.
+
+    The word of hash 0 counts the documents that have words.
+    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         held: list[tuple] = []
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            v, w, t = (np.concatenate(x) for x in zip(*held, strict=True))
+            words, grams, target = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.argsort(g := mixed(v, w))
-            g, t = g[order], t[order]
-            starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-            ts, ns = np.add.reduceat(t, starts, dtype=np.int64), np.diff(starts, append=len(g))
-            v, w = v[order[starts]].view(np.int64), w[order[starts]].view(np.int64)
-            for i in range(0, len(v), 200_000):
-                p = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[p]) for x in (v, w, ts, ns - ts)], names=["v", "w", "t", "b"])
+            for kind, keys in ((WORD, words), (GRAM, grams[words != 0])):
+                own, t = (words, target) if kind == WORD else (words[words != 0], target[words != 0])
+                order = np.argsort(keys)
+                if kind == GRAM:
+                    order = order[np.argsort(own[order], kind="stable")]  # equal words together compress well
+                k = keys[order]
+                starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+                ts, ns = np.add.reduceat(t[order], starts, dtype=np.int64), np.diff(starts, append=len(k))
+                ids, w = k[starts].view(np.int64), own[order[starts]].view(np.int64) if kind == GRAM else np.zeros(len(starts), np.int64)
+                for i in range(0, len(ids), 200_000):
+                    p = slice(i, i + 200_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids[p]), kind, np.int32)), *(pa.array(x[p]) for x in (ids, w, ts, ns - ts))], names=["kind", "id", "w", "t", "b"])
 
         for whole in batches:
-            for batch in pieces(whole, "text"):
-                for t, is_target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if words := words_of(t):
-                        h = hashes.of(words)
-                        held.append((h[:-1], h[1:], np.full(len(words), is_target)))
-                        size += len(words)
-                    if size >= SUMMED:
-                        yield from out()
-                        size = 0
+            for batch in pieces(whole, 0):
+                found = Tokens(batch.column(0).to_pylist(), hashes)
+                if not len(found.words):
+                    continue
+                target = np.array(batch.column(1).to_pylist(), bool)
+                some = found.sizes > 0
+                starts = np.zeros(int(some.sum()), np.uint64)
+                held.append((np.concatenate((found.words, starts)), np.concatenate((found.grams, starts)), np.concatenate((target[found.docs], target[some]))))
+                size += len(found.words)
+                if size >= SUMMED:
+                    yield from out()
+                    size = 0
         if held:
             yield from out()
 
-    own = docs.select(F.col(text).alias("text"), F.col(target).alias("target"))
-    return own.mapInArrow(count, "v long, w long, t long, b long").groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-
-
-def cost(counts: np.ndarray) -> np.ndarray:
-    """Bits of each bigram under an interpolated model of a dense table of counts; ``costs`` is the same by joins."""
-    single = counts.sum(axis=0)
-    p1 = (single + PRIOR) / (single.sum() + PRIOR * len(counts))
-    total = counts.sum(axis=1)
-    freed = np.where(total > 0, DISCOUNT * (counts > 0).sum(axis=1) / np.maximum(total, 1), 1.0)
-    p = np.maximum(counts - DISCOUNT, 0) / np.maximum(total, 1)[:, None] + freed[:, None] * p1[None, :]
-    return (-np.log2(p)).astype(np.float32).ravel()
+    own = in_arrow(docs.select("text", "target"), work, "kind int, id long, w long, t long, b long")
+    return own.groupBy("kind", "id", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
 class Tables:
-    """Counts of all bigrams, of words as the first of them, and of words as the second."""
-
-    def __init__(self, counted: DataFrame):
-        n = lambda c: F.sum((F.col(c) > 0).cast("long"))
-        self.counts = cut_table(counted, "bigrams")
-        self.first = cut_table(self.counts.groupBy("v").agg(F.sum("t").alias("tt"), F.sum("b").alias("tb"), n("t").alias("nt"), n("b").alias("nb")), "first")
-        self.second = cut_table(self.counts.groupBy("w").agg(F.sum("t").alias("wt"), F.sum("b").alias("wb")), "second")
-        row = self.second.agg(F.count(F.lit(1)).alias("n"), F.sum("wt").alias("t"), F.sum("wb").alias("b")).first()
-        self.symbols, self.t, self.b = row["n"] + 1, row["t"] or 0, row["b"] or 0  # and the start
-
-    def is_hot(self, n: Column, most: int) -> Column:
-        return n * F.lit(most) >= F.lit(self.t + self.b)
-
-    def costs(self, counts: DataFrame) -> DataFrame:
-        """(gram, t, b): bits of each bigram of ``counts`` under both models.
-
-        A row that lacks one hot word joins the table of the other words by that
-        word, or by its own other word, which isn't hot then; so no key is hot.
-        """
-        hot_v, hot_w = self.is_hot(F.col("tt") + F.col("tb"), HOT_WORDS), self.is_hot(F.col("wt") + F.col("wb"), HOT_WORDS)
-        met = counts.join(F.broadcast(self.first.where(hot_v)), "v", "left").join(F.broadcast(self.second.where(hot_w)), "w", "left")
-        done = met.where("tt is not null and wt is not null")
-        rest = met.where("tt is null or wt is null").withColumns({"k1": F.when(F.col("tt").isNull(), F.col("v")).otherwise(F.col("w")), "k2": F.when(F.col("wt").isNull(), F.col("w")).otherwise(F.col("v"))})
-        for key, table, hot, word in (("k1", self.first, hot_v, "v"), ("k2", self.second, hot_w, "w")):
-            names = [c for c in table.columns if c != word]
-            cold = table.where(~hot).select(F.col(word).alias(key), *[F.col(c).alias(f"{c}_") for c in names])
-            rest = rest.join(cold, key, "left").withColumns({c: F.coalesce(c, f"{c}_") for c in names}).drop(*[f"{c}_" for c in names])
-        every = done.unionByName(rest.select(done.columns))
-        bits = []
-        for k, n in (("t", self.t), ("b", self.b)):
-            p1 = (F.col(f"w{k}") + PRIOR) / (n + PRIOR * self.symbols)
-            total = F.greatest(F.col(f"t{k}"), F.lit(1))
-            freed = F.when(F.col(f"t{k}") > 0, DISCOUNT * F.col(f"n{k}") / total).otherwise(1.0)
-            bits.append((-F.log2(F.greatest(F.col(k) - DISCOUNT, F.lit(0.0)) / total + freed * p1)).cast("float").alias(k))
-        return every.select(_mixed("v", "w").alias("gram"), *bits)
-
-    def split(self) -> tuple[DataFrame, DataFrame]:
-        """The costs of hot bigrams and of all others."""
-        hot = self.is_hot(F.col("t") + F.col("b"), HOT_GRAMS)
-        return self.costs(self.counts.where(hot)), self.costs(self.counts.where(~hot))
-
-
-def _found(grams: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each gram stands in the sorted ``known``, and whether it does."""
-    at = np.searchsorted(known, grams)
-    at[at == len(known)] = 0
-    return at, known[at] == grams if len(known) else np.zeros(len(grams), bool)
-
-
-def _cold(docs: DataFrame, hot, text: str) -> DataFrame:
-    """(key, gram, n): of each text the bigrams that aren't hot."""
+    """Counts of words and bigrams that occur twice or more, and the sums of all."""
+
+    def __init__(self, docs: DataFrame):
+        seen = Observation()
+        word, start = "kind = 0 and id <> 0", "kind = 0 and id = 0"
+        of = lambda c, where: F.coalesce(F.sum(F.when(F.expr(where), F.col(c))), F.lit(0))
+        every = counted(docs).observe(seen, F.count(F.when(F.expr(word), 1)).alias("v"), *[of(c, w).alias(f"{n}{c}") for c in "tb" for n, w in (("n", word), ("d", start))])
+        self.rows = cut_table(every.where("t + b >= 2 and id <> 0"), "counts")
+        sums = seen.get
+        self.symbols = max(1, sums["v"])
+        self.tokens, self.docs = ({k: sums[f"{n}{k}"] for k in "tb"} for n in "nd")
+        total = sum(self.tokens.values())
+        hot = F.col("t") + F.col("b") >= F.when(F.col("kind") == WORD, F.lit(total / HOT_WORDS)).otherwise(F.lit(total / HOT_GRAMS))
+        self.hot, self.cold = self.rows.where(hot), self.rows.where(~hot)
+        self.words = self.rows.where(F.col("kind") == WORD)
+
+    def told(self, rows: DataFrame) -> DataFrame:
+        """Bigrams of ``rows`` with the counts wt and wb of their second words; hot words are sent to them, the others joined."""
+        grams = rows.where(F.col("kind") == GRAM)
+        hot = self.hot.where(F.col("kind") == WORD).select(F.col("id").alias("h"), F.col("t").alias("ht"), F.col("b").alias("hb"))
+        cold = self.cold.where(F.col("kind") == WORD).select(F.col("id").alias("c"), F.col("t").alias("ct"), F.col("b").alias("cb"))
+        met = grams.join(F.broadcast(hot), F.col("w") == F.col("h"), "left")
+        # A row that has met its word asks for none: its key is its own id, so no key is hot.
+        key = F.when(F.col("h").isNull(), F.col("w")).otherwise(F.col("id"))
+        met = met.join(cold, (key == F.col("c")) & F.col("h").isNull(), "left")
+        return met.select("kind", "id", "t", "b", F.coalesce("ht", "ct").alias("wt"), F.coalesce("hb", "cb").alias("wb"))
+
+    def arrays(self) -> tuple[HashArray, HashArray]:
+        """Counts of the hot words and of the hot bigrams."""
+        out = []
+        for kind, frame, columns in ((WORD, self.hot, ("t", "b")), (GRAM, self.told(self.hot), ("t", "b", "wt", "wb"))):
+            table = frame.where(F.col("kind") == kind).select("id", *[F.col(c).cast("float").alias(c) for c in columns]).toArrow()
+            out.append(HashArray(table.column("id").to_numpy().view(np.uint64), *(table.column(c).to_numpy() for c in columns)))
+        return out[0], out[1]
+
+    def filter(self) -> np.ndarray:
+        """Bits of the keys of cold words and bigrams, two for each."""
+        n = self.cold.count()
+        size = min(FILTER_BITS, 1 << max(16, (n * FILTER_BITS_A_KEY - 1).bit_length()))
+        x = F.when(F.col("kind") == WORD, F.col("id").bitwiseXOR(F.lit(APART))).otherwise(F.col("id"))
+        places = [part.bitwiseAND(F.lit(size - 1)) for part in (x, F.shiftrightunsigned(x, 32))]
+        return np.frombuffer(bitmap(self.cold, places, size), np.uint8)
+
+
+def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter has each key; one that it lacks isn't in the join."""
+    size = np.uint64(len(bits) * 8 - 1)
+    out = np.ones(len(keys), bool)
+    for part in (keys, keys >> np.uint64(32)):
+        at = part & size
+        out &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
+def _parts(docs: DataFrame, shared) -> DataFrame:
+    """(key, target, kind, id, x, y, size): of each document one row with the sums of all that needs no join, and its cold words and bigrams.
+
+    A document's row has those sums, a word how often it stands in the text and how
+    often another follows it, a bigram how often it and its second word stand there.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known = Hashes(), hot.value[0]
+        hashes = Hashes()
+        words, grams, bits, symbols, tokens, n_docs = shared.value
         for whole in batches:
-            for batch in pieces(whole, "text"):
-                keys, grams, ns = [], [], []
-                for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if words := words_of(t):
-                        h = hashes.of(words)
-                        found, n = np.unique(mixed(h[:-1], h[1:]), return_counts=True)
-                        rest = ~_found(found, known)[1]
-                        grams.append(found[rest])
-                        ns.append(n[rest])
-                        keys.append(np.full(len(grams[-1]), key, np.int64))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(ns).astype(np.int64))], names=["key", "gram", "n"])
-
-    return docs.select("__key", F.col(text).alias("text")).mapInArrow(work, "key long, gram long, n long")
+            for batch in pieces(whole, 2):
+                own = Tokens(batch.column(2).to_pylist(), hashes)
+                keys, target = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), bool)
+                n = len(own.sizes)
+                place, times, which = own.grouped(own.words)
+                follows = times.copy()
+                follows[which[(own.ends - 1)[own.sizes > 0]]] -= 1  # the last word of a text precedes none
+                gplace, gtimes, _ = own.grouped(own.grams)
+                stands = times[which[gplace]]
+                wkeys, gkeys = own.words[place], own.grams[gplace]
+                wat, gat = words.find(wkeys), grams.find(gkeys)
+                wdoc, gdoc = own.docs[place], own.docs[gplace]
+                sums = []
+                for i, k in enumerate("tb"):
+                    mine = target if k == "t" else ~target
+                    minus = mine.astype(np.float64)
+                    den = tokens[k] - minus * own.sizes + PRIOR * symbols
+                    base = own.sizes * (np.log2(PRIOR) - np.log2(den)) + np.where(own.sizes > 0, np.log2(MASS) - np.log2(n_docs[k] - minus + MASS), 0.0)
+                    c = np.maximum(words.values[i][wat] - minus[wdoc] * times, 0)
+                    part = times * np.log2(c / PRIOR + 1) - follows * np.log2(c / MASS + 1)
+                    base += np.bincount(wdoc, np.where(wat < words.n, part, 0.0), n)
+                    c = np.maximum(grams.values[i][gat] - minus[gdoc] * gtimes, 0)
+                    w = np.maximum(grams.values[i + 2][gat] - minus[gdoc] * stands, 0)
+                    part = gtimes * np.log2(c * den[gdoc] / (MASS * (w + PRIOR)) + 1)
+                    sums.append(base + np.bincount(gdoc, np.where(gat < grams.n, part, 0.0), n))
+                wcold = np.flatnonzero(wat == words.n)
+                wcold = wcold[_maybe(bits, wkeys[wcold] ^ np.uint64(APART))]
+                gcold = np.flatnonzero(gat == grams.n)
+                gcold = gcold[_maybe(bits, gkeys[gcold])]
+                doc = np.concatenate((np.arange(n), wdoc[wcold], gdoc[gcold]))
+                kind = np.repeat(np.array([DOC, WORD, GRAM], np.int32), (n, len(wcold), len(gcold)))
+                ids = np.concatenate((keys, wkeys[wcold].view(np.int64), gkeys[gcold].view(np.int64)))
+                x = np.concatenate((sums[0], times[wcold], gtimes[gcold])).astype(np.float64)
+                y = np.concatenate((sums[1], follows[wcold], stands[gcold])).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (keys[doc], target[doc], kind, ids, x, y, own.sizes[doc])], names=["key", "target", "kind", "id", "x", "y", "size"])
+
+    return in_arrow(docs.select("__key", "target", "text"), work, "key long, target boolean, kind int, id long, x double, y double, size long")
+
+
+def _gain(tables: Tables, k: str) -> Column:
+    """What a word or bigram that the join has found adds to the sum of logarithms."""
+    own = F.col("target") if k == "t" else ~F.col("target")
+    less = lambda c, n: F.greatest(F.col(c) - F.when(own, F.col(n)).otherwise(0.0), F.lit(0.0))
+    c = less(k, "x")
+    word = F.col("x") * F.log2(c / PRIOR + 1) - F.col("y") * F.log2(c / MASS + 1)
+    den = F.lit(float(tables.tokens[k])) - F.when(own, F.col("size")).otherwise(0) + PRIOR * tables.symbols
+    gram = F.col("x") * F.log2(c * den / (MASS * (less(f"w{k}", "y") + PRIOR)) + 1)
+    return F.when(F.col(k).isNull(), 0.0).when(F.col("kind") == WORD, word).otherwise(gram)
 
 
 def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` and n_words, ce_target, ce_background and ce_diff, in bits a word; a low difference is like the target.
 
     ``targets`` has the ids of the target documents in the column ``doc_id``; ids
-    that no document has, nulls and repeats don't matter.  Without any target the
-    target model knows only its prior.  A text without words has null scores.
-    Rows are neither dropped nor merged; columns of the new names are replaced.
+    that no document has, nulls and repeats don't matter.  Without any target, or
+    with none but the document itself, the target model knows only its prior.  A
+    text without words, a null one too, has no words and null scores.  Rows are
+    neither dropped nor merged: each repeated row is a document of its own, which
+    the others know.  An empty table gives none.  Columns of the new names, whatever
+    their case, are replaced.
     """
     sc = docs.sparkSession.sparkContext
+    lower = [c.lower() for c in docs.columns]
+    own = docs.toDF(*[f"c{i}" for i in range(len(lower))])
+    t, d = F.col(f"c{lower.index(text.lower())}"), F.col(f"c{lower.index(doc_id.lower())}")
     ids = targets.select(F.col("doc_id").alias("__target")).where("__target is not null").distinct()
     ids = F.broadcast(ids) if ids.count() <= TARGETS_SENT else ids
-    marked = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(ids, F.col("__id") == F.col("__target"), "left")
-    hot, others = Tables(bigrams(marked.withColumn("target", F.col("__target").isNotNull()), "text", "target")).split()
-    table = hot.toArrow()
-    grams = table.column("gram").to_numpy().view(np.uint64)
-    order = np.argsort(grams)
-    shared = sc.broadcast((grams[order], *(table.column(k).to_numpy()[order].astype(np.float64) for k in ("t", "b"))))
-    del table
-
-    def run(texts: list) -> list[list]:
-        known, *bits = shared.value
-        hashes = Hashes()
-        n, cold, target, background = [], [], [], []
-        for t in texts:
-            h = hashes.of(words_of(t))
-            at, found = _found(mixed(h[:-1], h[1:]), known)
-            at = at[found]
-            n.append(len(h) - 1)
-            cold.append(len(h) - 1 - len(at))
-            target.append(float(bits[0][at].sum()))
-            background.append(float(bits[1][at].sum()))
-        return [n, cold, target, background]
-
-    # Rows of one id and text share a key; the mean of their other bigrams' bits is that of each.
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(doc_id), F.col(text)))
-    mean = lambda k: (F.sum(F.col("n") * F.col(k)) / F.sum("n")).alias(f"__{k}")
-    means = _cold(keyed, shared, text).join(others, "gram").groupBy("key").agg(mean("t"), mean("b"))
-    new = [StructField("n_words", LongType(), False), StructField("__cold", LongType(), False), StructField("ce_target", DoubleType()), StructField("ce_background", DoubleType())]
-    both = map_text(keyed, text, new, run).join(means, F.col("__key") == F.col("key"), "left")
-    ce = {c: F.when(F.col("n_words") > 0, (F.col(c) + F.col("__cold") * F.coalesce(f"__{k}", F.lit(0.0))) / F.col("n_words")) for c, k in (("ce_target", "t"), ("ce_background", "b"))}
-    return both.withColumns(ce).drop("__key", "key", "__cold", "__t", "__b").withColumn("ce_diff", F.col("ce_target") - F.col("ce_background"))
+    keyed = own.withColumn("__key", F.xxhash64(d, t))
+    marked = keyed.join(ids, d == F.col("__target"), "left").select("__key", F.col("__target").isNotNull().alias("target"), t.alias("text"))
+    tables = Tables(marked)
+    shared = sc.broadcast((*tables.arrays(), tables.filter(), tables.symbols, tables.tokens, tables.docs))
+    cold = tables.told(tables.cold).unionByName(tables.cold.where(F.col("kind") == WORD).select("kind", "id", "t", "b"), allowMissingColumns=True)
+    cold = cold.withColumnsRenamed({"kind": "__kind", "id": "__id"})
+    met = _parts(marked, shared).join(cold, (F.col("kind") == F.col("__kind")) & (F.col("id") == F.col("__id")), "left")
+    whole = F.col("kind") == DOC
+    # Rows of one id and text share a key, and the sums of each are the same.
+    sums = met.groupBy("key").agg(*[F.sum(F.when(whole, F.col(c)).otherwise(_gain(tables, k))).alias(k) for c, k in (("x", "t"), ("y", "b"))], F.sum(F.when(whole, F.col("size"))).alias("n"), F.count(F.when(whole, 1)).alias("times"))
+    ce = lambda k: F.when(F.col("n") > 0, -F.col(k) / F.col("n"))
+    found = sums.select("key", (F.col("n") / F.col("times")).cast("long").alias("n_words"), ce("t").alias("ce_target"), ce("b").alias("ce_background"), (ce("t") - ce("b")).alias("ce_diff"))
+    kept = [i for i, c in enumerate(docs.columns) if without([c], NEW)]
+    out = keyed.join(found, F.col("__key") == F.col("key")).select(*[f"c{i}" for i in kept], *NEW)
+    return out.toDF(*[docs.columns[i] for i in kept], *NEW)
 
 
 def op9(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, ce_target, ce_background, ce_diff: of every document against those labelled of quality."""
     targets = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    return score(docs.select("doc_id", "text"), targets).select("doc_id", "n_words", "ce_target", "ce_background", "ce_diff")
+    return score(docs.select("doc_id", "text"), targets).select("doc_id", *NEW)

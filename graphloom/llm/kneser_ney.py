@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from ..plans.lineage import cut
 from .batches import in_arrow, pieces
+from .hash_array import HashArray
 
 ORDER, BITS = 4, 16
 SYMBOLS = 1 << BITS
@@ -31,9 +32,6 @@ HOT = 1 << 21
 #: Units of text that are packed at a time, and distinct grams that a task holds before it passes them on.
 RUN, HELD = 1 << 20, 1_500_000
 START = np.full(ORDER - 1, 10, np.uint16)  # a text starts after line ends
-SPREAD = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of a hash that the index of a hash array is over.
-INDEX = 20
 
 
 def slot(lang: str) -> F.Column:
@@ -166,37 +164,6 @@ def smooth(counts: DataFrame) -> DataFrame:
     return below
 
 
-class HashArray:
-    """Values by 64-bit keys: hashes in order, an index over their first bits, and the values."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        hashes = keys * SPREAD
-        order = np.argsort(hashes)
-        self.hashes, self.values = hashes[order], values[order].astype(np.float32)
-        self.starts: np.ndarray | None = None
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The value of each key, 0 for none, and whether there is one."""
-        n = len(self.hashes)
-        if n == 0:
-            return np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
-        if self.starts is None:  # made once in a worker
-            self.starts = np.searchsorted(self.hashes, np.arange(1 << INDEX, dtype=np.uint64) << np.uint64(64 - INDEX)).astype(np.int32)
-        hashes = keys * SPREAD
-        at = self.starts[hashes >> np.uint64(64 - INDEX)]
-        np.minimum(at, n - 1, out=at)
-        seen = self.hashes[at]
-        left = np.flatnonzero(seen < hashes)
-        while len(left):
-            at[left] += 1
-            left = left[at[left] < n]
-            seen[left] = self.hashes[at[left]]
-            left = left[seen[left] < hashes[left]]
-        np.minimum(at, n - 1, out=at)
-        found = self.hashes[at] == hashes
-        return np.where(found, self.values[at], np.float32(0)), found
-
-
 class Model:
     """The costs in bits of the hot grams, a hash array for each slot."""
 
@@ -205,14 +172,15 @@ class Model:
 
     def cost(self, texts: list[str | None], s: str) -> tuple[np.ndarray, list[np.ndarray]]:
         """Of each text the summed bits of its hot grams, and its other grams, with repeats."""
-        array = self.arrays.get(s) or HashArray(np.zeros(0, np.uint64), np.zeros(0))
+        array = self.arrays.get(s) or HashArray(np.zeros(0, np.uint64), np.zeros(0, np.float32))
         bits = np.zeros(len(texts))
         cold: list[list[np.ndarray]] = [[] for _ in texts]
         for owners, lengths, packed in runs(texts):
-            value, found = array.find(packed)
+            at = array.find(packed)
+            value = array.values[0][at]
             starts = np.cumsum(lengths) - lengths
             np.add.at(bits, owners, np.add.reduceat(value, starts, dtype=np.float64))
-            missed = np.flatnonzero(~found)
+            missed = np.flatnonzero(at == array.n)
             whose = np.searchsorted(starts, missed, side="right") - 1
             edges = np.searchsorted(whose, np.arange(len(owners) + 1))
             for k, i in enumerate(owners.tolist()):
@@ -227,7 +195,7 @@ def trained(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[Mo
     counts = cut(count(docs, text, lang))
     total = counts.agg(F.sum("c")).first()[0] or 0
     costs = smooth(counts).select("slot", "gram", "c", (-F.log2("p")).alias("bits"))
-    hot = F.col("c") * F.lit(HOT) >= F.lit(total)
+    hot = F.col("c") >= F.lit(total / HOT)
     table = costs.where(hot).select("slot", "gram", F.col("bits").cast("float").alias("bits")).toArrow()
     slots = table.column("slot").combine_chunks().dictionary_encode()
     if isinstance(slots, pa.ChunkedArray):

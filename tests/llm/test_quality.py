@@ -10,6 +10,7 @@ import pytest
 from graphloom.llm import cross_entropy as C
 from graphloom.llm import kneser_ney as K
 from graphloom.llm import quality as Q
+from graphloom.llm.hash_array import HashArray
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -112,11 +113,11 @@ def test_stretches(monkeypatch):
 def test_hash_array():
     r = np.random.default_rng(1)
     for n in (0, 1, 5, 3000):
-        keys = r.integers(0, 1 << 63, n, dtype=np.uint64)
-        array = K.HashArray(keys, np.arange(n) + 1.0)
-        others = r.integers(0, 1 << 63, 500, dtype=np.uint64)
-        value, found = array.find(np.concatenate([keys, others]))
-        assert found[:n].all() and not found[n:].any() and value[:n].tolist() == (np.arange(n) + 1.0).tolist()
+        keys = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        array = HashArray(keys, np.arange(len(keys)) + 1.0)
+        at = array.find(np.concatenate([keys, r.integers(0, 1 << 63, 500, dtype=np.uint64)]))
+        assert array.values[0][at[: len(keys)]].tolist() == (np.arange(len(keys)) + 1.0).tolist()
+        assert (at[len(keys) :] == len(keys)).all() and array.values[0][-1] == 0
 
 
 def test_verdicts(spark):
@@ -153,40 +154,58 @@ def test_cross_entropy(spark):
     assert C.op9(docs, labels.limit(0)).where("ce_diff is not null").count() == len(rows) - 2
 
 
-def test_bigram_cost():
-    counts = np.zeros((C.VOCABULARY, C.VOCABULARY))
-    counts[0, 5], counts[5, 6], counts[5, 7] = 3, 2, 1
-    p = np.exp2(-C.cost(counts).reshape(C.VOCABULARY, C.VOCABULARY).astype(float))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
-    single = (np.array([3, 2, 1]) + C.PRIOR) / (6 + C.PRIOR * C.VOCABULARY)
-    assert p[5, 6] == pytest.approx((2 - C.DISCOUNT) / 3 + C.DISCOUNT * 2 / 3 * single[1], rel=1e-4)
-    assert p[9, 5] == pytest.approx(single[0], rel=1e-4)
+def plain_scores(texts, target):
+    """Both cross-entropies of each text, its own counts taken out, in plain Python."""
+    words = [[w.lower() for w in re.findall(WORD, t or "")] for t in texts]
+    v = max(1, len({w for x in words for w in x}))
+    one, two, first = ([Counter(), Counter()] for _ in range(3))
+    for x, is_target in zip(words, target, strict=True):
+        k = 0 if is_target else 1
+        one[k].update(x)
+        two[k].update(zip([None, *x], x, strict=False))
+        first[k][None] += bool(x)
+    out = []
+    for x, is_target in zip(words, target, strict=True):
+        own, pairs = Counter(x), Counter(zip([None, *x], x, strict=False))
+        found = []
+        for k in (0, 1):
+            less = 1 if is_target == (k == 0) else 0
+            n = sum(one[k].values()) - less * len(x)
+            p1 = lambda w: (one[k][w] - less * own[w] + C.PRIOR) / (n + C.PRIOR * v)  # noqa: E731, B023
+            h = lambda a: one[k][a] - less * own[a] if a is not None else first[k][None] - less  # noqa: E731, B023
+            bits = [-np.log2((two[k][a, b] - less * pairs[a, b] + C.MASS * p1(b)) / (h(a) + C.MASS)) for a, b in zip([None, *x], x, strict=False)]
+            found.append(float(np.mean(bits)) if bits else None)
+        out.append(found)
+    return out
 
 
-def test_cross_entropy_of_rare_words(spark, monkeypatch):
-    """Every word counts, hot or not: the joins give the costs of a dense table over the whole vocabulary."""
+def test_scores_against_brute_force(spark, monkeypatch):
+    """Hot or not, every word and bigram counts; repeated rows, rows without an id, long texts and clashing names."""
     r = random.Random(6)
-    common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(4000)]
-    texts = [" ".join(r.choice(common if r.random() < 0.5 else rare) for _ in range(60)) for _ in range(120)]
-    texts += [" ".join(["c0 c1"] * 30 + rare[:20]), " ".join(["c0 c1"] * 30 + rare[20:40])]  # differ in rare words only
-    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (None, texts[0])], "doc_id long, text string")
-    targets = [*range(60), len(texts) - 2]
-    symbols = {w: i for i, w in enumerate(sorted({w for t in texts for w in t.split()}), 1)}
-    pairs = [[(a, b) for a, b in zip([0, *s], s, strict=False)] for s in ([symbols[w] for w in t.split()] for t in texts)]
-    counts = np.zeros((2, len(symbols) + 1, len(symbols) + 1))
-    for i, found in enumerate([*pairs, pairs[0], pairs[0]]):
-        for a, b in found:
-            counts[0 if i in targets else 1, a, b] += 1
-    costs = [C.cost(c).reshape(len(c), len(c)) for c in counts]
-    want = [[float(np.mean([c[p] for p in found])) for c in costs] for found in pairs]
-    for words, grams in ((1 << 18, 1 << 20), (20, 40), (1, 1)):  # all hot, some, none
+    common, rare = [f"c{i}" for i in range(30)], [f"R{i}" for i in range(3000)]
+    texts = [" ".join(r.choice(common if r.random() < 0.5 else rare) for _ in range(r.randrange(1, 80))) for _ in range(100)]
+    texts += [texts[3], " ".join(["c0 c1"] * 30 + rare[:20]), " ".join(["c0 c1"] * 30 + rare[20:40]), None, "", " ".join(r.choice(common) for _ in range(150_000))]
+    rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(None, texts[0], "x", 1)] * 2 + [(5, texts[5], "y", 2)]
+    targets = {*range(60), 101, 105}
+    want = plain_scores([x[1] for x in rows], [x[0] in targets for x in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, CE_diff int")
+    asked = spark.createDataFrame([(i,) for i in [*targets, 7777, None, 3]], "doc_id long")
+    for words, grams, bits in ((1 << 20, 1 << 21, 1 << 28), (20, 40, 1 << 10), (1, 1, 1 << 16)):  # all hot; some, and a full filter; none
         monkeypatch.setattr(C, "HOT_WORDS", words)
         monkeypatch.setattr(C, "HOT_GRAMS", grams)
-        out = C.score(docs, spark.createDataFrame([(i,) for i in targets], "doc_id long")).collect()
-        assert len(out) == len(texts) + 2
-        for x in out:
-            assert [x["ce_target"], x["ce_background"]] == pytest.approx(want[x["doc_id"] or 0], rel=1e-5)
-    assert want[-2][0] - want[-2][1] < want[-1][0] - want[-1][1]
+        monkeypatch.setattr(C, "FILTER_BITS", bits)
+        out = C.score(docs, asked)
+        assert out.columns == ["doc_id", "text", "a.b", *C.NEW]
+        found = out.collect()
+        assert len(found) == len(rows)
+        of = {(x[0], x[1]): (w, len(re.findall(WORD, x[1] or ""))) for x, w in zip(rows, want, strict=True)}
+        for x in found:
+            (t, b), n = of[x["doc_id"], x["text"]]
+            assert x["n_words"] == n
+            if n:
+                assert [x["ce_target"], x["ce_background"], x["ce_diff"]] == pytest.approx([t, b, t - b], rel=1e-4, abs=1e-4)
+            else:
+                assert x["ce_target"] is None and x["ce_diff"] is None
 
 
 def test_each_language_has_its_own_model(spark, monkeypatch):
