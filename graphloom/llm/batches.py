@@ -42,6 +42,12 @@ def without(names: Iterable[str], taken: Iterable[str]) -> list[str]:
     return [c for c in names if c.lower() not in own]
 
 
+def placed(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns named by their place, c0, c1, ..., so that no name clashes with another, and what ``names`` are called then."""
+    lower = [c.lower() for c in df.columns]
+    return df.toDF(*[f"c{i}" for i in range(len(lower))]), [f"c{lower.index(n.lower())}" for n in names]
+
+
 def map_text(df: DataFrame, column: str, new: list[StructField], run: Callable[[list], list[list]], keep: bool = True) -> DataFrame:
     """``df`` with the columns that ``run`` gives for the values of ``column``.
 

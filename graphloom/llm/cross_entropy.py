@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut_table
-from .batches import in_arrow, pieces, without
+from .batches import in_arrow, pieces, placed, without
 from .bitmaps import bitmap
 from .hash_array import HashArray
 from .simhash import LOWER
@@ -278,9 +278,8 @@ def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str =
     their case, are replaced.
     """
     sc = docs.sparkSession.sparkContext
-    lower = [c.lower() for c in docs.columns]
-    own = docs.toDF(*[f"c{i}" for i in range(len(lower))])
-    t, d = F.col(f"c{lower.index(text.lower())}"), F.col(f"c{lower.index(doc_id.lower())}")
+    own, names = placed(docs, text, doc_id)
+    t, d = map(F.col, names)
     ids = targets.select(F.col("doc_id").alias("__target")).where("__target is not null").distinct()
     ids = F.broadcast(ids) if ids.count() <= TARGETS_SENT else ids
     keyed = own.withColumn("__key", F.xxhash64(d, t))

@@ -51,14 +51,16 @@ select page_id, host, path, rule, coalesce(said, case when listed then 'block' e
 
 OP10 = r"""with l as (select doc_id, i as place, string_split(text, chr(10))[i] as line from documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i)),
 w as (select *, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as w from l),
-s as (select *, len(w) as n, ceil((len(w) - 2) / 4.0)::bigint as step from w where len(w) > 0),
-b as (select *, list_transform(range(4), lambda j: array_to_string(w[3 + j * step:2 + (j + 1) * step], ' ')) as blocks from s),
-k as materialized (
-  select doc_id, place, n, n || ' ' || array_to_string(w, ' ') as key from s where n < 8
-  union all
-  select doc_id, place, n, n || ' ' || w[1] || ' ' || w[2] || ' ' || j || chr(10) || array_to_string(list_transform(list_filter(range(4), lambda x: x <> j), lambda x: blocks[x + 1]), chr(10)) from b, unnest(range(4)) t(j) where n >= 8),
-known as materialized (select key, min(doc_id) as first from k group by key having min(doc_id) < max(doc_id) and count(*) >= case when min(n) < 8 then 5 else 2 end),
-gone as materialized (select distinct k.doc_id, k.place from k join known on known.key = k.key and k.doc_id > known.first),
+d as materialized (select line, any_value(w) as w, min(doc_id) as first, max(doc_id) as last from w where len(w) > 0 group by line),
+p as (select line, len(w) as n, w[1] as a, w[2] as b, i, w[i] as word from d, unnest(range(3, len(w) + 1)) t(i) where w[i] <> '<*>'),
+f as materialized (select line, i, word, count(*) over (partition by n, a, b, i, word) as c from p),
+q as (select line, list_sort(list(c)) as cs from f group by line),
+k as (select f.line, count(*) - count(*) filter (where c > 1 and 2 * c >= cs[(len(cs) + 1) // 2]) as words,
+  string_agg(i || ' ' || word, ' ' order by i) filter (where c > 1 and 2 * c >= cs[(len(cs) + 1) // 2]) as const from f join q on q.line = f.line group by f.line),
+s as (select d.line, first, last, w, len(w) as n, coalesce(words, 0) as words, len(list_filter(w, lambda x: x = '<*>')) as fields, coalesce(const, '') as const from d left join k on k.line = d.line),
+t as materialized (select line, first, last, case when 4 * words <= n and 2 * (words + fields) <= n then 't ' || n || ' ' || w[1] || ' ' || coalesce(w[2], '') || chr(10) || const else 'l ' || line end as key from s),
+known as materialized (select key, min(first) as first from t group by key having min(first) < max(last)),
+gone as materialized (select l.doc_id, l.place from l join t on t.line = l.line join known on known.key = t.key where l.doc_id > known.first),
 kept as (select l.doc_id, count(g.place) as n_dropped, count(*) as n_lines, coalesce(string_agg(l.line, chr(10) order by l.place) filter (where g.place is null), '') as text
   from l left join gone g on g.doc_id = l.doc_id and g.place = l.place group by l.doc_id)
 select d.doc_id, coalesce(k.n_lines, 0)::bigint as n_lines, coalesce(k.n_dropped, 0)::bigint as n_dropped, case when d.text is not null then k.text end as text

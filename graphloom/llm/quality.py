@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField
 
 from ..plans.lineage import cut_table
-from .batches import map_text, without
+from .batches import map_text, placed, without
 from .kneser_ney import slot, trained, units
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -126,12 +126,6 @@ def judge(scores: DataFrame, reach: float, spread: float) -> DataFrame:
     return judged.withColumn("kept", ~F.col("base_failed") & inside).drop("__slot", "__of", "__q")
 
 
-def _named(docs: DataFrame, text: str, lang: str) -> tuple[DataFrame, str, str]:
-    """``docs`` with columns named by their place, so that no name clashes, and the new names of two of them."""
-    lower = [c.lower() for c in docs.columns]
-    return docs.toDF(*[f"c{i}" for i in range(len(lower))]), f"c{lower.index(text.lower())}", f"c{lower.index(lang.lower())}"
-
-
 def quality(docs: DataFrame, text: str = "text", lang: str = "lang", reach: float = REACH, spread: float = SPREAD) -> DataFrame:
     """``docs`` without its text, and the base columns, base_failed, bits (mean cost of a character), band_low, band_high and kept.
 
@@ -144,7 +138,7 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", reach: floa
     replaced.
     """
     kept = [i for i, c in enumerate(docs.columns) if c in without([c], [*NEW, text])]
-    named, t, g = _named(docs, text, lang)
+    named, (t, g) = placed(docs, text, lang)
     table, scores = score(named, t, g, keep=False)
     out = table.join(judge(scores, reach, spread), "__row").select(*[f"c{i}" for i in kept], *NEW)
     return out.toDF(*[docs.columns[i] for i in kept], *NEW)
@@ -157,7 +151,7 @@ def op3(docs: DataFrame) -> DataFrame:
 
 def passing(docs: DataFrame, text: str = "text", lang: str = "lang", reach: float = REACH, spread: float = SPREAD) -> DataFrame:
     """The rows of ``docs`` that ``quality`` keeps, with all of their columns and in repeats as they come."""
-    named, t, g = _named(docs, text, lang)
+    named, (t, g) = placed(docs, text, lang)
     table, scores = score(named, t, g, keep=True)
     kept = judge(scores, reach, spread).where("kept").select("__row")
     return table.join(kept, "__row", "left_semi").select(*named.columns).toDF(*docs.columns)

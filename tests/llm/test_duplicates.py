@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -92,33 +92,35 @@ def test_components(spark):
     assert {len(x["fingerprint"]) for x in H.op7(docs).collect()} == {16}
 
 
-def plain_keys(line):
-    tokens = ["<*>" if re.search("[0-9]", x) else x for x in re.findall(WORD, line)]
-    n = len(tokens)
-    if not n:
-        return []
-    if n < L.LONG:
-        return [(n, tuple(tokens))]
-    step = -(-(n - L.DEPTH) // L.BLOCKS)
-    blocks = [tuple(tokens[L.DEPTH + i * step : L.DEPTH + (i + 1) * step]) for i in range(L.BLOCKS)]
-    return [(n, *tokens[: L.DEPTH], i, tuple(b for j, b in enumerate(blocks) if j != i)) for i in range(L.BLOCKS)]
+def plain_templates(lines):
+    """The template of each of the different lines."""
+    tokens = {x: ["<*>" if re.search("[0-9]", t) else t for t in re.findall(WORD, x)] for x in lines}
+    leaf = {x: (len(t), *t[: L.DEPTH]) for x, t in tokens.items()}
+    often = Counter((leaf[x], i, w) for x, t in tokens.items() for i, w in enumerate(t) if i >= L.DEPTH and w != "<*>")
+    out = {}
+    for x, t in tokens.items():
+        at = [(i, w, often[leaf[x], i, w]) for i, w in enumerate(t) if i >= L.DEPTH and w != "<*>"]
+        middle = sorted(c for _, _, c in at)[(len(at) - 1) // 2] if at else 0
+        kept = [(i, w) for i, w, c in at if c > 1 and 2 * c >= middle]
+        words, fields = len(at) - len(kept), t.count("<*>")
+        out[x] = (leaf[x], tuple(kept)) if 4 * words <= len(t) and 2 * (words + fields) <= len(t) else x
+    return out
 
 
 def plain_lines(rows):
-    known = defaultdict(list)
+    where = defaultdict(set)
     for i, t in rows:
         if i is not None and t is not None:
             for line in t.split("\n"):
-                for k in plain_keys(line):
-                    known[k].append(i)
-    recurs = lambda k: len(known[k]) >= (L.RECURS_SHORT if k[0] < L.LONG else L.RECURS) and min(known[k]) < max(known[k])
-    out = []
-    for i, t in rows:
-        if i is None or t is None:
-            out.append((i, t))
-        else:
-            out.append((i, "\n".join(x for x in t.split("\n") if not any(recurs(k) and min(known[k]) < i for k in plain_keys(x)))))
-    return out
+                if re.search(WORD, line):
+                    where[line].add(i)
+    template = plain_templates(where)
+    first, last = {}, {}
+    for line, ids in where.items():
+        k = template[line]
+        first[k], last[k] = min(first.get(k, min(ids)), min(ids)), max(last.get(k, max(ids)), max(ids))
+    gone = lambda x, i: x in template and first[template[x]] < i
+    return [(i, t) if i is None or t is None else (i, "\n".join(x for x in t.split("\n") if not gone(x, i))) for i, t in rows]
 
 
 def test_line_templates(spark):
@@ -126,20 +128,33 @@ def test_line_templates(spark):
     words = ["alpha", "beta", "gamma", "delta", "7", "x9y", "end."]
     pool = [" ".join(r.choice(words) for _ in range(r.randrange(1, 14))) for _ in range(40)] + ["", "  ", "\tuser 12 logged in from 10.0.0.1 at 9 pm today"]
     rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(6)))) for i in range(60)]
-    rows += [(None, pool[0]), (70, None), (71, "user 99 logged in from 10.1.1.1 at 8 pm today\r"), (3, rows[3][1])]
-    docs = spark.createDataFrame([(a, b, 5) for a, b in rows], "doc_id long, text string, n_lines int")
+    rows += [(None, pool[0]), (70, None), (71, "user 99 logged in from 10.1.1.1 at 8 pm today\r"), (3, rows[3][1]), (72, ""), (73, "one line " * 40_000 + "\n7\n\n7")]
+    docs = spark.createDataFrame([(a, b, 5, 7, "x") for a, b in rows], "doc_id long, text string, N_lines int, leaf int, `a.b` string")
     got = L.dedup_lines(docs)
     assert sorted(map(str, ((x["doc_id"], x["text"]) for x in got.collect()))) == sorted(map(str, plain_lines(rows)))
-    assert got.columns == ["doc_id", "text", "n_lines", "n_dropped"]
+    assert got.columns == ["doc_id", "text", "leaf", "a.b", "n_lines", "n_dropped"]
+    same = L.without_lines(docs)
+    assert same.columns == docs.columns and {x["N_lines"] for x in same.collect()} == {5}
     assert L.op10(docs.limit(0)).count() == 0
 
 
-def test_one_field_varies(spark):
+def test_fields_vary(spark):
     a = "the quick brown fox jumps over the lazy dog near the old red barn"
-    b = a.replace("lazy", "sleepy")
+    b = a.replace("lazy", "sleepy").replace("barn", "house").replace("brown", "grey")
     c = "the quick green ant walks under a busy cat far from my new blue house"
-    out = dict(L.dedup_lines(spark.createDataFrame([(1, a), (2, b), (3, c)], "doc_id long, text string")).select("doc_id", "text").collect())
-    assert out == {1: a, 2: "", 3: c}
+    rows = [(1, a), (2, b), (3, c), (4, "x\ny z 3"), (5, "x\ny z 4"), (6, "u v w q"), (7, "u v w r"), (8, "1 2 3"), (9, "4 5 6"), (10, "go to my home"), (11, "go to his house")]
+    out = dict(L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect())
+    assert out == dict(rows) | {2: "", 5: "", 7: ""}
+
+
+def test_salted_leaves(spark, monkeypatch):
+    """A leaf that a third of all lines share."""
+    monkeypatch.setattr(L, "SALTED", 3)
+    rows = [(i, f"the server a{i // 2} sent all data to host\nown line w{i} here") for i in range(60)] + [(i, f"some other text of doc k{i}") for i in range(60, 90)]
+    rows = [(i, re.sub("[0-9]+", lambda m: "abcdefghij"[int(m[0]) % 10] + "klmnopqrst"[int(m[0]) // 10], t)) for i, t in rows]
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(plain_lines(rows))
+    assert sum("server" in x["text"] for x in got) == 1
 
 
 def words_of(t):
