@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .plans.lineage import cut
+from .plans.rounds import Dealt
 
 
 def swapped(edges: DataFrame) -> DataFrame:
@@ -67,9 +68,9 @@ class Graph:
         """Distinct unordered pairs (a, b) with a < b; no self-loops."""
         return self.edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
-    def prepared(self, *columns: str) -> DataFrame:
-        """The adjacency with the named columns, kept by executors and dealt by src, for loops that read it often."""
-        return self.adjacency.select("src", "dst", *columns).repartition("src").persist()
+    def prepared(self, *columns: str) -> Dealt:
+        """The adjacency with the named columns, for loops that read it often."""
+        return Dealt(self.adjacency.select("src", "dst", *columns))
 
     def fixed(self) -> Graph:
         """The same graph, computed once and read again from the shared folder."""

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..graph import Graph
 from ..plans.lineage import cut, cut_observed
+from ..plans.rounds import Dealt, Rounds
 
 
 def _degrees(pairs: DataFrame) -> DataFrame:
@@ -121,20 +122,22 @@ def coreness(g: Graph, rounds: int = 1000) -> DataFrame:
     Every vertex repeatedly takes the h-index of its neighbours' values, starting
     from degrees, until none changes; the fixpoint is the coreness.
     """
-    adjacency = g.symmetrised().select("src", "dst").repartition("dst").persist()
-    state = cut(adjacency.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("c")))
-    ranked = Window.partitionBy("src").orderBy(F.desc("c"))
+    adjacency, kept = Dealt(g.symmetrised().select("src", "dst"), "dst", "src"), Rounds()
+    state, _ = kept.keep(adjacency.rows.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("c")))
+    above = Window.partitionBy("src").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
     for _ in range(rounds):
-        heard = adjacency.join(state, F.col("dst") == F.col("id")).select("src", "c").withColumn("r", F.row_number().over(ranked))
-        h = heard.groupBy("src").agg(F.sum((F.col("c") >= F.col("r")).cast("long")).alias("h"))
+        heard = adjacency.meet(state).groupBy("src", "c").agg(F.count(F.lit(1)).alias("n"))  # a hub hears few different values
+        h = heard.withColumn("upto", F.sum("n").over(above)).groupBy("src").agg(F.max(F.least("c", "upto")).alias("h"))
         lower = state.join(h, F.col("id") == F.col("src")).select("id", F.least("c", "h").alias("c"), (F.col("h") < F.col("c")).alias("fell"))
-        merged, met = cut_observed(lower, n=F.count(F.when(F.col("fell"), 1)))
+        merged, met = kept.keep(lower, n=F.count(F.when(F.col("fell"), 1)))
         state = merged.select("id", "c")
         if not met["n"]:
             break
     else:
         raise RuntimeError(f"the core numbers are not settled after {rounds} rounds")
-    adjacency.unpersist()
+    state = cut(state)
+    adjacency.release()
+    kept.release()
     return g.vertices.select("id").join(state, "id", "left").select("id", F.coalesce("c", F.lit(0)).alias("coreness"))
 
 

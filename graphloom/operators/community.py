@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..plans.lineage import cut
+from ..plans.rounds import Dealt, Rounds
 
 
 def cdlp(g: Graph, rounds: int = 10) -> DataFrame:
@@ -16,11 +17,14 @@ def cdlp(g: Graph, rounds: int = 10) -> DataFrame:
     ends of an edge; ties go to the smallest label, and vertices without
     neighbours keep their own id.
     """
-    adjacency = g.symmetrised().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")).repartition("dst").persist()
-    state = cut(g.vertices.select("id", F.col("id").alias("label")))
+    adjacency = Dealt(g.symmetrised().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")), "dst", "src")
+    kept = Rounds()
+    state, _ = kept.keep(g.vertices.select("id", F.col("id").alias("label")))
     for _ in range(rounds):
-        heard = adjacency.join(state, F.col("dst") == F.col("id")).groupBy("src", "label").agg(F.sum("times").alias("n"))
+        heard = adjacency.meet(state).groupBy("src", "label").agg(F.sum("times").alias("n"))
         best = heard.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("next"))
-        state = cut(state.join(best, F.col("id") == F.col("src"), "left").select("id", F.coalesce("next", "label").alias("label")))
-    adjacency.unpersist()
+        state, _ = kept.keep(state.join(best, F.col("id") == F.col("src"), "left").select("id", F.coalesce("next", "label").alias("label")))
+    state = cut(state)
+    adjacency.release()
+    kept.release()
     return state

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.lineage import cut_observed
+from ..plans.lineage import cut
+from ..plans.rounds import Rounds
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -35,9 +36,9 @@ def _small(links: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _cut(links: DataFrame) -> tuple[DataFrame, tuple]:
-    """The links as a written table, and how many they are with a sum of their hashes, to tell two rounds apart."""
-    out, met = cut_observed(links, n=F.count(F.lit(1)), x=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+def _kept(kept: Rounds, links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links, computed once, and how many they are with a sum of their hashes, to tell two rounds apart."""
+    out, met = kept.keep(links, n=F.count(F.lit(1)), x=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
     return out, (met["n"], met["x"])
 
 
@@ -46,15 +47,18 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
 
     Self-links are left out, so a vertex without any other link gives no row.
     """
-    now, state = _cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    kept = Rounds()
+    now, state = _kept(kept, links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
         if state == before or state[0] == 0:
             break
         before = state
-        now, state = _cut(_small(_large(now)))
+        now, state = _kept(kept, _small(_large(now)))
     else:
         raise RuntimeError(f"the components are not settled after {rounds} rounds")
+    now = cut(now)
+    kept.release()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 

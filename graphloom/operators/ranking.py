@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.lineage import cut_observed
+from ..plans.lineage import cut, cut_observed
+from ..plans.rounds import Dealt, Rounds
 
 SINKS = ("ldbc", "drop", "push")
 
@@ -36,7 +37,7 @@ def pagerank(g: Graph, damping: float = 0.85, rounds: int = 10, sinks: str = "ld
         return g.vertices.select("id", F.lit(0.0).alias("rank"))
     start, base = (1.0 / n, (1 - damping) / n) if normalized else (1.0, 1 - damping)
     state = state.withColumn("rank", F.lit(start))
-    edges = out.repartition("src").persist()
+    edges, kept = Dealt(out), Rounds()
     n_sinks = met["sinks"] if normalized else 0
     held = n_sinks * start  # mass on the sinks
     for step in range(rounds):
@@ -46,10 +47,12 @@ def pagerank(g: Graph, damping: float = 0.85, rounds: int = 10, sinks: str = "ld
         held = own * n_sinks
         given = F.col("rank") / F.col("deg") if divide == "always" or step == 0 else F.col("rank")
         sent = state.where("deg > 0").select("id", given.alias("given"))
-        into = sent.join(edges, sent["id"] == edges["src"]).groupBy("dst").agg(F.sum("given").alias("got"))
+        into = edges.meet(sent).groupBy("dst").agg(F.sum("given").alias("got"))
         received = F.lit(damping) * F.coalesce("got", F.lit(0.0))
         if normalized and sinks == "drop":
             received = F.when(F.col("deg") > 0, received).otherwise(0.0)
-        state, met = cut_observed(state.join(into, F.col("id") == F.col("dst"), "left").select("id", "deg", (F.lit(own) + received).alias("rank")), **on_sinks)
-    edges.unpersist()
-    return state.select("id", "rank")
+        state, met = kept.keep(state.join(into, F.col("id") == F.col("dst"), "left").select("id", "deg", (F.lit(own) + received).alias("rank")), **on_sinks)
+    state = cut(state.select("id", "rank"))
+    edges.release()
+    kept.release()
+    return state

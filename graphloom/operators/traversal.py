@@ -8,26 +8,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.lineage import cut, cut_observed
+from ..plans.lineage import cut
+from ..plans.rounds import Dealt, Rounds
 
 UNREACHED = 9223372036854775807
 #: Levels that are unioned before they are written as one table.
 LEVELS = 8
 
 
-def _levels(g: Graph, source, adjacency: DataFrame):
-    """Yields (depth, frontier): the ids first met at each depth, each a written table."""
-    rows = F.count(F.lit(1))
-    frontier, met = cut_observed(g.vertices.where(F.col("id") == F.lit(source)).select("id").distinct(), n=rows)
+def _levels(g: Graph, source, adjacency: Dealt, symmetric: bool):
+    """Yields (depth, frontier): the ids first met at each depth.
+
+    Where every edge goes both ways, a neighbour of a level is in it, in the one
+    before or in the next, so only two levels are taken out; else all met so far.
+    """
+    rounds = Rounds()
+    frontier, met = rounds.keep(g.vertices.where(F.col("id") == F.lit(source)).select("id").distinct(), n=F.count(F.lit(1)))
     seen, depth = [frontier], 0
     while met["n"]:
         yield depth, frontier
-        known = reduce(DataFrame.unionAll, seen)
-        if len(seen) >= LEVELS:
-            known = cut(known)
-            seen = [known]
-        reached = frontier.join(adjacency, frontier["id"] == adjacency["src"]).select(F.col("dst").alias("id")).distinct()
-        frontier, met = cut_observed(reached.join(known, "id", "left_anti"), n=rows)
+        if symmetric:
+            seen = seen[-2:]
+        elif len(seen) > LEVELS:
+            seen = [cut(reduce(DataFrame.unionAll, seen))]
+        reached = adjacency.meet(frontier).select(F.col("dst").alias("id")).distinct()
+        frontier, met = rounds.keep(reached.join(reduce(DataFrame.unionAll, seen), "id", "left_anti"), n=F.count(F.lit(1)))
         seen.append(frontier)
         depth += 1
 
@@ -35,11 +40,17 @@ def _levels(g: Graph, source, adjacency: DataFrame):
 def bfs(g: Graph, source) -> DataFrame:
     """(id, depth): hops along the edges; UNREACHED where there is no path or no such source."""
     adjacency = g.prepared()
-    found = [f.select("id", F.lit(depth).cast("long").alias("depth")) for depth, f in _levels(g, source, adjacency)]
-    adjacency.unpersist()
+    found: list[DataFrame] = []
+    for depth, frontier in _levels(g, source, adjacency, not g.directed):
+        found.append(frontier.select("id", F.lit(depth).cast("long").alias("depth")))
+        if len(found) > LEVELS:
+            found = [cut(reduce(DataFrame.unionAll, found))]
     if not found:
+        adjacency.release()
         return g.vertices.select("id", F.lit(UNREACHED).alias("depth"))
-    return g.vertices.select("id").join(reduce(DataFrame.unionAll, found), "id", "left").select("id", F.coalesce("depth", F.lit(UNREACHED)).alias("depth"))
+    every = cut(reduce(DataFrame.unionAll, found))
+    adjacency.release()
+    return g.vertices.select("id").join(every, "id", "left").select("id", F.coalesce("depth", F.lit(UNREACHED)).alias("depth"))
 
 
 def sssp(g: Graph, source, weight: str = "weight") -> DataFrame:
@@ -48,17 +59,18 @@ def sssp(g: Graph, source, weight: str = "weight") -> DataFrame:
     Weights must not be negative.  Each round relaxes only the edges of vertices
     whose distance has just fallen.
     """
-    adjacency = g.prepared(weight)
+    adjacency, rounds = g.prepared(weight), Rounds()
     fallen = F.count(F.when(F.col("fell"), 1))
-    merged, met = cut_observed(g.vertices.where(F.col("id") == F.lit(source)).select("id", F.lit(0.0).alias("dist"), F.lit(True).alias("fell")).distinct(), n=fallen)
-    state = merged.select("id", "dist")
+    merged, met = rounds.keep(g.vertices.where(F.col("id") == F.lit(source)).select("id", F.lit(0.0).alias("dist"), F.lit(True).alias("fell")).distinct(), n=fallen)
     while met["n"]:
         active = merged.where("fell").select("id", "dist")
-        offers = active.join(adjacency, active["id"] == adjacency["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col(weight)).alias("offer"))
-        fell = F.col("dist").isNull() | F.coalesce(F.col("offer") < F.col("dist"), F.lit(False))
-        merged, met = cut_observed(state.join(offers, "id", "full").select("id", F.least("dist", "offer").alias("dist"), fell.alias("fell")), n=fallen)
+        offers = adjacency.meet(active).groupBy(F.col("dst").alias("to")).agg(F.min(F.col("dist") + F.col(weight)).alias("offer"))
         state = merged.select("id", "dist")
-    adjacency.unpersist()
+        fell = F.col("dist").isNull() | F.coalesce(F.col("offer") < F.col("dist"), F.lit(False))
+        merged, met = rounds.keep(state.join(offers, F.col("id") == F.col("to"), "full").select(F.coalesce("id", "to").alias("id"), F.least("dist", "offer").alias("dist"), fell.alias("fell")), n=fallen)
+    state = cut(merged.select("id", "dist"))
+    adjacency.release()
+    rounds.release()
     return g.vertices.select("id").join(state, "id", "left").select("id", F.coalesce("dist", F.lit(float("inf"))).alias("dist"))
 
 
@@ -69,15 +81,14 @@ def betweenness(g: Graph, source) -> DataFrame:
     unreached vertices have 0, 0 and UNREACHED.
     """
     pairs = g.simple_edges()
-    adjacency = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionAll(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"))).repartition("src").persist()
+    adjacency, rounds = Dealt(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionAll(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))), Rounds()
     levels: list[DataFrame] = []
-    for _, frontier in _levels(g, source, adjacency):
+    for _, frontier in _levels(g, source, adjacency, True):
         if not levels:
             levels.append(frontier.select("id", F.lit(1.0).alias("sigma")))
             continue
-        last = levels[-1]
-        into = last.join(adjacency, last["id"] == adjacency["src"]).groupBy("dst").agg(F.sum("sigma").alias("sigma"))
-        levels.append(cut(frontier.join(into, frontier["id"] == into["dst"]).select("id", "sigma")))
+        into = adjacency.meet(levels[-1]).groupBy(F.col("dst").alias("to")).agg(F.sum("sigma").alias("sigma"))
+        levels.append(rounds.keep(frontier.join(into, F.col("id") == F.col("to")).select("id", "sigma"))[0])
     done: list[DataFrame] = []
     below: DataFrame | None = None
     for depth in range(len(levels) - 1, -1, -1):
@@ -86,13 +97,15 @@ def betweenness(g: Graph, source) -> DataFrame:
             scored = level.withColumn("delta", F.lit(0.0))
         else:
             share = below.select(F.col("id").alias("v"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
-            up = share.join(adjacency, share["v"] == adjacency["src"]).groupBy("dst").agg(F.sum("share").alias("share"))
-            scored = level.join(up, level["id"] == up["dst"], "left").select("id", "sigma", (F.col("sigma") * F.coalesce("share", F.lit(0.0))).alias("delta"))
-        below = cut(scored)
+            up = adjacency.meet(share, "v").groupBy(F.col("dst").alias("to")).agg(F.sum("share").alias("share"))
+            scored = level.join(up, F.col("id") == F.col("to"), "left").select("id", "sigma", (F.col("sigma") * F.coalesce("share", F.lit(0.0))).alias("delta"))
+        below = rounds.keep(scored)[0]
         done.append(below.withColumn("depth", F.lit(depth).cast("long")))
-    adjacency.unpersist()
     if not done:
+        adjacency.release()
         return g.vertices.select("id", F.lit(0.0).alias("delta"), F.lit(0.0).alias("sigma"), F.lit(UNREACHED).alias("depth"))
-    found = reduce(DataFrame.unionByName, done)
+    found = cut(reduce(DataFrame.unionByName, done))
+    adjacency.release()
+    rounds.release()
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     return g.vertices.select("id").join(found, "id", "left").select("id", zero("delta"), zero("sigma"), F.coalesce("depth", F.lit(UNREACHED)).alias("depth"))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph, swapped
-from .lineage import cut_observed
+from .lineage import cut
+from .rounds import Dealt, Rounds
 
 
 @dataclass
@@ -25,7 +26,10 @@ class VertexProgram:
     direction out, in or both
     rounds    at most so many; the program also ends when nobody sends
     always    every vertex sends in every round
-    mutate    may give changed edges after a round: mutate(graph, state, round) -> Graph or None
+    mutate    may give a changed graph after a round, mutate(graph, state, round) -> Graph or None:
+              its new vertices start with ``init`` and send, those that it lacks go, and ``woken``
+              of the graph's vertices send again.  The program goes on while the graph changes
+    woken     which vertices send after a change besides those that would, a column over (id, value)
     """
 
     init: Column
@@ -38,29 +42,35 @@ class VertexProgram:
     rounds: int = 1_000_000
     always: bool = False
     mutate: Callable[[Graph, DataFrame, int], Graph | None] | None = None
+    woken: Column | None = None
 
-    def _edges(self, g: Graph) -> DataFrame:
-        own = g.adjacency if self.direction == "out" else swapped(g.adjacency) if self.direction == "in" else g.symmetrised()
-        return own.repartition("src").persist()
+    def _edges(self, g: Graph) -> Dealt:
+        return Dealt(g.adjacency if self.direction == "out" else swapped(g.adjacency) if self.direction == "in" else g.symmetrised())
 
     def run(self, g: Graph) -> DataFrame:
         """(id, value) after the last round."""
         active = F.lit(True) if self.active is None else self.active
-        senders_left = F.count(F.when(F.col("sends"), 1))
-        state, met = cut_observed(g.vertices.withColumn("value", self.init).select("id", "value", active.alias("sends")), n=senders_left)
+        senders_left, kept = F.count(F.when(F.col("sends"), 1)), Rounds()
+        state, met = kept.keep(g.vertices.withColumn("value", self.init).select("id", "value", active.alias("sends")), n=senders_left)
         edges = self._edges(g)
         for step in range(self.rounds):
-            senders = state if self.always else state.where("sends")
             if not self.always and not met["n"]:
                 break
-            sent = senders.join(edges, senders["id"] == edges["src"]).select(F.col("dst").alias("to"), self.message.alias("message"))
+            senders = state if self.always else state.where("sends")
+            sent = edges.meet(senders).select(F.col("dst").alias("to"), self.message.alias("message"))
             heard = sent.groupBy("to").agg(self.combine(F.col("message")).alias("heard"))
             changed = ~F.col("next").eqNullSafe(F.col("value")) if self.changed is None else self.changed
             joined = state.join(heard, F.col("id") == F.col("to"), "left").withColumn("next", self.update)
-            state, met = cut_observed(joined.select("id", F.col("next").alias("value"), changed.alias("sends")), n=senders_left)
-            if self.mutate is not None and (new := self.mutate(g, state, step)) is not None:
-                edges.unpersist()
-                g = new
+            state, met = kept.keep(joined.select("id", F.col("next").alias("value"), changed.alias("sends")), n=senders_left)
+            if self.mutate is not None and (new := self.mutate(g, state.select("id", "value"), step)) is not None:
+                g = new.fixed()
+                edges.release()
                 edges = self._edges(g)
-        edges.unpersist()
-        return state.select("id", "value")
+                woken = F.lit(False) if self.woken is None else self.woken
+                old = state.select("id", F.col("value").alias("__old"), "sends")
+                entered = g.vertices.withColumn("value", self.init).join(old, "id", "left").select("id", F.coalesce("__old", "value").alias("value"), "sends")
+                state, met = kept.keep(entered.select("id", "value", (F.coalesce("sends", F.lit(True)) | woken).alias("sends")), n=senders_left)
+        state = cut(state.select("id", "value"))
+        edges.release()
+        kept.release()
+        return state
