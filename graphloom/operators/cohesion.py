@@ -141,6 +141,11 @@ def coreness(g: Graph, rounds: int = 1000) -> DataFrame:
     return g.vertices.select("id").join(state, "id", "left").select("id", F.coalesce("c", F.lit(0)).alias("coreness"))
 
 
+def coreness_total(g: Graph) -> DataFrame:
+    """One row (total, largest): the sum and the largest of the core numbers."""
+    return coreness(g).agg(F.coalesce(F.sum("coreness"), F.lit(0)).alias("total"), F.coalesce(F.max("coreness"), F.lit(0)).alias("largest"))
+
+
 def kclique(g: Graph, k: int) -> DataFrame:
     """One row (k, cliques) on the simple undirected graph: vertices for k = 1, edges for k = 2."""
     if k < 1:

@@ -27,17 +27,30 @@ def parse_hops(text: str) -> list[int]:
 
 
 def weight_index(adjacency: DataFrame, order: str | None = None) -> DataFrame:
-    """(src, rank, nbr, low, high, n): distinct neighbours by (weight, id), with running sums of weights.
+    """(src, rank, nbr, low, high, n, total): distinct neighbours by (weight, id), with running sums of weights.
 
     Of parallel edges the smallest weight counts, or with ``order`` the weight of
-    the row with the largest value of that column.
+    the row with the largest value of that column.  The neighbours are dealt by
+    range of (src, weight, id), ranked in their range and shifted by what the
+    ranges before hold of the same vertex, so a hub is split.
     """
     weight = F.min("weight") if order is None else F.max_by("weight", F.struct(order, "weight"))
     once = adjacency.groupBy("src", "dst").agg(weight.alias("weight"))
-    by = Window.partitionBy("src")
-    ranked = by.orderBy("weight", "dst")
-    high = F.sum("weight").over(ranked.rowsBetween(Window.unboundedPreceding, 0))
-    return once.select("src", F.row_number().over(ranked).alias("rank"), F.col("dst").alias("nbr"), (high - F.col("weight")).alias("low"), high.alias("high"), F.count(F.lit(1)).over(by).alias("n"), F.sum("weight").over(by).alias("total"))
+    dealt = cut(once.repartitionByRange("src", "weight", "dst").withColumn("p", F.spark_partition_id()))
+    own = Window.partitionBy("src", "p").orderBy("weight", "dst")
+    upto = F.sum("weight").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = dealt.select("src", "p", F.col("dst").alias("nbr"), F.row_number().over(own).alias("r"), upto.alias("upto")).withColumn("under", F.coalesce(F.lag("upto").over(Window.partitionBy("src", "p").orderBy("r")), F.lit(0.0)))
+    ranges = dealt.groupBy("src", "p").agg(F.count(F.lit(1)).alias("k"), F.sum("weight").alias("w"))
+    every = Window.partitionBy("src")
+    before = every.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranges.select(F.col("src").alias("of"), F.col("p").alias("q"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0"), F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("w0"), F.sum("k").over(every).alias("n"), F.sum("w").over(every).alias("total"))
+    placed = ranked.join(parts, (F.col("src") == F.col("of")) & (F.col("p") == F.col("q")))
+    return placed.select("src", (F.col("r") + F.col("k0")).alias("rank"), "nbr", (F.col("under") + F.col("w0")).alias("low"), (F.col("upto") + F.col("w0")).alias("high"), "n", "total")
+
+
+def _bucket(x: F.Column, size: str, total: str) -> F.Column:
+    """Of ``size`` equal parts of the weights' sum, the one of ``x``."""
+    return F.when(F.col(total) > 0, F.greatest(F.lit(0), F.least(F.floor(x / F.col(total) * F.col(size)), F.col(size) - 1))).otherwise(F.lit(0))
 
 
 def _unit(seed: int, *columns: str) -> F.Column:
@@ -45,28 +58,36 @@ def _unit(seed: int, *columns: str) -> F.Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def sample(adjacency: DataFrame, roots: DataFrame, hops: list[int], strategy: str = "random", seed: int = 0, order: str | None = None) -> DataFrame:
+def sample(adjacency: DataFrame, roots: DataFrame | None, hops: list[int], strategy: str = "random", seed: int = 0, order: str | None = None) -> DataFrame:
     """(root, slot, nbr): every slot of every root; null where there was no neighbour to draw.
 
     The slots of hop h follow those of hop h-1, and the draws of one parent are
     next to each other.  ``random`` draws distinct neighbours evenly and with
     replacement, ``edge_weight`` in proportion to the weights, ``top_k`` takes the
     heaviest first (ties: the larger id) and begins anew when they run out.  Draws
-    depend on the seed, root and slot, not on partitions.
+    depend on the seed, root and slot, not on partitions.  Without ``roots`` every
+    end of an edge is one.  A draw by weight meets the neighbours that share its
+    part of the vertex's weights, and as many parts as neighbours are made.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"the strategy is one of {STRATEGIES}")
+    if roots is None:
+        roots = adjacency.select(F.col("src").alias("id")).unionAll(adjacency.select(F.col("dst").alias("id")))
     frontier = cut(roots.select(F.col("id").alias("root"), F.col("id").alias("at"), F.lit(0).alias("parent")).where("root is not null").distinct())
     out, offset = [], 0
     for n in hops:
         wanted = frontier.select("at").where("at is not null").distinct()
-        index = weight_index(adjacency.join(wanted, adjacency["src"] == wanted["at"], "left_semi"), order)
+        index = cut(weight_index(adjacency.join(wanted, adjacency["src"] == wanted["at"], "left_semi"), order))
         draws = frontier.select("root", "at", "parent", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).withColumn("place", F.col("parent") * n + F.col("i"))
         sizes = index.where("rank = 1").select(F.col("src").alias("v"), F.col("n").alias("size"), F.col("total").alias("sum"))
         sized = draws.join(sizes, F.col("at") == F.col("v"), "left").withColumn("u", _unit(seed, "root", "place", F.lit(offset)))
         if strategy == "edge_weight":
-            drawn = sized.withColumn("x", F.col("u") * F.col("sum"))
-            met = (F.col("at") == F.col("src")) & (F.col("x") >= F.col("low")) & (F.col("x") < F.col("high"))
+            x = F.col("u") * F.col("sum")
+            drawn = sized.withColumn("x", x).withColumn("b", _bucket(F.col("x"), "size", "sum"))
+            last = F.col("rank") == F.col("n")
+            until = F.when(last, F.col("n") - 1).otherwise(_bucket(F.col("high"), "n", "total"))
+            index = index.withColumn("part", F.explode(F.sequence(_bucket(F.col("low"), "n", "total"), F.greatest(until, _bucket(F.col("low"), "n", "total")))))
+            met = (F.col("at") == F.col("src")) & (F.col("b") == F.col("part")) & (F.col("x") >= F.col("low")) & ((F.col("x") < F.col("high")) | last)
         else:
             rank = F.col("size") - F.col("i") % F.col("size") if strategy == "top_k" else F.floor(F.col("u") * F.col("size")) + 1
             drawn = sized.withColumn("r", rank)

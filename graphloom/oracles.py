@@ -117,21 +117,22 @@ e{i} as materialized (select * from e{i - 1} where src in (from k{i}) and dst in
     return out + f", core as (select id, count(*) as core_degree from (select src as id from e{rounds} union all select dst from e{rounds}) group by id)"
 
 
-def coreness(rounds: int) -> str:
+def coreness(rounds: int, both: str = BOTH, out: str = "v.id, coalesce(c.c, 0)::bigint as coreness") -> str:
     """The h-index of the neighbours' values, so many times."""
-    out = f"with {BASE}, {BOTH}, c0 as materialized (select src as id, count(*) as c from adj group by src)"
+    last = out
+    out = f"with {BASE}, {both}, c0 as materialized (select src as id, count(*) as c from adj group by src)"
     for i in range(1, rounds + 1):
         out += f""",
 c{i} as materialized (select src as id, count(*) filter (where c >= r) as c from
   (select e.src, c.c, row_number() over (partition by e.src order by c.c desc) as r from adj e join c{i - 1} c on c.id = e.dst) group by src)"""
-    return f"{out}\nselect v.id, coalesce(c.c, 0)::bigint as coreness from v left join c{rounds} c on c.id = v.id"
+    return f"{out}\nselect {last} from v left join c{rounds} c on c.id = v.id"
 
 
-def kclique(k: int) -> str:
-    out = f"with {BASE}, c2 as (select a as v1, b as v2 from pairs)"
+def kclique(k: int, more: str = "", pairs: str = "pairs") -> str:
+    out = f"with {BASE}{more}, c2 as (select a as v1, b as v2 from {pairs})"
     for j in range(3, k + 1):
-        meets = " and ".join(f"(c.v{i}, p.b) in (select (a, b) from pairs)" for i in range(1, j - 1))
-        out += f", c{j} as materialized (select c.*, p.b as v{j} from c{j - 1} c join pairs p on p.a = c.v{j - 1} where {meets})"
+        meets = " and ".join(f"(c.v{i}, p.b) in (select (a, b) from {pairs})" for i in range(1, j - 1))
+        out += f", c{j} as materialized (select c.*, p.b as v{j} from c{j - 1} c join {pairs} p on p.a = c.v{j - 1} where {meets})"
     return f"{out} select {k}::int as k, count(*) as cliques from c{k}"
 
 
@@ -150,15 +151,28 @@ select v.id, round(coalesce(x.delta, 0), 6) as delta, round(coalesce(x.sigma, 0)
 from v left join ({every}) x on x.id = v.id"""
 
 
-TOP_K = f"""with {BASE},
-once as (select src, dst, min(weight) as weight from dense group by all),
+def top_k(once: str = "select src, dst, min(weight) as weight from dense group by all") -> str:
+    return f"""with {BASE},
+once as ({once}),
 idx as materialized (select src, dst, row_number() over (partition by src order by weight desc, dst desc) - 1 as r, count(*) over (partition by src) as n from once),
 h1 as materialized (select v.id as root, i as place, x.dst as nbr from v cross join range(4) t(i)
-  left join (select distinct src, n from idx) s on s.src = v.id left join idx x on x.src = v.id and x.r = i % s.n where v.id % 5 = 0),
+  left join (select distinct src, n from idx) s on s.src = v.id left join idx x on x.src = v.id and x.r = i % s.n),
 h2 as (select h.root, h.place * 3 + i as place, x.dst as nbr from h1 h cross join range(3) t(i)
   left join (select distinct src, n from idx) s on s.src = h.nbr left join idx x on x.src = h.nbr and x.r = i % s.n),
 slots as (select root, place as slot, nbr from h1 union all select root, place + 4, nbr from h2)"""
 
+
+def streamed(batch: int, once: str, known: str) -> str:
+    return f"""select {batch}::int as batch, value from ({top_k(once)},
+seen as (select src as id from dense where {known} union select dst from dense where {known})
+select root || ' ' || string_agg(coalesce(nbr::varchar, '-'), ' ' order by slot) as value from slots where root in (from seen) group by root)"""
+
+
+#: Heavy edges only; and all, where the lighter weight of the second batch replaces a heavy one.
+HEAVY = "select src, dst, min(weight) as weight from dense where weight > 25 group by all"
+REPLACED = "select src, dst, coalesce(min(weight) filter (where weight <= 25), min(weight)) as weight from dense group by all"
+CHECKED = f"with {BASE} select v.id as root, 4::bigint as slots, case when v.id in (select src from dense) then 4 else 0 end::bigint as drawn, 0::bigint as wrong from v"
+
 RANKED = f"with {BASE}, r as (select id, row_number() over (order by id) - 1 as place, count(*) over () as n from v)"
 
 
@@ -195,16 +209,18 @@ SQL: dict[str, str] = {
     "lcc_dense_directed": LCC_DIRECTED,
     "triangles_simple": f"with {BASE}, {TRIANGLES.format(where='')} select v.id, count(c.id) as triangles from v left join corner c on c.id = v.id group by v.id",
     "triangle_total_simple": f"with {BASE}, {TRIANGLES.format(where='')} select count(*) as triangles from tri",
-    "kcore_simple_k40": peel("(select a as src, b as dst from pairs)", 40, 40) + " select id, core_degree from core",
-    "kcore_size_sparse_k3": peel("sparse", 3, 30) + " select 3::int as k, count(*) as vertices from core",
+    "kcore_simple_k30": peel("(select a as src, b as dst from pairs)", 30, 60) + " select id, core_degree from core",
+    "kcore_size_simple_k31": peel("(select a as src, b as dst from pairs)", 31, 60) + " select 31::int as k, count(*) as vertices from core",
+    "coreness_simple": coreness(60, SIMPLE),
+    "coreness_total_simple": coreness(60, SIMPLE, "coalesce(sum(c.c), 0)::bigint as total, coalesce(max(c.c), 0)::bigint as largest"),
     "coreness_sparse": coreness(30),
     "kclique3_simple": kclique(3),
     "kclique4_simple": kclique(4),
-    "kclique5_simple": kclique(5),
+    "kclique5_halved": kclique(5, ", half as materialized (select distinct least(a // 2, b // 2) as a, greatest(a // 2, b // 2) as b from pairs where a // 2 <> b // 2)", "half"),
     "degree_out_dense": f"with {BASE} select v.id, count(e.src) as degree from v left join dense e on e.src = v.id group by v.id",
     "degree_in_dense": f"with {BASE} select v.id, count(e.dst) as degree from v left join dense e on e.dst = v.id group by v.id",
-    "neighbors_filtered_dense": f"with {BASE} select src as id, dst as neighbour, weight from dense where src % 10 = 3 and weight > 25",
-    "neighbors_in_dense": f"with {BASE} select dst as id, src as neighbour, weight from dense where dst % 10 = 3",
+    "neighbors_filtered_dense": f"with {BASE} select src as id, dst as neighbour, weight from dense where weight > 25",
+    "neighbors_in_dense": f"with {BASE} select dst as id, src as neighbour, weight from dense",
     "has_parent_sparse": f"with {BASE} select distinct dst as id from sparse",
     "counts_dense": f"with {BASE} select (select count(*) from v) as vertices, (select count(*) from dense) as edges",
     "frontier_erase_sparse": f"with {BASE} select id from v where id % 3 <= 1 and id not in (select src from sparse)",
@@ -222,12 +238,26 @@ SQL: dict[str, str] = {
 ids as (select id, case when id % 10 = 1 or (id % 10 = 2 and id % 20 <> 2) then id % 5 + 100 else id % 7 end as data from v
   union all select id + 10000000, id % 5 + 100 from v where id % 20 = 2)
 select i.id, i.data, count(k.src) as degree from ids i left join kept k on k.src = i.id group by i.id, i.data""",
-    "sample_topk_dense": f"{TOP_K} select root, slot::int as slot, nbr from slots",
-    "stream_sampler_dense": f"{TOP_K}, seen as (select src as id from dense union select dst from dense) select root || ' ' || string_agg(coalesce(nbr::varchar, '-'), ' ' order by slot) as value from slots where root in (from seen) group by root",
+    "sample_topk_dense": f"{top_k()} select root, slot::int as slot, nbr from slots",
+    "sample_random_checked_dense": CHECKED,
+    "sample_edge_weight_checked_dense": CHECKED,
+    "stream_sampler_dense": f"{streamed(0, HEAVY, 'weight > 25')} union all {streamed(1, REPLACED, 'true')}",
     "program_bfs_dense": bfs("dense"),
     "program_wcc_sparse": wcc("sparse"),
     "text_result_sssp_sparse": sssp("sparse", value="value"),
     "stored_counts_sparse": f"with {BASE} select (select count(*) from v) as vertices, (select count(*) from sparse) as edges",
     "loaded_degree_sparse": f"with {BASE} select v.id, count(e.src) as degree from v left join sparse e on e.src = v.id group by v.id",
-    "compared_components": "select true as isomorphic, true as exact, true as within",
+    "program_in_dense": bfs("back", ", back as materialized (select dst as src, src as dst from dense)"),
+    "program_mutated_sparse": wcc("sparse"),
+    "loaded_parsed_sparse": f"with {BASE} select v.id, count(e.dst) as degree from v left join sparse e on e.dst = v.id group by v.id",
+    "loaded_changed_sparse": f"with {BASE}, {CHANGED} select v.id, count(e.src) as degree from v left join changed e on e.src = v.id group by v.id",
+    "pagerank_numbered_simple": pagerank(SIMPLE),
+    "appended_degree_sparse": f"""with {BASE}, more as (select src, dst + 10000000 as dst from dense where weight = 48),
+every as (select src, dst from sparse union all select src, dst from more), ids as (select id from v union select dst from more)
+select i.id, count(e.src) as degree from ids i left join every e on e.src = i.id group by i.id""",
+    "compared_components": f"""with recursive a as ({wcc("sparse")}),
+b as materialized (select 'same' as name, id, comp as x, comp::double as y from a union all select 'renamed', id, comp, comp + 1 from a
+  union all select 'nearly', id, comp, comp * 1.00001::double from a union all select 'changed', id, comp, case when id % 100 = 3 then -1 else comp end from a)
+select name, count(distinct x) = count(distinct (x, y)) and count(distinct y) = count(distinct (x, y)) as isomorphic, bool_and(x = y) as exact,
+  bool_and(abs(x - y) <= 1e-4 * greatest(abs(x), abs(y)) or greatest(abs(x), abs(y)) < 1e-10) as within from b group by name""",
 }

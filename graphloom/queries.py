@@ -70,24 +70,89 @@ def wcc_program() -> VertexProgram:
 
 
 def _streamed(spark: SparkSession, d: str) -> DataFrame:
-    """The sampler over files of lines: two batches of edges, each with queries, and the last batch's answers."""
+    """The sampler over two batches of lines: heavy edges, then light ones, each time with a query for every vertex."""
     folder = scratch_path(spark, "stream")
-    lines = P.dense_edges(spark, d).groupBy("src", "dst").agg(F.min("weight").alias("weight")).select(F.format_string("e %d %d %.1f", "src", "dst", "weight").alias("value"))
-    queries = P.vertices(spark, d).where("id % 5 = 0").select(F.format_string("q %d", "id").alias("value"))
-    lines.unionAll(queries).coalesce(1).write.text(f"{folder}/in")
-    sampler.run(spark, f"{folder}/in", f"{folder}/state", f"{folder}/out", f"{folder}/checkpoint", HOPS, "top_k").awaitTermination()
-    return spark.read.text(f"{folder}/out").select("value")
+    edges = P.dense_edges(spark, d)
+    queries = P.vertices(spark, d).select(F.format_string("q %d", "id").alias("value"))
+    for part in ("weight > 25", "weight <= 25"):
+        once = edges.where(part).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+        lines = once.select(F.format_string("e %d %d %.1f", "src", "dst", "weight").alias("value"))
+        lines.unionAll(queries).write.mode("append").text(f"{folder}/in")
+        sampler.run(spark, f"{folder}/in", f"{folder}/state", f"{folder}/out", f"{folder}/checkpoint", HOPS, "top_k", files_a_batch=1_000_000).awaitTermination()
+    return spark.read.text(f"{folder}/out").select("batch", "value")
+
+
+def _sample(strategy: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        g = P.dense(spark, d)
+        return sampling.sample(g.adjacency, g.vertices, HOPS, strategy, seed=7).select("root", "slot", "nbr")
+
+    return run
+
 
+def _checked(strategy: str) -> Query:
+    """Of each root's first hop: its slots, those with a neighbour, and neighbours that it doesn't have."""
 
-def _sample(strategy: str, roots: str = "true") -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         g = P.dense(spark, d)
-        found = sampling.sample(g.adjacency, g.vertices.where(roots), HOPS, strategy, seed=7)
-        return found.select("root", "slot", "nbr")
+        known = g.edges.select(F.col("src").alias("root"), F.col("dst").alias("nbr"), F.lit(1).alias("known")).distinct()
+        drawn = sampling.sample(g.adjacency, g.vertices, HOPS[:1], strategy, seed=7).join(known, ["root", "nbr"], "left")
+        wrong = F.count(F.when(F.col("nbr").isNotNull() & F.col("known").isNull(), 1))
+        return drawn.groupBy("root").agg(F.count(F.lit(1)).alias("slots"), F.count("nbr").alias("drawn"), wrong.alias("wrong"))
 
     return run
 
 
+def _in_program(spark: SparkSession, d: str) -> DataFrame:
+    """Breadth-first search against the edges, as a vertex program that sends along in-edges."""
+    program = bfs_program(SOURCE)
+    program.direction = "in"
+    return program.run(P.dense(spark, d)).withColumnRenamed("value", "depth")
+
+
+def _mutated_program(spark: SparkSession, d: str) -> DataFrame:
+    """Components of the sparse graph, of which a tenth of the vertices and the lighter edges come in after the second round."""
+    whole = P.sparse(spark, d)
+    part = Graph(whole.vertices.where("id % 10 <> 7"), whole.edges.where("weight > 49 and src % 10 <> 7 and dst % 10 <> 7"), True)
+    program = wcc_program()
+    program.mutate = lambda g, state, step: whole if step == 1 else None
+    program.woken = F.lit(True)
+    return program.run(part).withColumnRenamed("value", "comp")
+
+
+def _files(spark: SparkSession, d: str, edges: DataFrame, shown: str) -> str:
+    path = scratch_path(spark, "files")
+    edges.select(F.expr(shown).alias("value")).write.text(f"{path}/e")
+    P.vertices(spark, d).select(F.col("id").cast("string").alias("value")).write.text(f"{path}/v")
+    return path
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Degrees of the sparse graph's files, read by a parser that takes the ends the other way round."""
+    path = _files(spark, d, P.sparse(spark, d).edges, "format_string('%d;%d', src, dst)")
+    ends = lambda w: w.select(F.split(w["w"][0], ";").alias("s")).select(F.col("s")[1].cast("long").alias("src"), F.col("s")[0].cast("long").alias("dst"))
+    return access.out_degree(text.load(spark, f"{path}/e", f"{path}/v", directed=True, parser=ends))
+
+
+def _loaded_changed(spark: SparkSession, d: str) -> DataFrame:
+    """Degrees of the sparse graph's files after a file of changes."""
+    path = _files(spark, d, P.sparse(spark, d).edges, "format_string('%d %d %.1f', src, dst, weight)")
+    _changes(spark, d).select(F.concat_ws(" ", "op", F.col("src").cast("string"), F.col("dst").cast("string"), F.col("weight").cast("string")).alias("value")).write.text(f"{path}/c")
+    return access.out_degree(text.load_changed(spark, f"{path}/e", f"{path}/v", f"{path}/c", directed=True))
+
+
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    """PageRank of the simple graph's file, loaded with vertices by number."""
+    path = _files(spark, d, P.simple(spark, d).edges, "format_string('%d %d', src, dst)")
+    return _rounded(ranking.pagerank(text.load_numbered(spark, f"{path}/e", P.vertices(spark, d).count())), "rank", 10)
+
+
+def _appended(spark: SparkSession, d: str) -> DataFrame:
+    """Degrees of the sparse graph and further edges, whose ends are new."""
+    more = P.dense_edges(spark, d).where("weight = 48").withColumn("dst", F.col("dst") + 10_000_000)
+    return access.out_degree(mutate.append_edges(P.sparse(spark, d), more))
+
+
 def _written(spark: SparkSession, d: str) -> DataFrame:
     """Shortest paths of the sparse graph, written as text and read back."""
     path = scratch_path(spark, "result")
@@ -114,10 +179,12 @@ def _loaded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _compared(spark: SparkSession, d: str) -> DataFrame:
-    """One row: whether two ways to the components agree, and whether depths agree exactly and within a tolerance."""
+    """Whether the components agree with themselves, with other names for them, and with a few of them changed."""
     g = P.sparse(spark, d, directed=False).fixed()
-    a, b = components.wcc(g), wcc_program().run(g)
-    return spark.createDataFrame([(compare.isomorphic(a, b), compare.exact(a, b), compare.within(a, b))], "isomorphic boolean, exact boolean, within boolean")
+    a, b = components.wcc(g), wcc_program().run(g).withColumnRenamed("value", "comp")
+    others = {"same": b, "renamed": b.withColumn("comp", F.col("comp") + 1), "nearly": b.withColumn("comp", F.col("comp") * 1.00001), "changed": b.withColumn("comp", F.when(F.col("id") % 100 == 3, F.lit(-1)).otherwise(F.col("comp")))}
+    rows = [(name, compare.isomorphic(a, x), compare.exact(a, x), compare.within(a, x)) for name, x in others.items()]
+    return spark.createDataFrame(rows, "name string, isomorphic boolean, exact boolean, within boolean")
 
 
 QUERIES: dict[str, Query] = {
@@ -141,16 +208,18 @@ QUERIES: dict[str, Query] = {
     "lcc_dense_directed": lambda s, d: _rounded(cohesion.lcc_directed(P.dense(s, d)), "lcc", 12),
     "triangles_simple": lambda s, d: cohesion.triangle_counts(P.simple(s, d)),
     "triangle_total_simple": lambda s, d: cohesion.triangle_total(P.simple(s, d)),
-    "kcore_simple_k40": lambda s, d: cohesion.kcore(P.simple(s, d), 40),
-    "kcore_size_sparse_k3": lambda s, d: cohesion.kcore_size(P.sparse(s, d, False), 3),
+    "kcore_simple_k30": lambda s, d: cohesion.kcore(P.simple(s, d), 30),
+    "kcore_size_simple_k31": lambda s, d: cohesion.kcore_size(P.simple(s, d), 31),
     "coreness_sparse": lambda s, d: cohesion.coreness(P.sparse(s, d, False)),
+    "coreness_simple": lambda s, d: cohesion.coreness(P.simple(s, d)),
+    "coreness_total_simple": lambda s, d: cohesion.coreness_total(P.simple(s, d)),
     "kclique3_simple": lambda s, d: cohesion.kclique(P.simple(s, d), 3),
     "kclique4_simple": lambda s, d: cohesion.kclique(P.simple(s, d), 4),
-    "kclique5_simple": lambda s, d: cohesion.kclique(P.simple(s, d), 5),
+    "kclique5_halved": lambda s, d: cohesion.kclique(P.halved(s, d), 5),
     "degree_out_dense": lambda s, d: access.out_degree(P.dense(s, d)),
     "degree_in_dense": lambda s, d: access.in_degree(P.dense(s, d)),
-    "neighbors_filtered_dense": lambda s, d: access.neighbours(P.dense(s, d), P.vertices(s, d).where("id % 10 = 3"), "out", F.col("weight") > 25),
-    "neighbors_in_dense": lambda s, d: access.neighbours(P.dense(s, d), P.vertices(s, d).where("id % 10 = 3"), "in"),
+    "neighbors_filtered_dense": lambda s, d: access.neighbours(P.dense(s, d), P.vertices(s, d), "out", F.col("weight") > 25),
+    "neighbors_in_dense": lambda s, d: access.neighbours(P.dense(s, d), P.vertices(s, d), "in"),
     "has_parent_sparse": lambda s, d: access.has_edges(P.sparse(s, d), "in"),
     "counts_dense": lambda s, d: access.counts(P.dense(s, d)),
     "frontier_erase_sparse": lambda s, d: access.erase(access.insert(P.vertices(s, d).where("id % 3 = 0"), P.vertices(s, d).where("id % 3 = 1")), access.has_edges(P.sparse(s, d), "out")),
@@ -166,12 +235,20 @@ QUERIES: dict[str, Query] = {
     "mutate_then_sssp": lambda s, d: traversal.sssp(_changed(s, d), SOURCE),
     "mutate_then_wcc": lambda s, d: components.wcc(_changed(s, d)),
     "mutate_vertices": _changed_vertices,
-    "sample_topk_dense": _sample("top_k", "id % 5 = 0"),  # the roots of its SQL
+    "sample_topk_dense": _sample("top_k"),
     "sample_random_dense": _sample("random"),
     "sample_edge_weight_dense": _sample("edge_weight"),
+    "sample_random_checked_dense": _checked("random"),
+    "sample_edge_weight_checked_dense": _checked("edge_weight"),
     "stream_sampler_dense": _streamed,
     "program_bfs_dense": lambda s, d: bfs_program(SOURCE).run(P.dense(s, d)).withColumnRenamed("value", "depth"),
     "program_wcc_sparse": lambda s, d: wcc_program().run(P.sparse(s, d)).withColumnRenamed("value", "comp"),
+    "program_in_dense": _in_program,
+    "program_mutated_sparse": _mutated_program,
+    "loaded_parsed_sparse": _parsed,
+    "loaded_changed_sparse": _loaded_changed,
+    "pagerank_numbered_simple": _numbered,
+    "appended_degree_sparse": _appended,
     "text_result_sssp_sparse": _written,
     "stored_counts_sparse": _stored,
     "loaded_degree_sparse": _loaded,

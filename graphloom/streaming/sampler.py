@@ -26,8 +26,13 @@ def parse(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, queries
 
 
-def handler(state: str, results: str, hops: list[int], strategy: str = "top_k", seed: int = 0, directed: bool = True) -> Callable[[DataFrame, int], None]:
-    """The function of a batch, for ``foreachBatch``."""
+def handler(state: str, results: str | Callable[[DataFrame, int], None], hops: list[int], strategy: str = "top_k", seed: int = 0, directed: bool = True) -> Callable[[DataFrame, int], None]:
+    """The function of a batch, for ``foreachBatch``; ``results`` is a folder or takes the lines (value) of a batch."""
+
+    def write(answers: DataFrame, batch_id: int) -> None:
+        answers.write.mode("overwrite").text(f"{results}/batch={batch_id}")
+
+    sink = write if isinstance(results, str) else results
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -36,19 +41,31 @@ def handler(state: str, results: str, hops: list[int], strategy: str = "top_k",
         new.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
         known = spark.read.schema("src long, dst long, weight double, batch long").parquet(state).where(F.col("batch") <= batch_id)
         asked = queries.distinct().join(known.select(F.col("src").alias("id")).unionAll(known.select(F.col("dst").alias("id"))), "id", "left_semi")
-        lines(sample(known, asked, hops, strategy, seed, order="batch")).write.mode("overwrite").text(f"{results}/batch={batch_id}")
+        sink(lines(sample(known, asked, hops, strategy, seed, order="batch")), batch_id)
 
     return handle
 
 
-def run(spark: SparkSession, source: str, state: str, results: str, checkpoint: str, hops: list[int], strategy: str = "top_k", seed: int = 0, directed: bool = True, files_a_batch: int = 1, interval: str | None = None) -> StreamingQuery:
-    """Start the job over a folder of text files; without an interval it ends when all files are read."""
-    stream = spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(source)
+def run(spark: SparkSession, source: str | DataFrame, state: str, results: str | Callable[[DataFrame, int], None], checkpoint: str, hops: list[int], strategy: str = "top_k", seed: int = 0, directed: bool = True, files_a_batch: int = 1, interval: str | None = None) -> StreamingQuery:
+    """Start the job over a folder of text files or any stream of lines (value), such as ``kafka_source``.
+
+    Without an interval it ends when all that is there is read.
+    """
+    stream = spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(source) if isinstance(source, str) else source
     writer = stream.writeStream.foreachBatch(handler(state, results, hops, strategy, seed, directed)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
 def kafka_source(spark: SparkSession, servers: str, topic: str, batch: int) -> DataFrame:
-    """The lines of a Kafka topic, from its beginning; needs Spark's Kafka connector on the class path."""
+    """The lines of a Kafka topic, from its beginning, ``batch`` at most at a time; needs Spark's Kafka connector on the class path."""
     read = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").option("maxOffsetsPerTrigger", batch)
     return read.load().select(F.col("value").cast("string").alias("value"))
+
+
+def kafka_sink(servers: str, topic: str) -> Callable[[DataFrame, int], None]:
+    """Answers as messages of a Kafka topic; a batch that runs again repeats its messages."""
+
+    def write(answers: DataFrame, batch_id: int) -> None:
+        answers.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+    return write
