@@ -67,10 +67,10 @@ def shapes(docs: DataFrame, shared: DataFrame, text: str = "text", doc_id: str =
     often = at.groupBy("leaf", "lines", "place", "word").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), salts))).drop("lines")
     salted = at.withColumn("salt", F.pmod("line", salts + 1).cast("int"))
     met = salted.join(often, ["leaf", "place", "word", "salt"], "left")
-    by = met.groupBy("line").agg(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "place", "word")).alias("w"))
+    met = met.withColumn("c", F.coalesce("c", F.lit(1)))
+    by = met.groupBy("line").agg(F.collect_list(F.struct("c", "place", "word")).alias("w"), F.expr("percentile_disc(0.5) within group (order by c)").alias("m"))
     known = own.join(by.withColumnRenamed("line", "of"), F.col("line") == F.col("of"), "left").withColumn("w", F.coalesce("w", F.array().cast("array<struct<c:bigint,place:int,word:bigint>>")))
-    middle = F.coalesce(F.get(F.array_sort(F.transform("w", lambda x: x["c"])), F.floor((F.size("w") - 1) / 2).cast("int")), F.lit(0))
-    known = known.withColumn("m", middle).withColumn("kept", F.expr("filter(w, x -> x.c > 1 and 2 * x.c >= m)"))
+    known = known.withColumn("kept", F.expr("filter(w, x -> x.c > 1 and 2 * x.c >= m)"))
     words, fields = F.size("w") - F.size("kept"), F.size(F.filter("t", lambda x: x == FIELD))
     fits = (4 * words <= F.size("t")) & (2 * (words + fields) <= F.size("t"))
     constant = F.array_sort(F.transform("kept", lambda x: F.struct(x["place"].alias("place"), x["word"].alias("word"))))
