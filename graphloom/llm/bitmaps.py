@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,3 +21,27 @@ def bitmap(rows: DataFrame, positions: list[Column], size: int) -> bytes:
         start = (r["bucket"] - 1) * BUCKET_BITS // 8
         whole[start : start + len(r["bits"])] = r["bits"]
     return bytes(whole[: -(-size // 8)])
+
+
+#: Bits of a filter for each key, and at most.
+FILTER_BITS_A_KEY, FILTER_BITS = 8, 1 << 28
+
+
+def key_filter(keys: DataFrame, key: Column) -> np.ndarray:
+    """A bitmap with two bits for each key, a uniform hash: 8 bits a key, and 32 MB at most.
+
+    Beyond that size it lets more through, which costs time and no result.
+    """
+    size = min(FILTER_BITS, 1 << max(16, (keys.count() * FILTER_BITS_A_KEY - 1).bit_length()))
+    places = [part.bitwiseAND(F.lit(size - 1)) for part in (key, F.shiftrightunsigned(key, 32))]
+    return np.frombuffer(bitmap(keys, places, size), np.uint8)
+
+
+def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter has each key; one that it lacks is none of its keys."""
+    size = np.uint64(len(bits) * 8 - 1)
+    out = np.ones(len(keys), bool)
+    for part in (keys, keys >> np.uint64(32)):
+        at = part & size
+        out &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return out

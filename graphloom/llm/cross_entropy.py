@@ -18,8 +18,8 @@ The logarithm falls into a part for each word, as it stands and as it precedes
 another, and one for each bigram that is known from elsewhere.  Hot words and
 bigrams, those that make up one HOT-th of all tokens and hence HOT at most, meet
 their counts by a broadcast; the others by one join, where no key has many rows.  A
-bitmap of all keys of that join, of FILTER_BITS at most, keeps most keys that it
-would not find out of the shuffle.
+bitmap of all keys of that join, of a bounded size, keeps most keys that it would
+not find out of the shuffle.
 """
 
 from __future__ import annotations
@@ -33,19 +33,17 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut_table
 from .batches import in_arrow, pieces, placed, without
-from .bitmaps import bitmap
-from .hash_array import HashArray
+from .bitmaps import key_filter, maybe
+from .hash_array import Hashes, HashArray
 from .simhash import LOWER
 
 PRIOR, MASS = 0.5, 8.0
 #: Hot words and hot bigrams at most, of 16 and 24 bytes.
 HOT_WORDS, HOT_GRAMS = 1 << 20, 1 << 21
-#: Words whose hashes a task holds, and tokens that it sums before it passes them on.
-HELD, SUMMED = 300_000, 2_000_000
+#: Tokens that a task sums before it passes them on.
+SUMMED = 2_000_000
 #: Ids of target documents that are broadcast; more are joined by a shuffle.
 TARGETS_SENT = 2_000_000
-#: Bits of the filter for each key of the join, and at most.
-FILTER_BITS_A_KEY, FILTER_BITS = 8, 1 << 28
 WORD, GRAM, DOC = 0, 1, 2
 NEW = ["n_words", "ce_target", "ce_background", "ce_diff"]
 #: Taken from a word's hash for the filter, so that it differs from a bigram's.
@@ -56,21 +54,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
 
 
-class Hashes(dict):
-    """XXH64 of words, remembered up to HELD words."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= HELD:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def after(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """The hash of bigrams; the start of a text is a first word of hash 0."""
     return ((first << np.uint64(1)) | (first >> np.uint64(63))) ^ second
@@ -187,22 +170,8 @@ class Tables:
         return out[0], out[1]
 
     def filter(self) -> np.ndarray:
-        """Bits of the keys of cold words and bigrams, two for each."""
-        n = self.cold.count()
-        size = min(FILTER_BITS, 1 << max(16, (n * FILTER_BITS_A_KEY - 1).bit_length()))
-        x = F.when(F.col("kind") == WORD, F.col("id").bitwiseXOR(F.lit(APART))).otherwise(F.col("id"))
-        places = [part.bitwiseAND(F.lit(size - 1)) for part in (x, F.shiftrightunsigned(x, 32))]
-        return np.frombuffer(bitmap(self.cold, places, size), np.uint8)
-
-
-def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether the filter has each key; one that it lacks isn't in the join."""
-    size = np.uint64(len(bits) * 8 - 1)
-    out = np.ones(len(keys), bool)
-    for part in (keys, keys >> np.uint64(32)):
-        at = part & size
-        out &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-    return out
+        """A filter of the keys of cold words and bigrams."""
+        return key_filter(self.cold, F.when(F.col("kind") == WORD, F.col("id").bitwiseXOR(F.lit(APART))).otherwise(F.col("id")))
 
 
 def _parts(docs: DataFrame, shared) -> DataFrame:
@@ -242,9 +211,9 @@ def _parts(docs: DataFrame, shared) -> DataFrame:
                     part = gtimes * np.log2(c * den[gdoc] / (MASS * (w + PRIOR)) + 1)
                     sums.append(base + np.bincount(gdoc, np.where(gat < grams.n, part, 0.0), n))
                 wcold = np.flatnonzero(wat == words.n)
-                wcold = wcold[_maybe(bits, wkeys[wcold] ^ np.uint64(APART))]
+                wcold = wcold[maybe(bits, wkeys[wcold] ^ np.uint64(APART))]
                 gcold = np.flatnonzero(gat == grams.n)
-                gcold = gcold[_maybe(bits, gkeys[gcold])]
+                gcold = gcold[maybe(bits, gkeys[gcold])]
                 doc = np.concatenate((np.arange(n), wdoc[wcold], gdoc[gcold]))
                 kind = np.repeat(np.array([DOC, WORD, GRAM], np.int32), (n, len(wcold), len(gcold)))
                 ids = np.concatenate((keys, wkeys[wcold].view(np.int64), gkeys[gcold].view(np.int64)))

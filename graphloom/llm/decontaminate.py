@@ -1,163 +1,204 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-An item's windows are its runs of ``width`` consecutive words.  A document
-contains a window only if it holds all of its words, so the words of a window
-are ordered by their frequency over all documents and one prefix word, the
-rarest, is the join token: full containment needs no longer prefix.  A document
-word equal to a prefix word gives, by its place in the window, one position where
-the window could start; the window must fit in the document there (length and
-positional bounds), and its words are then compared one by one.
-
-The index of one pass is broadcast, and its size is bounded: items are dealt to
-as many passes as ``ITEMS_A_PASS`` asks for, each over all documents, and the
-hits of the passes are joined by document.
+An item's windows are its runs of ``width`` consecutive words.  A window is the set
+of its shingles of SHINGLE words.  A document contains the window only if it has all
+of its shingles; ordered by their rarity over all documents, the first one, the
+rarest, is all the prefix that full containment needs, and a window of which any
+shingle is nowhere can't occur.  Documents and windows meet in a join on the
+prefix shingle.  Its place in the window gives the one place where the window could
+start; it must fit in the document there (positional and length bounds), and its
+words are then compared one by one.
+
+Windows, frequencies and prefixes are Spark tables.  Only filters of a bounded size
+are broadcast, which keep most shingles that would meet nothing out of the joins.
+What is found depends on the text alone, so equal texts are looked up once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField
+from pyspark.sql.window import Window
 
-from .batches import map_text, pieces
+from ..plans.lineage import cut, cut_table
+from .batches import in_arrow, pieces, placed, without
+from .bitmaps import key_filter, maybe
+from .hash_array import Hashes
 
-#: Bytes of items in one broadcast index.
-PASS_BYTES = 8_000_000
+#: Words of a shingle; a window of fewer is one shingle.
+SHINGLE = 5
 #: A-Z to a-z, digits and letters and bytes over 7F as they are, the rest to the space: on UTF-8 bytes.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+NEW = ["n_words", "hit_spans", "items"]
+MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORDS).split() if text else []
 
 
-def windows(items: Iterable[tuple], width: int) -> dict[tuple[bytes, ...], set]:
-    """Item ids by window; an item of fewer words, but not none, is one window."""
-    out: dict[tuple[bytes, ...], set] = {}
-    for item, text in items:
-        words = words_of(text)
-        for at in range(max(1, len(words) - width + 1)) if words else ():
-            out.setdefault(tuple(words[at : at + width]), set()).add(item)
-    return out
+def shingles(words: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each run of ``size`` of the words' hashes."""
+    n = max(0, len(words) - size + 1)
+    out = np.full(n, size, np.uint64)
+    for k in range(size):
+        out = (out ^ (out >> np.uint64(29))) * MIX + words[k : n + k]
+    return (out ^ (out >> np.uint64(32))) * MIX
 
 
-def frequencies(docs: DataFrame, vocabulary: set[bytes], text: str = "text") -> dict[bytes, int]:
-    """Documents that hold each word of the vocabulary, over all documents; the vocabulary bounds the result."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+class Found:
+    """The words of some texts in a row, and which of their shingles a filter has."""
+
+    def __init__(self, texts: list[str | None], hashes: Hashes):
+        self.words = [words_of(t) for t in texts]
+        sizes = np.array([len(w) for w in self.words])
+        self.starts = np.cumsum(sizes) - sizes
+        self.hashes = np.concatenate([hashes.of(w) for w in self.words]) if sizes.sum() else np.zeros(0, np.uint64)
+        self.docs = np.repeat(np.arange(len(texts)), sizes)
+
+    def hits(self, size: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the row, and hashes."""
+        found = shingles(self.hashes, size)
+        at = np.flatnonzero(maybe(bits, found))
+        at = at[self.docs[at] == self.docs[at + size - 1]]
+        return at, found[at]
+
+
+def windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(window, item), and (window, n, place, h) for each shingle of each different window; of (item, text)."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, 1):
+                for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    words = [w.decode() for w in words_of(text)]
+                    for at in range(0, max(1, len(words) - width + 1) if words else 0, 10_000):
+                        found = [" ".join(words[i : i + width]) for i in range(at, min(at + 10_000, max(1, len(words) - width + 1)))]
+                        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([item] * len(found), pa.string())], names=["window", "item"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            out = []
+            for window in batch.column(0).to_pylist():
+                own = hashes.of(window.encode().split(b" "))
+                for place, h in enumerate(shingles(own, min(SHINGLE, len(own))).view(np.int64).tolist()):
+                    out.append((window, len(own), place, h))
+            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["window", "n", "place", "h"])
+
+    owners = cut(in_arrow(benchmark, runs, "window string, item string").distinct())
+    return owners, cut(in_arrow(owners.select("window").distinct(), split, "window string, n int, place int, h long"))
+
+
+def frequencies(docs: DataFrame, sizes: list[int], bits) -> DataFrame:
+    """(h, c): how often each shingle that the filter has occurs in all texts; each task sums its own first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
+        hashes = Hashes()
+        for whole in batches:
+            for batch in pieces(whole, 0):
+                own = Found(batch.column(0).to_pylist(), hashes)
+                h, c = np.unique(np.concatenate([own.hits(s, bits.value)[1] for s in sizes]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+
+    return in_arrow(docs.select("text"), count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def prefixes(parts: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(window, n, place, h): the rarest shingle of each window whose shingles all occur."""
+    by = parts.join(frequency, "h").groupBy("window", "n").agg(F.min(F.struct("c", "h", "place")).alias("m"), F.count(F.lit(1)).alias("k"))
+    return by.where(F.col("k") == F.col("n") - F.least(F.col("n"), F.lit(SHINGLE)) + 1).select("window", "n", "m.place", "m.h")
+
+
+def candidates(docs: DataFrame, sizes: list[int], bits, width: int) -> DataFrame:
+    """(k1, k2, n_words, at, h, low, words): for each text a row with its words' number, and one for each of its shingles that the filter has.
 
-        found: Counter = Counter()
+    ``words`` are those from ``low`` on that a window with that shingle could have.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
         for whole in batches:
-            for batch in pieces(whole, text):
-                for t in batch.column(0).to_pylist():
-                    found.update(shared.value.intersection(words_of(t)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-
-    rows = docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {bytes(r["word"]): r["n"] for r in rows}
-
-
-class Index:
-    """Windows by their rarest word, and that word's place in each."""
-
-    def __init__(self, found: dict[tuple[bytes, ...], set], frequency: dict[bytes, int]):
-        self.by_word: dict[bytes, list] = {}
-        for window, items in found.items():
-            place = min(range(len(window)), key=lambda i: (frequency.get(window[i], 0), window[i], i))
-            self.by_word.setdefault(window[place], []).append((place, window, tuple(sorted(items))))
-        self.words = frozenset(self.by_word)
-
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """Start and end of each occurrence of a window, and the items hit."""
-        present = self.words.intersection(words)
-        spans, items = [], set()
-        if present:
-            n = len(words)
-            for at, word in enumerate(words):
-                if word in present:
-                    for place, window, owners in self.by_word[word]:
-                        start = at - place
-                        end = start + len(window)
-                        if start >= 0 and end <= n and words[start:end] == list(window):
-                            spans.append((start, end))
-                            items.update(owners)
-        return spans, items
-
-
-def passes(items: DataFrame, limit: int) -> list[DataFrame]:
-    """Items dealt by a hash of their id so that each part holds about ``limit`` bytes."""
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // limit) or 1
-    if n == 1:
-        return [items]
-    return [items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)]
-
-
-def _merge(spans: Iterable[tuple[int, int]]) -> list[int]:
-    """Disjoint sorted spans, flat: start, end, start, end."""
-    out: list[int] = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1]:
-            out[-1] = max(out[-1], end)
-        else:
-            out += [start, end]
-    return out
-
-
-HIT = [StructField("n_words", LongType(), False), StructField("hit_spans", ArrayType(LongType(), False), False), StructField("items", ArrayType(StringType(), False), False)]
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = PASS_BYTES) -> DataFrame:
+            for batch in pieces(whole, 2):
+                own = Found(batch.column(2).to_pylist(), hashes)
+                k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                counts = np.array([len(w) for w in own.words])
+                rows = [(i, -1, 0, 0, []) for i in range(len(counts))]
+                for s in sizes:
+                    for at, h in zip(*(x.tolist() for x in own.hits(s, bits.value)), strict=True):
+                        i = int(own.docs[at])
+                        p = at - int(own.starts[i])
+                        low = max(0, p + s - width)
+                        rows.append((i, p, h, low, [w.decode() for w in own.words[i][low : p + width]]))
+                for a in range(0, len(rows), 5_000):
+                    part = rows[a : a + 5_000]
+                    doc = np.array([r[0] for r in part])
+                    h = np.array([r[2] for r in part], np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(k1[doc]), pa.array(k2[doc]), pa.array(counts[doc]), pa.array([r[1] for r in part], pa.int64()), pa.array(h), pa.array([r[3] for r in part], pa.int64()), pa.array([r[4] for r in part], pa.list_(pa.string()))], names=["k1", "k2", "n_words", "at", "h", "low", "words"])
+
+    return in_arrow(docs.select("k1", "k2", "text"), find, "k1 long, k2 long, n_words long, at long, h long, low long, words array<string>")
+
+
+def lookup(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(k1, k2, n_words, ...) of every text, (k1, k2, start, end, window) of every occurrence of a window, and (window, item).
+
+    ``docs`` has k1, k2 and text; ``benchmark`` has item and text.
+    """
+    sc = docs.sparkSession.sparkContext
+    owners, parts = windows(benchmark.where("item is not null and text is not null"), width)
+    sizes = sorted(r[0] for r in parts.select(F.least(F.col("n"), F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]  # SHINGLE at most
+    every = sc.broadcast(key_filter(parts.select("h").distinct(), F.col("h")))
+    prefix = cut(prefixes(parts, frequencies(docs, sizes, every)))
+    every.destroy()
+    first = sc.broadcast(key_filter(prefix.select("h").distinct(), F.col("h")))
+    found = cut_table(candidates(docs, sizes, first, width), "candidates")
+    first.destroy()
+    met = found.where("at >= 0").dropDuplicates(["k1", "k2", "at", "h"]).join(prefix, "h").withColumn("start", F.col("at") - F.col("place"))
+    fits = (F.col("start") >= F.col("low")) & (F.col("start") + F.col("n") <= F.col("low") + F.size("words"))
+    same = F.array_join(F.slice("words", (F.col("start") - F.col("low") + 1).cast("int"), F.col("n")), " ") == F.col("window")
+    hits = cut_table(met.where(fits).where(same).select("k1", "k2", "start", (F.col("start") + F.col("n")).alias("end"), "window"), "hits")
+    return found, hits, owners
+
+
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    """A text's key is two hashes of it; a null one has that of the empty text."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumns({"k1": F.xxhash64(t), "k2": F.xxhash64(F.lit(1), t)})
+
+
+def _named(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    return benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` and n_words, hit_spans (word positions: start, end, start, end, ...) and items (ids as sorted strings).
 
-    Null and empty texts have no words and no hits.  Items without words, and
-    items whose id is null, have no windows.  Equal items are all named.  Rows of
-    ``docs`` are neither dropped nor merged; columns of the new names are replaced.
+    Null and empty texts have no words and no hits.  An item of fewer than ``width``
+    words, but not none, is one window; items without words, and items whose id is
+    null, have none.  Equal items are all named.  Rows of ``docs`` are neither
+    dropped nor merged, and an empty table gives none; without items nothing is hit.
+    Columns of the new names, whatever their case, are replaced.
     """
-    sc = docs.sparkSession.sparkContext
-    named = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
-    parts = []
-    for part in passes(named, limit):
-        found = windows(((r["item"], r["text"]) for r in part.toLocalIterator()), width)
-        vocabulary = {w for window in found for w in window}
-        parts.append(Index(found, frequencies(docs, vocabulary, text) if vocabulary else {}))
-    out = docs
-    for k, index in enumerate(parts):
-        shared = sc.broadcast(index)
-
-        def run(rows: list, shared=shared) -> list[list]:
-            n, spans, items = [], [], []
-            for t in rows:
-                words = words_of(t)
-                hit, who = shared.value.hits(words)
-                n.append(len(words))
-                spans.append(_merge(hit))
-                items.append(sorted(who))
-            return [n, spans, items]
-
-        if k == 0:
-            out = map_text(out, text, HIT, run)
-        else:
-            more = [StructField("__spans", HIT[1].dataType, False), StructField("__items", HIT[2].dataType, False)]
-            out = map_text(out, text, more, lambda rows, run=run: run(rows)[1:])
-            out = out.withColumn("items", F.array_sort(F.array_union("items", "__items"))).withColumn("hit_spans", F.expr(_UNION)).drop("__spans", "__items")
-    return out
-
-
-#: Two flat lists of spans as one, disjoint and sorted.
-_UNION = """aggregate(
-  array_sort(concat(
-    transform(filter(hit_spans, (x, i) -> i % 2 = 0), (x, i) -> struct(x as s, element_at(hit_spans, cast(2 * i + 2 as int)) as e)),
-    transform(filter(__spans, (x, i) -> i % 2 = 0), (x, i) -> struct(x as s, element_at(__spans, cast(2 * i + 2 as int)) as e)))),
-  cast(array() as array<bigint>),
-  (acc, x) -> if(size(acc) > 0 and x.s <= element_at(acc, -1),
-                 concat(slice(acc, 1, size(acc) - 1), array(greatest(element_at(acc, -1), x.e))),
-                 concat(acc, array(x.s, x.e))))"""
+    own, (t,) = placed(docs, text)
+    own = _keyed(own, t)
+    found, hits, owners = lookup(own.select("k1", "k2", F.col(t).alias("text")), _named(benchmark, item_id, item_text), width)
+    by = Window.partitionBy("k1", "k2").orderBy("start", "end")
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    islands = hits.select("k1", "k2", "start", "end").distinct().withColumn("new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
+    islands = islands.withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("k1", "k2", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = islands.groupBy("k1", "k2").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "end"))), lambda x: F.array(x["start"], x["end"]))).alias("hit_spans"))
+    who = hits.select("k1", "k2", "window").distinct().join(owners, "window").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    sizes = found.groupBy("k1", "k2").agg(F.max("n_words").alias("n_words"))
+    results = sizes.join(spans, ["k1", "k2"], "left").join(who, ["k1", "k2"], "left")
+    results = results.select(F.col("k1").alias("of1"), F.col("k2").alias("of2"), "n_words", *[F.coalesce(c, F.array().cast(k)).alias(c) for c, k in (("hit_spans", "array<long>"), ("items", "array<string>"))])
+    kept = [i for i, c in enumerate(docs.columns) if without([c], NEW)]
+    out = own.join(results, (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2"))).select(*[f"c{i}" for i in kept], *NEW)
+    return out.toDF(*[docs.columns[i] for i in kept], *NEW)
 
 
 def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -175,6 +216,9 @@ def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any window of the benchmark, with all of their columns."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__text"))
-    return contaminated(rows, benchmark, text="__text").where(F.size("hit_spans") == 0).select("__row.*")
+    """The rows of ``docs`` without any window of the benchmark, with all of their columns; repeated rows stay or go together."""
+    own, (t,) = placed(docs, text)
+    own = _keyed(own, t)
+    _, hits, _ = lookup(own.select("k1", "k2", F.col(t).alias("text")), _named(benchmark, "item_id", "text"), 10)
+    hit = hits.select("k1", "k2").distinct()
+    return own.join(hit, ["k1", "k2"], "left_anti").select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

@@ -1,4 +1,4 @@
-"""Sorted arrays of 64-bit hashes with values, and a search in them."""
+"""Hashes of words, and sorted arrays of 64-bit hashes with values."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import numpy as np
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of a hash that the index is over.
 INDEX = 20
+#: Words whose hashes a task holds.
+HELD = 300_000
 
 
 class HashArray:
@@ -40,3 +42,18 @@ class HashArray:
         np.minimum(at, n - 1, out=at)
         at[self.hashes[at] != hashes] = n
         return at
+
+
+class Hashes(dict):
+    """XXH64 of words, remembered up to HELD words."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= HELD:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word)
+        return out
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))

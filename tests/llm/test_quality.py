@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from graphloom.llm import bitmaps as B
 from graphloom.llm import cross_entropy as C
 from graphloom.llm import kneser_ney as K
 from graphloom.llm import quality as Q
@@ -193,7 +194,7 @@ def test_scores_against_brute_force(spark, monkeypatch):
     for words, grams, bits in ((1 << 20, 1 << 21, 1 << 28), (20, 40, 1 << 10), (1, 1, 1 << 16)):  # all hot; some, and a full filter; none
         monkeypatch.setattr(C, "HOT_WORDS", words)
         monkeypatch.setattr(C, "HOT_GRAMS", grams)
-        monkeypatch.setattr(C, "FILTER_BITS", bits)
+        monkeypatch.setattr(B, "FILTER_BITS", bits)
         out = C.score(docs, asked)
         assert out.columns == ["doc_id", "text", "a.b", *C.NEW]
         found = out.collect()
