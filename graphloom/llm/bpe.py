@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import regex
 
@@ -125,8 +125,12 @@ class ByteCounter:
     """Token counts of every prefix, for a byte-level vocabulary in a .json file."""
 
     MEMO = 500_000
+    #: Tokens before a token that are remembered with it, and characters of a piece that is remembered.
+    AFTER, LONG = 20_000, 64
 
     def __init__(self, path: str):
+        import ahocorasick
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         shown = byte_alphabet()
@@ -138,27 +142,43 @@ class ByteCounter:
         for r, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             ranks[(raw(a), raw(b))] = r
-        self.longest = max(map(len, self.ids))
         self.table = MergeTable(lambda a, b: ranks.get((a, b)), lambda token: [token[i : i + 1] for i in range(len(token))])
+        self.arcs = ahocorasick.Automaton()
+        for token in self.ids:  # bytes as characters of the same number
+            self.arcs.add_word(token.decode("latin-1"), (token, len(token), {}))
+        self.arcs.make_automaton()
         self.pieces = regex.compile(BYTE_LEVEL_SPLIT).findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.memo: dict[str, int] = {}  # of stretches between spaces
         self.known: dict[str, int] = {}  # of pieces
 
-    def programme(self, word: bytes) -> tuple[list[int], list[bytes]]:
-        """Counts and last tokens of all prefixes of one piece, from the empty one on."""
-        counts, last = [0], [b""]
-        ids, apart, made, longest = self.ids, self.table.apart, self.table.made, self.longest
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                token = word[start:end]
-                if token in ids and made(token) and (not start or apart(last[start], token)):
-                    counts.append(counts[start] + 1)
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-        return counts, last
+    def programme(self, word: bytes) -> list[int]:
+        """Counts of all prefixes of one piece, from the empty one on.
+
+        One pass of an automaton gives the tokens that end at each byte, the longest
+        first; the first that stays apart from the last token before it is the one.
+        """
+        n = len(word)
+        counts, last = [0] * (n + 1), [b""] * (n + 1)
+        allowed = self._allowed
+        for at, (token, size, after) in self.arcs.iter(word.decode("latin-1")):
+            end = at + 1
+            if not last[end]:
+                before = last[end - size]
+                if after[before] if before in after else allowed(before, token, after):
+                    last[end] = token
+                    counts[end] = counts[end - size] + 1
+        if not all(last[1:]):
+            raise ValueError("the vocabulary lacks a byte")
+        return counts
+
+    def _allowed(self, before: bytes, token: bytes, after: dict) -> bool:
+        """Whether ``token`` may stand after ``before``; remembered with the token."""
+        if len(after) >= self.AFTER:
+            after.clear()
+        table = self.table
+        after[before] = out = table.made(token) and (not before or table.parted(before, token))
+        return out
 
     def _chunk(self, chunk: str, space: str) -> int:
         """Tokens of ``chunk`` after ``space``; -1 if white space before or in it runs together."""
@@ -167,12 +187,14 @@ class ByteCounter:
         else:
             n = 0
             for piece in self.pieces(space + chunk):
-                if piece not in self.known:
-                    if len(self.known) >= self.MEMO:
-                        self.known.clear()
-                    self.known[piece] = self.programme(piece.encode("utf-8", "surrogatepass"))[0][-1]
-                n += self.known[piece]
-        if space:
+                if (own := self.known.get(piece)) is None:
+                    own = self.programme(piece.encode("utf-8", "surrogatepass"))[-1]
+                    if len(piece) <= self.LONG:
+                        if len(self.known) >= self.MEMO:
+                            self.known.clear()
+                        self.known[piece] = own
+                n += own
+        if space and len(chunk) <= self.LONG:
             if len(self.memo) >= self.MEMO:
                 self.memo.clear()
             self.memo[chunk] = n
@@ -206,30 +228,37 @@ class ByteCounter:
             return self._plain(text)
         return sum(k % 2 or self._plain(part) for k, part in enumerate(self.split_special(text)))
 
+    def _prefixes(self, text: str) -> Iterator[tuple[str, int, list[int]]]:
+        """The pieces of a text without special strings, the tokens before each, and the programme of each."""
+        done = 0
+        for piece in self.pieces(text):
+            counts = self.programme(piece.encode("utf-8", "surrogatepass"))
+            yield piece, done, counts
+            done += counts[-1]
+
     def prefix_counts(self, text: str | None) -> list[int]:
         """Tokens of the text cut after 0, 1, 2, ... code points.
 
-        A cut inside a piece reads the programme of that piece.  Three cuts change
-        the split itself and are counted as the shorter text is split: inside a
-        contraction, after the space that a word takes from a run of white space,
-        and inside a special string.
+        Each piece's programme is run once and gives every cut inside it.  Three kinds
+        of cut change the split itself, of a few characters before the cut: inside a
+        contraction, after the space that a word takes from a run of white space, and
+        inside a special string.  Of these the last pieces are counted as the shorter
+        text is split.
         """
-        out, done, tail = [0], 0, ""
+        out, done, before, tail = [0], 0, 0, ""
         text = text or ""
         for k, part in enumerate(self.split_special(text) if self.split_special else [text]):
             if k % 2:
-                before = done - self._plain(tail)
                 for i in range(1, len(part)):
                     out.append(before + self._plain(tail + part[:i]))
                 done += 1
                 out.append(done)
                 continue
-            tail = part
-            run = ""
-            before_run = done
-            for piece in self.pieces(part):
-                word = piece.encode("utf-8", "surrogatepass")
-                counts = self.programme(word)[0]
+            base, run, before_run = done, "", done
+            near = [(done, "")]  # the last pieces, and the tokens before them
+            for piece, upto, counts in self._prefixes(part):
+                done = base + upto
+                near = [*near[-2:], (done, piece)]
                 at = 0
                 for i, c in enumerate(piece):
                     at += len(c.encode("utf-8", "surrogatepass"))
@@ -246,4 +275,5 @@ class ByteCounter:
                 done += counts[-1]
                 if piece.isspace() and run != piece:
                     out[-1] = before_run + self._plain(run)
+            before, tail = near[0][0], "".join(p for _, p in near)
         return out

@@ -148,6 +148,8 @@ class Codec:
             raise ValueError("only the identity normaliser with a dummy prefix and kept white space is supported")
         if kind not in (1, 2) or not model.trainer_spec.byte_fallback:
             raise ValueError("only unigram and byte-pair models with byte fallback are supported")
+        if any(p.type in (4, 5) for p in model.pieces):
+            raise ValueError("pieces defined by the user, and unused ones, aren't supported")
         self.texts, plain, self.bytes = [], {}, {}
         for i, p in enumerate(model.pieces):
             self.texts.append(p.piece.replace(SPACE, " ") if p.type == 1 else "")

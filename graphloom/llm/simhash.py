@@ -6,11 +6,12 @@ Hamming distance of the fingerprints, so it bounds the candidates from below.
 Written in unary, a segment's count takes two bits (0: 00, 1: 01, 2: 11), hence
 the whole point fits one long and the Manhattan distance is a popcount of an XOR.
 
-The grid has cells of side one over half of the axes: the axes form six blocks,
-and points within distance three agree on at least three blocks, so they meet in
-one of the 20 cells given by three blocks.  A pair is kept in the first such
-cell only, the join checks both distances inside its condition, and links are
-between distinct fingerprints: copies never meet in a join.
+The grid has cells of side one: the axes form B blocks, and points within distance
+three agree on at least B - 3 of them, so they meet in one of the cells given by B - 3
+blocks.  More blocks make more and smaller cells; B follows the number of
+fingerprints so that each is compared with few others by chance.  A pair is kept in
+the first such cell only, the join checks both distances inside its condition, and
+links are between distinct fingerprints: copies never meet in a join.
 """
 
 from __future__ import annotations
@@ -24,13 +25,16 @@ from pyspark.sql.types import LongType, StructField
 
 from ..operators.components import components
 from ..plans.lineage import cut
-from .batches import map_text
+from .batches import map_text, placed
 
 #: A-Z to a-z and all ASCII white space to the space, on UTF-8 bytes.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 LANES = np.uint64(0x0101010101010101)
 RUN = 255  # values that one lane of eight bits can count
-BLOCKS, SHARED = 6, 3
+#: Blocks of the grid to choose from.
+BLOCKS = (6, 8, 10, 12)
+#: The chance that two random segments have the same count.
+ALIKE = 0.375
 EVEN = 0x5555555555555555
 
 
@@ -82,25 +86,41 @@ def embedding(fp: str) -> F.Column:
     return x.bitwiseOR(half).bitwiseAND(low).bitwiseOR(F.shiftleft(x.bitwiseAND(half).bitwiseAND(low), 1))
 
 
-def cells() -> list[int]:
-    """Bit masks of the axes of each grid: three blocks of six."""
-    blocks = [sum(3 << (2 * axis) for axis in range(32) if axis * BLOCKS // 32 == b) for b in range(BLOCKS)]
-    return [_signed(sum(blocks[b] for b in kept)) for kept in combinations(range(BLOCKS), SHARED)]
+def _axes(blocks: int) -> list[int]:
+    return [sum(3 << (2 * axis) for axis in range(32) if axis * blocks // 32 == b) for b in range(blocks)]
 
 
-def links(distinct: DataFrame, most: int = 3) -> DataFrame:
+def cells(blocks: int, most: int = 3) -> list[int]:
+    """Bit masks of the axes of each grid: all but ``most`` of the blocks."""
+    axes = _axes(blocks)
+    return [_signed(sum(axes[b] for b in kept)) for kept in combinations(range(blocks), blocks - most)]
+
+
+def blocks_for(n: int, most: int = 3) -> int:
+    """The fewest blocks with which a fingerprint of ``n`` random ones meets less than one other by chance."""
+    for blocks in BLOCKS:
+        meets = sum(ALIKE ** (m.bit_count() / 2) for m in (c % (1 << 64) for c in cells(blocks, most)))
+        if meets * n < 1:
+            return blocks
+    return BLOCKS[-1]
+
+
+def links(distinct: DataFrame, most: int = 3, blocks: int | None = None) -> DataFrame:
     """Pairs (a, b) of the ``rep`` of fingerprints at ``most`` or fewer differing bits.
 
     ``distinct``: one row (fp, rep) for each fingerprint.  ``most`` is 3 or less.
     """
-    masks = cells()
+    blocks = blocks or blocks_for(distinct.count(), most)
+    masks = cells(blocks, most)
     point = distinct.select("fp", "rep", embedding("fp").alias("at"))
     keyed = point.select("fp", "rep", "at", F.posexplode(F.array(*[F.col("at").bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell"))
     a, b = keyed.alias("a"), keyed.alias("b")
     apart = F.col("a.at").bitwiseXOR(F.col("b.at"))
-    earlier = F.lit(len(masks))
-    for i in range(len(masks) - 1, -1, -1):
-        earlier = F.when(apart.bitwiseAND(F.lit(masks[i])) == 0, F.lit(i)).otherwise(earlier)
+    axes = [_signed(m) for m in _axes(blocks)]
+    alike = sum((F.when(apart.bitwiseAND(F.lit(m)) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(axes)), F.lit(0))
+    kept = [sum(1 << i for i in c) for c in combinations(range(blocks), blocks - most)]
+    first = [next((g for g, c in enumerate(kept) if c & m == c), -1) for m in range(1 << blocks)]  # by the blocks that agree
+    earlier = F.get(F.split(F.lit(",".join(map(str, first))), ",").cast("array<int>"), alike)
     met = (
         (F.col("a.grid") == F.col("b.grid"))
         & (F.col("a.cell") == F.col("b.cell"))
@@ -118,7 +138,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Every row gives a row.  Rows without an id take part in no link, but share the
     component of an equal fingerprint; where no row with an id has it, null.
     Texts that are null or without words have fingerprint zero, linked like any
-    other.
+    other; copied rows each count as a row.  An empty table gives none.
     """
     prints = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").drop("text"))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
@@ -136,9 +156,8 @@ def op7(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component; rows without an id stay.
 
-    Repeated rows with that same id all stay.
+    Repeated rows with that same id all stay, and columns stay as they are.
     """
-    kept = near_duplicates(docs, text, doc_id).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(doc_id) == F.col("__kept"), "left").where(F.col("__kept").isNotNull() | F.col(doc_id).isNull()).drop("__kept")
-
-
+    own, (t, d) = placed(docs, text, doc_id)
+    kept = near_duplicates(own, t, d).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    return own.join(kept, F.col(d) == F.col("__kept"), "left").where(F.col("__kept").isNotNull() | F.col(d).isNull()).drop("__kept").toDF(*docs.columns)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 
-from .batches import map_text
+from .batches import map_text, without
 from .bpe import ByteCounter
 
 COUNTERS: dict[str, ByteCounter] = {}
@@ -37,19 +37,24 @@ def prefix_counts(docs: DataFrame, vocabulary: str, text: str = "text", out: str
     return map_text(docs, text, [StructField(out, ArrayType(IntegerType(), False), False)], lambda texts: [[counter(vocabulary).prefix_counts(t) for t in texts]])
 
 
+def fit(stored: DataFrame, budget: int | str, prefixes: str = "prefix_tokens", out: str = "truncated") -> DataFrame:
+    """``stored`` and, by its arrays of prefix counts alone, the code points of the longest prefix within ``budget`` tokens, and whether that is the whole text.
+
+    ``budget`` is a number or the name of a column with one.  No text is read, and a
+    null array or budget gives nulls.
+    """
+    most = F.col(budget) if isinstance(budget, str) else F.lit(budget)
+    at = F.when(most.isNotNull(), F.array_max(F.transform(prefixes, lambda x, i: F.when(x <= most, i).otherwise(-1))))
+    kept = [c for c in stored.columns if c in without([c], [f"{out}_at", f"{out}_whole"])]
+    return stored.select(*[F.col(f"`{c}`") for c in kept], at.alias(f"{out}_at"), (at == F.size(prefixes) - 1).alias(f"{out}_whole"))
+
+
 def truncate(docs: DataFrame, vocabulary: str, budget: int, text: str = "text", out: str = "truncated") -> DataFrame:
-    """``docs``, the code points of the longest prefix within ``budget`` tokens, and whether that is the whole text."""
-
-    def run(texts: list) -> list[list]:
-        ends, whole = [], []
-        for t in texts:
-            counts = counter(vocabulary).prefix_counts(t)
-            end = next(i for i in range(len(counts) - 1, -1, -1) if counts[i] <= budget)
-            ends.append(end)
-            whole.append(end == len(counts) - 1)
-        return [ends, whole]
-
-    return map_text(docs, text, [StructField(f"{out}_at", IntegerType(), False), StructField(f"{out}_whole", BooleanType(), False)], run)
+    """``docs``, the code points of the longest prefix of each text within ``budget`` tokens, and whether that is the whole text.
+
+    A null text counts as empty, whose prefix is whole; repeated rows stay.
+    """
+    return fit(prefix_counts(docs, vocabulary, text, "__prefixes"), budget, "__prefixes", out).drop("__prefixes")
 
 
 def op2(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFrame:

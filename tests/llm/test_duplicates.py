@@ -47,9 +47,19 @@ def test_links_are_complete(spark):
             prints.append(y)
     prints = list(dict.fromkeys(prints))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    found = H.links(spark.createDataFrame([(signed(x), i) for i, x in enumerate(prints)], "fp long, rep long")).collect()
+    distinct = spark.createDataFrame([(signed(x), i) for i, x in enumerate(prints)], "fp long, rep long")
     want = {frozenset((i, j)) for i, x in enumerate(prints) for j, y in enumerate(prints[:i]) if (x ^ y).bit_count() <= 3}
-    assert len(found) == len(want) and {frozenset((x["a"], x["b"])) for x in found} == want
+    for blocks in H.BLOCKS:
+        found = H.links(distinct, blocks=blocks).collect()
+        assert len(found) == len(want) and {frozenset((x["a"], x["b"])) for x in found} == want
+
+
+def test_comparisons_grow_with_the_fingerprints():
+    """By chance a fingerprint meets less than one other in all of its cells, whatever their number."""
+    assert H.blocks_for(1000) == H.BLOCKS[0]
+    for n in (10**5, 10**6, 10**7, 5 * 10**7):
+        meets = n * sum(H.ALIKE ** ((c % (1 << 64)).bit_count() / 2) for c in H.cells(H.blocks_for(n)))
+        assert meets < 1, (n, meets)
 
 
 def test_embedding_bounds(spark):

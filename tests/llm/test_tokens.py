@@ -84,6 +84,43 @@ def test_counts_equal_the_library():
             assert own.prefix_counts(t) == [size(t[:i]) for i in range(len(t) + 1)], t
 
 
+def test_long_pieces_and_prefixes():
+    """A text without any space, and cuts around special strings after a long text."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(VOCABULARY)
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    own = ByteCounter(VOCABULARY)
+    r = random.Random(5)
+    cjk = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(100_000))
+    start = time.time()
+    assert own.count(cjk) == size(cjk) and time.time() - start < 10
+    for t in ["word " * 50 + "end!<|endoftext|><|endoftext|> x <|endoftext|>", "<|endoftext|>a  <|endoftext|>  \n<|endoftext|>"]:
+        assert own.prefix_counts(t) == [size(t[:i]) for i in range(len(t) + 1)]
+
+
+def test_stored_prefixes_answer_budgets(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat", 3), (1, "the cat sat on the mat", 99), (2, "", 0), (3, None, 1), (4, "x", None)], "doc_id long, text string, Most int")
+    stored = T.prefix_counts(docs, VOCABULARY).drop("text")
+    found = T.fit(stored, "Most").select("doc_id", "truncated_at", "truncated_whole").collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, [(1, 11, False), (1, 22, True), (2, 0, True), (3, 0, True), (4, None, None)]))
+    assert T.fit(stored.limit(0), 5).count() == 0 and T.truncate(docs.limit(0), VOCABULARY, 5).count() == 0
+
+
+def test_pieces_of_other_types_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    model.pieces.add(piece="<sep>", score=0.0, type=4)
+    (tmp_path / "own.model").write_bytes(model.SerializeToString())
+    with pytest.raises(ValueError, match="user"):
+        S.Codec(str(tmp_path / "own.model"))
+
+
 def test_neighbours():
     """Two tokens stay apart exactly if merging their atoms gives the two."""
     ranks = {("a", "b"): 0, ("b", "a"): 1, ("ab", "a"): 2, ("a", "a"): 3, ("aa", "b"): 4}
@@ -96,9 +133,9 @@ def test_neighbours():
 
 def test_frames(spark):
     rows = [(1, "the cat", 5, "u"), (1, "the cat", 5, "u"), (None, None, None, None), (2, "", 6, "v"), (3, "é▁ x", 7, "w")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens long, ids string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, N_tokens long, IDS string")
     out = S.encode(docs, MODEL, check="same")
-    assert out.columns == ["doc_id", "text", "n_tokens", "ids", "same"] and out.count() == 5
+    assert out.columns == ["doc_id", "text", "N_tokens", "ids", "same"] and out.count() == 5
     assert all(r["same"] for r in out.collect())
     back = S.decode(out.select("doc_id", "ids"), MODEL)
     assert sorted(r["text"] for r in back.collect()) == sorted(["the cat", "the cat", "", "", "é  x"])
