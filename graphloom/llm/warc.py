@@ -1,8 +1,9 @@
 """Deterministic sharded WARC files: a writer and a reader.
 
-Records are sorted by id.  Shards are ranges of ids cut by a histogram of payload
-bytes, so they depend on the rows alone and not on partitions or executors; within
-a shard a new file begins once the compressed size passes the limit.  A file is
+Records are sorted by id and payload.  Shards are ranges in that order that are cut
+at exact quantiles of the payload bytes, so they depend on the rows alone and not on
+partitions or executors, and ids far apart or close together make no difference;
+within a shard a new file begins once the compressed size passes the limit.  A file is
 written under a temporary name and renamed when it is whole, so a task that runs
 again, or twice, leaves the same file.  The job's output is the manifest, one row
 for each file with its size, digest and range of ids, which Spark's own commit
@@ -18,6 +19,7 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,12 +27,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.lineage import cut, scratch_path
-from .batches import pieces
+from .batches import in_arrow, pieces
 
-#: Raw payload bytes that a shard aims at, compressed bytes after which a file is rolled, cells of the histogram.
-SHARD_BYTES, FILE_BYTES, CELLS = 8_000_000, 4_000_000, 65_536
+#: Raw payload bytes that a shard aims at, and compressed bytes after which a file is rolled.
+SHARD_BYTES, FILE_BYTES = 8_000_000, 4_000_000
+#: Shards at most, whose first keys are sent to all tasks, 16 bytes each; more bytes make larger shards.
+SHARDS, FAN = 65_536, 256
 #: Keys of copied payloads that are broadcast, of about 100 bytes each; more are joined by a shuffle.
 COPIES_SENT = 100_000
 DATE = "1970-01-01T00:00:00Z"
@@ -123,28 +128,44 @@ class Roller:
 MANIFEST = "file string, records long, bytes long, sha256 string, first_id long, last_id long"
 
 
-def shards(sized: DataFrame, target: int) -> tuple[DataFrame, int, int, int]:
-    """(cell, shard) for each used cell of ids, the least id, a cell's width and the number of shards.
+KEY = "array<struct<i:bigint,k:bigint>>"
 
-    ``sized`` has page_id and n, the payload's bytes.  Cells are CELLS at most.
-    """
-    spark = sized.sparkSession
-    low, high = sized.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = (high - low) // CELLS + 1
-    rows = sized.groupBy(cell(low, width).alias("cell")).agg(F.sum("n").alias("n")).orderBy("cell").collect()  # CELLS rows at most
-    out, shard, held = [], 0, 0
-    for r in rows:
-        if held and held + r["n"] > target:
-            shard, held = shard + 1, 0
-        held += r["n"]
-        out.append((r["cell"], shard))
-    return spark.createDataFrame(out, "cell long, shard int"), low, width, shard + 1
 
+def keyed(pages: DataFrame) -> DataFrame:
+    """``pages`` with i and k, by which records are ordered: the id, a null first, and a hash of the payload."""
+    return pages.withColumns({"i": F.coalesce("page_id", F.lit(-(1 << 63))), "k": F.xxhash64("payload")})
 
-def cell(low: int, width: int) -> F.Column:
-    """The cell of an id; a null is in the first."""
-    return F.coalesce(F.expr(f"(page_id - {low}L) div {width}L"), F.lit(0)).cast("long")
+
+def shards(sized: DataFrame, target: int) -> list[tuple[int, int]]:
+    """The first (i, k) of each shard but the first, in order; of (i, k, n), n being a payload's bytes.
+
+    Equal keys are summed, dealt by range, summed in their range and shifted by the
+    ranges before, one number for each task.
+    """
+    spark = sized.sparkSession
+    cells = sized.groupBy("i", "k").agg(F.sum("n").alias("n"))
+    dealt = cut(cells.repartitionByRange("i", "k").withColumn("p", F.spark_partition_id()))
+    before, total = [], 0
+    for r in dealt.groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect():
+        before.append((r["p"], total))
+        total += r["n"]
+    target = max(target, -(-total // SHARDS), 1)
+    shift = F.broadcast(spark.createDataFrame(before, "p int, start long"))
+    own = F.sum("n").over(Window.partitionBy("p").orderBy("i", "k"))
+    placed = dealt.withColumn("own", own).join(shift, "p").select("i", "k", F.floor((F.col("own") + F.col("start") - F.col("n")) / target).alias("s"))
+    firsts = placed.groupBy("s").agg(F.min(F.struct("i", "k")).alias("f")).orderBy("s").collect()  # SHARDS + 1 at most
+    return [(r["f"]["i"], r["f"]["k"]) for r in firsts][1:]
+
+
+def in_shards(records: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """``records``, which are ``keyed``, with the number of their shard: a search in the first keys, FAN at a time."""
+    shown = lambda part: json.dumps([{"i": i, "k": k} for i, k in part])
+    groups = [bounds[a : a + FAN] for a in range(0, len(bounds), FAN)] or [[]]
+    upto = lambda keys: F.size(F.filter(keys, lambda x: x <= F.struct("i", "k")))
+    coarse = F.from_json(F.lit(shown([g[0] for g in groups[1:]])), KEY)
+    fine = records.sparkSession.createDataFrame([(g, g * FAN, shown(part)) for g, part in enumerate(groups)], "__g int, __base int, __keys string")
+    fine = F.broadcast(fine.withColumn("__keys", F.from_json("__keys", KEY)))
+    return records.withColumn("__group", upto(coarse)).join(fine, F.col("__group") == F.col("__g")).withColumn("shard", F.col("__base") + upto(F.col("__keys"))).drop("__group", "__g", "__base", "__keys")
 
 
 def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, at_least: int = 0) -> DataFrame:
@@ -157,16 +178,14 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
     shard, and are revisits where another row has the payload and an id.
     ``folder`` must be new and shared by all executors.
     """
-    spark = pages.sparkSession
-    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("key", F.sha2("payload", 256))
-    sized = cut(own.select("page_id", "key", F.length("payload").cast("long").alias("n")))
+    own = keyed(pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("key", F.sha2("payload", 256)))
+    sized = cut(own.select("page_id", "i", "k", "key", F.length("payload").cast("long").alias("n")))
     latest = sized.where(F.col("n") >= at_least).groupBy("key").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies"))
     latest = cut(latest.where("copies > 1 and refers_to is not null").select("key", "refers_to"))
-    cells, low, width, n = shards(sized, shard_bytes)
+    bounds = shards(sized, shard_bytes)
     small = latest.count() <= COPIES_SENT
-    placed = own.join(F.broadcast(latest) if small else latest, "key", "left").drop("key")
-    placed = placed.withColumn("cell", cell(low, width)).join(F.broadcast(cells), "cell").drop("cell")
-    ordered = placed.repartition(n, "shard").sortWithinPartitions("shard", "page_id", "payload", "url")
+    located = in_shards(own.join(F.broadcast(latest) if small else latest, "key", "left").drop("key"), bounds)
+    ordered = located.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "i", "k", "url").drop("i", "k")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, seen = Roller(folder, file_bytes), None
@@ -184,8 +203,8 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
         if roller.done:
             yield pa.RecordBatch.from_pylist(roller.done, schema=pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64())]))
 
-    ordered.mapInArrow(work, MANIFEST).write.parquet(f"{folder}/_manifest")
-    return manifest(spark, folder)
+    in_arrow(ordered, work, MANIFEST).write.parquet(f"{folder}/_manifest")
+    return manifest(pages.sparkSession, folder)
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -253,7 +272,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(held, schema=RECORD)
 
     named = manifest(spark, folder).select("file", "bytes", "sha256")
-    return named.repartition(64).mapInArrow(work, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return in_arrow(named.repartition(64), work, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op4(pages: DataFrame) -> DataFrame:

@@ -48,6 +48,28 @@ def test_damage_is_seen(spark, tmp_path):
         W.read(spark, str(tmp_path / "w")).count()
 
 
+def test_shards_follow_bytes_and_not_ids(spark, tmp_path, monkeypatch):
+    """Dense ids with an outlier, ids all over the range, one id for many rows, extra columns; more shards than one group of keys."""
+    monkeypatch.setattr(W, "FAN", 4)
+    r = random.Random(3)
+    ids = {"outlier": [*range(400), 1 << 60], "wide": [r.getrandbits(64) - (1 << 63) for _ in range(400)] + [-(1 << 63), (1 << 63) - 1], "one": [7] * 300 + [None] * 100}
+    for name, own in ids.items():
+        pages = spark.createDataFrame([(i, f"u{j}", f"{j:05d}" * 20, 1, 2) for j, i in enumerate(own)], PAGES + ", i int, `a.b` int")
+        files = W.write(pages, str(tmp_path / name), shard_bytes=2000, file_bytes=1 << 30).collect()
+        assert len(files) == -(-len(own) * 100 // 2000), name
+        assert max(f["records"] for f in files) <= 21
+        assert W.read(spark, str(tmp_path / name)).count() == len(own)
+        firsts = [f["first_id"] for f in sorted(files, key=lambda f: f["file"]) if f["first_id"] is not None]
+        assert firsts == sorted(firsts)
+
+
+def test_long_payloads(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "é<p>" * 800_000), (2, "v", "é<p>" * 800_000), (3, "w", "x")], PAGES)
+    W.write(pages, str(tmp_path / "w"))
+    rows = {x["page_id"]: x for x in W.read(spark, str(tmp_path / "w"), payloads=False).collect()}
+    assert rows[1]["payload_bytes"] == 4_000_000 and rows[1]["refers_to"] == 2 and rows[2]["record_type"] == "response"
+
+
 def test_short_payloads_never_revisit(spark, tmp_path):
     W.write(spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], PAGES), str(tmp_path / "w"), at_least=3)
     assert {r["record_type"] for r in W.read(spark, str(tmp_path / "w")).collect()} == {"response"}
