@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from .bitmaps import bitmap
 
 #: Bits for each key of the first level and of the later ones, and hash values for each key.
 FIRST, LATER = (12, 8), (4, 3)
-#: Bytes that all levels may take as literals in a plan; beyond it the list is joined.
-LITERAL_BYTES = 16_000_000
-BUCKET_BITS = 32_768  # of Spark's bitmap functions
+#: Bytes that all levels may take as literals in a plan, about 12 bits for each listed key: 80 million keys of the
+#: corpus.  A longer list is joined instead, since no task could hold its cascade.
+LITERAL_BYTES = 128_000_000
 
 
 @dataclass
@@ -62,20 +63,15 @@ def encode(keys: DataFrame, n: int, bits: int, hashes: int, seed: int) -> Level:
     """A level over ``key``; its size follows the number of keys, and Spark builds the bitmaps."""
     size = max(64, 8 * math.ceil(n * bits / 8))
     level = Level(b"", size, hashes, seed)
-    at = keys.select(F.explode(F.array(*[p + 1 for p in level.positions(F.col("key"))])).alias("at"))  # Spark's bitmaps count from 1
-    rows = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    whole = bytearray(-(-size // BUCKET_BITS) * BUCKET_BITS // 8)
-    for r in rows:
-        start = (r["bucket"] - 1) * BUCKET_BITS // 8
-        whole[start : start + len(r["bits"])] = r["bits"]
-    level.bits = bytes(whole[: -(-size // 8)])
+    level.bits = bitmap(keys, level.positions(F.col("key")), size)
     return level
 
 
 def build(listed: DataFrame, universe: DataFrame) -> Cascade | None:
     """The cascade of the listed keys over the universe; both have the column ``key``.
 
-    None if the levels would pass LITERAL_BYTES.
+    Null keys are left out and repeated ones count once; without a listed key the
+    one level is empty.  None if the levels would pass LITERAL_BYTES.
     """
     universe = cut(universe.select("key").where("key is not null").distinct())
     inside = cut(universe.join(listed.select("key").distinct(), "key", "left_semi"))
@@ -149,11 +145,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame
 #: Rules of the query: verdict, host, path.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: Words that list a domain if they are a hyphenated part of its first label.
-LISTED_WORDS = ["casino", "bets", "pills", "spam"]
+LISTED_WORDS = ["ad", "ads", "adult", "banner", "bet", "bets", "bingo", "casino", "clicks", "escort", "lottery", "loan", "loans", "pills", "poker", "porn", "slots", "spam", "track", "tracker", "viagra", "warez", "xxx"]
 
 
 def advertised(pages: DataFrame, words: list[str] = LISTED_WORDS, url: str = "url") -> DataFrame:
-    """The list of the query: domains of the corpus with one of the words in their first label."""
+    """The list of the query: domains of the corpus with one of the words in their first label; a null url has none, and repeats count once."""
     keys = pages.select(host(url).alias("host")).distinct().select(F.explode(domains(F.col("host"))).alias("key")).distinct()
     return keys.where(F.arrays_overlap(F.split(F.substring_index("key", ".", 1), "-"), F.array(*map(F.lit, words))) & F.col("key").contains("."))
 
