@@ -14,6 +14,7 @@ many rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ ORDER, BITS = 4, 16
 SYMBOLS = 1 << BITS
 #: Hot grams at most.
 HOT = 1 << 21
+#: Languages whose discounts are broadcast, 40 bytes each.
+SLOTS_SENT = 50_000
 #: Units of text that are packed at a time, and distinct grams that a task holds before it passes them on.
 RUN, HELD = 1 << 20, 1_500_000
 START = np.full(ORDER - 1, 10, np.uint16)  # a text starts after line ends
@@ -143,12 +146,16 @@ def smooth(counts: DataFrame) -> DataFrame:
         mask = F.lit((1 << BITS * k) - 1)
         levels.append(cut(levels[-1].groupBy("slot", F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.count(F.lit(1)).alias("c"))))
     levels.reverse()
+    n = [F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in range(1, 5)]
+    every = reduce(DataFrame.unionAll, [level.select(F.lit(k).alias("k"), "slot", "c") for k, level in enumerate(levels, 1)])
+    counts_of = cut(every.groupBy("k", "slot").agg(*n))
+    few = counts_of.count() <= ORDER * SLOTS_SENT
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    fit = lambda i: F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))).otherwise(F.lit(0.5))
     below: DataFrame | None = None
     for k, level in enumerate(levels, 1):
-        n = [F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in range(1, 5)]
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        fit = lambda i, y=y: F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))).otherwise(F.lit(0.5))
-        discounts = level.groupBy("slot").agg(*n).select(F.col("slot").alias("of"), *[fit(i).alias(f"d{i}") for i in (1, 2, 3)])
+        discounts = counts_of.where(F.col("k") == k).select(F.col("slot").alias("of"), *[fit(i).alias(f"d{i}") for i in (1, 2, 3)])
+        discounts = F.broadcast(discounts) if few else discounts  # a join by the slot alone would give each language one task
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.least("d3", F.col("c")))
         known = level.join(discounts, F.col("slot") == F.col("of")).select("slot", "gram", "c", d.alias("d"), F.shiftrightunsigned("gram", BITS).alias("history"))
         over = Window.partitionBy("slot", "history")  # SYMBOLS rows at most
