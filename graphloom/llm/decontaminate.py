@@ -34,6 +34,8 @@ SHINGLE = 5
 #: A-Z to a-z, digits and letters and bytes over 7F as they are, the rest to the space: on UTF-8 bytes.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 NEW = ["n_words", "hit_spans", "items"]
+#: Keys of hit texts that are broadcast, of 16 bytes each; more are joined by a shuffle.
+HIT_SENT = 500_000
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -220,5 +222,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     own, (t,) = placed(docs, text)
     own = _keyed(own, t)
     _, hits, _ = lookup(own.select("k1", "k2", F.col(t).alias("text")), _named(benchmark, "item_id", "text"), 10)
-    hit = hits.select("k1", "k2").distinct()
+    hit = cut(hits.select("k1", "k2").distinct())
+    hit = F.broadcast(hit) if hit.count() <= HIT_SENT else hit
     return own.join(hit, ["k1", "k2"], "left_anti").select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField
 
-from ..plans.lineage import cut_table
+from ..plans.lineage import cut, cut_table
 from .batches import map_text, placed, without
 from .kneser_ney import slot, trained, units
 
@@ -18,6 +18,8 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 NEW = [*BASE, "bits", "base_failed", "band_low", "band_high", "kept"]
 #: Languages whose bands are broadcast; more are joined by a shuffle.
 BANDS_SENT = 100_000
+#: Keys of rejected texts that are broadcast, of about 40 bytes each; more are joined by a shuffle.
+LOST_SENT = 300_000
 #: Of the base verdict: words at least, and repeated words at most, in per cent.
 LEAST, SHARE = 20, 30
 #: Of the bands: quartile ranges on either side of the median, and the least quartile range in bits.
@@ -72,12 +74,12 @@ SCORES = [
 ]
 
 
-def score(rows: DataFrame, text: str, lang: str, keep: bool) -> tuple[DataFrame, DataFrame]:
-    """``rows`` as a written table, and the scores of its rows by ``__row``: base columns, base_failed, __slot and bits.
+def score(rows: DataFrame, text: str, lang: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` without the text as a written table, and the scores of its rows by ``__row``: base columns, base_failed, __slot and bits.
 
     Each text goes through Python once more after the model is counted.  What it
     finds by the broadcast model is summed there; its other grams are kept in the
-    table and meet their costs in a join.  ``keep`` keeps the text.
+    table and meet their costs in a join.
     """
     model, rest = trained(rows, text, lang)
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -96,10 +98,7 @@ def score(rows: DataFrame, text: str, lang: str, keep: bool) -> tuple[DataFrame,
         n = [len(units(t)) for t in texts]
         return [*map(list, zip(*map(base, texts), strict=True)), n, bits.tolist(), cold]
 
-    scored = map_text(given, "__in", SCORES, run, keep=keep)
-    if keep:
-        scored = scored.withColumn(text, F.col("__in.t")).drop("__in")
-    table = cut_table(scored, "scored")
+    table = cut_table(map_text(given, "__in", SCORES, run, keep=False), "scored")
     grams = table.select("__row", "__slot", F.explode("__cold").alias("__gram")).groupBy("__row", "__slot", "__gram").agg(F.count(F.lit(1)).alias("__times"))
     met = grams.join(rest, (F.col("__slot") == F.col("slot")) & (F.col("__gram") == F.col("gram")))
     sums = met.groupBy(F.col("__row").alias("__of")).agg(F.sum(F.col("__times") * F.col("bits")).alias("__more"))
@@ -139,7 +138,7 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", reach: floa
     """
     kept = [i for i, c in enumerate(docs.columns) if c in without([c], [*NEW, text])]
     named, (t, g) = placed(docs, text, lang)
-    table, scores = score(named, t, g, keep=False)
+    table, scores = score(named, t, g)
     out = table.join(judge(scores, reach, spread), "__row").select(*[f"c{i}" for i in kept], *NEW)
     return out.toDF(*[docs.columns[i] for i in kept], *NEW)
 
@@ -150,8 +149,15 @@ def op3(docs: DataFrame) -> DataFrame:
 
 
 def passing(docs: DataFrame, text: str = "text", lang: str = "lang", reach: float = REACH, spread: float = SPREAD) -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, with all of their columns and in repeats as they come."""
+    """The rows of ``docs`` that ``quality`` keeps, with all of their columns and in repeats as they come.
+
+    A verdict depends on the text and its language, so the rejected ones are taken
+    out by two hashes of the text and its language, and no text is written.
+    """
     named, (t, g) = placed(docs, text, lang)
-    table, scores = score(named, t, g, keep=True)
-    kept = judge(scores, reach, spread).where("kept").select("__row")
-    return table.join(kept, "__row", "left_semi").select(*named.columns).toDF(*docs.columns)
+    own = F.coalesce(F.col(t), F.lit(""))
+    keyed = named.withColumns({"k1": F.xxhash64(own), "k2": F.xxhash64(F.lit(1), own), "k3": slot(g)})
+    table, scores = score(keyed.select("k1", "k2", "k3", t, g), t, g)
+    lost = cut(table.join(judge(scores, reach, spread).where(~F.col("kept")).select("__row"), "__row").select("k1", "k2", "k3").distinct())
+    lost = F.broadcast(lost) if lost.count() <= LOST_SENT else lost
+    return keyed.join(lost, ["k1", "k2", "k3"], "left_anti").select(*named.columns).toDF(*docs.columns)
