@@ -16,41 +16,37 @@ UNREACHED = 9223372036854775807
 LEVELS = 8
 
 
-def _levels(g: Graph, source, adjacency: Dealt, symmetric: bool):
-    """Yields (depth, frontier): the ids first met at each depth.
+def _levels(g: Graph, source, adjacency: Dealt, symmetric: bool, every: list[DataFrame]):
+    """Yields the frontiers (id, depth) and gathers them in ``every``, as few tables.
 
     Where every edge goes both ways, a neighbour of a level is in it, in the one
     before or in the next, so only two levels are taken out; else all met so far.
     """
-    rounds = Rounds()
-    frontier, met = rounds.keep(g.vertices.where(F.col("id") == F.lit(source)).select("id").distinct(), n=F.count(F.lit(1)))
-    seen, depth = [frontier], 0
+    rounds, size = Rounds(), F.count(F.lit(1))
+    frontier, met = rounds.keep(g.vertices.where(F.col("id") == F.lit(source)).select("id").distinct().withColumn("depth", F.lit(0).cast("long")), n=size)
+    recent, depth = [frontier], 0
+    every.append(frontier)
     while met["n"]:
-        yield depth, frontier
-        if symmetric:
-            seen = seen[-2:]
-        elif len(seen) > LEVELS:
-            seen = [cut(reduce(DataFrame.unionAll, seen))]
-        reached = adjacency.meet(frontier).select(F.col("dst").alias("id")).distinct()
-        frontier, met = rounds.keep(reached.join(reduce(DataFrame.unionAll, seen), "id", "left_anti"), n=F.count(F.lit(1)))
-        seen.append(frontier)
+        yield frontier
         depth += 1
+        if len(every) > LEVELS:
+            every[:] = [cut(reduce(DataFrame.unionAll, every))]
+        seen = reduce(DataFrame.unionAll, recent[-2:] if symmetric else every)
+        reached = adjacency.meet(frontier).select(F.col("dst").alias("id")).distinct()
+        frontier, met = rounds.keep(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth).cast("long")), n=size)
+        recent.append(frontier)
+        every.append(frontier)
 
 
 def bfs(g: Graph, source) -> DataFrame:
     """(id, depth): hops along the edges; UNREACHED where there is no path or no such source."""
     adjacency = g.prepared()
-    found: list[DataFrame] = []
-    for depth, frontier in _levels(g, source, adjacency, not g.directed):
-        found.append(frontier.select("id", F.lit(depth).cast("long").alias("depth")))
-        if len(found) > LEVELS:
-            found = [cut(reduce(DataFrame.unionAll, found))]
-    if not found:
-        adjacency.release()
-        return g.vertices.select("id", F.lit(UNREACHED).alias("depth"))
-    every = cut(reduce(DataFrame.unionAll, found))
+    every: list[DataFrame] = []
+    for _ in _levels(g, source, adjacency, not g.directed, every):
+        pass
+    found = cut(reduce(DataFrame.unionAll, every))
     adjacency.release()
-    return g.vertices.select("id").join(every, "id", "left").select("id", F.coalesce("depth", F.lit(UNREACHED)).alias("depth"))
+    return g.vertices.select("id").join(found, "id", "left").select("id", F.coalesce("depth", F.lit(UNREACHED)).alias("depth"))
 
 
 def sssp(g: Graph, source, weight: str = "weight") -> DataFrame:
@@ -83,7 +79,7 @@ def betweenness(g: Graph, source) -> DataFrame:
     pairs = g.simple_edges()
     adjacency, rounds = Dealt(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionAll(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))), Rounds()
     levels: list[DataFrame] = []
-    for _, frontier in _levels(g, source, adjacency, True):
+    for frontier in _levels(g, source, adjacency, True, []):
         if not levels:
             levels.append(frontier.select("id", F.lit(1.0).alias("sigma")))
             continue
