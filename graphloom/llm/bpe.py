@@ -125,8 +125,8 @@ class ByteCounter:
     """Token counts of every prefix, for a byte-level vocabulary in a .json file."""
 
     MEMO = 500_000
-    #: Tokens before a token that are remembered with it, and characters of a piece that is remembered.
-    AFTER, LONG = 20_000, 64
+    #: Pairs of tokens that are remembered, and characters of a piece that is.
+    PAIRS, LONG = 1_000_000, 64
 
     def __init__(self, path: str):
         import ahocorasick
@@ -144,8 +144,11 @@ class ByteCounter:
             ranks[(raw(a), raw(b))] = r
         self.table = MergeTable(lambda a, b: ranks.get((a, b)), lambda token: [token[i : i + 1] for i in range(len(token))])
         self.arcs = ahocorasick.Automaton()
+        self.after: list[dict] = []  # by token: the tokens before it, and whether the two stay apart
+        self.pairs = 0
         for token in self.ids:  # bytes as characters of the same number
-            self.arcs.add_word(token.decode("latin-1"), (token, len(token), {}))
+            self.after.append({})
+            self.arcs.add_word(token.decode("latin-1"), (token, len(token), self.after[-1]))
         self.arcs.make_automaton()
         self.pieces = regex.compile(BYTE_LEVEL_SPLIT).findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
@@ -174,8 +177,11 @@ class ByteCounter:
 
     def _allowed(self, before: bytes, token: bytes, after: dict) -> bool:
         """Whether ``token`` may stand after ``before``; remembered with the token."""
-        if len(after) >= self.AFTER:
-            after.clear()
+        if self.pairs >= self.PAIRS:
+            for known in self.after:
+                known.clear()
+            self.pairs = 0
+        self.pairs += 1
         table = self.table
         after[before] = out = table.made(token) and (not before or table.parted(before, token))
         return out

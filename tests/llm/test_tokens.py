@@ -97,6 +97,9 @@ def test_long_pieces_and_prefixes():
     cjk = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(100_000))
     start = time.time()
     assert own.count(cjk) == size(cjk) and time.time() - start < 10
+    own.PAIRS, own.pairs = 3, 3  # forgets all the time
+    for t in texts(60, 8):
+        assert own.count(t) == size(t), t
     for t in ["word " * 50 + "end!<|endoftext|><|endoftext|> x <|endoftext|>", "<|endoftext|>a  <|endoftext|>  \n<|endoftext|>"]:
         assert own.prefix_counts(t) == [size(t[:i]) for i in range(len(t) + 1)]
 
