@@ -75,7 +75,7 @@ def rebalance(g: Graph, parts: int, vertex_factor: int = 1, inclusive: bool = Fa
     ends = g.edges.select(F.col("src").alias("v")) if g.directed else g.edges.select(F.col("src").alias("v")).unionAll(g.edges.select(F.col("dst").alias("v")))
     degree = ends.groupBy("v").agg(F.count(F.lit(1)).alias("deg"))
     scored = g.vertices.select("id").join(degree, F.col("id") == F.col("v"), "left").select("id", (F.coalesce("deg", F.lit(0)) + vertex_factor).alias("score"))
-    running = _running(scored, "score").persist()
+    running = cut(_running(scored, "score"))
     total = running.agg(F.max("upto")).first()[0] or 0
     mean, start, part = -(-total // parts), 0, F.lit(0)
     for _ in range(parts - 1):
