@@ -60,13 +60,14 @@ def cut_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut_table(df: DataFrame, name: str) -> DataFrame:
+def cut_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Like ``cut``, but as compressed Parquet, for tables that are wide or large.
 
     The shuffle files of the write are dropped at its end: the table replaces them.
+    A caller that names the ``path`` can ``remove`` it when nothing reads it any more.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, name) if path is None else path
     before = spark.conf.get(DROP_SHUFFLES, "false")
     spark.conf.set(DROP_SHUFFLES, "true")
     try:
@@ -74,3 +75,9 @@ def cut_table(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
