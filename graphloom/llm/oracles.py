@@ -9,6 +9,7 @@ from __future__ import annotations
 import string
 
 from .url_filter import LISTED_WORDS, RULES
+from .vector_codes import ROUNDS
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
@@ -66,4 +67,26 @@ kept as (select l.doc_id, count(g.place) as n_dropped, count(*) as n_lines, coal
 select d.doc_id, coalesce(k.n_lines, 0)::bigint as n_lines, coalesce(k.n_dropped, 0)::bigint as n_dropped, case when d.text is not null then k.text end as text
 from documents d left join kept k on k.doc_id = d.doc_id"""
 
-SQL: dict[str, str] = {"op4_warc": OP4, "op5_decontamination": OP5, "op6_url_filter": op6(), "op10_line_dedup": OP10}
+
+def op12(rounds: int = ROUNDS) -> str:
+    """The rounds one after another: every part against every entry, then the mean of each entry, floored."""
+    ctes = [
+        """e as (select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x)::bigint) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        "k as materialized (select row_number() over (order by vec_id nulls last, x) as n, * from e)",
+        "p as materialized (select n, (i - 1) // (len(x) // 8) as part, (i - 1) % (len(x) // 8) as pos, x[i] as v from k, unnest(range(1, len(x) + 1)) t(i))",
+        "b0 as materialized (select part, n - 1 as entry, pos, v from p where n <= 16)",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(f"d{r} as (select n, part, entry, sum((p.v - b.v) * (p.v - b.v))::bigint as d from p join b{r} b using (part, pos) group by n, part, entry)")
+        ctes.append(f"a{r} as materialized (select n, part, min({{'d': d, 'e': entry}}) as a from d{r} group by n, part)")
+        if r < rounds:
+            ctes.append(f"s{r} as (select part, a.e as entry, pos, sum(v) as s, count(*) as c from p join a{r} using (n, part) group by part, a.e, pos)")
+            ctes.append(f"b{r + 1} as materialized (select part, entry, pos, case when c is null then v else ((s - ((s % c) + c) % c) // c)::bigint end as v from b{r} left join s{r} using (part, entry, pos))")
+    return f"""with {", ".join(ctes)},
+f as (select n, string_agg(printf('%02x', a.e), '' order by part) as code, sum(a.d)::bigint as error from a{rounds} group by n)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+  (select sha256(string_agg(v::varchar, ',' order by part, entry, pos)) from b{rounds}) as codebooks_sha256 from k join f using (n)"""
+
+
+SQL: dict[str, str] = {"op4_warc": OP4, "op5_decontamination": OP5, "op6_url_filter": op6(), "op10_line_dedup": OP10, "op12_vector_codes": op12()}

@@ -81,8 +81,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import op12
+
+    return op12(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality, op4_warc, op5_decontamination, op6_url_filter, op7_simhash, op8_personal_data, op9_cross_entropy, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality, op4_warc, op5_decontamination, op6_url_filter, op7_simhash, op8_personal_data, op9_cross_entropy, op10_line_dedup, op12_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
