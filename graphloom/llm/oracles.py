@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import string
 
+from .conversation_repair import GONE, INSERT, SYSTEM, USER, edits
 from .url_filter import LISTED_WORDS, RULES
 from .vector_codes import ROUNDS
 
@@ -89,4 +90,35 @@ select vec_id, code, error, (sum(error) over (partition by label))::bigint as la
   (select sha256(string_agg(v::varchar, ',' order by part, entry, pos)) from b{rounds}) as codebooks_sha256 from k join f using (n)"""
 
 
-SQL: dict[str, str] = {"op4_warc": OP4, "op5_decontamination": OP5, "op6_url_filter": op6(), "op10_line_dedup": OP10, "op12_vector_codes": op12()}
+def op13() -> str:
+    """The same recursion over all conversations at once; CRC-32 bit by bit."""
+    ways = ", ".join(f"({kind}, {p}, {q}, {cost}, '{letters}')" for kind, p, q, cost, letters in edits())
+    bits = "list_reduce([xor(c, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda t, u: xor(t >> 1, 3988292384 * (t & 1)))"
+    return rf"""with recursive c as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  xor(4294967295, list_reduce([4294967295] || list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::bigint), lambda c, b: xor(c >> 8, {bits}))) % 20 as n from conversations),
+d as (select conv_id, turn, case when n = 4 then 'user' else role end as role, case when n = 1 then '' when n = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from c, unnest(case when n = 3 then [1, 2] else [1] end) where n <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, role[1] as x from d),
+f as (select *, not regexp_matches(text, '[^ 	-]') as blank, row_number() over (partition by conv_id, role, text order by i) > 1 as again,
+  not regexp_matches(text, '[.!?][ 	-]*$') as open, lag(x) over (partition by conv_id order by i) || x not in ('su', 'ua', 'au') as wrong from o),
+t as materialized (select *, dense_rank() over (order by conv_id) as k, case when blank or again then {GONE} else case x when 's' then 0 when 'u' then 1 when 'a' then 2 else 3 end + case when open then 4 else 0 end end as kind from f),
+sizes as materialized (select k, any_value(conv_id) as conv_id, count(*) as n from t group by k),
+ways(kind, p, q, cost, letters) as (values {ways}),
+w as (select k, 0::bigint as i, 0 as q, 0::bigint as cost, '' as audit from sizes union all
+  select k, i + 1, q, b.cost, b.audit from (select w.k, w.i, e.q, min({{'cost': w.cost + e.cost, 'audit': w.audit || e.letters}}) as b
+    from w join t on t.k = w.k and t.i = w.i + 1 join ways e on e.kind = t.kind and e.p = w.q group by w.k, w.i, e.q)),
+z as (select k, min({{'cost': cost + {INSERT} * (case q when {USER} then 1 when {SYSTEM} then 2 else 0 end), 'audit': audit || case q when {USER} then 'I' when {SYSTEM} then 'II' else '' end}}) as b
+  from w join sizes using (k) where w.i = sizes.n group by k),
+a as materialized (select k, b.cost as cost, b.audit as audit from z),
+s as (select k, i, role, text, regexp_extract_all(audit, 'I*[DKR]')[i] as what from t join a using (k) union all select k, n + 1, '', '', regexp_extract(audit, 'I*$') from a join sizes using (k)),
+l as (select k, i, j, role, text, what[j] as letter from s, unnest(range(1, len(what) + 1)) u(j) where what[j] <> 'D'),
+m as (select *, row_number() over (partition by k order by i, j) as nth, count(*) over (partition by k) % 2 as odd from l),
+h as (select k, sha256(string_agg(case when letter = 'K' then role when (nth - 1 + odd) % 2 = 0 then 'user' else 'assistant' end || ':' || case when letter = 'I' then '' else text end, chr(10) order by nth)) as sha from m group by k),
+g as (select k, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, sum(blank::int) as blank, sum((not blank and again)::int) as duplicate,
+  sum((not blank and not again and open)::int) as truncated, sum(coalesce(wrong, false)::int) as illegal from t group by k)
+select v.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, coalesce(sha, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) v left join sizes on sizes.conv_id is not distinct from v.conv_id left join g using (k) left join a using (k) left join h using (k)"""
+
+
+SQL: dict[str, str] = {"op4_warc": OP4, "op5_decontamination": OP5, "op6_url_filter": op6(), "op10_line_dedup": OP10, "op12_vector_codes": op12(), "op13_conversation_repair": op13()}

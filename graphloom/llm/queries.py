@@ -87,8 +87,14 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12(table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import op13
+
+    return op13(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality, op4_warc, op5_decontamination, op6_url_filter, op7_simhash, op8_personal_data, op9_cross_entropy, op10_line_dedup, op12_vector_codes)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality, op4_warc, op5_decontamination, op6_url_filter, op7_simhash, op8_personal_data, op9_cross_entropy, op10_line_dedup, op12_vector_codes, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
