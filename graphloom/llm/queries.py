@@ -81,6 +81,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import op11
+
+    return op11(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_codes import op12
 
@@ -94,7 +100,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality, op4_warc, op5_decontamination, op6_url_filter, op7_simhash, op8_personal_data, op9_cross_entropy, op10_line_dedup, op12_vector_codes, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality, op4_warc, op5_decontamination, op6_url_filter, op7_simhash, op8_personal_data, op9_cross_entropy, op10_line_dedup, op11_toxicity, op12_vector_codes, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
