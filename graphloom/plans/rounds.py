@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ HUB = 500_000
 HUBS_SENT = 500_000
 #: Every so many rounds the state is written to the shared folder; more would nest the plans of kept states, whose text Spark prints.
 EVERY = 2
+#: Frames of a loop that are written as one table.
+TOGETHER = 8
 
 
 class Dealt:
@@ -55,10 +59,11 @@ class Dealt:
 
 
 class Rounds:
-    """The states of a loop.
+    """The states of a loop, each of which takes the place of the one before.
 
     Executors keep each state, and every EVERY-th is written to the shared folder,
-    which ends its lineage: a lost executor costs so many rounds at most.
+    which ends its lineage: a lost executor costs so many rounds at most.  Kept states
+    are let go then, so a loop that reads more than the last one needs ``Levels``.
     """
 
     def __init__(self, every: int | None = None):
@@ -84,3 +89,47 @@ class Rounds:
         for df in self.held:
             df.unpersist()
         self.held = []
+
+
+class Levels:
+    """Frames of a loop that are all read again, such as the frontiers of a search.
+
+    Each is written to the shared folder, so what is read again never reaches behind it.
+    TOGETHER frames are also written as one table, and as many tables as a larger one,
+    so that all of them are a union of few parts however many there are.
+    """
+
+    def __init__(self, together: int | None = None):
+        self.together = TOGETHER if together is None else together
+        self.frames: list[DataFrame] = []
+        self.counts: list[int] = []
+        self.tiers: list[list[DataFrame]] = [[]]
+
+    def keep(self, df: DataFrame) -> int:
+        """Adds ``df``, computed once, as the next frame; its number of rows."""
+        out, met = cut_observed(df, n=F.count(F.lit(1)))
+        self.frames.append(out)
+        self.counts.append(met["n"])
+        self.tiers[0].append(out.withColumn("__level", F.lit(len(self.frames) - 1)))
+        for k in range(len(self.tiers)):
+            if len(self.tiers[k]) == self.together:
+                if k + 1 == len(self.tiers):
+                    self.tiers.append([])
+                self.tiers[k + 1].append(cut(reduce(DataFrame.unionByName, self.tiers[k])))
+                self.tiers[k] = []
+        return met["n"]
+
+    def __len__(self) -> int:
+        return len(self.frames)
+
+    def level(self, k: int) -> DataFrame:
+        """The ``k``-th frame, from the end if negative."""
+        return self.frames[k]
+
+    def since(self, k: int) -> DataFrame:
+        """The frames from the ``k``-th on, of which there are few, as one."""
+        return reduce(DataFrame.unionByName, self.frames[k:])
+
+    def all(self, name: str = "level") -> DataFrame:
+        """Every frame, with its number as ``name``."""
+        return reduce(DataFrame.unionByName, [df for tier in self.tiers for df in tier]).withColumnRenamed("__level", name)
