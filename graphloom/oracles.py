@@ -52,6 +52,28 @@ found(id, comp) using key (id) as (
 select id, comp from found"""
 
 
+def hits(edges: str, rounds: int) -> str:
+    out = f"with {BASE}, h0 as materialized (select id, 1.0::double as hub, 1.0::double as authority from v)"
+    for i in range(1, rounds + 1):
+        norm = lambda c, i=i: f"(select sqrt(sum({c} * {c})) from h{i - 1})"
+        out += f""",
+o{i} as (select e.dst as id, sum(h.hub) / {norm("hub")} as x from {edges} e join h{i - 1} h on h.id = e.src group by e.dst),
+n{i} as (select e.src as id, sum(h.authority) / {norm("authority")} as x from {edges} e join h{i - 1} h on h.id = e.dst group by e.src),
+h{i} as materialized (select v.id, coalesce(n.x, 0) as hub, coalesce(o.x, 0) as authority from v left join n{i} n on n.id = v.id left join o{i} o on o.id = v.id)"""
+    return f"{out}\nselect id, round(hub, 9) as hub, round(authority, 9) as authority from h{rounds}"
+
+
+def tree(edges: str) -> str:
+    """Of each vertex the smallest neighbour that is one level nearer."""
+    return f"""with recursive {BASE},
+found(id, depth, parent) using key (id) as (
+  select 0::bigint, 0::bigint, 0::bigint
+  union
+  select e.dst, min(f.depth + 1), min(f.id) from found f join {edges} e on e.src = f.id left join recurring.found r on r.id = e.dst
+  where r.id is null group by e.dst)
+select v.id, f.depth, f.parent from v left join found f on f.id = v.id"""
+
+
 def cdlp(adjacency: str, rounds: int = 10) -> str:
     out = f"with {BASE}, {adjacency}, l0 as materialized (select id, id as label from v)"
     for i in range(1, rounds + 1):
@@ -249,6 +271,9 @@ select i.id, i.data, count(k.src) as degree from ids i left join kept k on k.src
     "loaded_degree_sparse": f"with {BASE} select v.id, count(e.src) as degree from v left join sparse e on e.src = v.id group by v.id",
     "program_in_dense": bfs("back", ", back as materialized (select dst as src, src as dst from dense)"),
     "program_mutated_sparse": wcc("sparse"),
+    "program_pagerank_sparse": pagerank("adj as (select src, dst from sparse)"),
+    "program_hits_sparse": hits("sparse", 6),
+    "program_tree_dense": tree("dense"),
     "loaded_parsed_sparse": f"with {BASE} select v.id, count(e.dst) as degree from v left join sparse e on e.dst = v.id group by v.id",
     "loaded_changed_sparse": f"with {BASE}, {CHANGED} select v.id, count(e.src) as degree from v left join changed e on e.src = v.id group by v.id",
     "pagerank_numbered_simple": pagerank(SIMPLE),

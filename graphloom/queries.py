@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import projections as P
 from .functions import compare
 from .graph import Graph
-from .operators import access, cohesion, community, components, mutate, partition, ranking, sampling, traversal
+from .operators import access, cohesion, community, components, mutate, partition, programs, ranking, sampling, traversal
 from .plans.lineage import scratch_path
 from .plans.superstep import VertexProgram
 from .sources import stored, text
@@ -245,6 +245,9 @@ QUERIES: dict[str, Query] = {
     "program_wcc_sparse": lambda s, d: wcc_program().run(P.sparse(s, d)).withColumnRenamed("value", "comp"),
     "program_in_dense": _in_program,
     "program_mutated_sparse": _mutated_program,
+    "program_pagerank_sparse": lambda s, d: _rounded(programs.fields(programs.pagerank().run(programs.with_degree(P.sparse(s, d)))).select("id", "rank"), "rank", 10),
+    "program_hits_sparse": lambda s, d: _rounded(_rounded(programs.fields(programs.hits(6).run(P.sparse(s, d))), "hub", 9), "authority", 9),
+    "program_tree_dense": lambda s, d: programs.fields(programs.tree(SOURCE).run(P.dense(s, d))),
     "loaded_parsed_sparse": _parsed,
     "loaded_changed_sparse": _loaded_changed,
     "pagerank_numbered_simple": _numbered,
