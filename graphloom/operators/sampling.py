@@ -7,6 +7,7 @@ on (vertex, rank): the draws from a hub are spread over all of its neighbours.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -58,7 +59,7 @@ def _unit(seed: int, *columns: str) -> F.Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def sample(adjacency: DataFrame, roots: DataFrame | None, hops: list[int], strategy: str = "random", seed: int = 0, order: str | None = None) -> DataFrame:
+def sample(adjacency: DataFrame | Callable[[DataFrame], DataFrame], roots: DataFrame | None, hops: list[int], strategy: str = "random", seed: int = 0, order: str | None = None) -> DataFrame:
     """(root, slot, nbr): every slot of every root; null where there was no neighbour to draw.
 
     The slots of hop h follow those of hop h-1, and the draws of one parent are
@@ -68,6 +69,8 @@ def sample(adjacency: DataFrame, roots: DataFrame | None, hops: list[int], strat
     depend on the seed, root and slot, not on partitions.  Without ``roots`` every
     end of an edge is one.  A draw by weight meets the neighbours that share its
     part of the vertex's weights, and as many parts as neighbours are made.
+    ``adjacency`` may be a function that gives the edges of the vertices (at) of a hop;
+    it needs roots.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"the strategy is one of {STRATEGIES}")
@@ -77,7 +80,8 @@ def sample(adjacency: DataFrame, roots: DataFrame | None, hops: list[int], strat
     out, offset = [], 0
     for n in hops:
         wanted = frontier.select("at").where("at is not null").distinct()
-        index = cut(weight_index(adjacency.join(wanted, adjacency["src"] == wanted["at"], "left_semi"), order))
+        own = adjacency.join(wanted, adjacency["src"] == wanted["at"], "left_semi") if isinstance(adjacency, DataFrame) else adjacency(wanted)
+        index = cut(weight_index(own, order))
         draws = frontier.select("root", "at", "parent", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).withColumn("place", F.col("parent") * n + F.col("i"))
         sizes = index.where("rank = 1").select(F.col("src").alias("v"), F.col("n").alias("size"), F.col("total").alias("sum"))
         sized = draws.join(sizes, F.col("at") == F.col("v"), "left").withColumn("u", _unit(seed, "root", "place", F.lit(offset)))

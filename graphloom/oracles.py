@@ -193,6 +193,7 @@ select root || ' ' || string_agg(coalesce(nbr::varchar, '-'), ' ' order by slot)
 #: Heavy edges only; and all, where the lighter weight of the second batch replaces a heavy one.
 HEAVY = "select src, dst, min(weight) as weight from dense where weight > 25 group by all"
 REPLACED = "select src, dst, coalesce(min(weight) filter (where weight <= 25), min(weight)) as weight from dense group by all"
+OTHERS = "select src, dst, min(51 - weight) as weight from dense group by all"
 CHECKED = f"with {BASE} select v.id as root, 4::bigint as slots, case when v.id in (select src from dense) then 4 else 0 end::bigint as drawn, 0::bigint as wrong from v"
 
 RANKED = f"with {BASE}, r as (select id, row_number() over (order by id) - 1 as place, count(*) over () as n from v)"
@@ -263,7 +264,7 @@ select i.id, i.data, count(k.src) as degree from ids i left join kept k on k.src
     "sample_topk_dense": f"{top_k()} select root, slot::int as slot, nbr from slots",
     "sample_random_checked_dense": CHECKED,
     "sample_edge_weight_checked_dense": CHECKED,
-    "stream_sampler_dense": f"{streamed(0, HEAVY, 'weight > 25')} union all {streamed(1, REPLACED, 'true')}",
+    "stream_sampler_dense": f"{streamed(0, HEAVY, 'weight > 25')} union all {streamed(1, REPLACED, 'true')} union all {streamed(2, OTHERS, 'true')}",
     "program_bfs_dense": bfs("dense"),
     "program_wcc_sparse": wcc("sparse"),
     "text_result_sssp_sparse": sssp("sparse", value="value"),

@@ -70,15 +70,15 @@ def wcc_program() -> VertexProgram:
 
 
 def _streamed(spark: SparkSession, d: str) -> DataFrame:
-    """The sampler over two batches of lines: heavy edges, then light ones, each time with a query for every vertex."""
+    """The sampler over three batches of lines: heavy edges, light ones, then all with other weights, each time with a query for every vertex."""
     folder = scratch_path(spark, "stream")
     edges = P.dense_edges(spark, d)
     queries = P.vertices(spark, d).select(F.format_string("q %d", "id").alias("value"))
-    for part in ("weight > 25", "weight <= 25"):
-        once = edges.where(part).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    for part, weight in (("weight > 25", "weight"), ("weight <= 25", "weight"), ("true", "51 - weight")):
+        once = edges.where(part).groupBy("src", "dst").agg(F.min(F.expr(weight)).alias("weight"))
         lines = once.select(F.format_string("e %d %d %.1f", "src", "dst", "weight").alias("value"))
         lines.unionAll(queries).write.mode("append").text(f"{folder}/in")
-        sampler.run(spark, f"{folder}/in", f"{folder}/state", f"{folder}/out", f"{folder}/checkpoint", HOPS, "top_k", files_a_batch=1_000_000).awaitTermination()
+        sampler.run(spark, f"{folder}/in", f"{folder}/state", f"{folder}/out", f"{folder}/checkpoint", HOPS, "top_k", files_a_batch=1_000_000, buckets=64).awaitTermination()
     return spark.read.text(f"{folder}/out").select("batch", "value")
 
 

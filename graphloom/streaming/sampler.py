@@ -1,9 +1,11 @@
 """The neighbour sampler as a micro-batch job.
 
 Each batch of text lines holds edges, ``e src dst weight``, and queries, ``q id``.
-All edges of a batch are added before its queries are answered.  Edges are kept
-as one Parquet folder for each batch id and results likewise, both overwritten
-when a batch runs again, so a restart neither loses nor repeats anything.
+All edges of a batch are added before its queries are answered.  The edges are an index
+by vertex that a batch adds to (``operators.neighbour_index``): it writes its own, and a
+hop reads the buckets of the vertices that it draws for.  Results are one folder for
+each batch id; both are overwritten when a batch runs again, so a restart neither loses
+nor repeats anything.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.neighbour_index import BUCKETS, NeighbourIndex
 from ..operators.sampling import lines, sample
+from ..plans.lineage import cut
 
 
 def parse(values: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,7 +30,7 @@ def parse(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, queries
 
 
-def handler(state: str, results: str | Callable[[DataFrame, int], None], hops: list[int], strategy: str = "top_k", seed: int = 0, directed: bool = True) -> Callable[[DataFrame, int], None]:
+def handler(state: str, results: str | Callable[[DataFrame, int], None], hops: list[int], strategy: str = "top_k", seed: int = 0, directed: bool = True, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """The function of a batch, for ``foreachBatch``; ``results`` is a folder or takes the lines (value) of a batch."""
 
     def write(answers: DataFrame, batch_id: int) -> None:
@@ -35,24 +39,23 @@ def handler(state: str, results: str | Callable[[DataFrame, int], None], hops: l
     sink = write if isinstance(results, str) else results
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        index = NeighbourIndex(batch.sparkSession, state, buckets)
         edges, queries = parse(batch)
-        new = edges if directed else edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-        new.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
-        known = spark.read.schema("src long, dst long, weight double, batch long").parquet(state).where(F.col("batch") <= batch_id)
-        asked = queries.distinct().join(known.select(F.col("src").alias("id")).unionAll(known.select(F.col("dst").alias("id"))), "id", "left_semi")
-        sink(lines(sample(known, asked, hops, strategy, seed, order="batch")), batch_id)
+        index.append(edges if directed else edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), batch_id)
+        asked = cut(queries.distinct())
+        known = index.of(asked.withColumnRenamed("id", "at")).select(F.col("src").alias("id"))
+        sink(lines(sample(index.edges, asked.join(known, "id", "left_semi"), hops, strategy, seed, order="batch")), batch_id)
 
     return handle
 
 
-def run(spark: SparkSession, source: str | DataFrame, state: str, results: str | Callable[[DataFrame, int], None], checkpoint: str, hops: list[int], strategy: str = "top_k", seed: int = 0, directed: bool = True, files_a_batch: int = 1, interval: str | None = None) -> StreamingQuery:
+def run(spark: SparkSession, source: str | DataFrame, state: str, results: str | Callable[[DataFrame, int], None], checkpoint: str, hops: list[int], strategy: str = "top_k", seed: int = 0, directed: bool = True, files_a_batch: int = 1, interval: str | None = None, buckets: int = BUCKETS) -> StreamingQuery:
     """Start the job over a folder of text files or any stream of lines (value), such as ``kafka_source``.
 
     Without an interval it ends when all that is there is read.
     """
     stream = spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(source) if isinstance(source, str) else source
-    writer = stream.writeStream.foreachBatch(handler(state, results, hops, strategy, seed, directed)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(handler(state, results, hops, strategy, seed, directed, buckets)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
