@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..graph import Graph
-from ..plans.lineage import cut, cut_observed
+from ..plans.lineage import cut
 from ..plans.rounds import Dealt, Rounds
 
+#: Of all vertices, those that fall in a round for all to look at their neighbours again.
+WHOLE = 0.25
+
 
 def _degrees(pairs: DataFrame) -> DataFrame:
     both = pairs.select(F.col("a").alias("v")).unionAll(pairs.select(F.col("b").alias("v")))
@@ -93,22 +96,25 @@ def lcc_directed(g: Graph) -> DataFrame:
 def kcore(g: Graph, k: int) -> DataFrame:
     """(id, core_degree) of the vertices that stay when those of degree below k are peeled off, again and again.
 
-    Degrees are those of the undirected multigraph; a self-loop counts twice.
+    Degrees are those of the undirected multigraph; a self-loop counts twice.  A round
+    follows the edges of the vertices that have just gone and takes what they held from
+    the degrees of their neighbours; the edges stay where they are.
     """
-    edges = cut(g.edges.select("src", "dst"))
+    adjacency, rounds = Dealt(g.symmetrised().select("src", "dst")), Rounds()
+    degree = adjacency.rows.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
     if k <= 0:
-        degree = _degrees(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-        return g.vertices.select("id").join(degree, F.col("id") == F.col("v"), "left").select("id", F.coalesce("deg", F.lit(0)).alias("core_degree"))
-    n = None
-    while True:
-        degree = _degrees(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).where(F.col("deg") >= k)
-        stay = degree.select("v")
-        kept = edges.join(stay.withColumnRenamed("v", "src"), "src", "left_semi").join(stay.withColumnRenamed("v", "dst"), "dst", "left_semi")
-        left, met = cut_observed(kept.select("src", "dst"), n=F.count(F.lit(1)))
-        m = met["n"]
-        if m == n:
-            return degree.select(F.col("v").alias("id"), F.col("deg").alias("core_degree"))
-        edges, n = left, m
+        return g.vertices.select("id").join(degree, "id", "left").select("id", F.coalesce("deg", F.lit(0)).alias("core_degree"))
+    goes = (F.col("deg") < k).alias("goes")
+    gone = F.count(F.when(F.col("goes"), 1))
+    state, met = rounds.keep(degree.select("id", "deg", goes), n=gone)
+    while met["n"]:
+        lost = adjacency.meet(state.where("goes").select("id")).groupBy(F.col("dst").alias("to")).agg(F.count(F.lit(1)).alias("lost"))
+        left = state.where(~F.col("goes")).join(lost, F.col("id") == F.col("to"), "left").select("id", (F.col("deg") - F.coalesce("lost", F.lit(0))).alias("deg"))
+        state, met = rounds.keep(left.select("id", "deg", goes), n=gone)
+    state = cut(state.select("id", F.col("deg").alias("core_degree")))
+    adjacency.release()
+    rounds.release()
+    return state
 
 
 def kcore_size(g: Graph, k: int) -> DataFrame:
@@ -116,26 +122,51 @@ def kcore_size(g: Graph, k: int) -> DataFrame:
     return kcore(g, k).agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("vertices"))
 
 
-def coreness(g: Graph, rounds: int = 1000) -> DataFrame:
+def coreness(g: Graph, rounds: int = 100_000, whole: float | None = None, steps: list[tuple[str, int]] | None = None) -> DataFrame:
     """(id, coreness): the largest k whose core has the vertex; 0 for an isolated one.
 
-    Every vertex repeatedly takes the h-index of its neighbours' values, starting
-    from degrees, until none changes; the fixpoint is the coreness.
+    Every vertex starts from its degree and falls to the h-index of its neighbours'
+    values until none falls any more; the fixpoint is the coreness.  A vertex also knows
+    its support, the number of neighbours whose values reach its own.  Who has fallen
+    tells its neighbours from where to where, and only those whose support is then below
+    their value look at their neighbours again.  While more than ``whole`` of all
+    vertices fall in a round, all look again, which takes one shuffle less.  ``steps``
+    gathers how each round was done and how many vertices fell.
     """
-    adjacency, kept = Dealt(g.symmetrised().select("src", "dst"), "dst", "src"), Rounds()
-    state, _ = kept.keep(adjacency.rows.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("c")))
-    above = Window.partitionBy("src").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = WHOLE if whole is None else whole
+    adjacency, kept = Dealt(g.symmetrised().select("src", "dst")), Rounds()
+    falls = F.count(F.when(F.col("old") > F.col("c"), 1))
+    start = adjacency.rows.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("c"))
+    state, met = kept.keep(start.select("id", "c", F.lit(0).cast("long").alias("s"), F.col("c").alias("old")), n=F.count(F.lit(1)))
+    n = fell = met["n"]
+    above = Window.partitionBy("of").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
     for _ in range(rounds):
-        heard = adjacency.meet(state).groupBy("src", "c").agg(F.count(F.lit(1)).alias("n"))  # a hub hears few different values
-        h = heard.withColumn("upto", F.sum("n").over(above)).groupBy("src").agg(F.max(F.least("c", "upto")).alias("h"))
-        lower = state.join(h, F.col("id") == F.col("src")).select("id", F.least("c", "h").alias("c"), (F.col("h") < F.col("c")).alias("fell"))
-        merged, met = kept.keep(lower, n=F.count(F.when(F.col("fell"), 1)))
-        state = merged.select("id", "c")
-        if not met["n"]:
+        if not fell:
             break
+        if fell > whole * n:
+            base, how = state.select("id", "c", "s"), "all"
+            heard = adjacency.meet(base).groupBy(F.col("dst").alias("of"), F.col("c").alias("v"))
+        else:
+            told = adjacency.meet(state.where("old > c").select("id", "old", F.col("c").alias("new"))).groupBy(F.col("dst").alias("to"), "old", "new").agg(F.count(F.lit(1)).alias("times"))
+            own = state.select("id", "c", "s")
+            less = told.join(own, F.col("to") == F.col("id")).where("old >= c and c > new").groupBy("to").agg(F.sum("times").alias("less"))
+            base, met = kept.keep(own.join(less, F.col("id") == F.col("to"), "left").select("id", "c", (F.col("s") - F.coalesce("less", F.lit(0))).alias("s")), n=F.count(F.when(F.col("s") < F.col("c"), 1)))
+            if not met["n"]:
+                state = base
+                break
+            how = "some"
+            values = base.select(F.col("id").alias("nbr"), F.col("c").alias("v"))
+            heard = adjacency.meet(base.where("s < c").select("id")).select(F.col("id").alias("of"), "dst").join(values, F.col("dst") == F.col("nbr")).groupBy("of", "v")
+        ranked = heard.agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(above))  # a hub hears few different values
+        told = ranked.withColumn("h", F.max(F.least("v", "upto")).over(Window.partitionBy("of"))).groupBy("of", "h").agg(F.max(F.when(F.col("v") >= F.col("h"), F.col("upto"))).alias("support"))
+        merged = base.join(told, F.col("id") == F.col("of"), "left").select("id", F.least("c", F.coalesce("h", "c")).alias("c"), F.coalesce("support", "s").alias("s"), F.col("c").alias("old"))
+        state, met = kept.keep(merged, n=falls)
+        fell = met["n"]
+        if steps is not None:
+            steps.append((how, fell))
     else:
         raise RuntimeError(f"the core numbers are not settled after {rounds} rounds")
-    state = cut(state)
+    state = cut(state.select("id", "c"))
     adjacency.release()
     kept.release()
     return g.vertices.select("id").join(state, "id", "left").select("id", F.coalesce("c", F.lit(0)).alias("coreness"))

@@ -16,6 +16,10 @@ FRONTIER_SENT = 2_000_000
 PULL = 1.0
 #: Levels that are put into the table of what has been met at a time.
 MERGED = 8
+#: Waiting vertices from which on shortest paths are split into near and far ones.
+SPLIT = 1_000_000
+#: Of the mean weight over the mean degree, the width of what is near.
+NEAR = 8
 
 
 class Search:
@@ -110,25 +114,42 @@ def bfs(g: Graph, source) -> DataFrame:
     return g.vertices.select("id").join(found, "id", "left").select("id", F.coalesce("depth", F.lit(UNREACHED)).alias("depth"))
 
 
-def sssp(g: Graph, source, weight: str = "weight") -> DataFrame:
+def sssp(g: Graph, source, weight: str = "weight", split: int = SPLIT, width: float | None = None, relaxed: list[int] | None = None) -> DataFrame:
     """(id, dist): the least sum of weights from the source; infinity where there is no path.
 
-    Weights must not be negative.  Each round relaxes only the edges of vertices
-    whose distance has just fallen.
+    Weights must not be negative.  Vertices whose distance has fallen wait, and each
+    round relaxes the edges of those that wait.  If they are more than ``split``, only
+    the near ones are relaxed: those within ``width`` of the nearest, by default NEAR
+    times the mean weight over the mean degree.  What is far may fall again before its
+    edges are followed, so fewer edges go through the shuffle, in more rounds.
+    ``relaxed`` gathers how many vertices each round relaxed.
     """
     adjacency, rounds = g.prepared(weight), Rounds()
-    fallen = F.count(F.when(F.col("fell"), 1))
-    merged, met = rounds.keep(g.vertices.where(F.col("id") == F.lit(source)).select("id", F.lit(0.0).alias("dist"), F.lit(True).alias("fell")).distinct(), n=fallen)
+    waits = F.col("waits")
+    limit = float("inf")
+    metrics = lambda: {"n": F.count(F.when(waits, 1)), "near": F.count(F.when(waits & (F.col("dist") < limit), 1)), "least": F.min(F.when(waits, F.col("dist")))}
+    state, met = rounds.keep(g.vertices.where(F.col("id") == F.lit(source)).select("id", F.lit(0.0).alias("dist"), F.lit(True).alias("waits")).distinct(), **metrics())
     while met["n"]:
-        active = merged.where("fell").select("id", "dist")
-        offers = adjacency.meet(active).groupBy(F.col("dst").alias("to")).agg(F.min(F.col("dist") + F.col(weight)).alias("offer"))
-        state = merged.select("id", "dist")
+        if met["n"] <= split:
+            limit = float("inf")
+        elif limit == float("inf") or not met["near"]:
+            if width is None:
+                mean = adjacency.rows.agg(F.avg(weight).alias("w"), F.count(F.lit(1)).alias("n"), F.approx_count_distinct("src").alias("v")).first()
+                width = NEAR * mean["w"] * max(1, mean["v"]) / max(1, mean["n"])
+            limit = met["least"] + width
+            if limit <= met["least"]:  # weights of zero, or a width that is lost in the distance
+                limit = float("inf")
+        now = waits & (F.col("dist") < limit) if limit < float("inf") else waits
+        if relaxed is not None:
+            relaxed.append(state.where(now).count())
+        offers = adjacency.meet(state.where(now).select("id", "dist")).groupBy(F.col("dst").alias("to")).agg(F.min(F.col("dist") + F.col(weight)).alias("offer"))
         fell = F.col("dist").isNull() | F.coalesce(F.col("offer") < F.col("dist"), F.lit(False))
-        merged, met = rounds.keep(state.join(offers, F.col("id") == F.col("to"), "full").select(F.coalesce("id", "to").alias("id"), F.least("dist", "offer").alias("dist"), fell.alias("fell")), n=fallen)
-    state = cut(merged.select("id", "dist"))
+        still = F.coalesce(waits & ~now, F.lit(False))
+        state, met = rounds.keep(state.join(offers, F.col("id") == F.col("to"), "full").select(F.coalesce("id", "to").alias("id"), F.least("dist", "offer").alias("dist"), (fell | still).alias("waits")), **metrics())
+    found = cut(state.select("id", "dist"))
     adjacency.release()
     rounds.release()
-    return g.vertices.select("id").join(state, "id", "left").select("id", F.coalesce("dist", F.lit(float("inf"))).alias("dist"))
+    return g.vertices.select("id").join(found, "id", "left").select("id", F.coalesce("dist", F.lit(float("inf"))).alias("dist"))
 
 
 def betweenness(g: Graph, source) -> DataFrame:

@@ -217,6 +217,7 @@ SQL: dict[str, str] = {
     "bfs_simple": bfs("adj", ", " + SIMPLE),
     "sssp_dense": sssp("dense"),
     "sssp_sparse": sssp("sparse"),
+    "sssp_near_far_dense": sssp("dense"),
     "bc_simple": bc(6),
     "wcc_sparse": wcc("sparse"),
     "cdlp_simple": cdlp(SIMPLE),

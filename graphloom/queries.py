@@ -193,6 +193,7 @@ QUERIES: dict[str, Query] = {
     "bfs_simple": lambda s, d: traversal.bfs(P.simple(s, d), SOURCE),
     "sssp_dense": lambda s, d: traversal.sssp(P.dense(s, d), SOURCE),
     "sssp_sparse": lambda s, d: traversal.sssp(P.sparse(s, d), SOURCE),
+    "sssp_near_far_dense": lambda s, d: traversal.sssp(P.dense(s, d), SOURCE, split=0),
     "bc_simple": lambda s, d: _rounded(_rounded(traversal.betweenness(P.simple(s, d), SOURCE), "delta", 6), "sigma", 6),
     "wcc_sparse": lambda s, d: components.wcc(P.sparse(s, d)),
     "cdlp_simple": lambda s, d: community.cdlp(P.simple(s, d)),
