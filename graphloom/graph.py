@@ -29,6 +29,8 @@ class Graph:
     vertices: DataFrame
     edges: DataFrame
     directed: bool = False
+    #: The adjacency dealt by ``src`` as it is stored, where there is one.
+    dealt: DataFrame | None = None
 
     @classmethod
     def of(cls, edges: DataFrame, vertices: DataFrame | None = None, directed: bool = False, unknown: str = "drop") -> Graph:
@@ -55,6 +57,8 @@ class Graph:
     @cached_property
     def adjacency(self) -> DataFrame:
         """Rows (src, dst, ...) along which messages go: the edges, and in an undirected graph also their reverses."""
+        if self.dealt is not None:
+            return self.dealt
         return self.edges if self.directed else self.symmetrised()
 
     def symmetrised(self) -> DataFrame:
@@ -70,7 +74,7 @@ class Graph:
 
     def prepared(self, *columns: str) -> Dealt:
         """The adjacency with the named columns, for loops that read it often."""
-        return Dealt(self.adjacency.select("src", "dst", *columns))
+        return Dealt(self.adjacency.select("src", "dst", *columns), dealt=self.dealt is not None)
 
     def fixed(self) -> Graph:
         """The same graph, computed once and read again from the shared folder."""

@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from ..graph import Graph, swapped
 
 
-def apply_changes(g: Graph, edges: DataFrame | None = None, vertices: DataFrame | None = None, weight: str | None = "weight", data: str | None = None) -> Graph:
+def apply_changes(g: Graph, edges: DataFrame | None = None, vertices: DataFrame | None = None, weight: str | None = "weight", data: str | None = None, order: str | None = None) -> Graph:
     """The graph after one batch.
 
     ``edges`` has op (a, d, u), src, dst and the weight; ``vertices`` has op, id
     and the datum.  The order is fixed: vertices and edges are deleted, edges are
-    updated, vertices and edges are added, vertex data are set; the order of the
-    rows doesn't matter.
+    updated, vertices and edges are added, vertex data are set.
 
     Deleting or updating an edge concerns all of its parallel copies, in an
     undirected graph those of either direction.  Deleting a vertex takes its edges
     away and leaves it isolated.  Deletes and updates of what isn't there, and
     added edges with an unknown end, are ignored.  Of several updates of one edge
-    or vertex the one with the largest value holds.
+    or vertex the last by the column ``order`` holds; without one the order of the
+    rows doesn't matter, and the largest value holds.
     """
+    last = (lambda c: F.max(c)) if order is None else (lambda c: F.max_by(c, "__order"))
+    placed = [] if order is None else [F.col(order).alias("__order")]
     ids, own = g.vertices, g.edges
     if vertices is not None:
         gone = vertices.where("op = 'd'").select("id").distinct()
@@ -31,12 +33,12 @@ def apply_changes(g: Graph, edges: DataFrame | None = None, vertices: DataFrame
         gone = both(edges.where("op = 'd'").select("src", "dst")).distinct()
         own = own.join(gone, ["src", "dst"], "left_anti").select(g.edges.columns)
         if weight is not None:
-            new = both(edges.where("op = 'u'").select("src", "dst", F.col(weight).alias("__new"))).groupBy("src", "dst").agg(F.max("__new").alias("__new"))
+            new = both(edges.where("op = 'u'").select("src", "dst", F.col(weight).alias("__new"), *placed)).groupBy("src", "dst").agg(last("__new").alias("__new"))
             own = own.join(new, ["src", "dst"], "left").withColumn(weight, F.coalesce("__new", weight)).select(g.edges.columns)
     if vertices is not None:
-        given = vertices.where("op in ('a', 'u')")
+        given = vertices.where("op in ('a', 'u')").select("*", *placed)
         if data is not None:
-            latest = given.groupBy("id").agg(F.max(F.col(data)).alias("__new"), F.max((F.col("op") == "a").cast("int")).alias("__added"))
+            latest = given.groupBy("id").agg(last(data).alias("__new"), F.max((F.col("op") == "a").cast("int")).alias("__added"))
             joined = ids.withColumn("__known", F.lit(1)).join(latest, "id", "full").where("__known = 1 or __added = 1")
             ids = joined.withColumn(data, F.coalesce("__new", data)).select(g.vertices.columns)
         else:

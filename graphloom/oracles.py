@@ -270,6 +270,9 @@ select i.id, i.data, count(k.src) as degree from ids i left join kept k on k.src
     "program_wcc_sparse": wcc("sparse"),
     "text_result_sssp_sparse": sssp("sparse", value="value"),
     "stored_counts_sparse": f"with {BASE} select (select count(*) from v) as vertices, (select count(*) from sparse) as edges",
+    "stored_bfs_sparse": bfs("sparse"),
+    "stored_bfs_both_sparse": bfs("adj", ", " + BOTH),
+    "loaded_updated_sparse": f"with {BASE} select src, dst, max(weight) over (partition by src, dst) + 5 as weight from sparse",
     "loaded_degree_sparse": f"with {BASE} select v.id, count(e.src) as degree from v left join sparse e on e.src = v.id group by v.id",
     "program_in_dense": bfs("back", ", back as materialized (select dst as src, src as dst from dense)"),
     "program_mutated_sparse": wcc("sparse"),

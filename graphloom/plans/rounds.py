@@ -24,13 +24,14 @@ class Dealt:
 
     The edges of a hub are dealt by a salt of the other end as well, and a state that
     meets them is copied once for each salt.  So no task gets more than about ``hub``
-    edges of one vertex, and no join copies a state that isn't a hub's.
+    edges of one vertex, and no join copies a state that isn't a hub's.  Edges that are
+    stored ``dealt`` by that end stay where they are.
     """
 
-    def __init__(self, edges: DataFrame, end: str = "src", other: str = "dst", hub: int | None = None):
+    def __init__(self, edges: DataFrame, end: str = "src", other: str = "dst", hub: int | None = None, dealt: bool = False):
         hub = HUB if hub is None else hub
         self.end = end
-        rows = edges.repartition(end).persist()
+        rows = (edges if dealt else edges.repartition(end)).persist()
         found = rows.groupBy(end).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hub)  # dealt by the end already: no shuffle
         found = found.select(F.col(end).alias("__hub"), F.ceil(F.col("n") / hub).cast("int").alias("__parts")).persist()
         self.hubs: DataFrame | None = None

@@ -141,6 +141,16 @@ def _loaded_changed(spark: SparkSession, d: str) -> DataFrame:
     return access.out_degree(text.load_changed(spark, f"{path}/e", f"{path}/v", f"{path}/c", directed=True))
 
 
+def _updated(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the sparse graph's files after files of changes that update every edge three times, the last time not to its largest weight."""
+    edges = P.sparse(spark, d).edges
+    path = _files(spark, d, edges, "format_string('%d %d %.1f', src, dst, weight)")
+    new = edges.groupBy("src", "dst").agg(F.max("weight").alias("weight")).select("src", "dst", F.posexplode(F.array(F.col("weight") + 7, F.col("weight") + 3, F.col("weight") + 5)).alias("nth", "weight"))
+    ordered = new.repartitionByRange("src", "dst", "nth").sortWithinPartitions("src", "dst", "nth")
+    ordered.select(F.format_string("u %d %d %.1f", "src", "dst", "weight").alias("value")).write.text(f"{path}/c")
+    return text.load_changed(spark, f"{path}/e", f"{path}/v", f"{path}/c", directed=True).edges.select("src", "dst", "weight")
+
+
 def _numbered(spark: SparkSession, d: str) -> DataFrame:
     """PageRank of the simple graph's file, loaded with vertices by number."""
     path = _files(spark, d, P.simple(spark, d).edges, "format_string('%d %d', src, dst)")
@@ -168,6 +178,17 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
     return access.counts(stored.cached(spark, path, sign, lambda: P.dense(spark, d)))
 
 
+def _stored_search(directed: bool) -> Query:
+    """Breadth-first search over the sparse graph, stored by buckets and loaded again."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        path = scratch_path(spark, "graph")
+        sign = stored.signature(table="lineitem", at=49, directed=directed)
+        return traversal.bfs(stored.cached(spark, path, sign, lambda: P.sparse(spark, d, directed)), SOURCE)
+
+    return run
+
+
 def _loaded(spark: SparkSession, d: str) -> DataFrame:
     """Degrees of the sparse graph's text files: comments, a broken line and an unknown end are left out."""
     path = scratch_path(spark, "files")
@@ -255,6 +276,9 @@ QUERIES: dict[str, Query] = {
     "appended_degree_sparse": _appended,
     "text_result_sssp_sparse": _written,
     "stored_counts_sparse": _stored,
+    "stored_bfs_sparse": _stored_search(True),
+    "stored_bfs_both_sparse": _stored_search(False),
+    "loaded_updated_sparse": _updated,
     "loaded_degree_sparse": _loaded,
     "compared_components": _compared,
 }

@@ -14,10 +14,14 @@ from ..graph import Graph
 from ..operators.mutate import apply_changes
 
 
-def words(spark: SparkSession, path: str) -> DataFrame:
-    """(w): the words of each line that is neither empty nor a comment."""
+def words(spark: SparkSession, path: str, placed: bool = False) -> DataFrame:
+    """(w): the words of each line that is neither empty nor a comment; with ``placed`` also ``place``, by which lines compare as they stand.
+
+    A place is the file's name, where its split begins and the row there.
+    """
     line = F.trim(F.regexp_replace("value", r"[\t\r]", " "))
-    return spark.read.text(path).select(line.alias("value")).where("value <> '' and not startswith(value, '#')").select(F.split("value", r"\s+").alias("w"))
+    place = [F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias("place")] if placed else []
+    return spark.read.text(path).select(line.alias("value"), *place).where("value <> '' and not startswith(value, '#')").select(F.split("value", r"\s+").alias("w"), *(["place"] if placed else []))
 
 
 def _word(i: int, kind: str) -> Column:
@@ -38,14 +42,14 @@ def read_edges(spark: SparkSession, path: str, id_type: str = "long", weight_typ
 
 
 def read_edge_changes(spark: SparkSession, path: str, id_type: str = "long", weight_type: str = "double") -> DataFrame:
-    """(op, src, dst, weight): added (a), deleted (d) and updated (u) edges."""
-    found = words(spark, path).select(F.get("w", F.lit(0)).alias("op"), _word(1, id_type).alias("src"), _word(2, id_type).alias("dst"), _word(3, weight_type).alias("weight"))
+    """(op, src, dst, weight, place): added (a), deleted (d) and updated (u) edges, and where they stand."""
+    found = words(spark, path, True).select(F.get("w", F.lit(0)).alias("op"), _word(1, id_type).alias("src"), _word(2, id_type).alias("dst"), _word(3, weight_type).alias("weight"), "place")
     return found.where("src is not null and dst is not null and (op = 'd' or (op in ('a', 'u') and weight is not null))")
 
 
 def read_vertex_changes(spark: SparkSession, path: str, id_type: str = "long", data_type: str = "string") -> DataFrame:
-    """(op, id, data)."""
-    found = words(spark, path).select(F.get("w", F.lit(0)).alias("op"), _word(1, id_type).alias("id"), _word(2, data_type).alias("data"))
+    """(op, id, data, place)."""
+    found = words(spark, path, True).select(F.get("w", F.lit(0)).alias("op"), _word(1, id_type).alias("id"), _word(2, data_type).alias("data"), "place")
     return found.where("id is not null and op in ('a', 'd', 'u')")
 
 
@@ -56,11 +60,11 @@ def load(spark: SparkSession, edges: str, vertices: str | None = None, directed:
 
 
 def load_changed(spark: SparkSession, edges: str, vertices: str | None = None, edge_changes: str | None = None, vertex_changes: str | None = None, directed: bool = False, id_type: str = "long", weight_type: str | None = "double", data_type: str | None = None) -> Graph:
-    """The graph of the files after one batch of changes."""
+    """The graph of the files after one batch of changes; of several updates of one thing the last line holds."""
     g = load(spark, edges, vertices, directed, id_type, weight_type, data_type)
     changed = read_edge_changes(spark, edge_changes, id_type, weight_type or "double") if edge_changes else None
     moved = read_vertex_changes(spark, vertex_changes, id_type, data_type or "string") if vertex_changes else None
-    return apply_changes(g, changed, moved, "weight" if weight_type else None, "data" if data_type else None)
+    return apply_changes(g, changed, moved, "weight" if weight_type else None, "data" if data_type else None, "place")
 
 
 def load_numbered(spark: SparkSession, edges: str, n: int, weight_type: str | None = None) -> Graph:
