@@ -19,8 +19,10 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from itertools import batched
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -64,6 +66,8 @@ FEATURES = ["words", "density", "strong", "distinct", "best", "second", "mean",
 
 def read(token: str) -> tuple[str, bool]:
     """A token as it reads, and whether that took more than lower case and the punctuation around it away."""
+    if token.isalpha():
+        return token.lower(), False
     bare = EDGES.sub("", token).lower()
     if bare.isalpha() and not (token[0] in "$@" and token[1:2].isalpha()):
         return bare, False
@@ -75,38 +79,65 @@ def read(token: str) -> tuple[str, bool]:
     return (plain, True) if plain.isalpha() and plain != bare else (bare, False)
 
 
-def units(text: str | None) -> set[str]:
-    """The words of a text, and their beginnings with a hyphen behind."""
-    out: set[str] = set()
-    for token in set(WORD.findall(text or "")):
+class Units(dict):
+    """The entries that a token may stand for, its word and the beginnings with a hyphen behind; remembered, and of ``only`` those where it is given."""
+
+    def __init__(self, only: frozenset[str] | None = None):
+        super().__init__()
+        self.only = only
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
         word, _ = read(token)
-        if len(word) > LONGEST:
-            continue
-        if len(word) >= STARTS[0]:
-            out.add(word)
-            out.update(f"{word[:k]}-" for k in STARTS if k < len(word))
-    return out
+        found: tuple[str, ...] = ()
+        if STARTS[0] <= len(word) <= LONGEST:
+            found = (word, *[f"{word[:k]}-" for k in STARTS if k < len(word)])
+            if self.only is not None:
+                found = tuple(u for u in found if u in self.only)
+        if len(self) >= HELD:
+            self.clear()
+        self[token] = found
+        return found
+
+    def of(self, text: str | None) -> set[str]:
+        out: set[str] = set()
+        out.update(*map(self.__getitem__, set(WORD.findall(text or ""))))
+        return out
+
+
+def signs(text: str) -> tuple[int, int]:
+    """How many characters are letters, and how many capitals."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = np.bincount(_kinds()[np.minimum(points, 0xFFFF)], minlength=3)
+    return int(kinds[1] + kinds[2]), int(kinds[2])
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """Of the characters of the first plane: 2 for a capital, 1 for another letter."""
+    return np.array([2 if c.isupper() and c.isalpha() else int(c.isalpha()) for c in map(chr, range(0x10000))], np.int64)
 
 
 class Lexicon(dict):
-    """Weights of words and beginnings; what a token is worth is remembered."""
+    """Weights of words and beginnings; what a token is worth is remembered, nothing for most."""
 
     def __init__(self, weights: dict[str, float]):
         super().__init__()
         self.weights = weights
+        self.firsts = {u[: STARTS[0]] for u in weights}
 
-    def __missing__(self, token: str) -> tuple[float, bool, bool, str]:
-        """Weight, whether only a beginning counts, whether obfuscated, and the word."""
+    def __missing__(self, token: str) -> tuple | None:
+        """Weight, whether only a beginning counts, whether obfuscated, the word, whether it is a second person, whether all capitals."""
         word, hidden = read(token)
         weight, start = 0.0, False
-        if STARTS[0] <= len(word) <= LONGEST:
+        if word[: STARTS[0]] in self.firsts and len(word) <= LONGEST:
             weight = self.weights.get(word, 0.0)
             for k in STARTS:
                 if k < len(word) and (w := self.weights.get(f"{word[:k]}-", 0.0)) > weight:
                     weight, start = w, True
+        person, shouted = word in SECOND, len(token) > 1 and token.isupper()
         if len(self) >= HELD:
             self.clear()
-        self[token] = out = (weight, start, hidden, word)
+        self[token] = out = (weight, start, hidden, word, person, shouted) if weight or hidden or person or shouted else None
         return out
 
     def __reduce__(self):
@@ -116,29 +147,21 @@ class Lexicon(dict):
         text = text or ""
         tokens = WORD.findall(text)
         n, size = max(1, len(tokens)), max(1, len(text))
-        hits, persons, hidden, hidden_hits, shouted = [], [], 0, 0, 0
-        for i, token in enumerate(tokens):
-            weight, start, masked, word = self[token]
-            if weight:
-                hits.append((i, weight, start, word))
-                hidden_hits += masked
-            if word in SECOND:
-                persons.append(i)
-            hidden += masked
-            shouted += len(token) > 1 and token.isupper()
-        weights = sorted((w for _, w, _, _ in hits), reverse=True)
+        told = [(i, *x) for i, x in enumerate(map(self.__getitem__, tokens)) if x is not None]
+        hits = [x for x in told if x[1]]
+        persons = [x[0] for x in told if x[5]]
+        weights = sorted((x[1] for x in hits), reverse=True)
         near, at = 0, 0
         for i, *_ in hits:
             while at < len(persons) and persons[at] < i - NEAR:
                 at += 1
             near += at < len(persons) and persons[at] <= i + NEAR
-        letters = max(1, sum(map(str.isalpha, text)))
-        signs = sum(map(text.count, ".,;:!?"))
+        letters, capitals = signs(text)
         return [
-            math.log1p(len(tokens)), len(hits) / n, sum(w >= STRONG for w in weights) / n, float(min(50, len({h[3] for h in hits if h[1] >= STRONG}))),
+            math.log1p(len(tokens)), len(hits) / n, sum(w >= STRONG for w in weights) / n, float(min(50, len({x[4] for x in hits if x[1] >= STRONG}))),
             weights[0] if weights else 0.0, weights[1] if len(weights) > 1 else 0.0, sum(weights) / len(weights) if weights else 0.0,
-            sum(h[2] for h in hits) / n, near / n, len(persons) / n, sum(map(str.isupper, text)) / letters, shouted / n,
-            signs / size, text.count("!") / size, hidden / n, hidden_hits / n,
+            sum(x[2] for x in hits) / n, near / n, len(persons) / n, capitals / max(1, letters), sum(x[6] for x in told) / n,
+            sum(map(text.count, ".,;:!?")) / size, text.count("!") / size, sum(x[3] for x in told) / n, sum(x[3] for x in hits) / n,
         ]
 
 
@@ -155,11 +178,11 @@ def _counted(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
             held[0].clear()
             held[1].clear()
 
+        units = Units(shared.value)
         for whole in batches:
             for batch in pieces(whole, 0):
                 for text, half in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    found = units(text)
-                    held[half].update(found if shared.value is None else found & shared.value)
+                    held[half].update(units.of(text))
                     if len(held[0]) + len(held[1]) > HELD:
                         yield from out()
         yield from out()

@@ -33,7 +33,9 @@ def test_words_as_they_read():
     assert T.read("st.u.pid") == ("stupid", True) == T.read("5tup1d,")
     assert T.read("$tupid") == ("stupid", True)
     assert T.read("2024") == ("2024", False) and T.read("###") == ("", False) and T.read("l'eau") == ("l'eau", False)
-    assert {"stupid", "stu-", "stupi-"} < T.units("STUPID 17") and T.units(None) == set() == T.units("a of " + "x" * 90)
+    assert {"stupid", "stu-", "stupi-"} < T.Units().of("STUPID 17") and T.Units().of(None) == set() == T.Units().of("a of " + "x" * 90)
+    assert T.Units(frozenset({"stu-", "other"})).of("Stupid stuff, OTHER") == {"stu-", "other"}
+    assert T.signs("AÉb1 \U0001d400Ω") == (4, 3) and T.signs("") == (0, 0)
 
 
 def test_features():
