@@ -228,6 +228,7 @@ SQL: dict[str, str] = {
     "pagerank_sparse_push": pagerank("adj as (select src, dst from sparse)", "push"),
     "pagerank_local_simple": pagerank(SIMPLE, normalized=False, digits=8),
     "pagerank_local_undivided_simple": pagerank(SIMPLE, normalized=False, digits=4, rounds=3, divide="first"),
+    "pagerank_local_undivided_ten_simple": f"select id, round(log10(rank), 8) as rank from ({pagerank(SIMPLE, normalized=False, digits=12, divide='first')})",
     "lcc_simple": lcc(),
     "lcc_simple_threshold": lcc("where p.du <= 45 and q.du <= 45"),
     "lcc_dense_directed": LCC_DIRECTED,
@@ -266,6 +267,12 @@ select i.id, i.data, count(k.src) as degree from ids i left join kept k on k.src
     "sample_random_checked_dense": CHECKED,
     "sample_edge_weight_checked_dense": CHECKED,
     "stream_sampler_dense": f"{streamed(0, HEAVY, 'weight > 25')} union all {streamed(1, REPLACED, 'true')} union all {streamed(2, OTHERS, 'true')}",
+    "stream_batches_events": """with recursive e as (select user_id, event_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as i from events where ts is not null),
+w as (select user_id, event_id, i, t, t as first, 1 as n, 0::bigint as batch from e where i = 1 union all
+  select e.user_id, e.event_id, e.i, e.t, case when w.n >= 20 or w.t - w.first > 86400000000 then e.t else w.first end,
+    case when w.n >= 20 or w.t - w.first > 86400000000 then 1 else w.n + 1 end, case when w.n >= 20 or w.t - w.first > 86400000000 then w.batch + 1 else w.batch end
+  from w join e on e.user_id is not distinct from w.user_id and e.i = w.i + 1)
+select user_id, event_id, batch from w""",
     "program_bfs_dense": bfs("dense"),
     "program_wcc_sparse": wcc("sparse"),
     "text_result_sssp_sparse": sssp("sparse", value="value"),

@@ -14,7 +14,7 @@ from .operators import access, cohesion, community, components, mutate, partitio
 from .plans.lineage import scratch_path
 from .plans.superstep import VertexProgram
 from .sources import stored, text
-from .streaming import sampler
+from .streaming import batches, sampler
 
 Query = Callable[[SparkSession, str], DataFrame]
 SOURCE = 0
@@ -82,6 +82,18 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.text(f"{folder}/out").select("batch", "value")
 
 
+def _message_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Of every event the batch of its user's stream: 20 events or a day at most, over three runs of the stream."""
+    folder = scratch_path(spark, "messages")
+    events = P.table(spark, d, "events").select("user_id", "event_id", "ts")
+    for part in ("ts < '2024-01-10'", "ts >= '2024-01-10' and ts < '2024-01-20'", "ts >= '2024-01-20' or ts is null"):
+        events.where(part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{folder}/in")
+        cut = batches.numbered(stream, "user_id", "ts", "event_id", 20, 86_400_000_000)
+        cut.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 def _sample(strategy: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         g = P.dense(spark, d)
@@ -225,6 +237,7 @@ QUERIES: dict[str, Query] = {
     "pagerank_sparse_push": _pagerank(P.sparse, sinks="push"),
     "pagerank_local_simple": _pagerank(P.simple, 8, normalized=False),
     "pagerank_local_undivided_simple": lambda s, d: ranking.pagerank(P.simple(s, d), rounds=3, normalized=False, divide="first").select("id", F.round("rank", 4).alias("rank")),
+    "pagerank_local_undivided_ten_simple": lambda s, d: ranking.pagerank(P.simple(s, d), normalized=False, divide="first").select("id", F.round(F.log10("rank"), 8).alias("rank")),
     "lcc_simple": lambda s, d: _rounded(cohesion.lcc(P.simple(s, d)), "lcc", 12),
     "lcc_simple_threshold": lambda s, d: _rounded(cohesion.lcc(P.simple(s, d), 45), "lcc", 12),
     "lcc_dense_directed": lambda s, d: _rounded(cohesion.lcc_directed(P.dense(s, d)), "lcc", 12),
@@ -263,6 +276,7 @@ QUERIES: dict[str, Query] = {
     "sample_random_checked_dense": _checked("random"),
     "sample_edge_weight_checked_dense": _checked("edge_weight"),
     "stream_sampler_dense": _streamed,
+    "stream_batches_events": _message_batches,
     "program_bfs_dense": lambda s, d: bfs_program(SOURCE).run(P.dense(s, d)).withColumnRenamed("value", "depth"),
     "program_wcc_sparse": lambda s, d: wcc_program().run(P.sparse(s, d)).withColumnRenamed("value", "comp"),
     "program_in_dense": _in_program,
