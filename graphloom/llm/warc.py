@@ -32,8 +32,10 @@ from pyspark.sql.window import Window
 from ..plans.lineage import cut, scratch_path
 from .batches import in_arrow, pieces
 
-#: Raw payload bytes that a shard aims at, and compressed bytes after which a file is rolled.
-SHARD_BYTES, FILE_BYTES = 8_000_000, 4_000_000
+#: Raw payload bytes that a shard aims at: of SPREAD shards, but in these bounds; compressed bytes after which a file is rolled.
+SPREAD, SHARD_BYTES, FILE_BYTES = 4_096, (8_000_000, 1_000_000_000), 1_000_000_000
+#: Compressed bytes that a task reads, of whole files, and how many are read at a time.
+READ_BYTES, CHUNK = 128_000_000, 1 << 18
 #: Shards at most, whose first keys are sent to all tasks, 16 bytes each; more bytes make larger shards.
 SHARDS, FAN = 65_536, 256
 #: Keys of copied payloads that are broadcast, of about 100 bytes each; more are joined by a shuffle.
@@ -136,7 +138,7 @@ def keyed(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"i": F.coalesce("page_id", F.lit(-(1 << 63))), "k": F.xxhash64("payload")})
 
 
-def shards(sized: DataFrame, target: int) -> list[tuple[int, int]]:
+def shards(sized: DataFrame, target: int | None) -> list[tuple[int, int]]:
     """The first (i, k) of each shard but the first, in order; of (i, k, n), n being a payload's bytes.
 
     Equal keys are summed, dealt by range, summed in their range and shifted by the
@@ -149,6 +151,8 @@ def shards(sized: DataFrame, target: int) -> list[tuple[int, int]]:
     for r in dealt.groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect():
         before.append((r["p"], total))
         total += r["n"]
+    if target is None:
+        target = min(max(total // SPREAD, SHARD_BYTES[0]), SHARD_BYTES[1])
     target = max(target, -(-total // SHARDS), 1)
     shift = F.broadcast(spark.createDataFrame(before, "p int, start long"))
     own = F.sum("n").over(Window.partitionBy("p").orderBy("i", "k"))
@@ -168,7 +172,7 @@ def in_shards(records: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
     return records.withColumn("__group", upto(coarse)).join(fine, F.col("__group") == F.col("__g")).withColumn("shard", F.col("__base") + upto(F.col("__keys"))).drop("__group", "__g", "__base", "__keys")
 
 
-def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, at_least: int = 0) -> DataFrame:
+def write(pages: DataFrame, folder: str, shard_bytes: int | None = None, file_bytes: int = FILE_BYTES, at_least: int = 0) -> DataFrame:
     """Write a record for each row (page_id, url, html) below ``folder``; returns the manifest.
 
     A null html is an empty payload.  Of rows with equal payloads of ``at_least``
@@ -211,15 +215,41 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of a file, one after another."""
-    while data:
-        z = zlib.decompressobj(31)
-        out = z.decompress(data) + z.flush()
-        if not z.eof:
-            raise ValueError("the file ends within a record")
-        yield out
-        data = z.unused_data
+class Hashed:
+    """A stream, with the size and the digest of what has been read of it."""
+
+    def __init__(self, stream):
+        self.stream, self.size, self.hash = stream, 0, hashlib.sha256()
+
+    def read(self, n: int) -> bytes:
+        data = self.stream.read(n)
+        self.size += len(data)
+        self.hash.update(data)
+        return data
+
+
+def records_of(stream, name: str) -> Iterator[dict]:
+    """The parsed records of a file; one that can't be read isn't what was written."""
+    try:
+        for raw in members(stream):
+            yield parse(raw) | {"__size": len(raw)}
+    except (zlib.error, ValueError, KeyError) as e:
+        raise ValueError(f"{name} isn't the file that the manifest names") from e
+
+
+def members(stream) -> Iterator[bytes]:
+    """The gzip members of a stream, one after another; no more than one is held."""
+    left, z, out = b"", None, []
+    while left or (left := stream.read(CHUNK)):
+        if z is None:
+            z, out = zlib.decompressobj(31), []
+        out.append(z.decompress(left))
+        left = b""
+        if z.eof:
+            yield b"".join(out)
+            left, z = z.unused_data, None
+    if z is not None:
+        raise ValueError("the file ends within a record")
 
 
 def parse(raw: bytes) -> dict:
@@ -246,33 +276,34 @@ RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", p
 def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """A row for each record of the files that the manifest of ``folder`` names.
 
-    Files are read whole, one at a time; the writer bounds their size.  A file
-    whose size or digest isn't the manifest's raises.
+    A task reads about READ_BYTES of whole files, a record at a time.  A file whose
+    size or digest isn't the manifest's raises.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = filesystem(folder)
         for batch in batches:
             for name, size, digest in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                held, used = [], 0
                 with files.open_input_stream(f"{base}/{name}", compression=None) as f:
-                    data = f.read()
-                if len(data) != size or hashlib.sha256(data).hexdigest() != digest:
+                    stream = Hashed(f)
+                    for row in records_of(stream, name):
+                        used += row.pop("__size")
+                        if not payloads:
+                            row["payload"] = None
+                        held.append(row)
+                        if used > 4_000_000:
+                            yield pa.RecordBatch.from_pylist(held, schema=RECORD)
+                            held, used = [], 0
+                if stream.size != size or stream.hash.hexdigest() != digest:
                     raise ValueError(f"{name} isn't the file that the manifest names")
-                held, used = [], 0
-                for raw in members(data):
-                    row = parse(raw)
-                    if not payloads:
-                        row["payload"] = None
-                    held.append(row)
-                    used += len(raw)
-                    if used > 4_000_000:
-                        yield pa.RecordBatch.from_pylist(held, schema=RECORD)
-                        held, used = [], 0
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=RECORD)
 
     named = manifest(spark, folder).select("file", "bytes", "sha256")
-    return in_arrow(named.repartition(64), work, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    sums = named.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, min(sums["files"], max(spark.sparkContext.defaultParallelism * 4, -(-sums["bytes"] // READ_BYTES))))
+    return in_arrow(named.repartition(tasks), work, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op4(pages: DataFrame) -> DataFrame:
