@@ -177,18 +177,43 @@ def coreness_total(g: Graph) -> DataFrame:
     return coreness(g).agg(F.coalesce(F.sum("coreness"), F.lit(0)).alias("total"), F.coalesce(F.max("coreness"), F.lit(0)).alias("largest"))
 
 
+def bitmaps(edges: DataFrame) -> DataFrame:
+    """(u, a, word, bits): of each vertex u the links among its neighbours, as bitmaps in words of 64.
+
+    ``edges`` (u, w) are oriented.  The neighbours of u are numbered from 0; the bitmap of
+    number a has the numbers that a points to.  Words without a bit are not there.
+    """
+    numbered = cut(edges.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy("w")) - 1))
+    first = numbered.select("u", F.col("w").alias("v"), F.col("r").alias("a"))
+    found = first.join(numbered.select(F.col("u").alias("v"), "w"), "v").join(numbered, ["u", "w"])
+    bit = F.expr("shiftleft(1L, r & 63)")
+    return found.groupBy("u", "a", F.shiftright("r", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
 def kclique(g: Graph, k: int) -> DataFrame:
-    """One row (k, cliques) on the simple undirected graph: vertices for k = 1, edges for k = 2."""
+    """One row (k, cliques) on the simple undirected graph: vertices for k = 1, edges for k = 2.
+
+    A clique is found at its first vertex by the orientation, among whose neighbours
+    bitmaps tell who may come next.  Those that may follow a smaller clique and its next
+    member are the AND of two bitmaps, word by word, and the last member is only
+    counted: no table has a row for each clique of k.
+    """
     if k < 1:
         raise ValueError("k is 1 or more")
     if k == 1:
         return g.vertices.agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("cliques"))
-    edges = cut(oriented(g.simple_edges()).select("u", "w"))
-    found = edges.select(F.col("u").alias("v1"), F.col("w").alias("v2"))
-    for size in range(2, k):
-        step = edges.select(F.col("u").alias(f"v{size}"), F.col("w").alias("next"))
-        found = found.join(step, f"v{size}")
-        for j in range(1, size):
-            found = found.join(edges.select(F.col("u").alias(f"v{j}"), F.col("w").alias("next")), [f"v{j}", "next"], "left_semi")
-        found = found.withColumnRenamed("next", f"v{size + 1}")
-    return found.agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("cliques"))
+    edges = oriented(g.simple_edges()).select("u", "w")
+    if k == 2:
+        return edges.agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("cliques"))
+    links = cut(bitmaps(edges))
+    after, path = links, ["u", "a"]
+    for size in range(3, k):
+        last = f"p{size}"
+        chosen = after.select(*path, F.explode(F.expr("filter(sequence(0, 63), b -> bit_get(bits, b) = 1)")).alias("b"), "word").select(*path, (F.col("word") * 64 + F.col("b")).alias(last))
+        own = links.select(F.col("u").alias("x"), F.col("a").alias("y"), F.col("word").alias("z"), F.col("bits").alias("more"))
+        both = chosen.join(after, path).join(own, (F.col("u") == F.col("x")) & (F.col(last) == F.col("y")) & (F.col("word") == F.col("z")))
+        path = [*path, last]
+        after = both.select(*path, "word", F.col("bits").bitwiseAND(F.col("more")).alias("bits")).where("bits <> 0")
+        if size + 1 < k:
+            after = cut(after)
+    return after.agg(F.lit(k).alias("k"), F.coalesce(F.sum(F.bit_count("bits").cast("long")), F.lit(0)).alias("cliques"))
