@@ -41,5 +41,5 @@ def test_stages(spark):
 def test_registered():
     names = list(entry.queries())
     assert [n for n in names if n.startswith("op")] and "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
     assert set(entry.oracle_sql()) <= set(names)
