@@ -31,6 +31,8 @@ class Graph:
     directed: bool = False
     #: The adjacency dealt by ``src`` as it is stored, where there is one.
     dealt: DataFrame | None = None
+    #: Whether the edges are distinct pairs with src < dst already.
+    simple: bool = False
 
     @classmethod
     def of(cls, edges: DataFrame, vertices: DataFrame | None = None, directed: bool = False, unknown: str = "drop") -> Graph:
@@ -70,6 +72,8 @@ class Graph:
 
     def simple_edges(self) -> DataFrame:
         """Distinct unordered pairs (a, b) with a < b; no self-loops."""
+        if self.simple:
+            return self.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
         return self.edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
     def prepared(self, *columns: str) -> Dealt:

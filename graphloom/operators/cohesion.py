@@ -7,14 +7,12 @@ and cliques stay far below the square of the degrees.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..graph import Graph
-from ..plans.lineage import cut
+from ..plans.lineage import cut, cut_table
 from ..plans.rounds import Dealt, Rounds
 
 #: Of all vertices, those that fall in a round for all to look at their neighbours again.
@@ -29,46 +27,64 @@ def _degrees(pairs: DataFrame) -> DataFrame:
 def oriented(pairs: DataFrame) -> DataFrame:
     """(u, w, du, dw): each pair once, from lower to higher (degree, id)."""
     degree = _degrees(pairs)
-    da = degree.select(F.col("v").alias("a"), F.col("deg").alias("da"))
-    db = degree.select(F.col("v").alias("b"), F.col("deg").alias("db"))
+    da = degree.select(F.col("v").alias("a"), F.col("deg").alias("da")).hint("shuffle_hash")
+    db = degree.select(F.col("v").alias("b"), F.col("deg").alias("db")).hint("shuffle_hash")
     known = pairs.join(da, "a").join(db, "b")
     up = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
     pick = lambda x, y, name: F.when(up, F.col(x)).otherwise(F.col(y)).alias(name)
     return known.select(pick("a", "b", "u"), pick("b", "a", "w"), pick("da", "db", "du"), pick("db", "da", "dw"))
 
 
+def _lists(edges: DataFrame) -> DataFrame:
+    """(u, ws): of the edges (u, w, dw) each vertex's later neighbours in their order, at most the root of twice the edges."""
+    by = edges.select("u", "w", "dw").repartition("u").groupBy("u").agg(F.sort_array(F.collect_list(F.struct("dw", "w"))).alias("s"))
+    return cut_table(by.select("u", F.col("s.w").alias("ws")), "lists")
+
+
+def _closed(lists: DataFrame) -> DataFrame:
+    """(x, y, at, rest, zs): of each edge (x, y) that closes triangles their third vertices.
+
+    What follows y in the list of x, where y is number ``at``, goes to y as one row and
+    meets the list of y there.  So no row is made for two neighbours without a link, and
+    only one list of each vertex waits in memory.
+    """
+    n = F.size("ws")
+    out = lists.select(F.col("u").alias("x"), "ws", F.posexplode("ws").alias("at", "y")).where(F.col("at") + 1 < n)
+    out = out.select("x", "y", "at", F.slice("ws", F.col("at") + 2, n).alias("rest"))
+    own = lists.select(F.col("u").alias("y"), "ws").hint("shuffle_hash")
+    return out.join(own, "y").select("x", "y", "at", "rest", F.array_intersect("rest", "ws").alias("zs")).where(F.size("zs") > 0)
+
+
 def triangles(pairs: DataFrame, most: int | None = None) -> DataFrame:
     """(x, y, z) of each triangle once, in orientation order.
 
     With ``most``, vertices of higher degree offer no list of neighbours, so a
     triangle is missed if its first or second vertex is one.
     """
-    edges = cut(oriented(pairs))
+    edges = oriented(pairs)
     first = edges if most is None else edges.where(F.col("du") <= most)
-    xy = first.select(F.col("u").alias("x"), F.col("w").alias("y"))
-    yz = first.select(F.col("u").alias("y"), F.col("w").alias("z"))
-    xz = first.select(F.col("u").alias("x"), F.col("w").alias("z"))
-    return xy.join(yz, "y").join(xz, ["x", "z"]).select("x", "y", "z")
+    return _closed(_lists(first)).select("x", "y", F.explode("zs").alias("z"))
 
 
 def _each(found: DataFrame, *names: str) -> DataFrame:
-    return reduce(DataFrame.unionAll, [found.select(F.col(n).alias("v"), *[c for c in found.columns if c not in names]) for n in names])
+    return found.select(F.explode(F.array(*names)).alias("v"), *[c for c in found.columns if c not in names])
 
 
 def triangle_counts(g: Graph) -> DataFrame:
     """(id, triangles) on the simple undirected graph."""
-    counts = _each(triangles(g.simple_edges()), "x", "y", "z").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    pairs = cut_table(g.simple_edges(), "pairs")
+    counts = _each(triangles(pairs), "x", "y", "z").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     return g.vertices.select("id").join(counts, F.col("id") == F.col("v"), "left").select("id", F.coalesce("n", F.lit(0)).alias("triangles"))
 
 
 def triangle_total(g: Graph) -> DataFrame:
     """One row (triangles)."""
-    return triangles(g.simple_edges()).agg(F.count(F.lit(1)).alias("triangles"))
+    return triangles(cut_table(g.simple_edges(), "pairs")).agg(F.count(F.lit(1)).alias("triangles"))
 
 
 def lcc(g: Graph, degree_threshold: int | None = None) -> DataFrame:
     """(id, lcc): twice the triangles over d(d-1), on the simple undirected graph; 0 for degrees 0 and 1."""
-    pairs = cut(g.simple_edges())
+    pairs = cut_table(g.simple_edges(), "pairs")
     counts = _each(triangles(pairs, degree_threshold), "x", "y", "z").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     joined = g.vertices.select("id").join(_degrees(pairs).withColumnRenamed("v", "dv"), F.col("id") == F.col("dv"), "left").join(counts, F.col("id") == F.col("v"), "left")
     d = F.coalesce("deg", F.lit(0))
@@ -80,13 +96,11 @@ def lcc_directed(g: Graph) -> DataFrame:
 
     Self-loops are left out; 0 for fewer than two neighbours.
     """
-    weights = cut(g.edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("times")))
+    weights = cut_table(g.edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("times")), "weights")
     pairs = weights.select("a", "b")
     found = triangles(pairs)
-    corners = reduce(
-        DataFrame.unionAll,
-        [found.select(F.col(v).alias("v"), F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for v, p, q in (("x", "y", "z"), ("y", "x", "z"), ("z", "x", "y"))],
-    )
+    corner = lambda v, p, q: F.struct(F.col(v).alias("v"), F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
+    corners = found.select(F.inline(F.array(corner("x", "y", "z"), corner("y", "x", "z"), corner("z", "x", "y"))))
     counts = corners.join(weights, ["a", "b"]).groupBy("v").agg(F.sum("times").alias("n"))
     joined = g.vertices.select("id").join(_degrees(pairs).withColumnRenamed("v", "dv"), F.col("id") == F.col("dv"), "left").join(counts, F.col("id") == F.col("v"), "left")
     d = F.coalesce("deg", F.lit(0))
@@ -180,13 +194,12 @@ def coreness_total(g: Graph) -> DataFrame:
 def bitmaps(edges: DataFrame) -> DataFrame:
     """(u, a, word, bits): of each vertex u the links among its neighbours, as bitmaps in words of 64.
 
-    ``edges`` (u, w) are oriented.  The neighbours of u are numbered from 0; the bitmap of
-    number a has the numbers that a points to.  Words without a bit are not there.
+    ``edges`` (u, w, dw) are oriented.  The neighbours of u are numbered from 0; the bitmap
+    of number a has the numbers that a points to.  Words without a bit are not there.
     """
-    numbered = cut(edges.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy("w")) - 1))
-    first = numbered.select("u", F.col("w").alias("v"), F.col("r").alias("a"))
-    found = first.join(numbered.select(F.col("u").alias("v"), "w"), "v").join(numbered, ["u", "w"])
-    bit = F.expr("shiftleft(1L, r & 63)")
+    met = _closed(_lists(edges)).select(F.col("x").alias("u"), F.col("at").alias("a"), "rest", F.explode("zs").alias("z"))
+    found = met.select("u", "a", (F.col("a") + F.array_position("rest", F.col("z"))).alias("r"))
+    bit = F.expr("shiftleft(1L, cast(r & 63 as int))")
     return found.groupBy("u", "a", F.shiftright("r", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
@@ -202,10 +215,10 @@ def kclique(g: Graph, k: int) -> DataFrame:
         raise ValueError("k is 1 or more")
     if k == 1:
         return g.vertices.agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("cliques"))
-    edges = oriented(g.simple_edges()).select("u", "w")
+    pairs = cut_table(g.simple_edges(), "pairs")
     if k == 2:
-        return edges.agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("cliques"))
-    links = cut(bitmaps(edges))
+        return pairs.agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("cliques"))
+    links = cut(bitmaps(oriented(pairs)))
     after, path = links, ["u", "a"]
     for size in range(3, k):
         last = f"p{size}"

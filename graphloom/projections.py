@@ -40,7 +40,7 @@ def sparse(spark: SparkSession, sf_dir: str, directed: bool = True) -> Graph:
 def simple(spark: SparkSession, sf_dir: str) -> Graph:
     """Distinct unordered pairs of the dense graph."""
     pairs = dense_edges(spark, sf_dir).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    return Graph(vertices(spark, sf_dir), pairs, False)
+    return Graph(vertices(spark, sf_dir), pairs, False, simple=True)
 
 
 def halved(spark: SparkSession, sf_dir: str) -> Graph:
@@ -48,4 +48,4 @@ def halved(spark: SparkSession, sf_dir: str) -> Graph:
     half = lambda c: F.floor(F.col(c) / 2)
     pairs = simple(spark, sf_dir).edges.select(half("src").alias("a"), half("dst").alias("b")).where("a <> b")
     pairs = pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-    return Graph(vertices(spark, sf_dir).select(half("id").alias("id")).distinct(), pairs, False)
+    return Graph(vertices(spark, sf_dir).select(half("id").alias("id")).distinct(), pairs, False, simple=True)

@@ -31,3 +31,14 @@ def test_sparse_cliques(spark):
 
     g = Graph(spark.range(151), spark.createDataFrame(edges, "src long, dst long"), False)
     assert [cliques(g, k) for k in (3, 4, 5, 6, 7)] == [plain(k) for k in (3, 4, 5, 6, 7)]
+
+
+def test_triangles_are_looked_for_once(spark):
+    """One join makes the triangles, whose three corners come from its rows; the other meets the vertices."""
+    edges = spark.createDataFrame([*combinations(range(9), 2), (8, 9)], "src long, dst long")
+    g = Graph(spark.range(10), edges, False)
+    counts = cohesion.triangle_counts(g)
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    assert {r["id"]: r["triangles"] for r in counts.collect()} == {i: comb(8, 2) if i < 9 else 0 for i in range(10)}
+    directed = cohesion.lcc_directed(Graph(spark.range(10), edges.unionAll(edges.where("src = 0")), True))
+    assert directed._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 4
