@@ -122,7 +122,7 @@ def kcore(g: Graph, k: int) -> DataFrame:
     gone = F.count(F.when(F.col("goes"), 1))
     state, met = rounds.keep(degree.select("id", "deg", goes), n=gone)
     while met["n"]:
-        lost = adjacency.meet(state.where("goes").select("id")).groupBy(F.col("dst").alias("to")).agg(F.count(F.lit(1)).alias("lost"))
+        lost = adjacency.meet(state.where("goes").select("id")).groupBy(F.col("dst").alias("to")).agg(F.count(F.lit(1)).alias("lost")).hint("shuffle_hash")
         left = state.where(~F.col("goes")).join(lost, F.col("id") == F.col("to"), "left").select("id", (F.col("deg") - F.coalesce("lost", F.lit(0))).alias("deg"))
         state, met = rounds.keep(left.select("id", "deg", goes), n=gone)
     state = cut(state.select("id", F.col("deg").alias("core_degree")))
@@ -159,20 +159,23 @@ def coreness(g: Graph, rounds: int = 100_000, whole: float | None = None, steps:
             break
         if fell > whole * n:
             base, how = state.select("id", "c", "s"), "all"
-            heard = adjacency.meet(base).groupBy(F.col("dst").alias("of"), F.col("c").alias("v"))
+            heard = adjacency.meet(base).select(F.col("dst").alias("of"), F.col("c").alias("v"))
         else:
-            told = adjacency.meet(state.where("old > c").select("id", "old", F.col("c").alias("new"))).groupBy(F.col("dst").alias("to"), "old", "new").agg(F.count(F.lit(1)).alias("times"))
+            told = adjacency.meet(state.where("old > c").select("id", "old", F.col("c").alias("new"))).select(F.col("dst").alias("to"), "old", "new")
+            told = adjacency.dealt(told, "to").groupBy("to", "old", "new").agg(F.count(F.lit(1)).alias("times"))
             own = state.select("id", "c", "s")
-            less = told.join(own, F.col("to") == F.col("id")).where("old >= c and c > new").groupBy("to").agg(F.sum("times").alias("less"))
-            base, met = kept.keep(own.join(less, F.col("id") == F.col("to"), "left").select("id", "c", (F.col("s") - F.coalesce("less", F.lit(0))).alias("s")), n=F.count(F.when(F.col("s") < F.col("c"), 1)))
+            less = told.join(own.hint("shuffle_hash"), F.col("to") == F.col("id")).where("old >= c and c > new").groupBy("to").agg(F.sum("times").alias("less"))
+            base, met = kept.keep(own.join(less.hint("shuffle_hash"), F.col("id") == F.col("to"), "left").select("id", "c", (F.col("s") - F.coalesce("less", F.lit(0))).alias("s")), n=F.count(F.when(F.col("s") < F.col("c"), 1)))
             if not met["n"]:
                 state = base
                 break
             how = "some"
             values = base.select(F.col("id").alias("nbr"), F.col("c").alias("v"))
-            heard = adjacency.meet(base.where("s < c").select("id")).select(F.col("id").alias("of"), "dst").join(values, F.col("dst") == F.col("nbr")).groupBy("of", "v")
-        ranked = heard.agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(above))  # a hub hears few different values
-        told = ranked.withColumn("h", F.max(F.least("v", "upto")).over(Window.partitionBy("of"))).groupBy("of", "h").agg(F.max(F.when(F.col("v") >= F.col("h"), F.col("upto"))).alias("support"))
+            heard = adjacency.meet(base.where("s < c").select("id")).select(F.col("id").alias("of"), "dst").join(values.hint("shuffle_hash"), F.col("dst") == F.col("nbr")).select("of", "v")
+        counted = adjacency.dealt(heard, "of").groupBy("of", "v").agg(F.count(F.lit(1)).alias("k"))
+        ranked = counted.withColumn("upto", F.sum("k").over(above))  # a hub hears few different values
+        # Of the values that give the h-index the smallest has the support.
+        told = ranked.groupBy("of").agg(F.max(F.struct(F.least("v", "upto").alias("h"), F.col("upto").alias("support"))).alias("top")).select("of", "top.h", "top.support").hint("shuffle_hash")
         merged = base.join(told, F.col("id") == F.col("of"), "left").select("id", F.least("c", F.coalesce("h", "c")).alias("c"), F.coalesce("support", "s").alias("s"), F.col("c").alias("old"))
         state, met = kept.keep(merged, n=falls)
         fell = met["n"]

@@ -25,7 +25,8 @@ class Dealt:
     The edges of a hub are dealt by a salt of the other end as well, and a state that
     meets them is copied once for each salt.  So no task gets more than about ``hub``
     edges of one vertex, and no join copies a state that isn't a hub's.  Edges that are
-    stored ``dealt`` by that end stay where they are.
+    stored ``dealt`` by that end stay where they are.  The state is what waits in memory
+    for its edges, which are not sorted.
     """
 
     def __init__(self, edges: DataFrame, end: str = "src", other: str = "dst", hub: int | None = None, dealt: bool = False):
@@ -51,9 +52,13 @@ class Dealt:
     def meet(self, state: DataFrame, key: str = "id") -> DataFrame:
         """``state`` with the edges of its ``key``."""
         if self.hubs is None:
-            return state.join(self.rows, F.col(key) == F.col(self.end))
+            return state.hint("shuffle_hash").join(self.rows, F.col(key) == F.col(self.end))
         copied = state.join(self.hubs, F.col(key) == F.col("__hub"), "left").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
-        return copied.join(self.rows, (F.col(key) == F.col(self.end)) & (F.col("__copy") == F.col("__salt"))).drop("__hub", "__parts", "__copy", "__salt")
+        return copied.hint("shuffle_hash").join(self.rows, (F.col(key) == F.col(self.end)) & (F.col("__copy") == F.col("__salt"))).drop("__hub", "__parts", "__copy", "__salt")
+
+    def dealt(self, told: DataFrame, to: str) -> DataFrame:
+        """What vertices are told, dealt by vertex ``to`` before it is grouped by that and more; with hubs it is left to the grouping, so no task gets all that one is told."""
+        return told.repartition(to) if self.hubs is None else told
 
     def release(self) -> None:
         self.rows.unpersist()
