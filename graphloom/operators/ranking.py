@@ -27,17 +27,17 @@ def pagerank(g: Graph, damping: float = 0.85, rounds: int = 10, sinks: str = "ld
     """
     if sinks not in SINKS:
         raise ValueError(f"sinks is one of {SINKS}")
-    out = g.adjacency.select("src", "dst")
-    degree = out.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
+    edges, kept = Dealt(g.adjacency.select("src", "dst"), dealt=g.dealt is not None), Rounds()
+    degree = edges.rows.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     state = g.vertices.select("id").join(degree, F.col("id") == F.col("src"), "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg"))
     on_sinks = {"sinks": F.count(F.when(F.col("deg") == 0, 1)), "held": F.sum(F.when(F.col("deg") == 0, F.col("rank"))), "n": F.count(F.lit(1))}
     state, met = cut_observed(state.withColumn("rank", F.lit(1.0)), **on_sinks)
     n = met["n"]
     if not n:
+        edges.release()
         return g.vertices.select("id", F.lit(0.0).alias("rank"))
     start, base = (1.0 / n, (1 - damping) / n) if normalized else (1.0, 1 - damping)
     state = state.withColumn("rank", F.lit(start))
-    edges, kept = Dealt(out), Rounds()
     n_sinks = met["sinks"] if normalized else 0
     held = n_sinks * start  # mass on the sinks
     for step in range(rounds):
@@ -47,7 +47,7 @@ def pagerank(g: Graph, damping: float = 0.85, rounds: int = 10, sinks: str = "ld
         held = own * n_sinks
         given = F.col("rank") / F.col("deg") if divide == "always" or step == 0 else F.col("rank")
         sent = state.where("deg > 0").select("id", given.alias("given"))
-        into = edges.meet(sent).groupBy("dst").agg(F.sum("given").alias("got"))
+        into = edges.meet(sent).groupBy("dst").agg(F.sum("given").alias("got")).hint("shuffle_hash")
         received = F.lit(damping) * F.coalesce("got", F.lit(0.0))
         if normalized and sinks == "drop":
             received = F.when(F.col("deg") > 0, received).otherwise(0.0)

@@ -68,8 +68,9 @@ def load_changed(spark: SparkSession, edges: str, vertices: str | None = None, e
 
 
 def load_numbered(spark: SparkSession, edges: str, n: int, weight_type: str | None = None) -> Graph:
-    """An undirected graph whose vertices are 0 .. n-1."""
-    return Graph.of(read_edges(spark, edges, "long", weight_type), spark.range(n), False)
+    """An undirected graph whose vertices are 0 .. n-1; ends are compared with n, not looked up."""
+    known = read_edges(spark, edges, "long", weight_type).where((F.least("src", "dst") >= 0) & (F.greatest("src", "dst") < n))
+    return Graph(spark.range(n), known, False)
 
 
 def shown(value: str, kind: str) -> Column:
