@@ -64,8 +64,11 @@ class Graph:
         return self.edges if self.directed else self.symmetrised()
 
     def symmetrised(self) -> DataFrame:
-        """Every edge in both directions, multiplicities kept."""
-        return self.edges.unionByName(swapped(self.edges))
+        """Every edge in both directions, multiplicities kept; the edges are computed once for both."""
+        rest = [c for c in self.edges.columns if c not in ("src", "dst")]
+        way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+        both = self.edges.select(*rest, F.explode(F.array(way("src", "dst"), way("dst", "src"))).alias("__way"))
+        return both.select(*[f"__way.{c}" if c in ("src", "dst") else c for c in self.edges.columns])
 
     def undirected(self) -> Graph:
         return Graph(self.vertices, self.edges, False)

@@ -117,7 +117,7 @@ class VertexProgram:
                 senders = known.drop("before") if self.always else known.where("sends").drop("before")
                 joined = known.drop("before")
                 for d, own in kinds.items():
-                    joined = joined.join(self._heard(edges[d], senders, own), F.col("id") == F.col("__to"), "left").drop("__to")
+                    joined = joined.join(self._heard(edges[d], senders, own).hint("shuffle_hash"), F.col("id") == F.col("__to"), "left").drop("__to")
                 joined = joined.withColumn("next", self.update)
                 changed = ~F.col("next").eqNullSafe(F.col("value")) if self.changed is None else self.changed
                 state, met = kept.keep(joined.select("id", F.col("next").alias("value"), *[F.col("value").alias(c) for c in carried], changed.alias("sends")), **metrics)
