@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 from .graph import Graph
 
 
+#: Lines for each shuffle partition of a session that reads them.
+LINES = 500_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -16,9 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def dense_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part -> part of consecutive lines of an order; weight: the later line's quantity.
 
-    One shuffle by order: the next line comes from a window, not from a join.
+    One shuffle by order: the next line comes from a window, not from a join.  The
+    session's shuffle partitions are raised to the table, so that no task grows with it.
     """
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem")
+    wanted = lines.count() // LINES  # from the files' footers
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", wanted)
+    lines = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     following = lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), F.lead("l_quantity").over(order).alias("weight"))
     return following.where("dst is not null and src <> dst")
