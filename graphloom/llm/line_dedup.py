@@ -81,12 +81,14 @@ def recurring(docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str
     """(line, first): the lines whose template several documents hold, and the smallest of these."""
     distinct = cut_table(found.groupBy("line", "leaf").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "distinct")
     full = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
-    shared = cut_table(distinct.join(full, "leaf").select("line", "leaf", "lines", "first"), "shared")
-    told = shapes(docs, shared, text, doc_id).withColumnRenamed("line", "of")
-    keyed = distinct.join(told, F.col("line") == F.col("of"), "left").select("line", "first", "last", F.col("template").isNotNull().alias("general"), F.coalesce("template", "line").alias("key"))
-    keyed = cut_table(keyed, "templates")
-    several = keyed.groupBy("general", "key").agg(F.min("first").alias("smallest"), F.max("last").alias("largest")).where("smallest < largest")
-    return keyed.join(several, ["general", "key"]).select("line", F.col("smallest").alias("first"))
+    shared = cut_table(distinct.join(full, "leaf").select("line", "leaf", "lines", "first", "last"), "shared")
+    told = cut_table(shapes(docs, shared.drop("last"), text, doc_id).withColumnRenamed("line", "of"), "templates")
+    known = shared.join(told, F.col("line") == F.col("of")).select("line", "first", "last", "template")
+    several = known.groupBy("template").agg(F.min("first").alias("smallest"), F.max("last").alias("largest")).where("smallest < largest")
+    general = known.join(several, "template").select("line", F.col("smallest").alias("first"))
+    # A line that is a template of its own recurs if it has two documents itself; most have one and go no further.
+    alone = distinct.where("first < last").join(told, F.col("line") == F.col("of"), "left_anti").select("line", "first")
+    return general.unionAll(alone)
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -208,3 +208,14 @@ def test_decontamination(spark, monkeypatch):
     assert all(x["N_words"] == "n" for x in kept.collect())
     assert D.op5(docs, benchmark.limit(0)).where("contaminated").count() == 0
     assert D.op5(docs.limit(0), benchmark).count() == 0
+
+
+def test_lines_without_a_template_go_no_further(spark, monkeypatch):
+    """Lines alone in their leaf recur by their own documents; only those with a template are matched by it."""
+    kept = {}
+    write = L.cut_table
+    monkeypatch.setattr(L, "cut_table", lambda df, name: kept.setdefault(name, write(df, name)))
+    docs = spark.createDataFrame([(1, "one lone line\nx y z a b c d 1"), (2, "x y z a b c d 2\nshared words here again"), (3, "shared words here again\nanother")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in L.op10(docs).collect()}
+    assert got == {1: "one lone line\nx y z a b c d 1", 2: "shared words here again", 3: "another"}
+    assert kept["templates"].count() == 2 < kept["distinct"].count()
