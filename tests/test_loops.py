@@ -56,6 +56,23 @@ def test_partitions_follow_the_lines(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_tasks_are_not_put_together_by_cores(spark, tmp_path, monkeypatch):
+    """With four cores the partitions of the lines stay as small as asked for, not a fourth of the table each."""
+    rows = spark.range(60_000).select((F.col("id") / 4).cast("long").alias("l_orderkey"), (F.col("id") % 4).cast("int").alias("l_linenumber"), F.xxhash64("id").alias("l_partkey"), F.xxhash64("id").alias("l_suppkey"), F.lit(1.0).alias("l_quantity"), F.rand(1).alias("l_extendedprice"))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(projections, "LINES", 3_000)
+    monkeypatch.setattr(projections, "TASK_BYTES", "100k")
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        spark.conf.set(keys[2], "50k")
+        tasks = projections.dense_edges(spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks >= 10
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_numbered_ends_are_not_looked_up(spark, tmp_path):
     (tmp_path / "e").write_text("0 1\n1 2\n-1 2\n2 3\n# 0 0\n")
     edges = text.load_numbered(spark, str(tmp_path / "e"), 3).edges
