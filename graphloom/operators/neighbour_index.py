@@ -25,7 +25,7 @@ SCHEMA = "src long, dst long, weight double, batch long, bucket int"
 class NeighbourIndex:
     """Edges (src, dst, weight, batch) by their first end; of an edge that comes again the latest batch counts.
 
-    A row without a second end says that the vertex is known.
+    A row without a second end says that a vertex is known that may have no edges of its own.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, deltas: int = DELTAS):
@@ -53,25 +53,31 @@ class NeighbourIndex:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).option("basePath", f"{self.path}/rows").parquet(*self.opened).select("src", "dst", "weight", "batch", "bucket")
 
-    def _write(self, rows: DataFrame, part: str) -> None:
-        dealt = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "src")
+    def _dealt(self, rows: DataFrame, last: Column) -> DataFrame:
+        """The ``last`` (weight, batch) of each edge of ``rows`` by bucket, in one shuffle: a bucket goes to so many tasks that they are about the session's shuffle partitions."""
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets + 1
+        cell = self._bucket("src") * tasks + F.pmod(F.xxhash64("dst"), F.lit(tasks)).cast("int")
+        once = rows.withColumn("cell", cell).repartition("cell").groupBy("cell", "src", "dst").agg(last.alias("last"))
+        return once.select("src", "dst", "last.weight", "last.batch", F.floor(F.col("cell") / tasks).cast("int").alias("bucket"))
+
+    def _write(self, rows: DataFrame, last: Column, part: str) -> None:
+        dealt = self._dealt(rows, last).sortWithinPartitions("bucket", "src")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/{part}")
 
     def append(self, edges: DataFrame, batch: int) -> None:
         """Add the edges (src, dst, weight) of a batch, the largest weight of equal ones; batches are numbered from 0 without gaps."""
         self.live = self._manifest(batch - 1)
-        ends = edges.select("src").unionAll(edges.select(F.col("dst").alias("src"))).distinct()
-        new = edges.groupBy("src", "dst").agg(F.max("weight").alias("weight")).unionByName(ends, allowMissingColumns=True)
+        second = F.struct(F.col("dst").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("weight"))
+        rows = edges.select(F.explode(F.array(F.struct("src", "dst", "weight"), second)).alias("e")).select("e.*")
         part = f"part=b{batch}"
-        self._write(new.withColumn("batch", F.lit(batch).cast("long")).withColumn("bucket", self._bucket("src")), part)
+        self._write(rows, F.struct(F.max("weight").alias("weight"), F.lit(batch).cast("long").alias("batch")), part)
         touched = [r["bucket"] for r in self._written(part)]
         for b in touched:
             self.live.setdefault(b, []).append(part)
         full = [b for b in touched if len(self.live[b]) > self.deltas]
         if full:
-            once = self._read(full).groupBy("bucket", "src", "dst").agg(F.max_by(F.struct("weight", "batch"), "batch").alias("last"))
             whole = f"part=w{batch}"
-            self._write(once.select("src", "dst", "last.weight", "last.batch", "bucket"), whole)
+            self._write(self._read(full), F.max_by(F.struct("weight", "batch"), "batch"), whole)
             for b in full:
                 self.live[b] = [whole]
         rows = [(b, i, p) for b, parts in self.live.items() for i, p in enumerate(parts)]
@@ -91,14 +97,24 @@ class NeighbourIndex:
                     remove(self.spark, f"{self.path}/rows/{part}/bucket={b}")
             remove(self.spark, f"{self.path}/manifest/batch={batch - 3}")
 
+    def _opened(self, asked: DataFrame) -> tuple[DataFrame, int]:
+        """All rows of the buckets of distinct vertices (__at), and how many vertices these are."""
+        counts = asked.groupBy(self._bucket("__at").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+        return self._read([r["b"] for r in counts]).drop("bucket"), sum(r["n"] for r in counts)
+
     def of(self, wanted: DataFrame) -> DataFrame:
         """The rows of the vertices ``wanted`` (at)."""
         asked = wanted.select(F.col("at").alias("__at")).distinct()
-        counts = asked.groupBy(self._bucket("__at").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
-        rows = self._read([r["b"] for r in counts]).drop("bucket")
-        asked = F.broadcast(asked) if sum(r["n"] for r in counts) <= WANTED_SENT else asked
+        rows, n = self._opened(asked)
+        asked = F.broadcast(asked) if n <= WANTED_SENT else asked
         return rows.join(asked, F.col("src") == F.col("__at"), "left_semi")
 
+    def known(self, wanted: DataFrame) -> DataFrame:
+        """(at): the vertices ``wanted`` that have rows; each is sent once by a task that reads some, not all of its rows."""
+        asked = wanted.select(F.col("at").alias("__at")).distinct()
+        rows, _ = self._opened(asked)
+        return asked.join(rows.select("src").distinct(), F.col("__at") == F.col("src"), "left_semi").select(F.col("__at").alias("at"))
+
     def edges(self, wanted: DataFrame) -> DataFrame:
         """The edges of the vertices ``wanted`` (at), every batch's."""
         return self.of(wanted).where("dst is not null")

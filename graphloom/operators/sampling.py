@@ -1,8 +1,9 @@
 """Multi-hop neighbour sampling for graph learning.
 
-A hop ranks the neighbours of the vertices that the frontier holds, and of no
-others, by (weight, id).  A draw is a rank, so it meets its neighbour in a join
-on (vertex, rank): the draws from a hub are spread over all of its neighbours.
+A hop ranks the neighbours of the vertices that the frontier holds and no hop
+before it has ranked, and of no others, by (weight, id).  A draw is a rank, so it
+meets its neighbour in a join on (vertex, rank): the draws from a hub are spread over
+all of its neighbours.  Where the heaviest are asked for, these are all that is kept.
 """
 
 from __future__ import annotations
@@ -27,17 +28,30 @@ def parse_hops(text: str) -> list[int]:
     return counts
 
 
+def _once(adjacency: DataFrame, order: str | None) -> DataFrame:
+    """Distinct edges; of parallel ones the smallest weight counts, or with ``order`` that of the row with the largest value of it."""
+    weight = F.min("weight") if order is None else F.max(F.struct(order, "weight"))["weight"]
+    return adjacency.groupBy("src", "dst").agg(weight.alias("weight"))
+
+
+def heaviest(adjacency: DataFrame, n: int, order: str | None = None) -> DataFrame:
+    """(src, nbrs): the ``n`` heaviest distinct neighbours, the first of them the heaviest (ties: the larger id).
+
+    Each task leaves no more than ``n`` of a vertex before they meet, so no hub is gathered.
+    """
+    own = Window.partitionBy("src").orderBy(F.desc("weight"), F.desc("dst"))
+    first = _once(adjacency, order).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= n)
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "dst")))
+    return first.groupBy("src").agg(F.transform(ranked, lambda x: x["dst"]).alias("nbrs"))
+
+
 def weight_index(adjacency: DataFrame, order: str | None = None) -> DataFrame:
     """(src, rank, nbr, low, high, n, total): distinct neighbours by (weight, id), with running sums of weights.
 
-    Of parallel edges the smallest weight counts, or with ``order`` the weight of
-    the row with the largest value of that column.  The neighbours are dealt by
-    range of (src, weight, id), ranked in their range and shifted by what the
-    ranges before hold of the same vertex, so a hub is split.
+    The neighbours are dealt by range of (src, weight, id), ranked in their range and
+    shifted by what the ranges before hold of the same vertex, so a hub is split.
     """
-    weight = F.min("weight") if order is None else F.max_by("weight", F.struct(order, "weight"))
-    once = adjacency.groupBy("src", "dst").agg(weight.alias("weight"))
-    dealt = cut(once.repartitionByRange("src", "weight", "dst").withColumn("p", F.spark_partition_id()))
+    dealt = cut(_once(adjacency, order).repartitionByRange("src", "weight", "dst").withColumn("p", F.spark_partition_id()))
     own = Window.partitionBy("src", "p").orderBy("weight", "dst")
     upto = F.sum("weight").over(own.rowsBetween(Window.unboundedPreceding, 0))
     ranked = dealt.select("src", "p", F.col("dst").alias("nbr"), F.row_number().over(own).alias("r"), upto.alias("upto")).withColumn("under", F.coalesce(F.lag("upto").over(Window.partitionBy("src", "p").orderBy("r")), F.lit(0.0)))
@@ -59,6 +73,29 @@ def _unit(seed: int, *columns: str) -> F.Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
+def _draws(frontier: DataFrame, index: DataFrame, n: int, strategy: str, seed: int, offset: int) -> DataFrame:
+    """(root, place, nbr): ``n`` draws for each row of the frontier."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = (F.col("parent") * n + F.col("i")).alias("place")
+    if strategy == "top_k":  # an index of fewer than n neighbours holds all of a vertex
+        met = frontier.join(index, F.col("at") == F.col("src"), "left").select("root", "parent", "nbrs", every.alias("i"))
+        return met.select("root", place, F.get("nbrs", F.col("i") % F.size("nbrs")).alias("nbr"))
+    draws = frontier.select("root", "at", "parent", every.alias("i")).select("root", "at", place)
+    sizes = index.where("rank = 1").select(F.col("src").alias("v"), F.col("n").alias("size"), F.col("total").alias("sum"))
+    sized = draws.join(sizes, F.col("at") == F.col("v"), "left").withColumn("u", _unit(seed, "root", "place", F.lit(offset)))
+    if strategy == "edge_weight":
+        x = F.col("u") * F.col("sum")
+        drawn = sized.withColumn("x", x).withColumn("b", _bucket(F.col("x"), "size", "sum"))
+        last = F.col("rank") == F.col("n")
+        until = F.when(last, F.col("n") - 1).otherwise(_bucket(F.col("high"), "n", "total"))
+        index = index.withColumn("part", F.explode(F.sequence(_bucket(F.col("low"), "n", "total"), F.greatest(until, _bucket(F.col("low"), "n", "total")))))
+        met = (F.col("at") == F.col("src")) & (F.col("b") == F.col("part")) & (F.col("x") >= F.col("low")) & ((F.col("x") < F.col("high")) | last)
+    else:
+        drawn = sized.withColumn("r", F.floor(F.col("u") * F.col("size")) + 1)
+        met = (F.col("at") == F.col("src")) & (F.col("r") == F.col("rank"))
+    return drawn.join(index, met, "left").select("root", "place", "nbr")
+
+
 def sample(adjacency: DataFrame | Callable[[DataFrame], DataFrame], roots: DataFrame | None, hops: list[int], strategy: str = "random", seed: int = 0, order: str | None = None) -> DataFrame:
     """(root, slot, nbr): every slot of every root; null where there was no neighbour to draw.
 
@@ -78,25 +115,17 @@ def sample(adjacency: DataFrame | Callable[[DataFrame], DataFrame], roots: DataF
         roots = adjacency.select(F.col("src").alias("id")).unionAll(adjacency.select(F.col("dst").alias("id")))
     frontier = cut(roots.select(F.col("id").alias("root"), F.col("id").alias("at"), F.lit(0).alias("parent")).where("root is not null").distinct())
     out, offset = [], 0
-    for n in hops:
+    index = asked = None
+    for hop, n in enumerate(hops):
         wanted = frontier.select("at").where("at is not null").distinct()
-        own = adjacency.join(wanted, adjacency["src"] == wanted["at"], "left_semi") if isinstance(adjacency, DataFrame) else adjacency(wanted)
-        index = cut(weight_index(own, order))
-        draws = frontier.select("root", "at", "parent", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).withColumn("place", F.col("parent") * n + F.col("i"))
-        sizes = index.where("rank = 1").select(F.col("src").alias("v"), F.col("n").alias("size"), F.col("total").alias("sum"))
-        sized = draws.join(sizes, F.col("at") == F.col("v"), "left").withColumn("u", _unit(seed, "root", "place", F.lit(offset)))
-        if strategy == "edge_weight":
-            x = F.col("u") * F.col("sum")
-            drawn = sized.withColumn("x", x).withColumn("b", _bucket(F.col("x"), "size", "sum"))
-            last = F.col("rank") == F.col("n")
-            until = F.when(last, F.col("n") - 1).otherwise(_bucket(F.col("high"), "n", "total"))
-            index = index.withColumn("part", F.explode(F.sequence(_bucket(F.col("low"), "n", "total"), F.greatest(until, _bucket(F.col("low"), "n", "total")))))
-            met = (F.col("at") == F.col("src")) & (F.col("b") == F.col("part")) & (F.col("x") >= F.col("low")) & ((F.col("x") < F.col("high")) | last)
-        else:
-            rank = F.col("size") - F.col("i") % F.col("size") if strategy == "top_k" else F.floor(F.col("u") * F.col("size")) + 1
-            drawn = sized.withColumn("r", rank)
-            met = (F.col("at") == F.col("src")) & (F.col("r") == F.col("rank"))
-        found = cut(drawn.join(index, met, "left").select("root", "place", "nbr"))
+        new = wanted if asked is None else cut(wanted.join(asked, "at", "left_anti"))
+        if asked is None or not new.isEmpty():
+            own = adjacency.join(new, adjacency["src"] == new["at"], "left_semi") if isinstance(adjacency, DataFrame) else adjacency(new)
+            more = cut(heaviest(own, max(hops), order) if strategy == "top_k" else weight_index(own, order))
+            index = more if index is None else index.unionAll(more)
+            asked = new if asked is None else asked.unionAll(new)
+        found = _draws(frontier, index, n, strategy, seed, offset)
+        found = cut(found) if hop + 1 < len(hops) else found
         out.append(found.select("root", (F.col("place") + offset).alias("slot"), "nbr"))
         offset += reduce(lambda a, b: a * b, hops[: len(out)])
         frontier = found.select("root", F.col("nbr").alias("at"), F.col("place").alias("parent"))

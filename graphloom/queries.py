@@ -11,7 +11,7 @@ from . import projections as P
 from .functions import compare
 from .graph import Graph
 from .operators import access, cohesion, community, components, mutate, partition, programs, ranking, sampling, traversal
-from .plans.lineage import scratch_path
+from .plans.lineage import cut_table, scratch_path
 from .plans.superstep import VertexProgram
 from .sources import stored, text
 from .streaming import batches, sampler
@@ -72,12 +72,12 @@ def wcc_program() -> VertexProgram:
 def _streamed(spark: SparkSession, d: str) -> DataFrame:
     """The sampler over three batches of lines: heavy edges, light ones, then all with other weights, each time with a query for every vertex."""
     folder = scratch_path(spark, "stream")
-    edges = P.dense_edges(spark, d)
     queries = P.vertices(spark, d).select(F.format_string("q %d", "id").alias("value"))
-    for part, weight in (("weight > 25", "weight"), ("weight <= 25", "weight"), ("true", "51 - weight")):
-        once = edges.where(part).groupBy("src", "dst").agg(F.min(F.expr(weight)).alias("weight"))
-        lines = once.select(F.format_string("e %d %d %.1f", "src", "dst", "weight").alias("value"))
-        lines.unionAll(queries).write.mode("append").text(f"{folder}/in")
+    weights = {"heavy": F.when(F.col("weight") > 25, F.col("weight")), "light": F.when(F.col("weight") <= 25, F.col("weight")), "other": 51 - F.col("weight")}
+    once = cut_table(P.dense_edges(spark, d).groupBy("src", "dst").agg(*[F.min(w).alias(name) for name, w in weights.items()]), "edges")
+    for name in weights:
+        lines = once.where(F.col(name).isNotNull()).select(F.format_string("e %d %d %.1f", "src", "dst", name).alias("value"))
+        lines.unionAll(queries).write.mode("append").text(f"{folder}/in", compression="gzip")
         sampler.run(spark, f"{folder}/in", f"{folder}/state", f"{folder}/out", f"{folder}/checkpoint", HOPS, "top_k", files_a_batch=1_000_000, buckets=64).awaitTermination()
     return spark.read.text(f"{folder}/out").select("batch", "value")
 

@@ -43,8 +43,8 @@ def handler(state: str, results: str | Callable[[DataFrame, int], None], hops: l
         edges, queries = parse(batch)
         index.append(edges if directed else edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), batch_id)
         asked = cut(queries.distinct())
-        known = index.of(asked.withColumnRenamed("id", "at")).select(F.col("src").alias("id"))
-        sink(lines(sample(index.edges, asked.join(known, "id", "left_semi"), hops, strategy, seed, order="batch")), batch_id)
+        known = index.known(asked.withColumnRenamed("id", "at")).withColumnRenamed("at", "id")
+        sink(lines(sample(index.edges, known, hops, strategy, seed, order="batch")), batch_id)
 
     return handle
 
