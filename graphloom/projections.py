@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from .graph import Graph
 
 
-#: Lines for each shuffle partition of a session that reads them, and what adaptive execution puts together of these for one task.
-LINES, TASK_BYTES = 500_000, "8m"
+#: Lines for each shuffle partition of a session that reads them, what adaptive execution puts together of these for one task, and what a task reads of files.
+LINES, TASK_BYTES, READ_BYTES = 500_000, "8m", "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,7 @@ def dense_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     One shuffle by order: the next line comes from a window, not from a join.  The
     session's shuffle partitions are raised to the table, and adaptive execution is kept
     from making as few of them as there are cores, so that no task grows with the table.
+    Beyond 200 partitions a task sorts all that it reads, so it reads less of a file.
     """
     lines = table(spark, sf_dir, "lineitem")
     wanted = lines.count() // LINES  # from the files' footers
@@ -30,6 +31,7 @@ def dense_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.shuffle.partitions", wanted)
     if wanted > 1:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_BYTES)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", READ_BYTES)
     lines = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     following = lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), F.lead("l_quantity").over(order).alias("weight"))

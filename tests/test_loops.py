@@ -62,12 +62,13 @@ def test_tasks_are_not_put_together_by_cores(spark, tmp_path, monkeypatch):
     rows.write.parquet(f"{tmp_path}/lineitem.parquet")
     monkeypatch.setattr(projections, "LINES", 3_000)
     monkeypatch.setattr(projections, "TASK_BYTES", "100k")
-    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize", "spark.sql.files.maxPartitionBytes")
     before = {k: spark.conf.get(k) for k in keys}
     try:
         spark.conf.set(keys[2], "50k")
         tasks = projections.dense_edges(spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count()
         assert tasks >= 10
+        assert spark.conf.get(keys[3]) == projections.READ_BYTES
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
