@@ -15,39 +15,43 @@ only is unknown there and nowhere else asked for, and single counts need not be
 kept.
 
 The logarithm falls into a part for each word, as it stands and as it precedes
-another, and one for each bigram that is known from elsewhere.  Hot words and
-bigrams, those that make up one HOT-th of all tokens and hence HOT at most, meet
-their counts by a broadcast; the others by one join, where no key has many rows.  A
-bitmap of all keys of that join, of a bounded size, keeps most keys that it would
-not find out of the shuffle.
+another, and one for each bigram that is known from elsewhere.  Documents are dealt
+into blocks of about BLOCK_BYTES of text.  A block asks for each of its distinct
+words and bigrams once, with its own counts: their keys, in order, are cut into the
+same ranges for all blocks, and each range of a block is one row of packed arrays.
+The task of a range adds up what all blocks say and answers each with the totals, in
+the order of its keys.  The block then scores its documents.  So no row is made for
+a bigram of a document, a frequent key comes once from each block, and no task holds
+more than a block or a range.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from ..plans.lineage import cut_table
-from .batches import in_arrow, pieces, placed, without
-from .bitmaps import key_filter, maybe
-from .hash_array import Hashes, HashArray
+from .batches import BATCH_BYTES, placed, without
+from .hash_array import Hashes
 from .simhash import LOWER
 
 PRIOR, MASS = 0.5, 8.0
-#: Hot words and hot bigrams at most, of 16 and 24 bytes.
+#: Bytes of text for each block of documents and each range of keys.
+BLOCK_BYTES, RANGE_BYTES = 8_000_000, 16_000_000
+#: Nothing reads these; they were the bounds of what was broadcast, and a test sets them.
 HOT_WORDS, HOT_GRAMS = 1 << 20, 1 << 21
-#: Tokens that a task sums before it passes them on.
-SUMMED = 2_000_000
 #: Ids of target documents that are broadcast; more are joined by a shuffle.
 TARGETS_SENT = 2_000_000
-WORD, GRAM, DOC = 0, 1, 2
 NEW = ["n_words", "ce_target", "ce_background", "ce_diff"]
-#: Taken from a word's hash for the filter, so that it differs from a bigram's.
-APART = 0x5DEECE66D1CE4E5B
+CODEC = "zstd"
+#: Of a block: tokens of target documents and of others, and such documents with words.
+SUMS = ["nt", "nb", "dt", "db"]
+INT, LONG, DOUBLE, BINARY = pa.int32(), pa.int64(), pa.float64(), pa.binary()
+ASKED = pa.schema({"range": INT, "block": INT, "words": INT, "grams": INT, "keys": BINARY, "counts": BINARY, **dict.fromkeys(SUMS, LONG)})
+TOLD = pa.schema({"block": INT, "range": INT, "check": LONG, "totals": BINARY, "v": LONG, **dict.fromkeys(SUMS, LONG)})
+SCORED = pa.schema({"key": LONG, "n_words": LONG, **dict.fromkeys(NEW[1:], DOUBLE)})
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -59,180 +63,186 @@ def after(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return ((first << np.uint64(1)) | (first >> np.uint64(63))) ^ second
 
 
-class Tokens:
-    """The words of some texts in a row, by their hashes."""
+def packed(*parts: np.ndarray) -> bytes:
+    """64-bit whole numbers, compressed by the lowest bytes of all, then the next: small ones take little room."""
+    data = np.concatenate(parts).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return pa.compress(data, CODEC, asbytes=True) if data else b""
 
-    def __init__(self, texts: list[str | None], hashes: Hashes):
-        found = [words_of(t) for t in texts]
-        self.sizes = np.array([len(w) for w in found])
-        self.ends = np.cumsum(self.sizes)
-        self.words = np.concatenate([hashes.of(w) for w in found]) if self.sizes.sum() else np.zeros(0, np.uint64)
-        self.docs = np.repeat(np.arange(len(texts)), self.sizes)
-        before = np.concatenate((np.zeros(1, np.uint64), self.words[:-1]))[: len(self.words)]
-        before[(self.ends - self.sizes)[self.sizes > 0]] = 0
-        self.grams = after(before, self.words)
 
-    def grouped(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The first place of each distinct key of each text, how often it comes there, and which of these each place is."""
-        if not len(keys):
-            return (np.zeros(0, np.int64),) * 3
-        order = np.argsort(keys)
-        order = order[np.argsort(self.docs[order].astype(np.uint16), kind="stable")]
-        k, d = keys[order], self.docs[order]
-        starts = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (d[1:] != d[:-1]))))
-        times = np.diff(starts, append=len(k))
-        which = np.empty(len(k), np.int64)
-        which[order] = np.repeat(np.arange(len(starts)), times)
-        return order[starts], times, which
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(data, n * 8, CODEC, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view(np.int64)
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(kind, id, w, t, b): words and bigrams, whose second word is ``w``, and their counts in target documents and in all others.
+def steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as their differences, the first as it is."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.int64)
 
-    The word of hash 0 counts the documents that have words.
-    """
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        held: list[tuple] = []
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            words, grams, target = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            for kind, keys in ((WORD, words), (GRAM, grams[words != 0])):
-                own, t = (words, target) if kind == WORD else (words[words != 0], target[words != 0])
-                order = np.argsort(keys)
-                if kind == GRAM:
-                    order = order[np.argsort(own[order], kind="stable")]  # equal words together compress well
-                k = keys[order]
-                starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-                ts, ns = np.add.reduceat(t[order], starts, dtype=np.int64), np.diff(starts, append=len(k))
-                ids, w = k[starts].view(np.int64), own[order[starts]].view(np.int64) if kind == GRAM else np.zeros(len(starts), np.int64)
-                for i in range(0, len(ids), 200_000):
-                    p = slice(i, i + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids[p]), kind, np.int32)), *(pa.array(x[p]) for x in (ids, w, ts, ns - ts))], names=["kind", "id", "w", "t", "b"])
-
-        for whole in batches:
-            for batch in pieces(whole, 0):
-                found = Tokens(batch.column(0).to_pylist(), hashes)
-                if not len(found.words):
-                    continue
-                target = np.array(batch.column(1).to_pylist(), bool)
-                some = found.sizes > 0
-                starts = np.zeros(int(some.sum()), np.uint64)
-                held.append((np.concatenate((found.words, starts)), np.concatenate((found.grams, starts)), np.concatenate((target[found.docs], target[some]))))
-                size += len(found.words)
-                if size >= SUMMED:
-                    yield from out()
-                    size = 0
-        if held:
-            yield from out()
-
-    own = in_arrow(docs.select("text", "target"), work, "kind int, id long, w long, t long, b long")
-    return own.groupBy("kind", "id", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-
-
-class Tables:
-    """Counts of words and bigrams that occur twice or more, and the sums of all."""
-
-    def __init__(self, docs: DataFrame):
-        seen = Observation()
-        word, start = "kind = 0 and id <> 0", "kind = 0 and id = 0"
-        of = lambda c, where: F.coalesce(F.sum(F.when(F.expr(where), F.col(c))), F.lit(0))
-        every = counted(docs).observe(seen, F.count(F.when(F.expr(word), 1)).alias("v"), *[of(c, w).alias(f"{n}{c}") for c in "tb" for n, w in (("n", word), ("d", start))])
-        self.rows = cut_table(every.where("t + b >= 2 and id <> 0"), "counts")
-        sums = seen.get
-        self.symbols = max(1, sums["v"])
-        self.tokens, self.docs = ({k: sums[f"{n}{k}"] for k in "tb"} for n in "nd")
-        total = sum(self.tokens.values())
-        hot = F.col("t") + F.col("b") >= F.when(F.col("kind") == WORD, F.lit(total / HOT_WORDS)).otherwise(F.lit(total / HOT_GRAMS))
-        self.hot, self.cold = self.rows.where(hot), self.rows.where(~hot)
-        self.words = self.rows.where(F.col("kind") == WORD)
-
-    def told(self, rows: DataFrame) -> DataFrame:
-        """Bigrams of ``rows`` with the counts wt and wb of their second words; hot words are sent to them, the others joined."""
-        grams = rows.where(F.col("kind") == GRAM)
-        hot = self.hot.where(F.col("kind") == WORD).select(F.col("id").alias("h"), F.col("t").alias("ht"), F.col("b").alias("hb"))
-        cold = self.cold.where(F.col("kind") == WORD).select(F.col("id").alias("c"), F.col("t").alias("ct"), F.col("b").alias("cb"))
-        met = grams.join(F.broadcast(hot), F.col("w") == F.col("h"), "left")
-        # A row that has met its word asks for none: its key is its own id, so no key is hot.
-        key = F.when(F.col("h").isNull(), F.col("w")).otherwise(F.col("id"))
-        met = met.join(cold, (key == F.col("c")) & F.col("h").isNull(), "left")
-        return met.select("kind", "id", "t", "b", F.coalesce("ht", "ct").alias("wt"), F.coalesce("hb", "cb").alias("wb"))
-
-    def arrays(self) -> tuple[HashArray, HashArray]:
-        """Counts of the hot words and of the hot bigrams."""
-        out = []
-        for kind, frame, columns in ((WORD, self.hot, ("t", "b")), (GRAM, self.told(self.hot), ("t", "b", "wt", "wb"))):
-            table = frame.where(F.col("kind") == kind).select("id", *[F.col(c).cast("float").alias(c) for c in columns]).toArrow()
-            out.append(HashArray(table.column("id").to_numpy().view(np.uint64), *(table.column(c).to_numpy() for c in columns)))
-        return out[0], out[1]
-
-    def filter(self) -> np.ndarray:
-        """A filter of the keys of cold words and bigrams."""
-        return key_filter(self.cold, F.when(F.col("kind") == WORD, F.col("id").bitwiseXOR(F.lit(APART))).otherwise(F.col("id")))
-
-
-def _parts(docs: DataFrame, shared) -> DataFrame:
-    """(key, target, kind, id, x, y, size): of each document one row with the sums of all that needs no join, and its cold words and bigrams.
-
-    A document's row has those sums, a word how often it stands in the text and how
-    often another follows it, a bigram how often it and its second word stand there.
+class Grouped:
+    """The distinct keys of a block in order, and the pairs of a text and a key.
+
+    Of each pair: its text, the place of its key, a place where it stands, and how
+    often it does; ``which`` is the pair of each place.
     """
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        words, grams, bits, symbols, tokens, n_docs = shared.value
-        for whole in batches:
-            for batch in pieces(whole, 2):
-                own = Tokens(batch.column(2).to_pylist(), hashes)
-                keys, target = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), bool)
-                n = len(own.sizes)
-                place, times, which = own.grouped(own.words)
-                follows = times.copy()
-                follows[which[(own.ends - 1)[own.sizes > 0]]] -= 1  # the last word of a text precedes none
-                gplace, gtimes, _ = own.grouped(own.grams)
-                stands = times[which[gplace]]
-                wkeys, gkeys = own.words[place], own.grams[gplace]
-                wat, gat = words.find(wkeys), grams.find(gkeys)
-                wdoc, gdoc = own.docs[place], own.docs[gplace]
-                sums = []
-                for i, k in enumerate("tb"):
-                    mine = target if k == "t" else ~target
-                    minus = mine.astype(np.float64)
-                    den = tokens[k] - minus * own.sizes + PRIOR * symbols
-                    base = own.sizes * (np.log2(PRIOR) - np.log2(den)) + np.where(own.sizes > 0, np.log2(MASS) - np.log2(n_docs[k] - minus + MASS), 0.0)
-                    c = np.maximum(words.values[i][wat] - minus[wdoc] * times, 0)
-                    part = times * np.log2(c / PRIOR + 1) - follows * np.log2(c / MASS + 1)
-                    base += np.bincount(wdoc, np.where(wat < words.n, part, 0.0), n)
-                    c = np.maximum(grams.values[i][gat] - minus[gdoc] * gtimes, 0)
-                    w = np.maximum(grams.values[i + 2][gat] - minus[gdoc] * stands, 0)
-                    part = gtimes * np.log2(c * den[gdoc] / (MASS * (w + PRIOR)) + 1)
-                    sums.append(base + np.bincount(gdoc, np.where(gat < grams.n, part, 0.0), n))
-                wcold = np.flatnonzero(wat == words.n)
-                wcold = wcold[maybe(bits, wkeys[wcold] ^ np.uint64(APART))]
-                gcold = np.flatnonzero(gat == grams.n)
-                gcold = gcold[maybe(bits, gkeys[gcold])]
-                doc = np.concatenate((np.arange(n), wdoc[wcold], gdoc[gcold]))
-                kind = np.repeat(np.array([DOC, WORD, GRAM], np.int32), (n, len(wcold), len(gcold)))
-                ids = np.concatenate((keys, wkeys[wcold].view(np.int64), gkeys[gcold].view(np.int64)))
-                x = np.concatenate((sums[0], times[wcold], gtimes[gcold])).astype(np.float64)
-                y = np.concatenate((sums[1], follows[wcold], stands[gcold])).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (keys[doc], target[doc], kind, ids, x, y, own.sizes[doc])], names=["key", "target", "kind", "id", "x", "y", "size"])
-
-    return in_arrow(docs.select("__key", "target", "text"), work, "key long, target boolean, kind int, id long, x double, y double, size long")
-
-
-def _gain(tables: Tables, k: str) -> Column:
-    """What a word or bigram that the join has found adds to the sum of logarithms."""
-    own = F.col("target") if k == "t" else ~F.col("target")
-    less = lambda c, n: F.greatest(F.col(c) - F.when(own, F.col(n)).otherwise(0.0), F.lit(0.0))
-    c = less(k, "x")
-    word = F.col("x") * F.log2(c / PRIOR + 1) - F.col("y") * F.log2(c / MASS + 1)
-    den = F.lit(float(tables.tokens[k])) - F.when(own, F.col("size")).otherwise(0) + PRIOR * tables.symbols
-    gram = F.col("x") * F.log2(c * den / (MASS * (less(f"w{k}", "y") + PRIOR)) + 1)
-    return F.when(F.col(k).isNull(), 0.0).when(F.col("kind") == WORD, word).otherwise(gram)
+    def __init__(self, keys: np.ndarray, docs: np.ndarray, n_docs: int):
+        order = np.argsort(keys)
+        k = keys[order]
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        self.keys = k[new]
+        at = np.empty(len(k), np.int32)
+        at[order] = np.cumsum(new, dtype=np.int32) - 1
+        # Equal keys of a text together; the sort by 16 bits is linear.
+        order = order[np.argsort(docs[order].astype(np.uint16 if n_docs <= 1 << 16 else np.int64), kind="stable")]
+        a, d = at[order], docs[order]
+        new[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
+        starts = np.flatnonzero(new)
+        self.at, self.docs, self.place = a[starts], d[starts], order[starts]
+        self.times = np.diff(starts, append=len(k))
+        self.which = np.empty(len(k), np.int32)
+        self.which[order] = np.cumsum(new, dtype=np.int32) - 1
+
+    def counts(self, chosen: np.ndarray) -> np.ndarray:
+        """How often each key stands in the texts that are chosen."""
+        return np.bincount(self.at, self.times * chosen[self.docs], len(self.keys)).astype(np.int64)
+
+
+class Block:
+    """The words and bigrams of the texts of a block."""
+
+    def __init__(self, table: pa.Table, hashes: Hashes):
+        found = [hashes.of(words_of(t.as_py())) for t in table.column("text")]
+        n = len(found)
+        self.sizes = np.fromiter(map(len, found), np.int64, n)
+        self.target = table.column("target").to_numpy().astype(bool)
+        words = np.concatenate(found)
+        del found
+        docs = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
+        ends = np.cumsum(self.sizes)[self.sizes > 0]
+        before = np.zeros(len(words), np.uint64)
+        before[1:] = words[:-1]
+        before[(ends - self.sizes[self.sizes > 0])] = 0
+        self.words, self.grams = Grouped(words, docs, n), Grouped(after(before, words), docs, n)
+        #: How often another word follows, of each pair of words; the word that ends each pair of bigrams.
+        self.follows = self.words.times.copy()
+        self.follows[self.words.which[ends - 1]] -= 1
+        self.second = self.words.which[self.grams.place]
+
+    def sums(self) -> list[int]:
+        some = self.sizes > 0
+        return [int(x) for x in (self.sizes[self.target].sum(), self.sizes[~self.target].sum(), (some & self.target).sum(), (some & ~self.target).sum())]
+
+    def ranges(self, n: int) -> list[tuple[slice, slice]]:
+        """Of each of ``n`` equal ranges of keys the words and bigrams."""
+        edges = np.array([(i << 64) // n for i in range(n)], np.uint64)
+        bounds = [[*np.searchsorted(g.keys, edges).tolist(), len(g.keys)] for g in (self.words, self.grams)]
+        return list(zip(*([slice(i, j) for i, j in zip(b, b[1:], strict=False)] for b in bounds), strict=True))
+
+    def check(self, w: slice, g: slice) -> int:
+        """A checksum of some keys."""
+        return int(np.bitwise_xor.reduce(np.concatenate((self.words.keys[w], ~self.grams.keys[g]))).view(np.int64))
+
+
+def _asked(blocks: DataFrame, n: int) -> DataFrame:
+    """Of each block and each of the ``n`` ranges of keys one row with the distinct keys and their counts."""
+    hashes = Hashes()
+
+    def work(table: pa.Table) -> pa.Table:
+        own = Block(table, hashes)
+        rows, sums = [], dict(zip(SUMS, own.sums(), strict=True))
+        if own.sizes.any():
+            block = table.column("block")[0].as_py()
+            wc, gc = ([x.counts(own.target), x.counts(~own.target)] for x in (own.words, own.grams))
+            for i, (w, g) in enumerate(own.ranges(n)):
+                wkeys, gkeys = own.words.keys[w], own.grams.keys[g]
+                counts = packed(*(x for k in (0, 1) for x in (wc[k][w], gc[k][g])))
+                rows.append({"range": i, "block": block, "words": len(wkeys), "grams": len(gkeys), "keys": packed(steps(wkeys), steps(gkeys)), "counts": counts, **sums})
+        return pa.Table.from_pylist(rows, ASKED)
+
+    return blocks.groupBy("block").applyInArrow(work, from_arrow_schema(ASKED))
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[int, np.ndarray]:
+    """How many distinct keys there are, and in place of the two counts of each the totals of its key."""
+    every = np.concatenate(keys)
+    order = np.argsort(every)
+    k = every[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    starts = np.flatnonzero(new)
+    out = np.empty((2, len(k)), np.int64)
+    if len(k):
+        at = np.cumsum(new, dtype=np.int32) - 1
+        for i in (0, 1):
+            out[i, order] = np.add.reduceat(np.concatenate([c[i] for c in counts])[order], starts)[at]
+    return len(starts), out
+
+
+def _told(asked: DataFrame) -> DataFrame:
+    """The totals of each row of ``asked``, in the order of its keys, and the sums of all blocks."""
+
+    def work(table: pa.Table) -> pa.Table:
+        sizes = [table.column(c).to_numpy() for c in ("words", "grams")]
+        keys, counts = ([], []), ([], [])
+        for w, g, k, c in zip(*sizes, table.column("keys"), table.column("counts"), strict=True):
+            found, both = unpacked(k.as_py(), w + g).view(np.uint64), unpacked(c.as_py(), 2 * (w + g)).reshape(2, -1)
+            for i, p in enumerate((slice(0, w), slice(w, w + g))):
+                keys[i].append(np.cumsum(found[p], dtype=np.uint64))
+                counts[i].append(both[:, p])
+        checks = [int(np.bitwise_xor.reduce(np.concatenate((a, ~b))).view(np.int64)) if len(a) + len(b) else 0 for a, b in zip(*keys, strict=True)]
+        (v, words), (_, grams) = (_added(k, c) for k, c in zip(keys, counts, strict=True))
+        ends = [np.concatenate(([0], np.cumsum(s))) for s in sizes]
+        totals = [packed(*(x[k, e[i] : e[i + 1]] for k in (0, 1) for x, e in zip((words, grams), ends, strict=True))) for i in range(table.num_rows)]
+        n = table.num_rows
+        sums = [pa.array(np.full(n, int(table.column(c).to_numpy().sum()))) for c in SUMS]
+        return pa.Table.from_arrays([table.column("block"), table.column("range"), pa.array(checks, pa.int64()), pa.array(totals, pa.binary()), pa.array(np.full(n, v)), *sums], schema=TOLD)
+
+    return asked.groupBy("range").applyInArrow(work, from_arrow_schema(TOLD))
+
+
+def _scored(blocks: DataFrame, told: DataFrame, n: int) -> DataFrame:
+    """The key of each document, its number of words and its scores."""
+    hashes = Hashes()
+
+    def work(table: pa.Table, told: pa.Table) -> pa.Table:
+        own = Block(table, hashes)
+        keys, sizes = table.column("key"), own.sizes
+        none = [None] * len(sizes)
+        if not sizes.any():
+            return pa.Table.from_arrays([keys, pa.array(sizes), *[pa.array(none, pa.float64())] * 3], schema=SCORED)
+        of_words, of_grams = np.zeros((2, len(own.words.keys))), np.zeros((2, len(own.grams.keys)))
+        ranges = own.ranges(n)
+        if sorted(told.column("range").to_pylist()) != list(range(n)):
+            raise RuntimeError("a block of documents was not told of every range of keys")
+        for i, check, data in zip(*map(told.column, ("range", "check", "totals")), strict=True):
+            w, g = ranges[i.as_py()]
+            words = w.stop - w.start
+            size = words + g.stop - g.start
+            if size and own.check(w, g) != check.as_py():
+                raise RuntimeError("a block of documents changed while its words were counted")
+            found = unpacked(data.as_py(), 2 * size).reshape(2, -1)
+            of_words[:, w], of_grams[:, g] = found[:, :words], found[:, words:]
+        symbols = max(1, sum(told.column("v").to_pylist()))
+        tokens, docs = ([told.column(f"{c}{k}")[0].as_py() for k in "tb"] for c in "nd")
+        words, grams = own.words, own.grams
+        ce = []
+        for k, mine in enumerate((own.target, ~own.target)):
+            minus = mine.astype(np.float64)  # a document's own counts are taken out
+            den = tokens[k] - minus * sizes + PRIOR * symbols
+            sums = sizes * (np.log2(PRIOR) - np.log2(den)) + np.where(sizes > 0, np.log2(MASS) - np.log2(docs[k] - minus * (sizes > 0) + MASS), 0.0)
+            left = of_words[k][words.at] - minus[words.docs] * words.times
+            sums += np.bincount(words.docs, words.times * np.log2(left / PRIOR + 1) - own.follows * np.log2(left / MASS + 1), len(sizes))
+            left, ends = of_grams[k][grams.at] - minus[grams.docs] * grams.times, left[own.second]
+            sums += np.bincount(grams.docs, grams.times * np.log2(left * den[grams.docs] / (MASS * (ends + PRIOR)) + 1), len(sizes))
+            ce.append(-sums / np.maximum(sizes, 1))
+        empty = sizes == 0
+        return pa.Table.from_arrays([keys, pa.array(sizes), *(pa.array(x, mask=empty) for x in (ce[0], ce[1], ce[0] - ce[1]))], schema=SCORED)
+
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(work, from_arrow_schema(SCORED))
 
 
 def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -246,23 +256,22 @@ def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str =
     the others know.  An empty table gives none.  Columns of the new names, whatever
     their case, are replaced.
     """
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     own, names = placed(docs, text, doc_id)
     t, d = map(F.col, names)
     ids = targets.select(F.col("doc_id").alias("__target")).where("__target is not null").distinct()
     ids = F.broadcast(ids) if ids.count() <= TARGETS_SENT else ids
     keyed = own.withColumn("__key", F.xxhash64(d, t))
-    marked = keyed.join(ids, d == F.col("__target"), "left").select("__key", F.col("__target").isNotNull().alias("target"), t.alias("text"))
-    tables = Tables(marked)
-    shared = sc.broadcast((*tables.arrays(), tables.filter(), tables.symbols, tables.tokens, tables.docs))
-    cold = tables.told(tables.cold).unionByName(tables.cold.where(F.col("kind") == WORD).select("kind", "id", "t", "b"), allowMissingColumns=True)
-    cold = cold.withColumnsRenamed({"kind": "__kind", "id": "__id"})
-    met = _parts(marked, shared).join(cold, (F.col("kind") == F.col("__kind")) & (F.col("id") == F.col("__id")), "left")
-    whole = F.col("kind") == DOC
-    # Rows of one id and text share a key, and the sums of each are the same.
-    sums = met.groupBy("key").agg(*[F.sum(F.when(whole, F.col(c)).otherwise(_gain(tables, k))).alias(k) for c, k in (("x", "t"), ("y", "b"))], F.sum(F.when(whole, F.col("size"))).alias("n"), F.count(F.when(whole, 1)).alias("times"))
-    ce = lambda k: F.when(F.col("n") > 0, -F.col(k) / F.col("n"))
-    found = sums.select("key", (F.col("n") / F.col("times")).cast("long").alias("n_words"), ce("t").alias("ce_target"), ce("b").alias("ce_background"), (ce("t") - ce("b")).alias("ce_diff"))
+    size = own.agg(F.sum(F.octet_length(t))).first()[0] or 0
+    n, ranges = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // RANGE_BYTES))
+    # Repeated rows share a key; those of different partitions go to different blocks.
+    block = F.pmod(F.xxhash64("key", "at"), F.lit(n)).cast("int")
+    marked = keyed.join(ids, d == F.col("__target"), "left").select(F.col("__key").alias("key"), F.spark_partition_id().alias("at"), F.col("__target").isNotNull().alias("target"), t.alias("text"))
+    # Both readers of the blocks are the same plan, so Spark deals them once.
+    blocks = marked.select(block.alias("block"), "key", "target", "text").repartition(n, "block")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    told = _told(_asked(blocks, ranges).repartition(ranges, "range"))
+    found = _scored(blocks, told, ranges).dropDuplicates(["key"])  # rows of one id and text have the same scores
     kept = [i for i, c in enumerate(docs.columns) if without([c], NEW)]
     out = keyed.join(found, F.col("__key") == F.col("key")).select(*[f"c{i}" for i in kept], *NEW)
     return out.toDF(*[docs.columns[i] for i in kept], *NEW)
