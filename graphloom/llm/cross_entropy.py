@@ -4,15 +4,14 @@ Both models have one vocabulary, order and smoothing; the target is counted on
 the documents with a label, the background on all others.  The vocabulary is
 every word of all documents, and every bigram of them counts, so what is gathered
 grows with the corpus.  Words are keyed by XXH64 and bigrams by a mix of two such
-hashes, as Spark tables.
+hashes.
 
 The smoothing is a hierarchical Dirichlet one: a word's probability is
 ``p(w) = (c(w) + PRIOR) / (N + PRIOR V)``, and after ``v`` it is
 ``(c(v, w) + MASS p(w)) / (c(v) + MASS)``; what is left is the end of a text, which
 isn't scored.  A document never scores itself: its own words and bigrams are taken
 out of the counts of the model that it belongs to.  So what occurs in one document
-only is unknown there and nowhere else asked for, and single counts need not be
-kept.
+only is unknown there and nowhere else asked for.
 
 The logarithm falls into a part for each word, as it stands and as it precedes
 another, and one for each bigram that is known from elsewhere.  Documents are dealt
@@ -268,9 +267,9 @@ def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str =
     block = F.pmod(F.xxhash64("key", "at"), F.lit(n)).cast("int")
     marked = keyed.join(ids, d == F.col("__target"), "left").select(F.col("__key").alias("key"), F.spark_partition_id().alias("at"), F.col("__target").isNotNull().alias("target"), t.alias("text"))
     # Both readers of the blocks are the same plan, so Spark deals them once.
-    blocks = marked.select(block.alias("block"), "key", "target", "text").repartition(n, "block")
+    blocks = marked.select(block.alias("block"), "key", "target", "text").repartitionById(n, "block")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    told = _told(_asked(blocks, ranges).repartition(ranges, "range"))
+    told = _told(_asked(blocks, ranges).repartitionById(ranges, "range")).repartitionById(n, "block")
     found = _scored(blocks, told, ranges).dropDuplicates(["key"])  # rows of one id and text have the same scores
     kept = [i for i, c in enumerate(docs.columns) if without([c], NEW)]
     out = keyed.join(found, F.col("__key") == F.col("key")).select(*[f"c{i}" for i in kept], *NEW)
